@@ -191,3 +191,243 @@ def q_stream_preset_signals(spark, sf):
     j = join_windows(sentiment_windows(p, WINDOW), price_windows(t, WINDOW))
     c = stage_corr(spark, sf, t, p).select("ticker", "window_start", "window_end", "pearson")
     return signals_stream_preset(j.join(c, ["ticker", "window_start", "window_end"]))
+
+
+# --- latest rows, as-of, timeline, snapshots -----------------------------------------------
+
+from marketspark.functions.bands import fear_greed as _fg, mood3 as _mood3  # noqa: E402
+from marketspark.operators.align import asof_join  # noqa: E402
+from marketspark.operators.correlation import correlation_matrix  # noqa: E402
+from marketspark.operators.signals import filter_alerts  # noqa: E402
+from marketspark.operators.topk import last_n_per_key, latest_per_key  # noqa: E402
+from marketspark.operators.windows import trailing_sentiment  # noqa: E402
+from marketspark.plans import snapshots as SN  # noqa: E402
+from marketspark.plans.registry import as_of_literal  # noqa: E402
+from marketspark.sources.tables import load_universe  # noqa: E402
+
+SEARCH_TEXT = "  COMPANY 3 "
+
+
+def stage_alerts(spark, sf, ticks=None, posts=None) -> DataFrame:
+    """Alert table: extreme-post alerts plus signal alerts (reference thresholds)."""
+    p = posts if posts is not None else stage_posts(spark, sf)
+    pa = post_alerts(p).drop("post_id")
+    return pa.unionByName(signal_alerts(stage_signals(spark, sf, ticks, p)))
+
+
+def stage_summary(spark, sf) -> DataFrame:
+    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
+    return SN.market_summary(t, stage_sentiment(spark, sf, p), stage_signals(spark, sf, t, p),
+                             as_of_literal(t), lookback="1 hour")
+
+
+@register("q_latest_tick", "WIN1 latest row per key (max_by)",
+          S.with_ctes(S.TICKS, S.LATEST_TICK) + "SELECT ticker, ts, tick_id, price, open, volume FROM lt",
+          ["price", "open"])
+def q_latest_tick(spark, sf):
+    return SN.latest_tick(stage_ticks(spark, sf))
+
+
+@register("q_last30_ticks", "WIN2 last 30 ticks per ticker (WindowGroupLimit)",
+          S.with_ctes(S.TICKS) + """SELECT tick_id, ticker, ts, price, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) AS rank FROM ticks) WHERE rank <= 30""",
+          ["price"])
+def q_last30_ticks(spark, sf):
+    t = stage_ticks(spark, sf).select("tick_id", "ticker", "ts", "price")
+    return last_n_per_key(t, "ticker", ["ts", "tick_id"], 30)
+
+
+@register("q_asof_tick", "JON4 per-row as-of lookup: last tick at or before each post",
+          S.with_ctes(*S.BASE) + """SELECT p.post_id, p.ticker, p.ts, t.tick_id AS asof_tick_id, t.ts AS asof_ts,
+  t.price AS asof_price
+FROM posts p ASOF LEFT JOIN ticks t ON p.ticker = t.ticker AND p.ts >= t.ts""", ["asof_price"])
+def q_asof_tick(spark, sf):
+    p = stage_posts(spark, sf).select("post_id", "ticker", "ts")
+    t = stage_ticks(spark, sf)
+    return asof_join(p, t, "ticker", "ts", "ts", ["tick_id", "ts", "price"], right_order=["tick_id"])
+
+
+@register("q_asof_old_tick", "JON4 FLT3 last tick per ticker at or before as_of - 1 hour",
+          S.with_ctes(S.TICKS) + """SELECT ticker, ts, tick_id, price FROM ticks
+WHERE ts <= (SELECT max(ts) FROM ticks) - INTERVAL '1 hour'
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) = 1""", ["price"])
+def q_asof_old_tick(spark, sf):
+    t = stage_ticks(spark, sf)
+    return SN.asof_tick(t, as_of_literal(t) - F.expr("INTERVAL 1 hour"))
+
+
+@register("q_timeline", "COR3 SNP2 JON3 last 30 ticks with containing-window sentiment and latest signal",
+          S.with_ctes(*S.CHAIN, S.SIG) + """, last AS (
+  SELECT ticker, ts, tick_id, price, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) AS rnk
+  FROM ticks QUALIFY rnk <= 30),
+att AS (SELECT l.*, (SELECT s.avg_sentiment FROM sent_day s WHERE s.ticker = l.ticker AND s.window_start <= l.ts
+                      AND s.window_end >= l.ts ORDER BY s.window_start, s.window_end LIMIT 1) AS sentiment FROM last l),
+""" + S.LATEST_SIG + """
+SELECT a.ticker, a.tick_id, a.ts, strftime(a.ts, '%H:%M:%S') AS time, a.price, coalesce(a.sentiment, 0.0) AS sentiment,
+  coalesce(sg.pearson, 0.0) AS pearson, coalesce(sg.confidence, 0.5) AS confidence, coalesce(sg.signal, 'HOLD') AS signal,
+  31 - a.rnk AS position
+FROM att a LEFT JOIN sg USING (ticker)""", ["price", "sentiment", "pearson", "confidence"])
+def q_timeline(spark, sf):
+    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
+    return SN.correlation_timeline(t, stage_sentiment(spark, sf, p), stage_signals(spark, sf, t, p), n=30,
+                                   max_window=WINDOW)
+
+
+@register("q_market_summary", "SNP1 JON5 SCA13 market summary",
+          S.with_ctes(*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.SUMMARY)
+          + "SELECT * FROM summary", ["current_price", "price_change_pct", "avg_sentiment", "bullish_ratio", "pearson"])
+def q_market_summary(spark, sf):
+    return stage_summary(spark, sf)
+
+
+_POST_WINDOW = """FROM posts WHERE ts >= (SELECT max(ts) FROM posts) - INTERVAL '{lb}' AND ts <= (SELECT max(ts) FROM posts)"""
+
+
+@register("q_fear_greed", "SNP3 AGG6 SCA10 SCA11 fear & greed index (12-hour look-back)",
+          S.with_ctes(*S.BASE) + """SELECT coalesce(avg(compound), 0.0) AS avg_compound, count(*) AS n_posts,
+  CAST(trunc((coalesce(avg(compound), 0.0) + 1.0) * 50) AS INTEGER) AS fear_greed_score,
+  CASE WHEN fear_greed_score < 25 THEN 'EXTREME FEAR' WHEN fear_greed_score < 45 THEN 'FEAR'
+       WHEN fear_greed_score <= 55 THEN 'NEUTRAL' WHEN fear_greed_score <= 75 THEN 'GREED' ELSE 'EXTREME GREED' END
+    AS market_mood
+""" + _POST_WINDOW.format(lb="12 hours"), ["avg_compound"])
+def q_fear_greed(spark, sf):
+    p = stage_posts(spark, sf)
+    return SN.fear_greed_index(p, as_of_literal(p), lookback="12 hours")
+
+
+@register("q_macro_mood", "SNP10 SCA12 macro mood (NULL or 0 average -> 0.15)",
+          S.with_ctes(*S.BASE) + """SELECT coalesce(nullif(avg(compound), 0.0), 0.15) AS avg_used,
+  CAST(trunc((coalesce(nullif(avg(compound), 0.0), 0.15) + 1.0) * 50) AS INTEGER) AS fg_score,
+  CASE WHEN fg_score > 55 THEN 'GREED' WHEN fg_score < 45 THEN 'FEAR' ELSE 'NEUTRAL' END AS mood
+""" + _POST_WINDOW.format(lb="2 hours"), ["avg_used"])
+def q_macro_mood(spark, sf):
+    p = stage_posts(spark, sf)
+    a = as_of_literal(p)
+    w = p.filter((F.col("ts") >= a - F.expr("INTERVAL 2 hours")) & (F.col("ts") <= a))
+    g = w.agg(F.coalesce(F.nullif(F.avg("compound"), F.lit(0.0)), F.lit(0.15)).alias("avg_used"))
+    s = _fg(F.col("avg_used"))
+    return g.select("avg_used", s.alias("fg_score"), _mood3(s).alias("mood"))
+
+
+@register("q_trending", "SNP4 AGG7 TOP2 most discussed tickers (1-day look-back)",
+          S.with_ctes(*S.BASE) + """SELECT ticker, count(post_id) AS mentions
+""" + _POST_WINDOW.format(lb="1 day") + " GROUP BY ticker ORDER BY mentions DESC, ticker LIMIT 4")
+def q_trending(spark, sf):
+    p = stage_posts(spark, sf)
+    return SN.trending(p, as_of_literal(p), lookback="1 day", k=4)
+
+
+_MOVERS = """movers AS (SELECT ticker, price,
+  CASE WHEN coalesce(nullif(open, 0), price) > 0
+       THEN round((price - coalesce(nullif(open, 0), price)) / coalesce(nullif(open, 0), price) * 100, 2)
+       ELSE 0.0 END AS change FROM lt)"""
+
+
+@register("q_gainers", "SNP5 TOP3 top gainers vs open",
+          S.with_ctes(S.TICKS, S.LATEST_TICK, _MOVERS)
+          + "SELECT * FROM movers WHERE change >= 0 ORDER BY change DESC, ticker LIMIT 3", ["price", "change"])
+def q_gainers(spark, sf):
+    return SN.movers(stage_ticks(spark, sf), k=3)[0]
+
+
+@register("q_losers", "SNP5 TOP4 top losers vs open",
+          S.with_ctes(S.TICKS, S.LATEST_TICK, _MOVERS)
+          + "SELECT * FROM movers WHERE change < 0 ORDER BY change, ticker LIMIT 3", ["price", "change"])
+def q_losers(spark, sf):
+    return SN.movers(stage_ticks(spark, sf), k=3)[1]
+
+
+@register("q_news_feed", "SNP6 TOP5 SCA6 SCA15 latest 6 posts",
+          S.with_ctes(*S.BASE) + """SELECT post_id AS id, ticker, text AS headline, username,
+  CASE WHEN compound > 0.15 THEN 'BULLISH' WHEN compound < -0.15 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment,
+  strftime(ts, '%H:%M:%S') AS time, ts
+FROM posts ORDER BY ts DESC, post_id DESC LIMIT 6""")
+def q_news_feed(spark, sf):
+    return SN.news_feed(stage_posts(spark, sf), k=6)
+
+
+@register("q_metrics", "SNP7 AGG8 ingest counts",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + """SELECT 'total_tweets' AS metric, count(*) AS value FROM posts
+UNION ALL SELECT 'total_ticks', count(*) FROM ticks
+UNION ALL SELECT 'total_signals', count(*) FROM sig
+UNION ALL SELECT 'total_alerts', count(*) FROM alerts""")
+def q_metrics(spark, sf):
+    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
+    return SN.ingest_metrics(p, t, stage_signals(spark, sf, t, p), stage_alerts(spark, sf, t, p))
+
+
+@register("q_universe", "SNP8 universe of tickers with names",
+          S.with_ctes(S.UNIVERSE) + "SELECT * FROM universe")
+def q_universe(spark, sf):
+    return load_universe(spark, sf)
+
+
+@register("q_search", "FLT8 JON6 case-insensitive ticker / company search",
+          S.with_ctes(*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.SUMMARY, S.UNIVERSE)
+          + f"""SELECT s.*, u.name FROM summary s LEFT JOIN universe u USING (ticker)
+WHERE contains(lower(s.ticker), '{SEARCH_TEXT.strip().lower()}') OR contains(lower(coalesce(u.name, '')), '{SEARCH_TEXT.strip().lower()}')""",
+          ["current_price", "price_change_pct", "avg_sentiment", "bullish_ratio", "pearson"])
+def q_search(spark, sf):
+    return SN.search_tickers(stage_summary(spark, sf), load_universe(spark, sf), SEARCH_TEXT)
+
+
+@register("q_alert_filter", "FLT7 alert filter (SPIKE)",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + "SELECT * FROM alerts WHERE type = 'Bullish Spike'")
+def q_alert_filter(spark, sf):
+    return filter_alerts(stage_alerts(spark, sf), "SPIKE")
+
+
+@register("q_latest_alerts", "TOP1 latest 20 alerts",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS)
+          + "SELECT * FROM alerts ORDER BY timestamp DESC, ticker DESC, type DESC, message DESC LIMIT 20")
+def q_latest_alerts(spark, sf):
+    return SN.latest_alerts(stage_alerts(spark, sf), 20, order=("timestamp", "ticker", "type", "message"))
+
+
+@register("q_trailing_sentiment", "AGG4 rolling aggregate evaluated at as_of (12-hour look-back)",
+          S.with_ctes(*S.BASE) + """SELECT ticker, (SELECT max(ts) FROM posts) - INTERVAL '12 hours' AS window_start,
+  (SELECT max(ts) FROM posts) AS window_end, avg(compound) AS avg_sentiment, count(post_id) AS tweet_count,
+  avg(CASE WHEN compound > 0.15 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bullish_ratio,
+  avg(CASE WHEN compound < -0.15 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bearish_ratio,
+  count(post_id)::DOUBLE / 720 AS velocity
+""" + _POST_WINDOW.format(lb="12 hours") + " GROUP BY ticker",
+          ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity"])
+def q_trailing_sentiment(spark, sf):
+    p = stage_posts(spark, sf)
+    return trailing_sentiment(p, as_of_literal(p), lookback="12 hours")
+
+
+# --- lagged correlation, correlation matrix --------------------------------------------------
+
+@register("q_lagged_corr", "COR4 Pearson of price vs sentiment one tick earlier (exact lag via row index)",
+          S.with_ctes(*S.BASE, S.ALIGNED) + """, lagged AS (
+  SELECT *, lag(sentiment, 1) OVER (PARTITION BY ticker, window_start ORDER BY ts, tick_id) AS ylag FROM aligned)
+SELECT ticker, window_start, window_end, count(*) AS n_ticks,
+  CASE WHEN count(ylag) <= 1 OR max(CASE WHEN ylag IS NOT NULL THEN price END) = min(CASE WHEN ylag IS NOT NULL THEN price END)
+            OR max(ylag) = min(ylag) OR NOT isfinite(corr(price, ylag)) THEN 0.0 ELSE corr(price, ylag) END AS pearson,
+  1 AS lag, arg_min(price, ts) AS first_price, arg_max(price, ts) AS last_price,
+  (arg_max(price, ts) - arg_min(price, ts)) / arg_min(price, ts) AS momentum
+FROM lagged GROUP BY 1, 2, 3 HAVING count(*) >= 5""", ["pearson", "first_price", "last_price", "momentum"])
+def q_lagged_corr(spark, sf):
+    return stage_corr(spark, sf, lag=1)
+
+
+FIXTURE_TICKERS = [f"T{i}" for i in range(8)]
+
+
+@register("q_corr_matrix", "COR5 SCA9 cross-asset correlation matrix of daily average prices",
+          S.with_ctes(S.TICKS) + f""", d AS (SELECT ticker, {S.day('ts')} AS bk, avg(price) AS p FROM ticks GROUP BY 1, 2),
+u AS (SELECT unnest({FIXTURE_TICKERS!r}) AS ticker),
+st AS (SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, {S.PEARSON.format(x='a.p', y='b.p')} AS pearson,
+              count(*) AS n_buckets
+       FROM d a JOIN d b ON a.bk = b.bk AND a.ticker <> b.ticker GROUP BY 1, 2),
+diag AS (SELECT ticker AS ticker_a, ticker AS ticker_b, 1.0::DOUBLE AS pearson, count(*) AS n_buckets FROM d GROUP BY 1),
+allp AS (SELECT ua.ticker AS ticker_a, ub.ticker AS ticker_b FROM u ua, u ub),
+m AS (SELECT allp.ticker_a, allp.ticker_b,
+             coalesce(diag.pearson, st.pearson, 0.0) AS pearson, coalesce(diag.n_buckets, st.n_buckets, 0) AS n_buckets
+      FROM allp LEFT JOIN st USING (ticker_a, ticker_b)
+      LEFT JOIN diag ON allp.ticker_a = allp.ticker_b AND diag.ticker_a = allp.ticker_a)
+SELECT *, CASE WHEN ticker_a = ticker_b THEN 'diagonal' WHEN pearson > 0.5 THEN 'strong' WHEN pearson < 0.2 THEN 'weak'
+               ELSE 'mid' END AS band FROM m""", ["pearson"])
+def q_corr_matrix(spark, sf):
+    return correlation_matrix(stage_ticks(spark, sf), FIXTURE_TICKERS, bucket="1 day", lookback=None)

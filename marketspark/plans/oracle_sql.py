@@ -90,3 +90,43 @@ def with_ctes(*ctes: str) -> str:
 
 BASE = [TICKS, POSTS]
 CHAIN = [TICKS, POSTS, SENT_DAY, ALIGNED, CORR]
+
+SIG = signals_cte()
+
+LATEST_SENT = """sa AS (SELECT * FROM sent_day
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY window_end DESC, window_start DESC) = 1)"""
+LATEST_SIG = """sg AS (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY timestamp DESC) = 1)"""
+LATEST_TICK = """lt AS (SELECT * FROM ticks
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) = 1)"""
+
+SUMMARY = f"""summary AS (
+  SELECT lt.ticker, lt.price AS current_price,
+         CASE WHEN b.base > 0 THEN round((lt.price - b.base) / b.base * 100, 2) ELSE 0.0 END AS price_change_pct,
+         lt.volume, coalesce(round(sa.avg_sentiment, 3), 0.0) AS avg_sentiment,
+         coalesce(round(sa.bullish_ratio, 3), 0.5) AS bullish_ratio, coalesce(sa.tweet_count, 0) AS tweet_count,
+         coalesce(sg.signal, 'HOLD') AS signal, coalesce(round(sg.pearson, 3), 0.0) AS pearson
+  FROM lt
+  LEFT JOIN (SELECT ticker, price AS old_price FROM ticks
+             WHERE ts <= (SELECT max(ts) FROM ticks) - INTERVAL '1 hour'
+             QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) = 1) o USING (ticker)
+  LEFT JOIN sa USING (ticker) LEFT JOIN sg USING (ticker)
+  CROSS JOIN LATERAL (SELECT coalesce(o.old_price, nullif(lt.open, 0), lt.price) AS base) b)"""
+
+ALERTS = """alerts AS (
+  SELECT ticker, ts AS timestamp,
+    CASE WHEN compound <= -0.75 THEN 'CRITICAL' ELSE 'INFO' END AS severity,
+    CASE WHEN compound <= -0.75 THEN 'Panic Alert: Extreme Bearish' ELSE 'FOMO Alert: Extreme Bullish' END
+      || ' Sentiment detected on $' || ticker || '. Username: @' || username AS message,
+    CASE WHEN compound <= -0.75 THEN 'Bearish Crash' ELSE 'Bullish Spike' END AS type
+  FROM posts WHERE compound <= -0.75 OR compound >= 0.75
+  UNION ALL
+  SELECT ticker, timestamp, CASE WHEN confidence < 0.75 THEN 'WARNING' ELSE 'CRITICAL' END,
+    'Trading Alert: Strong ' || signal || ' Signal generated for $' || ticker || '. Pearson: '
+      || CAST(round(pearson, 2) AS VARCHAR) || '. Confidence: '
+      || CAST(CAST(trunc(confidence * 100) AS INTEGER) AS VARCHAR) || '%', 'Momentum Shift'
+  FROM sig WHERE signal <> 'HOLD')"""
+
+UNIVERSE = """universe AS (
+  SELECT CAST(user_id % 8 AS INTEGER) AS ordinal, 'T' || CAST(user_id % 8 AS VARCHAR) AS ticker,
+         'Company ' || CAST(user_id % 8 AS VARCHAR) AS name
+  FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2, 3)"""
