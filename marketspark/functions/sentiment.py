@@ -31,9 +31,10 @@ def _score_struct(compound: Column, pos: Column, neg: Column, neu: Column) -> Co
                     neg.cast("double").alias("neg"), neu.cast("double").alias("neu"))
 
 
-def keyword_counts(text: Column, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS) -> tuple[Column, Column]:
+def keyword_counts(text: Column, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS,
+                   lower: bool = True) -> tuple[Column, Column]:
     """(#distinct positive words present, #distinct negative words present) over the whole text."""
-    low = F.lower(text)
+    low = F.lower(text) if lower else text
     p = sum((F.contains(low, F.lit(w)).cast("int") for w in positive), F.lit(0))
     n = sum((F.contains(low, F.lit(w)).cast("int") for w in negative), F.lit(0))
     return F.coalesce(p, F.lit(0)), F.coalesce(n, F.lit(0))
@@ -43,6 +44,10 @@ def score_keyword(text: Column, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS
     """Keyword scorer: no hit -> (0, 0, 0, 1); else compound=(p-n)/t, pos=p/t, neg=n/t
     rounded to 3 digits and neu=0."""
     p, n = keyword_counts(text, positive, negative)
+    return _counts_to_score(p, n)
+
+
+def _counts_to_score(p: Column, n: Column) -> Column:
     t = p + n
     none = t == 0
     return _score_struct(
@@ -88,7 +93,19 @@ def get_scorer(name: str | None) -> Callable[[Column], Column]:
 def with_scores(df: DataFrame, text_col: str = "text", model: str | Callable[[Column], Column] = "keyword",
                 fallback: Callable[[Column], Column] | None = None) -> DataFrame:
     """Append compound/pos/neg/neu columns.  ``fallback`` fills rows where the primary
-    scorer yields NULL (the reference's fallback chain)."""
+    scorer yields NULL (the reference's fallback chain).
+
+    The keyword scorer's two hit counts are materialised in their own projection first:
+    each count is referenced several times by the four score fields, and Spark keeps a
+    projection whose costly outputs are used more than once instead of inlining them, so
+    every text is scanned once per word, not once per word per field.
+    """
+    if model in ("keyword", "vader", "finbert", None) and fallback is None:
+        d = df.withColumn("_low", F.lower(F.col(text_col)))
+        p, n = keyword_counts(F.col("_low"), lower=False)
+        d = d.withColumn("_np", p).withColumn("_nn", n)
+        s = _counts_to_score(F.col("_np"), F.col("_nn"))
+        return d.select(*df.columns, *[s[f].alias(f) for f in SCORE_FIELDS])
     scorer = model if callable(model) else get_scorer(model)
     s = scorer(F.col(text_col))
     if fallback is not None:

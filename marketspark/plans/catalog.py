@@ -17,7 +17,7 @@ from marketspark.operators.signals import post_alerts, signal_alerts, signals, s
 from marketspark.operators.windows import join_windows, ohlc_bars, price_windows, sentiment_windows
 from marketspark.plans import oracle_sql as S
 from marketspark.plans.registry import register
-from marketspark.sources.tables import load_posts, load_ticks
+from marketspark.sources.tables import load_posts, load_ticks, posts_table, ticks_table
 
 WINDOW, LOOKBACK, SLIDE = "1 day", "12 hours", "6 hours"
 
@@ -25,11 +25,11 @@ WINDOW, LOOKBACK, SLIDE = "1 day", "12 hours", "6 hours"
 # --- shared stages ----------------------------------------------------------------------
 
 def stage_ticks(spark: SparkSession, sf: str) -> DataFrame:
-    return load_ticks(spark, sf)
+    return ticks_table(spark, sf)
 
 
 def stage_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return load_posts(spark, sf)
+    return posts_table(spark, sf)
 
 
 def stage_sentiment(spark, sf, posts=None) -> DataFrame:
@@ -57,14 +57,14 @@ def stage_signals(spark, sf, ticks=None, posts=None, **thresholds) -> DataFrame:
           S.with_ctes(S.TICKS) + "SELECT tick_id, ticker, ts, price, open, volume FROM ticks",
           ["price", "open"])
 def q_ticks(spark, sf):
-    return stage_ticks(spark, sf)
+    return load_ticks(spark, sf)
 
 
 @register("q_posts_scored", "adapter posts, SCA1 keyword scorer",
           S.with_ctes(*S.BASE) + "SELECT post_id, ticker, ts, username, followers, compound, pos, neg, neu FROM posts",
           ["compound", "pos", "neg", "neu"])
 def q_posts_scored(spark, sf):
-    return stage_posts(spark, sf).drop("text")
+    return load_posts(spark, sf).drop("text")
 
 
 @register("q_post_labels", "SCA6 label, SCA8 chart band",
