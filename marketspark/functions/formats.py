@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def _make(spec: str):
+    integral = not any(ch in spec for ch in ".efgEFG%")   # ',' / 'd' specs format integers
+
     @F.pandas_udf("string")
     def fmt(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None or pd.isna(v) else format(v, spec))
+        conv = (lambda v: int(v)) if integral else (lambda v: float(v))
+        return s.map(lambda v: None if v is None or pd.isna(v) else format(conv(v), spec))
     return fmt
 
 

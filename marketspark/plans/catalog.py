@@ -431,3 +431,266 @@ SELECT *, CASE WHEN ticker_a = ticker_b THEN 'diagonal' WHEN pearson > 0.5 THEN
                ELSE 'mid' END AS band FROM m""", ["pearson"])
 def q_corr_matrix(spark, sf):
     return correlation_matrix(stage_ticks(spark, sf), FIXTURE_TICKERS, bucket="1 day", lookback=None)
+
+
+# --- scorers on other inputs --------------------------------------------------------------
+
+from marketspark.functions.sentiment import scale_score, tone_from_logits  # noqa: E402
+from marketspark.operators import lexicon as LX  # noqa: E402
+from marketspark.sources.tables import load_logits  # noqa: E402
+
+
+def _lexicon_sql() -> str:
+    vals = ", ".join([f"('{w}', {LX.DEFAULT_VALENCE})" for w in LX.POSITIVE_WORDS]
+                     + [f"('{w}', {-LX.DEFAULT_VALENCE})" for w in LX.NEGATIVE_WORDS])
+    lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    return f""", lex(token, valence) AS (VALUES {vals}),
+tk AS (SELECT post_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i
+       FROM (SELECT post_id, regexp_extract_all(lower(text), '{LX.TOKEN_PATTERN}') AS t FROM posts)),
+ctx AS (SELECT post_id, i, tok, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3
+        FROM tk WINDOW w AS (PARTITION BY post_id ORDER BY i)),
+v0 AS (SELECT c.*, coalesce(l.valence, 0.0) AS v,
+              coalesce(list_contains({lst(LX.NEGATORS)}, c.p1) OR list_contains({lst(LX.NEGATORS)}, c.p2)
+                       OR list_contains({lst(LX.NEGATORS)}, c.p3), false) AS negated,
+              CASE WHEN list_contains({lst(LX.BOOSTERS)}, c.p1) THEN {LX.BOOST}
+                   WHEN list_contains({lst(LX.DAMPENERS)}, c.p1) THEN -{LX.BOOST} ELSE 0.0 END AS b
+       FROM ctx c LEFT JOIN lex l ON l.token = c.tok),
+v1 AS (SELECT post_id, CASE WHEN v = 0 THEN 0.0 WHEN negated THEN (v + sign(v) * b) * {LX.NEGATION}
+                            ELSE v + sign(v) * b END AS v FROM v0),
+agg AS (SELECT post_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS pm,
+               sum(CASE WHEN v < 0 THEN -v + 1 ELSE 0 END) AS nm, sum(CASE WHEN v = 0 THEN 1.0 ELSE 0 END) AS nn
+        FROM v1 GROUP BY post_id)
+SELECT p.post_id, coalesce(round(a.s / sqrt(a.s * a.s + {LX.ALPHA}), 4), 0.0) AS compound,
+       coalesce(CASE WHEN a.pm + a.nm + a.nn > 0 THEN round(a.pm / (a.pm + a.nm + a.nn), 3) END, 0.0) AS pos,
+       coalesce(CASE WHEN a.pm + a.nm + a.nn > 0 THEN round(a.nm / (a.pm + a.nm + a.nn), 3) END, 0.0) AS neg,
+       coalesce(CASE WHEN a.pm + a.nm + a.nn > 0 THEN round(a.nn / (a.pm + a.nm + a.nn), 3) END, 0.0) AS neu
+FROM posts p LEFT JOIN agg a USING (post_id)"""
+
+
+@register("q_lexicon_score", "SCA2 UDF1 lexicon scorer with negation and boosters over whole texts",
+          S.with_ctes(*S.BASE).rstrip() + _lexicon_sql(), ["compound", "pos", "neg", "neu"])
+def q_lexicon_score(spark, sf):
+    p = stage_posts(spark, sf).select("post_id", "text")
+    return LX.score_lexicon(p).drop("text")
+
+
+@register("q_tone_from_logits", "SCA3 softmax tone scores from three class logits",
+          """WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c
+                FROM embeddings),
+y AS (SELECT vec_id, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb,
+             exp(c - greatest(a, b, c)) AS ec FROM x)
+SELECT vec_id, eb / (ea + eb + ec) - ec / (ea + eb + ec) AS compound, eb / (ea + eb + ec) AS pos,
+       ec / (ea + eb + ec) AS neg, ea / (ea + eb + ec) AS neu FROM y""", ["compound", "pos", "neg", "neu"])
+def q_tone_from_logits(spark, sf):
+    s = tone_from_logits(F.col("logits"))
+    return load_logits(spark, sf).select("vec_id", *[s[f].alias(f) for f in ("compound", "pos", "neg", "neu")])
+
+
+@register("q_scaled_score", "SCA4 SCA5 scaled scorer (compound x 1.05 clamped)",
+          S.with_ctes(*S.BASE) + """SELECT post_id, greatest(-1.0, least(1.0, compound * 1.05)) AS compound, pos, neg, neu
+FROM posts""", ["compound", "pos", "neg", "neu"])
+def q_scaled_score(spark, sf):
+    p = stage_posts(spark, sf)
+    s = scale_score(F.struct("compound", "pos", "neg", "neu"))
+    return p.select("post_id", *[s[f].alias(f) for f in ("compound", "pos", "neg", "neu")])
+
+
+# --- reports and question routing ----------------------------------------------------------
+
+from marketspark.plans import reports as RP  # noqa: E402
+from marketspark.sources.tables import load_questions, universe_aliases  # noqa: E402
+
+_FACTS_SQL = """facts AS (
+  SELECT u.ticker, u.name, coalesce(lt.price, 200.0) AS price, coalesce(lt.volume, 1000000) AS volume,
+         coalesce(sa.avg_sentiment, 0.45) AS avg_sentiment, coalesce(sa.bullish_ratio, 0.70) AS bullish_ratio,
+         coalesce(sg.signal, 'BUY') AS signal, coalesce(sg.pearson, 0.52) AS pearson
+  FROM universe u LEFT JOIN lt USING (ticker) LEFT JOIN sa USING (ticker) LEFT JOIN sg USING (ticker))"""
+
+
+def _asset_text_sql(p: str = "") -> str:
+    sent_status = (f"CASE WHEN {p}avg_sentiment > 0.4 THEN 'strongly bullish' WHEN {p}avg_sentiment > 0.1 "
+                   f"THEN 'moderately bullish' WHEN {p}avg_sentiment < -0.1 THEN 'bearish' ELSE 'neutral' END")
+    parts = dict(name=f"{p}name", tick=f"{p}ticker", price=f"format('{{:.2f}}', {p}price)",
+                 vol=f"format('{{:,}}', {p}volume)", sent=f"format('{{:.3f}}', {p}avg_sentiment)",
+                 sent_status=sent_status, bull=f"format('{{:.1f}}', {p}bullish_ratio * 100)",
+                 pearson=f"format('{{:.3f}}', {p}pearson)", sig=f"{p}signal")
+    return _render_sql(RP.ASSET_TEMPLATE, parts)
+
+
+def _render_sql(template: str, parts: dict) -> str:
+    out, rest = [], template
+    while "{" in rest:
+        i = rest.index("{")
+        j = rest.index("}", i)
+        out.append(_sql_str(rest[:i]))
+        out.append(f"({parts[rest[i + 1:j]]})")
+        rest = rest[j + 1:]
+    out.append(_sql_str(rest))
+    return " || ".join(out)
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _routing_sql() -> str:
+    alias_case = " ".join(f"WHEN contains(lower(trim(message)), 't{i}') THEN 'T{i}' "
+                          f"WHEN contains(lower(trim(message)), 'company {i}') THEN 'T{i}'" for i in range(8))
+    mood = " OR ".join(f"contains(lower(trim(message)), '{w}')" for w in RP.MOOD_WORDS)
+    macro = _render_sql(RP.MACRO_TEMPLATE, dict(fg="CAST(mc.fg_score AS VARCHAR)", mood="mc.mood"))
+    default = _render_sql(RP.DEFAULT_TEMPLATE, dict(query="trim(q.message)"))
+    return f""", questions AS (
+  SELECT conv_id * 1000 + turn AS msg_id,
+         CASE WHEN conv_id % 3 = 0 THEN 'T' || CAST(conv_id % 8 AS VARCHAR) || ' outlook? ' || text
+              WHEN conv_id % 3 = 1 THEN 'Fear and greed today? ' || text ELSE text END AS message
+  FROM conversations WHERE role = 'user'),
+mc AS (SELECT CAST(trunc((coalesce(nullif(avg(compound), 0.0), 0.15) + 1.0) * 50) AS INTEGER) AS fg_score,
+              CASE WHEN fg_score > 55 THEN 'GREED' WHEN fg_score < 45 THEN 'FEAR' ELSE 'NEUTRAL' END AS mood
+       FROM posts WHERE ts >= (SELECT max(ts) FROM posts) - INTERVAL '2 hours' AND ts <= (SELECT max(ts) FROM posts)),
+q AS (SELECT msg_id, message, CASE {alias_case} END AS ticker, {mood} AS moody
+      FROM questions WHERE length(trim(message)) > 0)
+SELECT q.msg_id,
+       CASE WHEN q.ticker IS NOT NULL THEN {_asset_text_sql('f.')} WHEN q.moody THEN {macro} ELSE {default} END AS reply,
+       'native-nlp' AS source, q.ticker,
+       CASE WHEN q.ticker IS NOT NULL THEN 'asset' WHEN q.moody THEN 'macro' ELSE 'default' END AS route
+FROM q LEFT JOIN facts f ON f.ticker = q.ticker CROSS JOIN mc"""
+
+
+def stage_facts(spark, sf, t=None, p=None):
+    t = t if t is not None else stage_ticks(spark, sf)
+    p = p if p is not None else stage_posts(spark, sf)
+    return RP.asset_facts(t, stage_sentiment(spark, sf, p), stage_signals(spark, sf, t, p), load_universe(spark, sf))
+
+
+_REPORT_CTES = [*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.UNIVERSE, _FACTS_SQL]
+
+
+@register("q_asset_report", "SNP9 JON6 asset intelligence report text per ticker",
+          S.with_ctes(*_REPORT_CTES) + f"SELECT ticker, name, {_asset_text_sql()} AS report FROM facts")
+def q_asset_report(spark, sf):
+    f = stage_facts(spark, sf)
+    return f.select("ticker", "name", RP.asset_report_text(f).alias("report"))
+
+
+@register("q_question_routing", "SNP10 SNP11 JON7 SCA21 question routing to asset / macro / default replies",
+          S.with_ctes(*_REPORT_CTES).rstrip() + _routing_sql())
+def q_question_routing(spark, sf):
+    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
+    facts = stage_facts(spark, sf, t, p)
+    macro = RP.macro_facts(p, as_of_literal(p), "2 hours")
+    msgs = load_questions(spark, sf).select("msg_id", "message")
+    return RP.route_questions(msgs, universe_aliases(load_universe(spark, sf)), facts, macro)
+
+
+# --- sources: records, quotes, news; dedupe; manual log; change feed; CSV --------------------
+
+from marketspark.operators.records_ops import change_feed, dedupe, manual_posts  # noqa: E402
+from marketspark.sources import news as NW  # noqa: E402
+from marketspark.sources.quotes import extract_quotes, quote_documents  # noqa: E402
+from marketspark.sources.records import encode_records, parse_ticks, tick_wire  # noqa: E402
+from marketspark.sources.tables import load_chat_messages, read_table, ticker_of  # noqa: E402
+
+
+@register("q_quote_extract", "SRC4 PRJ7 SCA22 quote documents -> ticks (last array element, fallbacks, rounding)",
+          S.with_ctes(S.TICKS) + """SELECT ticker, round(price, 2) AS price, round(coalesce(nullif(open, 0), price), 2) AS open,
+  round(coalesce(nullif(greatest(open, price), 0), price), 2) AS high,
+  round(coalesce(nullif(least(open, price), 0), price), 2) AS low, round(price, 2) AS close,
+  coalesce(volume, 0) AS volume, ts AS timestamp FROM ticks""", ["price", "open", "high", "low", "close"])
+def q_quote_extract(spark, sf):
+    docs = quote_documents(stage_ticks(spark, sf))
+    return extract_quotes(docs, ts=F.col("ts"))
+
+
+_NEWS_SQL = """news AS (
+  SELECT page_id, 'news_' || substr(md5(title), 1, 8) AS id, 'T' || CAST(page_id % 8 AS VARCHAR) AS ticker,
+         '$' || 'T' || CAST(page_id % 8 AS VARCHAR) || ' News: ' || title || '. ' || substr(coalesce(description, ''), 1, 100) AS text,
+         'YahooFinanceNews' AS username, NULL::TIMESTAMP AS timestamp, 1500000 AS followers,
+         'Yahoo Finance RSS' AS source, 0.95::DOUBLE AS confidence_score, 0.05::DOUBLE AS bot_probability
+  FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
+               nullif(regexp_replace(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), '<[^>]*>', '', 'g'), '') AS description
+        FROM pages))"""
+
+
+def stage_news(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    items = NW.page_items(pages)
+    return NW.news_to_posts(items, F.concat(F.lit("T"), F.pmod(F.col("page_id"), F.lit(8)).cast("string")))
+
+
+@register("q_rss_posts", "SRC5 PRJ8 PRJ9 news items -> posts", S.with_ctes(_NEWS_SQL) + "SELECT * FROM news")
+def q_rss_posts(spark, sf):
+    return stage_news(spark, sf)
+
+
+@register("q_dedupe_posts", "STR11 duplicate suppression by post id (first write wins)",
+          S.with_ctes(_NEWS_SQL) + "SELECT * FROM news QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id) = 1")
+def q_dedupe_posts(spark, sf):
+    return dedupe(stage_news(spark, sf), "id", ["page_id"])
+
+
+_PAYLOADS = """payloads AS (
+  SELECT conv_id * 1000 + turn AS msg_id, 't' || CAST(conv_id % 8 AS VARCHAR) AS ticker, text,
+         CASE WHEN turn % 4 = 0 THEN NULL ELSE 'user' || CAST(conv_id AS VARCHAR) END AS username,
+         CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(turn * 10 AS INTEGER) END AS followers
+  FROM conversations WHERE role = 'user')"""
+
+
+@register("q_manual_log", "SNK5 manual post injection with defaults and scoring",
+          S.with_ctes(*S.BASE, _PAYLOADS).rstrip() + """, scored AS (
+  SELECT p.*, CAST(""" + S._hits(S.POSITIVE_WORDS).replace("d.text", "p.text") + """ AS DOUBLE) AS np,
+         CAST(""" + S._hits(S.NEGATIVE_WORDS).replace("d.text", "p.text") + """ AS DOUBLE) AS nn FROM payloads p)
+SELECT 'tw_manual_' || CAST(msg_id AS VARCHAR) AS id, upper(ticker) AS ticker, text,
+  coalesce(username, 'manual_feed') AS username, (SELECT max(ts) FROM posts) AS timestamp,
+  coalesce(followers, 500) AS followers, 0 AS likes, 0 AS retweets, 15 AS views, 'Manual API Feed' AS source,
+  0.98::DOUBLE AS confidence_score, 0.01::DOUBLE AS bot_probability,
+  CASE WHEN np + nn = 0 THEN 0.0 ELSE round((np - nn) / (np + nn), 3) END AS compound,
+  CASE WHEN np + nn = 0 THEN 0.0 ELSE round(np / (np + nn), 3) END AS pos,
+  CASE WHEN np + nn = 0 THEN 0.0 ELSE round(nn / (np + nn), 3) END AS neg,
+  CASE WHEN np + nn = 0 THEN 1.0 ELSE 0.0 END AS neu
+FROM scored""", ["compound", "pos", "neg", "neu", "confidence_score", "bot_probability"])
+def q_manual_log(spark, sf):
+    m = load_chat_messages(spark, sf)
+    payloads = m.select("msg_id", F.concat(F.lit("t"), F.pmod(F.col("conv_id"), F.lit(8)).cast("string")).alias("ticker"),
+                        F.col("message").alias("text"),
+                        F.when(F.col("turn") % 4 != 0, F.concat(F.lit("user"), F.col("conv_id").cast("string"))).alias("username"),
+                        F.when(F.col("turn") % 3 != 0, (F.col("turn") * 10).cast("int")).alias("followers"))
+    return manual_posts(payloads, as_of_literal(stage_posts(spark, sf)))
+
+
+CHANGE_AFTER_TICK = 5000
+
+
+@register("q_change_feed", "STR9 FLT4 FLT5 PRJ10 PRJ12 incremental push messages after a high-water mark",
+          S.with_ctes(*S.BASE) + f"""SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker FROM ticks
+WHERE tick_id > {CHANGE_AFTER_TICK}
+UNION ALL SELECT 'new_tweet', CAST(arg_max(post_id, (ts, post_id)) AS VARCHAR), arg_max(ticker, (ts, post_id)) FROM posts""")
+def q_change_feed(spark, sf):
+    f = change_feed(stage_ticks(spark, sf), None, stage_posts(spark, sf), CHANGE_AFTER_TICK)
+    return f.select("type", "id", "ticker")
+
+
+@register("q_tick_wire", "SRC7 PRJ10 tick wire projection encoded as keyed JSON records",
+          S.with_ctes(S.TICKS) + """SELECT ticker AS key, '{"ticker":"' || ticker || '","price":' || CAST(price AS VARCHAR)
+  || ',"volume":' || CAST(volume AS VARCHAR) || ',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS value
+FROM ticks""")
+def q_tick_wire(spark, sf):
+    return encode_records(tick_wire(stage_ticks(spark, sf)), "ticker", ts_cols=())
+
+
+@register("q_parse_ticks", "PRJ2 PRJ3 parse encoded tick messages back into typed rows",
+          S.with_ctes(S.TICKS) + """SELECT ticker, price, open, greatest(open, price) AS high, least(open, price) AS low,
+  price AS close, volume, ts AS timestamp FROM ticks""", ["price", "open", "high", "low", "close"])
+def q_parse_ticks(spark, sf):
+    t = stage_ticks(spark, sf).select("ticker", "price", "open", F.greatest("open", "price").alias("high"),
+                                     F.least("open", "price").alias("low"), F.col("price").alias("close"), "volume",
+                                     F.col("ts").alias("timestamp"))
+    return parse_ticks(encode_records(t, "ticker", ts_cols=("timestamp",)))
+
+
+@register("q_csv_rows", "SNK7 JON6 CSV export rows of the market summary",
+          S.with_ctes(*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.SUMMARY, S.UNIVERSE)
+          + """SELECT s.ticker AS "Ticker", coalesce(u.name, s.ticker) AS "Company Name", s.current_price AS "Price",
+  s.volume AS "Volume", s.avg_sentiment AS "AvgSentiment", s.signal AS "Signal"
+FROM summary s LEFT JOIN universe u USING (ticker)""", ['"Price"', '"AvgSentiment"'])
+def q_csv_rows(spark, sf):
+    return SN.export_rows(stage_summary(spark, sf), load_universe(spark, sf))

@@ -132,7 +132,20 @@ def reference_aliases(spark: SparkSession) -> DataFrame:
 def load_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages: user turns of ``conversations`` -> (msg_id, message)."""
     c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.col("text").alias("message"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "conv_id", "turn",
+                    F.col("text").alias("message"))
+
+
+def load_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture questions: user turns, every third conversation prefixed with a ticker
+    ('T' + conv_id % 8), the next third with a mood phrase, the rest unchanged."""
+    m = load_chat_messages(spark, sf_dir)
+    k = F.pmod(F.col("conv_id"), F.lit(3))
+    tick = F.concat(F.lit("T"), F.pmod(F.col("conv_id"), F.lit(N_TICKERS)).cast("string"))
+    q = (F.when(k == 0, F.concat(tick, F.lit(" outlook? "), F.col("message")))
+         .when(k == 1, F.concat(F.lit("Fear and greed today? "), F.col("message")))
+         .otherwise(F.col("message")))
+    return m.select("msg_id", "conv_id", "turn", q.alias("message"))
 
 
 def load_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
