@@ -694,3 +694,77 @@ def q_parse_ticks(spark, sf):
 FROM summary s LEFT JOIN universe u USING (ticker)""", ['"Price"', '"AvgSentiment"'])
 def q_csv_rows(spark, sf):
     return SN.export_rows(stage_summary(spark, sf), load_universe(spark, sf))
+
+
+# --- streaming: run on the ingest tables as file streams, availableNow ----------------------
+
+from marketspark.streaming import jobs as ST  # noqa: E402
+from marketspark.sources.tables import posts_table_path, ticks_table_path  # noqa: E402
+
+_PWM = "(SELECT max(ts) FROM posts) - INTERVAL '10 minutes'"
+_TWM = "(SELECT least((SELECT max(ts) FROM posts), (SELECT max(ts) FROM ticks))) - INTERVAL '10 minutes'"
+
+
+def _post_stream(spark, sf):
+    return ST.read_stream(spark, posts_table_path(spark, sf))
+
+
+def _tick_stream(spark, sf):
+    return ST.read_stream(spark, ticks_table_path(spark, sf))
+
+
+@register("q_stream_sentiment", "STR1 STR2 STR7 SNK1 watermarked tumbling windows, append, foreachBatch sink",
+          S.with_ctes(*S.BASE, S.SENT_DAY) + f"SELECT * FROM sent_day WHERE window_end <= {_PWM}",
+          ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity"])
+def q_stream_sentiment(spark, sf):
+    return ST.run_to_table(spark, ST.stream_sentiment(_post_stream(spark, sf), WINDOW), "sentiment")
+
+
+@register("q_stream_join", "STR5 JON1 stream-stream join of windowed aggregates (append)",
+          S.with_ctes(*S.BASE, S.SENT_DAY, S.PRICE_DAY) + f"""SELECT * FROM sent_day JOIN price_day
+  USING (ticker, window_start, window_end) WHERE window_end <= {_TWM}""",
+          ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity", "avg_price"])
+def q_stream_join(spark, sf):
+    return ST.run_to_table(spark, ST.stream_join(_post_stream(spark, sf), _tick_stream(spark, sf), WINDOW), "join")
+
+
+@register("q_stream_union", "STR6 union stream, one windowed aggregate, update mode",
+          S.with_ctes(*S.BASE, S.SENT_DAY, S.PRICE_DAY) + """SELECT ticker, window_start, window_end, s.avg_sentiment,
+  coalesce(s.tweet_count, 0) AS tweet_count, s.bullish_ratio, s.bearish_ratio, p.avg_price,
+  coalesce(p.price_tick_count, 0) AS price_tick_count
+FROM sent_day s FULL OUTER JOIN price_day p USING (ticker, window_start, window_end)""",
+          ["avg_sentiment", "bullish_ratio", "bearish_ratio", "avg_price"])
+def q_stream_union(spark, sf):
+    u = ST.stream_union(_post_stream(spark, sf), _tick_stream(spark, sf), WINDOW)
+    return ST.run_to_table(spark, u, "union", mode="update", key=["ticker", "window_start", "window_end"])
+
+
+@register("q_stream_post_alerts", "STR8 ALR1 stateless alerting on the post stream",
+          S.with_ctes(*S.BASE) + """SELECT post_id, ticker, ts AS timestamp,
+  CASE WHEN compound <= -0.75 THEN 'CRITICAL' ELSE 'INFO' END AS severity,
+  CASE WHEN compound <= -0.75 THEN 'Panic Alert: Extreme Bearish' ELSE 'FOMO Alert: Extreme Bullish' END
+    || ' Sentiment detected on $' || ticker || '. Username: @' || username AS message,
+  CASE WHEN compound <= -0.75 THEN 'Bearish Crash' ELSE 'Bullish Spike' END AS type
+FROM posts WHERE compound <= -0.75 OR compound >= 0.75""")
+def q_stream_post_alerts(spark, sf):
+    return ST.run_to_table(spark, ST.stream_post_alerts(_post_stream(spark, sf)), "alerts")
+
+
+@register("q_stream_dedupe", "STR11 dropDuplicatesWithinWatermark over a replayed (doubled) post stream",
+          S.with_ctes(*S.BASE) + "SELECT post_id, ticker, ts, compound FROM posts")
+def q_stream_dedupe(spark, sf):
+    a = _post_stream(spark, sf).select("post_id", "ticker", "ts", "compound")
+    b = _post_stream(spark, sf).select("post_id", "ticker", "ts", "compound")
+    return ST.run_to_table(spark, ST.dedupe_stream(a.unionByName(b)), "dedupe")
+
+
+@register("q_stream_board", "STR12 JON8 per-ticker latest-tick board state (update mode)",
+          S.with_ctes(S.TICKS, S.LATEST_TICK) + "SELECT ticker, ts, tick_id, price, volume FROM lt", ["price"])
+def q_stream_board(spark, sf):
+    return ST.run_to_table(spark, ST.stream_board(_tick_stream(spark, sf)), "board", mode="update", key=["ticker"])
+
+
+@register("q_stream_change_feed", "STR9 change feed with the checkpoint as high-water mark",
+          S.with_ctes(S.TICKS) + "SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker FROM ticks")
+def q_stream_change_feed(spark, sf):
+    return ST.run_to_table(spark, ST.stream_change_feed(_tick_stream(spark, sf)), "feed").select("type", "id", "ticker")

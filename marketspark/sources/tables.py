@@ -168,7 +168,7 @@ def _snapshot_key(spark: SparkSession, sf_dir: str, names: list[str], tag: str)
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tag, tuple(stats))
 
 
-def _written(spark: SparkSession, key: tuple, name: str, build) -> DataFrame:
+def _written(spark: SparkSession, key: tuple, name: str, build) -> str:
     """Write ``build()`` once to the shared checkpoint folder and read it back.
 
     This is the ingest step of the pipeline (the reference scores a post once when it
@@ -181,16 +181,24 @@ def _written(spark: SparkSession, key: tuple, name: str, build) -> DataFrame:
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
         build().sortWithinPartitions("ticker", "ts").write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 def posts_table(spark: SparkSession, sf_dir: str, model: str = "keyword") -> DataFrame:
     """Scored posts, materialised once per input snapshot (see ``load_posts``)."""
+    return spark.read.parquet(posts_table_path(spark, sf_dir, model))
+
+
+def posts_table_path(spark: SparkSession, sf_dir: str, model: str = "keyword") -> str:
     key = _snapshot_key(spark, sf_dir, ["documents", "events"], f"posts/{model}")
     return _written(spark, key, "posts", lambda: load_posts(spark, sf_dir, model))
 
 
 def ticks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks with their previous-price open, materialised once per input snapshot."""
+    return spark.read.parquet(ticks_table_path(spark, sf_dir))
+
+
+def ticks_table_path(spark: SparkSession, sf_dir: str) -> str:
     key = _snapshot_key(spark, sf_dir, ["events"], "ticks")
     return _written(spark, key, "ticks", lambda: load_ticks(spark, sf_dir))
