@@ -27,3 +27,31 @@ def last_n_per_key(df: DataFrame, key, order: list[str], n: int, rank_col: str =
 def top_k(df: DataFrame, order, k: int) -> DataFrame:
     """Global top-k (TakeOrderedAndProject: per-partition top-k, then a k-row merge)."""
     return df.orderBy(*order).limit(k)
+
+
+def first_k_by_ordinal(df: DataFrame, universe: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows in universe order (ordinal), e.g. the first tickers of a board."""
+    j = df.join(universe.select("ticker", "ordinal"), "ticker", "inner")
+    return j.orderBy("ordinal").limit(k)
+
+
+def in_universe(df: DataFrame, universe: DataFrame, key: str = "ticker") -> DataFrame:
+    """Rows whose key is a supported ticker (left semi join; the universe is configuration
+    sized, so Spark broadcasts it)."""
+    return df.join(universe.select(key), key, "left_semi")
+
+
+def unsupported(df: DataFrame, universe: DataFrame, key: str = "ticker") -> DataFrame:
+    """Rows whose key is not a supported ticker (left anti join)."""
+    return df.join(universe.select(key), key, "left_anti")
+
+
+def merge_board(board: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Apply the newest tick per ticker to a board (price and volume only; other board
+    columns kept).  The newest tick is chosen by (ts, tick_id) with a partial aggregate."""
+    latest = latest_per_key(ticks.select("ticker", "ts", "tick_id", "price", "volume"), "ticker", ["ts", "tick_id"])
+    d = latest.select("ticker", F.col("price").alias("_np"), F.col("volume").alias("_nv"))
+    j = board.join(d, "ticker", "left")
+    cols = [F.coalesce("_np", "price").alias("price") if c == "price"
+            else F.coalesce("_nv", "volume").alias("volume") if c == "volume" else F.col(c) for c in board.columns]
+    return j.select(*cols)

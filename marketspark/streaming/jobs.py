@@ -110,3 +110,9 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
         return read_batches(spark, out)
     except AnalysisException:       # no batch produced any output folder
         return spark.createDataFrame([], stream.schema)
+
+
+def dropped_by_watermark(query) -> int:
+    """Rows dropped as too late in the last micro-batch (from the query's progress)."""
+    prog = query.lastProgress or {}
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in prog.get("stateOperators", []))

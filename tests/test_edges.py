@@ -166,3 +166,36 @@ def test_correlation_matrix_symmetric(spark):
     assert len(m) == 16 and m[("A", "A")]["pearson"] == 1.0 and m[("A", "A")]["band"] == "diagonal"
     assert m[("A", "B")]["pearson"] == m[("B", "A")]["pearson"]
     assert m[("A", "D")]["n_buckets"] == 0 and m[("A", "D")]["pearson"] == 0.0
+
+
+def test_universe_membership_board_merge_and_buffers(spark):
+    from marketspark.operators.signals import alert_buffer, strong_buy_flag
+    from marketspark.operators.topk import first_k_by_ordinal, in_universe, merge_board, unsupported
+    uni = spark.createDataFrame([(0, "A"), (1, "B")], "ordinal int, ticker string")
+    df = spark.createDataFrame([("A", 1), ("C", 2), ("B", 3)], "ticker string, v int")
+    assert sorted(r["ticker"] for r in in_universe(df, uni).collect()) == ["A", "B"]
+    assert [r["ticker"] for r in unsupported(df, uni).collect()] == ["C"]
+    assert [r["ticker"] for r in first_k_by_ordinal(df, uni, 1).collect()] == ["A"]
+    board = spark.createDataFrame([("A", 1.0, 10, "x"), ("B", 2.0, 20, "y")],
+                                  "ticker string, price double, volume long, note string")
+    ticks = spark.createDataFrame([("A", T0, 1, 5.0, 50), ("A", T0, 2, 6.0, 60)],
+                                  "ticker string, ts timestamp, tick_id long, price double, volume long")
+    got = {r["ticker"]: (r["price"], r["volume"], r["note"]) for r in merge_board(board, ticks).collect()}
+    assert got == {"A": (6.0, 60, "x"), "B": (2.0, 20, "y")}
+    old = spark.createDataFrame([(i, "m") for i in range(40)], "seq int, message string")
+    new = spark.createDataFrame([(40 + i, "Trading Alert: Strong BUY") for i in range(15)], "seq int, message string")
+    buf = alert_buffer(old, new, ["seq"]).collect()
+    assert len(buf) == 50 and buf[0]["seq"] == 54 and buf[-1]["seq"] == 5
+    assert strong_buy_flag(new).filter("strong_buy").count() == 15
+
+
+def test_csv_export_quotes_commas(spark, tmp_path):
+    from marketspark.sources.connectors import write_csv
+    rows = spark.createDataFrame([("T", "Tesla, Inc.", 1.5, 10, 0.2, "BUY")],
+                                 "Ticker string, `Company Name` string, Price double, Volume long, "
+                                 "AvgSentiment double, Signal string")
+    write_csv(rows, str(tmp_path / "out"))
+    part = [p for p in (tmp_path / "out").iterdir() if p.name.endswith(".csv")][0]
+    lines = part.read_text().splitlines()
+    assert lines[0] == "Ticker,Company Name,Price,Volume,AvgSentiment,Signal"
+    assert lines[1] == 'T,"Tesla, Inc.",1.5,10,0.2,BUY'
