@@ -81,7 +81,7 @@ def attach_containing_window(ticks: DataFrame, aggregates: DataFrame, max_window
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
               right_cols: list[str], right_order: list[str] | None = None, prefix: str = "asof_",
-              bucket: str = "1 hour") -> DataFrame:
+              bucket: str = "auto") -> DataFrame:
     """For each left row, the last right row of the same key with right_ts <= left_ts.
 
     Right rows sort before left rows at equal time (at-or-before is inclusive); among

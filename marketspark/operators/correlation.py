@@ -15,7 +15,7 @@ MIN_TICKS = 5
 
 
 def window_correlation(aligned: DataFrame, min_ticks: int = MIN_TICKS, lag: int = 0,
-                       lag_bucket: str = "1 hour") -> DataFrame:
+                       lag_bucket: str = "auto") -> DataFrame:
     """Per (ticker, window): guarded Pearson of price vs rolling sentiment over the window's
     ticks, first/last price and momentum; windows with fewer than ``min_ticks`` ticks are
     dropped.  ``lag`` = k pairs each price with the sentiment k ticks earlier in the same

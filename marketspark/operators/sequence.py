@@ -9,7 +9,9 @@ value computed from a per-(key, bucket) summary.  The summary has one row per
 the time span divided by the bucket width, not by the data volume.
 
 Results are exact for any bucket width; the width only trades task size against the
-size of the summary table.
+size of the summary table.  The default ``"auto"`` measures the hottest key's row count
+and the time span (one small aggregate) and picks the width that keeps about
+``TARGET_ROWS_PER_BUCKET`` rows of that key per task.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET = "1 hour"
+DEFAULT_BUCKET = "auto"
+TARGET_ROWS_PER_BUCKET = 2_000_000     # rows of the hottest key per (key, bucket) task
+MIN_BUCKET_MICROS = 1_000_000
 
 
 def interval_micros(spec: str) -> int:
@@ -29,9 +33,32 @@ def interval_micros(spec: str) -> int:
     return int(float(n) * mult)
 
 
-def time_bucket(ts: Column, width: str) -> Column:
-    """Bucket number of a timestamp: floor(epoch_micros / width)."""
-    return F.floor(F.unix_micros(ts) / F.lit(interval_micros(width))).cast("long")
+def time_bucket(ts: Column, width) -> Column:
+    """Bucket number of a timestamp: floor(epoch_micros / width); width is an interval
+    string or a number of microseconds."""
+    us = width if isinstance(width, int) else interval_micros(width)
+    return F.floor(F.unix_micros(ts) / F.lit(us)).cast("long")
+
+
+def auto_bucket_micros(df: DataFrame, keys: list[str], ts: str,
+                       target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
+    """Bucket width such that the hottest key averages about ``target_rows`` rows per
+    bucket: span * target / max rows per key.  One small aggregate (per-key count and time
+    range, partial-aggregated) returns three scalars to the driver."""
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    r = per_key.agg(F.max("n").alias("n"), F.unix_micros(F.min("lo")).alias("lo"),
+                    F.unix_micros(F.max("hi")).alias("hi")).first()
+    if r is None or not r["n"]:
+        return MIN_BUCKET_MICROS
+    span = max(int(r["hi"] - r["lo"]) + 1, 1)
+    width = span * target_rows // int(r["n"])
+    return int(max(MIN_BUCKET_MICROS, min(width, span)))
+
+
+def resolve_bucket(df: DataFrame, keys: list[str], ts: str, bucket) -> int:
+    if bucket == "auto":
+        return auto_bucket_micros(df, keys, ts)
+    return bucket if isinstance(bucket, int) else interval_micros(bucket)
 
 
 def _as_list(x) -> list:
@@ -48,7 +75,7 @@ def previous_value(df: DataFrame, key, order: list[str], value: str, out: str,
     keys = _as_list(key)
     ts = ts or order[0]
     b = "_seq_b"
-    d = df.withColumn(b, time_bucket(F.col(ts), bucket))
+    d = df.withColumn(b, time_bucket(F.col(ts), resolve_bucket(df, keys, ts, bucket)))
     w_in = Window.partitionBy(*keys, b).orderBy(*order)
     d = d.withColumn("_seq_prev", F.lag(F.struct(F.col(value).alias("v"))).over(w_in))
     summary = d.groupBy(*keys, b).agg(
@@ -71,7 +98,7 @@ def forward_fill(df: DataFrame, key, order: list[str], value: str, out: str,
     keys = _as_list(key)
     ts = ts or order[0]
     b = "_ff_b"
-    d = df.withColumn(b, time_bucket(F.col(ts), bucket))
+    d = df.withColumn(b, time_bucket(F.col(ts), resolve_bucket(df, keys, ts, bucket)))
     w_in = (Window.partitionBy(*keys, b).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_ff_in", F.last(F.col(value), ignorenulls=True).over(w_in))
@@ -90,7 +117,7 @@ def row_index(df: DataFrame, key, order: list[str], out: str, ts: str | None = N
     keys = _as_list(key)
     ts = ts or order[0]
     b = "_ri_b"
-    d = df.withColumn(b, time_bucket(F.col(ts), bucket))
+    d = df.withColumn(b, time_bucket(F.col(ts), resolve_bucket(df, keys, ts, bucket)))
     d = d.withColumn("_ri_rn", F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)))
     counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_ri_n"))
     w_key = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

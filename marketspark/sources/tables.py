@@ -62,7 +62,7 @@ def ticker_of(user_id: F.Column) -> F.Column:
     return F.concat(F.lit("T"), F.pmod(user_id, F.lit(N_TICKERS)).cast("string"))
 
 
-def load_ticks(spark: SparkSession, sf_dir: str, bucket: str = "1 hour") -> DataFrame:
+def load_ticks(spark: SparkSession, sf_dir: str, bucket: str = "auto") -> DataFrame:
     """ticks(tick_id, ticker, ts, price, open, volume) from ``events`` (view/purchase rows).
 
     ``open`` is the previous price of the same ticker in (ts, tick_id) order, else the

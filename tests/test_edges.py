@@ -199,3 +199,18 @@ def test_csv_export_quotes_commas(spark, tmp_path):
     lines = part.read_text().splitlines()
     assert lines[0] == "Ticker,Company Name,Price,Volume,AvgSentiment,Signal"
     assert lines[1] == 'T,"Tesla, Inc.",1.5,10,0.2,BUY'
+
+
+def test_auto_bucket_splits_hot_key_and_stays_exact(spark, monkeypatch):
+    import marketspark.operators.sequence as SQ
+    rows = _random_ticks(400, 21) + [(1000 + i, "T0", T0 + dt.timedelta(minutes=i), 50.0 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "tick_id long, ticker string, ts timestamp, price double")
+    monkeypatch.setattr(SQ, "TARGET_ROWS_PER_BUCKET", 25)
+    w = SQ.auto_bucket_micros(df, ["ticker"], "ts", 25)
+    assert w < 3000 * 60_000_000 // 10          # the hot key is cut into many buckets
+    got = SQ.previous_value(df, "ticker", ["ts", "tick_id"], "price", "prev").toPandas()
+    pdf = df.toPandas().sort_values(["ticker", "ts", "tick_id"])
+    pdf["prev"] = pdf.groupby("ticker")["price"].shift(1)
+    a = got.set_index("tick_id")["prev"].sort_index()
+    b = pdf.set_index("tick_id")["prev"].sort_index()
+    pd.testing.assert_series_equal(a, b, check_names=False)
