@@ -135,8 +135,11 @@ def route_questions(messages: DataFrame, aliases: DataFrame, facts: DataFrame, m
     moody = F.lit(False)
     for w in MOOD_WORDS:
         moody = moody | low.contains(w)
-    j = m.join(facts.withColumnRenamed("ticker", "_ft"), F.col("ticker") == F.col("_ft"), "left")
-    reply = (F.when(F.col("ticker").isNotNull(), asset_report_text(j))
+    # reports are rendered once per ticker (a universe-sized table), then joined by ticker,
+    # so the number formatting never runs per message
+    texts = facts.select(F.col("ticker").alias("_ft"), asset_report_text(facts).alias("_report"))
+    j = m.join(texts, F.col("ticker") == F.col("_ft"), "left")
+    reply = (F.when(F.col("ticker").isNotNull(), F.col("_report"))
              .when(moody, macro_report_text(fg, mood))
              .otherwise(render(DEFAULT_TEMPLATE, query=F.trim(F.col(text_col)))))
     route = F.when(F.col("ticker").isNotNull(), "asset").when(moody, "macro").otherwise("default")
