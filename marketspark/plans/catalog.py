@@ -768,3 +768,13 @@ def q_stream_board(spark, sf):
           S.with_ctes(S.TICKS) + "SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker FROM ticks")
 def q_stream_change_feed(spark, sf):
     return ST.run_to_table(spark, ST.stream_change_feed(_tick_stream(spark, sf)), "feed").select("type", "id", "ticker")
+
+
+@register("q_stream_sinks", "SNK1 SNK2 SNK3 STR7 joined windows written to aggregates and signals tables",
+          S.with_ctes(*S.BASE, S.SENT_DAY, S.PRICE_DAY) + f"""SELECT ticker, window_start, window_end, avg_sentiment,
+  tweet_count, bullish_ratio, bearish_ratio, velocity
+FROM sent_day JOIN price_day USING (ticker, window_start, window_end) WHERE window_end <= {_TWM}""",
+          ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity"])
+def q_stream_sinks(spark, sf):
+    agg, sig = ST.run_joined_sink(spark, _post_stream(spark, sf), _tick_stream(spark, sf), WINDOW)
+    return agg

@@ -116,3 +116,17 @@ def dropped_by_watermark(query) -> int:
     """Rows dropped as too late in the last micro-batch (from the query's progress)."""
     prog = query.lastProgress or {}
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in prog.get("stateOperators", []))
+
+
+def run_joined_sink(spark: SparkSession, posts: DataFrame, ticks: DataFrame, window: str = WINDOW,
+                    watermark: str = WATERMARK, name: str = "joined") -> tuple[DataFrame, DataFrame]:
+    """Run the stream-stream join into the two-table sink (availableNow); return
+    (aggregates, signals) as batch DataFrames."""
+    from marketspark.streaming.sinks import joined_window_sink
+    run = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
+    agg, sig = os.path.join(run, "aggregates"), os.path.join(run, "signals")
+    q = (stream_join(posts, ticks, window, watermark).writeStream.outputMode("append")
+         .foreachBatch(joined_window_sink(agg, sig)).option("checkpointLocation", os.path.join(run, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return read_batches(spark, agg), read_batches(spark, sig)

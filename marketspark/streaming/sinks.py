@@ -81,3 +81,17 @@ def latest_state(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     rest = [c for c in d.columns if c not in key and c != "batch_id"]
     g = d.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_s"))
     return g.select(*key, *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
+def joined_window_sink(aggregates_path: str, signals_path: str, pearson=None):
+    """The streaming job's two-table sink: each joined-window batch is cached once and
+    written as sentiment_aggregates rows and as signal rows (streaming preset rule).
+    ``pearson`` is a Column over the batch (NULL when no correlation feed is attached,
+    which yields HOLD)."""
+    from marketspark.operators.signals import signals_stream_preset
+
+    def with_signal(df: DataFrame) -> DataFrame:
+        r = pearson if pearson is not None else F.lit(None).cast("double")
+        return signals_stream_preset(df.withColumn("pearson", r))
+
+    return make_sink(aggregates_writer(aggregates_path), parquet_writer(signals_path, with_signal))

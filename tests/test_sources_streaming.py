@@ -103,3 +103,12 @@ def test_stream_drops_rows_later_than_watermark(spark):
     assert len(first) == 1 and first[0]["tweet_count"] == 2
     dd = ST.run_to_table(spark, ST.dedupe_stream(ST.read_stream(spark, src, max_files=1)), "dd")
     assert sorted(r["post_id"] for r in dd.collect()) == [1, 2, 3, 4]
+
+
+def test_joined_sink_writes_both_tables(spark):
+    from marketspark.plans.catalog import WINDOW, _post_stream, _tick_stream
+    sf = "/root/testdata/sf0.001"
+    agg, sig = ST.run_joined_sink(spark, _post_stream(spark, sf), _tick_stream(spark, sf), WINDOW)
+    assert agg.count() == sig.count() > 0
+    assert set(r["signal"] for r in sig.collect()) == {"HOLD"}
+    assert sig.columns == ["ticker", "timestamp", "pearson", "lag", "signal", "confidence"]
