@@ -17,7 +17,7 @@ from marketspark.operators.signals import post_alerts, signal_alerts, signals, s
 from marketspark.operators.windows import join_windows, ohlc_bars, price_windows, sentiment_windows
 from marketspark.plans import oracle_sql as S
 from marketspark.plans.registry import register
-from marketspark.sources.tables import load_posts, load_ticks, posts_table, ticks_table
+from marketspark.sources.tables import load_posts, load_ticks, post_texts, posts_table, spread, ticks_table
 
 WINDOW, LOOKBACK, SLIDE = "1 day", "12 hours", "6 hours"
 
@@ -343,7 +343,7 @@ def q_losers(spark, sf):
   strftime(ts, '%H:%M:%S') AS time, ts
 FROM posts ORDER BY ts DESC, post_id DESC LIMIT 6""")
 def q_news_feed(spark, sf):
-    return SN.news_feed(stage_posts(spark, sf), k=6)
+    return SN.news_feed(stage_posts(spark, sf), k=6, texts=post_texts(spark, sf))
 
 
 @register("q_metrics", "SNP7 AGG8 ingest counts",
@@ -470,8 +470,9 @@ FROM posts p LEFT JOIN agg a USING (post_id)"""
 @register("q_lexicon_score", "SCA2 UDF1 lexicon scorer with negation and boosters over whole texts",
           S.with_ctes(*S.BASE).rstrip() + _lexicon_sql(), ["compound", "pos", "neg", "neu"])
 def q_lexicon_score(spark, sf):
-    p = stage_posts(spark, sf).select("post_id", "text")
-    return LX.score_lexicon(p).drop("text")
+    # score on the document scan (no shuffle of text), then keep the posts' ids
+    scored = LX.score_lexicon(spread(post_texts(spark, sf))).drop("text")
+    return scored.join(stage_posts(spark, sf).select("post_id"), "post_id", "left_semi")
 
 
 @register("q_tone_from_logits", "SCA3 softmax tone scores from three class logits",

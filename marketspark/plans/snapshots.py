@@ -117,10 +117,17 @@ def movers(ticks: DataFrame, k: int = MOVERS_K) -> tuple[DataFrame, DataFrame]:
     return gainers, losers
 
 
-def news_feed(posts: DataFrame, k: int = FEED_K) -> DataFrame:
-    """The ``k`` newest posts with label and HH:mm:ss time."""
-    p = top_k(posts.select("post_id", "ticker", "text", "username", "ts", "compound"),
-              [F.col("ts").desc(), F.col("post_id").desc()], k)
+def news_feed(posts: DataFrame, k: int = FEED_K, texts: DataFrame | None = None) -> DataFrame:
+    """The ``k`` newest posts with label and HH:mm:ss time.  When ``posts`` is the narrow
+    ingest table, the headline text is joined from ``texts`` for the ``k`` rows only."""
+    cols = ["post_id", "ticker", "username", "ts", "compound"] + (["text"] if texts is None else [])
+    p = top_k(posts.select(*cols), [F.col("ts").desc(), F.col("post_id").desc()], k)
+    if texts is not None:
+        # k ids (bounded by the feature's limit) become a pushed-down IN filter, so the
+        # text store is read only in row groups that can hold them
+        ids = [r["post_id"] for r in p.select("post_id").collect()]
+        t = texts.select("post_id", "text").filter(F.col("post_id").isin(ids))
+        p = p.join(t, "post_id", "left")
     return p.select(F.col("post_id").alias("id"), "ticker", F.col("text").alias("headline"), "username",
                     label(F.col("compound")).alias("sentiment"), clock(F.col("ts")).alias("time"), "ts")
 

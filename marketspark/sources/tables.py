@@ -185,13 +185,22 @@ def _written(spark: SparkSession, key: tuple, name: str, build) -> str:
 
 
 def posts_table(spark: SparkSession, sf_dir: str, model: str = "keyword") -> DataFrame:
-    """Scored posts, materialised once per input snapshot (see ``load_posts``)."""
+    """Scored posts without the text, materialised once per input snapshot.
+
+    Scoring runs on the document scan; only the narrow columns (ids, time, scores) go
+    through the join with ``events``, so the text corpus is never shuffled.  Consumers
+    that need the text join it back for the rows they keep (``post_texts``)."""
     return spark.read.parquet(posts_table_path(spark, sf_dir, model))
 
 
 def posts_table_path(spark: SparkSession, sf_dir: str, model: str = "keyword") -> str:
     key = _snapshot_key(spark, sf_dir, ["documents", "events"], f"posts/{model}")
-    return _written(spark, key, "posts", lambda: load_posts(spark, sf_dir, model))
+    return _written(spark, key, "posts", lambda: load_posts(spark, sf_dir, model).drop("text"))
+
+
+def post_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(post_id, text) straight from the document table (the text store)."""
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), "text")
 
 
 def ticks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
