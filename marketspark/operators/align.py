@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.operators.sequence import forward_fill, interval_micros, time_bucket
+from marketspark.operators.sequence import auto_bucket_micros, forward_fill, interval_micros, time_bucket
 
 ALIGN_DIGITS = 9   # rolling averages are rounded so equal values stay bit-equal across engines
+MAX_COPIES = 8     # at most this many extra chunk copies of each post
 
 
 def _window_cols(ts: str, window: str, slide: str | None) -> list[Column]:
@@ -21,28 +22,48 @@ def _window_cols(ts: str, window: str, slide: str | None) -> list[Column]:
     return [w.alias("_w")]
 
 
+def _chunk_plan(ticks: DataFrame, posts: DataFrame, lookback_us: int, chunks) -> tuple[int, int]:
+    """(chunk width, copies r): chunk width c divides the look-back into r <= MAX_COPIES
+    parts; posts are copied into chunks k..k+r.  ``chunks='auto'`` sizes c from the hottest
+    ticker's measured density so a (ticker, window, chunk) task holds about
+    TARGET_ROWS_PER_BUCKET rows."""
+    if chunks == "auto":
+        u = ticks.select("ticker", "ts").unionByName(posts.select("ticker", "ts"))
+        width = auto_bucket_micros(u, ["ticker"], "ts")
+    elif isinstance(chunks, int):
+        width = max(1, lookback_us // chunks)
+    else:
+        width = interval_micros(chunks)
+    width = max(width, -(-lookback_us // MAX_COPIES), 1)
+    width = min(width, max(lookback_us, 1))
+    copies = -(-lookback_us // width)
+    return width, copies
+
+
 def rolling_sentiment_at_ticks(ticks: DataFrame, posts: DataFrame, window: str = "5 minutes",
                                lookback: str = "2 minutes", slide: str | None = None,
-                               digits: int | None = ALIGN_DIGITS) -> DataFrame:
+                               digits: int | None = ALIGN_DIGITS, chunks="auto") -> DataFrame:
     """Per tick and window: mean compound of the same ticker's posts with
     ts - lookback <= post.ts <= ts inside the same window (inclusive both ends); 0.0 if none.
 
-    Plan: posts are copied into their own and the next ``lookback``-wide time chunk
-    (2x), ticks go to their own chunk; one shuffle on (ticker, window, chunk) and a RANGE
-    frame of ``lookback`` microseconds.  A chunk is at least as wide as the look-back, so
-    every post a tick needs is in the tick's partition; no partition spans more than one
-    chunk of one ticker, so a hot ticker is spread over many tasks.
+    Plan: time is cut into chunks of width c = lookback / r; ticks go to their own chunk,
+    posts are copied into their own and the next r chunks; one shuffle on
+    (ticker, window, chunk) and a RANGE frame of ``lookback`` microseconds.  Every post a
+    tick needs lies in the tick's partition, each post is counted once per partition, and
+    no partition spans more than one chunk of one ticker, so a hot ticker is spread over
+    many tasks.  ``chunks``: 'auto' (measured), an interval string, or r as an int.
     """
     lb = interval_micros(lookback)
+    width, copies = _chunk_plan(ticks, posts, lb, chunks)
     t = ticks.select("tick_id", "ticker", "ts", "price", *_window_cols("ts", window, slide))
     t = t.select("ticker", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
                  "ts", "tick_id", "price", F.lit(None).cast("double").alias("compound"),
-                 time_bucket(F.col("ts"), lookback).alias("_chunk"))
+                 time_bucket(F.col("ts"), width).alias("_chunk"))
     p = posts.select("ticker", "ts", "compound", *_window_cols("ts", window, slide))
+    own = time_bucket(F.col("ts"), width)
     p = p.select("ticker", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
                  "ts", F.lit(None).cast("long").alias("tick_id"), F.lit(None).cast("double").alias("price"),
-                 "compound", F.explode(F.array(time_bucket(F.col("ts"), lookback),
-                                               time_bucket(F.col("ts"), lookback) + 1)).alias("_chunk"))
+                 "compound", F.explode(F.sequence(own, own + copies)).alias("_chunk"))
     u = t.unionByName(p).withColumn("_us", F.unix_micros("ts"))
     frame = (Window.partitionBy("ticker", "window_start", "_chunk").orderBy("_us")
              .rangeBetween(-lb, Window.currentRow))

@@ -174,12 +174,13 @@ def _written(spark: SparkSession, key: tuple, name: str, build) -> str:
     This is the ingest step of the pipeline (the reference scores a post once when it
     arrives and stores the scores).  The written table cuts lineage, survives executor
     loss, and stops later filters on scores from being pushed back into the scorer.
-    Rows are sorted within files by (ticker, ts) so time-range predicates skip row groups.
+    Rows are sorted within files by time, so row groups cover narrow time ranges and the
+    ``as_of`` range predicates skip most of them.
     """
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-        build().sortWithinPartitions("ticker", "ts").write.mode("overwrite").parquet(path)
+        build().sortWithinPartitions("ts", "ticker").write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return path
 

@@ -126,6 +126,9 @@ def test_rolling_sentiment_matches_brute_force(spark):
     posts = spark.createDataFrame(prow, "post_id long, ticker string, ts timestamp, compound double")
     got = rolling_sentiment_at_ticks(ticks, posts, window="1 day", lookback="3 hours").toPandas()
     got = got.set_index("tick_id")["sentiment"]
+    for chunks in ("40 minutes", 3, "3 hours"):
+        other = rolling_sentiment_at_ticks(ticks, posts, window="1 day", lookback="3 hours", chunks=chunks).toPandas()
+        assert (other.set_index("tick_id")["sentiment"].sort_index() == got.sort_index()).all(), chunks
     day = lambda t: t.replace(hour=0, minute=0, second=0, microsecond=0)
     for tid, tk, ts, _ in _random_ticks(120, 9):
         vals = [c for _, pk, pts, c in prow if pk == tk and day(pts) == day(ts)
