@@ -36,7 +36,7 @@ def stream_sentiment(posts: DataFrame, window: str = WINDOW, slide: str | None =
                      watermark: str = WATERMARK) -> DataFrame:
     """Watermarked post windows (append: a window is emitted once the watermark passes it;
     rows later than the watermark are dropped)."""
-    return sentiment_windows(posts.withWatermark("ts", watermark), window, slide)
+    return sentiment_windows(posts.withWatermark("ts", watermark), window, slide, panes=False)
 
 
 def stream_prices(ticks: DataFrame, window: str = WINDOW, slide: str | None = None,

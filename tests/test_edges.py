@@ -217,3 +217,15 @@ def test_auto_bucket_splits_hot_key_and_stays_exact(spark, monkeypatch):
     a = got.set_index("tick_id")["prev"].sort_index()
     b = pdf.set_index("tick_id")["prev"].sort_index()
     pd.testing.assert_series_equal(a, b, check_names=False)
+
+
+def test_pane_sliding_windows_equal_direct_form(spark):
+    from marketspark.operators.windows import sentiment_windows
+    rnd = random.Random(4)
+    rows = [(i, f"T{rnd.randrange(2)}", T0 + dt.timedelta(seconds=rnd.randrange(0, 4000)),
+             rnd.choice([None, -0.5, 0.0, 0.2, 1.0])) for i in range(300)]
+    posts = spark.createDataFrame(rows, "post_id long, ticker string, ts timestamp, compound double")
+    key = ["ticker", "window_start"]
+    a = sentiment_windows(posts, "5 minutes", "15 seconds").toPandas().sort_values(key).reset_index(drop=True)
+    b = sentiment_windows(posts, "5 minutes", "15 seconds", panes=False).toPandas().sort_values(key).reset_index(drop=True)
+    pd.testing.assert_frame_equal(a[b.columns], b, check_exact=False, rtol=1e-12, check_dtype=False)
