@@ -76,3 +76,26 @@ def test_tone_and_scale(spark):
 def test_scorer_registry_case_insensitive():
     assert get_scorer("VADER") is get_scorer("keyword")
     assert get_scorer("unknown") is get_scorer("vader")
+
+
+def test_fallback_chain_and_user_pandas_scorer(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(1, "up up"), (2, None), (3, "crash")], "post_id long, text string")
+
+    def nothing(text):  # a primary scorer that yields no score
+        return F.struct(*[F.lit(None).cast("double").alias(f) for f in ("compound", "pos", "neg", "neu")])
+
+    got = {r["post_id"]: r["compound"] for r in with_scores(df, "text", nothing, fallback=score_keyword).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: -1.0}
+
+    schema = T.StructType([T.StructField(f, T.DoubleType()) for f in ("compound", "pos", "neg", "neu")])
+
+    @F.pandas_udf(schema)
+    def length_scorer(s: pd.Series) -> pd.DataFrame:
+        n = s.fillna("").str.len().astype(float)
+        return pd.DataFrame({"compound": (n - 3) / 10, "pos": n * 0, "neg": n * 0, "neu": n * 0 + 1})
+
+    got = {r["post_id"]: r["compound"] for r in with_scores(df, "text", length_scorer).collect()}
+    assert got == {1: 0.2, 2: -0.3, 3: 0.2}
