@@ -160,12 +160,19 @@ def load_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WRITTEN: dict[tuple, str] = {}
 
 
+def _file_stamp(spark: SparkSession, path: str) -> tuple:
+    """(modification time, length) of a file or folder through the Hadoop FileSystem API,
+    so the key works for local, HDFS and object-store paths alike."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    st = fs.getFileStatus(p)
+    return int(st.getModificationTime()), int(st.getLen())
+
+
 def _snapshot_key(spark: SparkSession, sf_dir: str, names: list[str], tag: str) -> tuple:
-    stats = []
-    for n in names:
-        st = os.stat(os.path.join(sf_dir, f"{n}.parquet"))
-        stats.append((n, st.st_mtime_ns, st.st_size))
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tag, tuple(stats))
+    stats = tuple((n, *_file_stamp(spark, os.path.join(sf_dir, f"{n}.parquet"))) for n in names)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tag, stats)
 
 
 def _written(spark: SparkSession, key: tuple, name: str, build) -> str:
