@@ -33,3 +33,16 @@ def py_format(x: Column, spec: str) -> Column:
     if f is None:
         f = _CACHE[spec] = _make(spec)
     return f(x)
+
+
+def render(template: str, **parts: Column) -> Column:
+    """Fill the ``{key}`` slots of a fixed text template with Columns (one ``concat``)."""
+    out, rest = [], template
+    while "{" in rest:
+        i = rest.index("{")
+        j = rest.index("}", i)
+        out.append(F.lit(rest[:i]))
+        out.append(parts[rest[i + 1:j]])
+        rest = rest[j + 1:]
+    out.append(F.lit(rest))
+    return F.concat(*out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketspark.functions.formats import render
+
 # ---------------------------------------------------------------------------
 # Signal thresholds and alert texts of the reference.
 SENT_T, CORR_T, MOM_T = 0.4, 0.25, 0.002          # worker signal (authoritative)
@@ -12,9 +14,9 @@ STREAM_SENT_T, STREAM_CORR_T, STREAM_CONF = 0.5, 0.3, 0.8   # streaming-job pres
 HOLD_CONF, CONF_CAP, CONF_BASE, CONF_R, CONF_MOM = 0.5, 0.99, 0.5, 0.4, 10.0
 CRITICAL_AT = 0.75                                 # signal alert: confidence < 0.75 -> WARNING
 EXTREME_T = 0.75                                   # post alert threshold (inclusive)
-BEAR_MSG = "Panic Alert: Extreme Bearish Sentiment detected on ${}. Username: @{}"
-BULL_MSG = "FOMO Alert: Extreme Bullish Sentiment detected on ${}. Username: @{}"
-SIGNAL_MSG = "Trading Alert: Strong {} Signal generated for ${}. Pearson: {}. Confidence: {}%"
+BEAR_MSG = "Panic Alert: Extreme Bearish Sentiment detected on ${ticker}. Username: @{username}"
+BULL_MSG = "FOMO Alert: Extreme Bullish Sentiment detected on ${ticker}. Username: @{username}"
+SIGNAL_MSG = "Trading Alert: Strong {signal} Signal generated for ${ticker}. Pearson: {pearson}. Confidence: {pct}%"
 ALERT_MODES = {"CRITICAL": ("severity", "CRITICAL"), "WARNING": ("severity", "WARNING"),
                "SPIKE": ("type", "Bullish Spike")}
 ALERT_BUFFER_CAP = 50
@@ -62,10 +64,9 @@ def signal_alerts(sig: DataFrame, critical_at: float = CRITICAL_AT) -> DataFrame
     """alerts for non-HOLD signals: WARNING below ``critical_at`` confidence else CRITICAL;
     the message carries round(r, 2) and the truncated integer percent."""
     s = sig.filter(F.col("signal") != "HOLD")
-    pct = (F.col("confidence") * 100).cast("int").cast("string")
-    msg = F.concat(F.lit("Trading Alert: Strong "), F.col("signal"), F.lit(" Signal generated for $"),
-                   F.col("ticker"), F.lit(". Pearson: "), _py_round2_text(F.col("pearson")),
-                   F.lit(". Confidence: "), pct, F.lit("%"))
+    pct = (F.col("confidence") * 100).cast("int").cast("string")     # int(): truncation
+    msg = render(SIGNAL_MSG, signal=F.col("signal"), ticker=F.col("ticker"),
+                 pearson=_py_round2_text(F.col("pearson")), pct=pct)
     return s.select("ticker", "timestamp",
                     F.when(F.col("confidence") < critical_at, "WARNING").otherwise("CRITICAL").alias("severity"),
                     msg.alias("message"), F.lit("Momentum Shift").alias("type"))
@@ -76,8 +77,8 @@ def post_alerts(posts: DataFrame, t: float = EXTREME_T) -> DataFrame:
     c = F.col("compound")
     p = posts.filter((c <= -t) | (c >= t))
     bear = c <= -t
-    msg = F.concat(F.when(bear, F.lit("Panic Alert: Extreme Bearish")).otherwise(F.lit("FOMO Alert: Extreme Bullish")),
-                   F.lit(" Sentiment detected on $"), F.col("ticker"), F.lit(". Username: @"), F.col("username"))
+    parts = dict(ticker=F.col("ticker"), username=F.col("username"))
+    msg = F.when(bear, render(BEAR_MSG, **parts)).otherwise(render(BULL_MSG, **parts))
     return p.select("post_id", "ticker", F.col("ts").alias("timestamp"),
                     F.when(bear, "CRITICAL").otherwise("INFO").alias("severity"), msg.alias("message"),
                     F.when(bear, "Bearish Crash").otherwise("Bullish Spike").alias("type"))

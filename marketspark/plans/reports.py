@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketspark.functions.bands import fear_greed, mood3, status
-from marketspark.functions.formats import py_format
+from marketspark.functions.formats import py_format, render
 from marketspark.plans.snapshots import latest_aggregate, latest_signal, latest_tick
 
 # ---------------------------------------------------------------------------
@@ -56,19 +56,6 @@ REPLY_SOURCE = "native-nlp"
 ALIAS_MAX = 10_000
 
 
-def render(template: str, **parts: Column) -> Column:
-    """Fill ``{key}`` slots of a fixed template with Columns (concat, no Python per row)."""
-    out, rest = [], template
-    while "{" in rest:
-        i = rest.index("{")
-        j = rest.index("}", i)
-        out.append(F.lit(rest[:i]))
-        out.append(parts[rest[i + 1:j]])
-        rest = rest[j + 1:]
-    out.append(F.lit(rest))
-    return F.concat(*out)
-
-
 def match_alias(messages: DataFrame, aliases: DataFrame, text_col: str = "message") -> DataFrame:
     """Append ``ticker``: first alias (by ordinal) contained in the lower-cased text."""
     n = aliases.count()
