@@ -27,6 +27,32 @@ def _make(spec: str):
 _CACHE: dict[str, object] = {}
 
 
+def _make_fixed(digits: int):
+    from decimal import ROUND_HALF_UP, Decimal
+    q = Decimal(1).scaleb(-digits)
+
+    @F.pandas_udf("string")
+    def fixed(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None or pd.isna(v)
+                     else str(Decimal(float(v)).quantize(q, rounding=ROUND_HALF_UP)))
+    return fixed
+
+
+def js_fixed(x: Column, digits: int) -> Column:
+    """Text of ``x.toFixed(digits)`` as a browser renders it: the exact binary value rounded
+    half away from zero (1.005 -> '1.00', 0.125 -> '0.13'); Java and Python differ on ties."""
+    key = f"js{digits}"
+    f = _CACHE.get(key)
+    if f is None:
+        f = _CACHE[key] = _make_fixed(digits)
+    return f(x)
+
+
+def js_round(x: Column) -> Column:
+    """``Math.round``: floor(x + 0.5)."""
+    return F.floor(x + F.lit(0.5)).cast("long")
+
+
 def py_format(x: Column, spec: str) -> Column:
     """Text of ``format(x, spec)`` as Python renders it, e.g. spec '.2f', ',', '.1f'."""
     f = _CACHE.get(spec)

@@ -779,3 +779,20 @@ FROM sent_day JOIN price_day USING (ticker, window_start, window_end) WHERE wind
 def q_stream_sinks(spark, sf):
     agg, sig = ST.run_joined_sink(spark, _post_stream(spark, sf), _tick_stream(spark, sf), WINDOW)
     return agg
+
+
+def _dec(x: str, d: int) -> str:
+    return f"CAST(round(({x})::DECIMAL(38,18), {d}) AS VARCHAR)"
+
+
+@register("q_board_cards", "SCA19 board display texts (signed percent, price, volume in thousands)",
+          S.with_ctes(*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.SUMMARY, S.UNIVERSE)
+          + f"""SELECT s.ticker, coalesce(u.name, s.ticker) AS name,
+  CASE WHEN s.price_change_pct >= 0 THEN '+' ELSE '' END || {_dec('s.price_change_pct', 2)} || '%' AS change_text,
+  '$' || {_dec('s.current_price', 2)} AS price_text,
+  'Vol: ' || {_dec('s.volume / 1000', 0)} || 'k' AS vol_text,
+  format('{{:,}}', s.volume) AS volume_text,
+  {_dec('s.avg_sentiment', 2)} AS sentiment_text
+FROM summary s LEFT JOIN universe u USING (ticker)""")
+def q_board_cards(spark, sf):
+    return SN.board_cards(stage_summary(spark, sf), load_universe(spark, sf))

@@ -163,3 +163,25 @@ def latest_alerts(alerts: DataFrame, limit: int = ALERTS_DEFAULT, order: tuple[s
     if not ALERTS_MIN <= int(limit) <= ALERTS_MAX:
         raise ValueError(f"limit must be in [{ALERTS_MIN}, {ALERTS_MAX}]")
     return top_k(alerts, [F.col(c).desc() for c in order], int(limit))
+
+
+def board_cards(summary: DataFrame, names: DataFrame) -> DataFrame:
+    """Per-ticker display texts of the market board: signed percent change, price, volume
+    in thousands, volume with separators, sentiment (browser number formatting).  Rendered
+    on the per-ticker summary, so the formatting runs once per ticker."""
+    from marketspark.functions.formats import js_fixed
+    j = summary.join(F.broadcast(names.select("ticker", "name")), "ticker", "left")
+    pct = F.col("price_change_pct")
+    return j.select(
+        "ticker", F.coalesce("name", "ticker").alias("name"),
+        F.concat(F.when(pct >= 0, F.lit("+")).otherwise(F.lit("")), js_fixed(pct, 2), F.lit("%")).alias("change_text"),
+        F.concat(F.lit("$"), js_fixed(F.col("current_price"), 2)).alias("price_text"),
+        F.concat(F.lit("Vol: "), js_fixed(F.col("volume") / 1000, 0), F.lit("k")).alias("vol_text"),
+        F.format_number(F.col("volume").cast("long"), 0).alias("volume_text"),
+        js_fixed(F.col("avg_sentiment"), 2).alias("sentiment_text"))
+
+
+def confidence_text(conf: Column) -> Column:
+    """``Math.round(confidence * 100) + '%'``."""
+    from marketspark.functions.formats import js_round
+    return F.concat(js_round(conf * 100).cast("string"), F.lit("%"))

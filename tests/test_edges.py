@@ -229,3 +229,13 @@ def test_pane_sliding_windows_equal_direct_form(spark):
     a = sentiment_windows(posts, "5 minutes", "15 seconds").toPandas().sort_values(key).reset_index(drop=True)
     b = sentiment_windows(posts, "5 minutes", "15 seconds", panes=False).toPandas().sort_values(key).reset_index(drop=True)
     pd.testing.assert_frame_equal(a[b.columns], b, check_exact=False, rtol=1e-12, check_dtype=False)
+
+
+def test_browser_number_formats(spark):
+    from marketspark.functions.formats import js_fixed
+    from marketspark.plans.snapshots import confidence_text
+    df = spark.createDataFrame([(1.005, 0.125), (-0.125, 0.745), (12345.5, 0.5)], "x double, c double")
+    got = df.select(js_fixed(F.col("x"), 2).alias("a"), js_fixed(F.col("x"), 0).alias("b"),
+                    confidence_text(F.col("c")).alias("c")).collect()
+    assert [(r["a"], r["b"], r["c"]) for r in got] == [("1.00", "1", "13%"), ("-0.13", "-0", "75%"),
+                                                         ("12345.50", "12346", "50%")]
