@@ -40,11 +40,23 @@ def time_bucket(ts: Column, width) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(us)).cast("long")
 
 
+_WIDTHS: dict[tuple, int] = {}
+
+
 def auto_bucket_micros(df: DataFrame, keys: list[str], ts: str,
                        target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
     """Bucket width such that the hottest key averages about ``target_rows`` rows per
     bucket: span * target / max rows per key.  One small aggregate (per-key count and time
-    range, partial-aggregated) returns three scalars to the driver."""
+    range, partial-aggregated) returns three scalars to the driver.  Widths are memoised by
+    the input plan's semantic hash: a width only affects task sizes, never results."""
+    memo = (df.semanticHash(), tuple(keys), ts, target_rows)
+    if memo in _WIDTHS:
+        return _WIDTHS[memo]
+    _WIDTHS[memo] = w = _measure_width(df, keys, ts, target_rows)
+    return w
+
+
+def _measure_width(df: DataFrame, keys: list[str], ts: str, target_rows: int) -> int:
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     r = per_key.agg(F.max("n").alias("n"), F.unix_micros(F.min("lo")).alias("lo"),
                     F.unix_micros(F.max("hi")).alias("hi")).first()

@@ -114,18 +114,17 @@ def route_questions(messages: DataFrame, aliases: DataFrame, facts: DataFrame, m
     """
     m = messages.filter(F.length(F.trim(F.col(text_col))) > 0)
     m = match_alias(m, aliases, text_col)
-    m = m.join(facts.select("ticker").withColumn("_known", F.lit(True)), "ticker", "left")
-    m = m.withColumn("ticker", F.when(F.col("_known"), F.col("ticker")))
     mrow = macro.first()
     fg, mood = F.lit(int(mrow["fg_score"])), F.lit(mrow["mood"])
     low = F.lower(F.trim(F.col(text_col)))
     moody = F.lit(False)
     for w in MOOD_WORDS:
         moody = moody | low.contains(w)
-    # reports are rendered once per ticker (a universe-sized table), then joined by ticker,
-    # so the number formatting never runs per message
+    # reports are rendered once per ticker (a universe-sized table) and joined once by
+    # ticker; a matched alias outside the universe finds no report and is not an asset
     texts = facts.select(F.col("ticker").alias("_ft"), asset_report_text(facts).alias("_report"))
     j = m.join(texts, F.col("ticker") == F.col("_ft"), "left")
+    j = j.withColumn("ticker", F.when(F.col("_ft").isNotNull(), F.col("ticker")))
     reply = (F.when(F.col("ticker").isNotNull(), F.col("_report"))
              .when(moody, macro_report_text(fg, mood))
              .otherwise(render(DEFAULT_TEMPLATE, query=F.trim(F.col(text_col)))))
