@@ -162,10 +162,10 @@ _SIGNAL_ALERT_SQL = """SELECT ticker, timestamp,
 FROM sig WHERE signal <> 'HOLD'"""
 
 
-@register("q_signal_alerts", "ALR2 alerts from signals (relaxed thresholds so rows exist)",
-          S.with_ctes(*S.CHAIN, S.signals_cte(0.1, 0.1, 0.002)) + _SIGNAL_ALERT_SQL)
+@register("q_signal_alerts", "ALR2 alerts from signals at the reference thresholds",
+          S.with_ctes(*S.CHAIN, S.signals_cte()) + _SIGNAL_ALERT_SQL)
 def q_signal_alerts(spark, sf):
-    return signal_alerts(stage_signals(spark, sf, sent_t=0.1, corr_t=0.1, mom_t=0.002))
+    return signal_alerts(stage_signals(spark, sf))
 
 
 @register("q_post_alerts", "ALR1 extreme-post alerts",
@@ -658,15 +658,18 @@ def q_manual_log(spark, sf):
     return manual_posts(payloads, as_of_literal(stage_posts(spark, sf)))
 
 
-CHANGE_AFTER_TICK = 5000
+LAST_PUSH_BEFORE = "1 day"   # the previous push happened this long before as_of
 
 
-@register("q_change_feed", "STR9 FLT4 FLT5 PRJ10 PRJ12 incremental push messages after a high-water mark",
+@register("q_change_feed", "STR9 FLT4 FLT5 PRJ10 PRJ12 push messages since the previous push's high-water mark",
           S.with_ctes(*S.BASE) + f"""SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker FROM ticks
-WHERE tick_id > {CHANGE_AFTER_TICK}
+WHERE tick_id > (SELECT max(tick_id) FROM ticks WHERE ts <= (SELECT max(ts) FROM ticks) - INTERVAL '{LAST_PUSH_BEFORE}')
 UNION ALL SELECT 'new_tweet', CAST(arg_max(post_id, (ts, post_id)) AS VARCHAR), arg_max(ticker, (ts, post_id)) FROM posts""")
 def q_change_feed(spark, sf):
-    f = change_feed(stage_ticks(spark, sf), None, stage_posts(spark, sf), CHANGE_AFTER_TICK)
+    t = stage_ticks(spark, sf)
+    push = as_of_literal(t) - F.expr(f"INTERVAL {LAST_PUSH_BEFORE}")
+    hwm = t.filter(F.col("ts") <= push).agg(F.max("tick_id").alias("m")).first()["m"]   # one scalar
+    f = change_feed(t, None, stage_posts(spark, sf), int(hwm if hwm is not None else -1))
     return f.select("type", "id", "ticker")
 
 
