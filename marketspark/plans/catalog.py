@@ -799,3 +799,16 @@ def _dec(x: str, d: int) -> str:
 FROM summary s LEFT JOIN universe u USING (ticker)""")
 def q_board_cards(spark, sf):
     return SN.board_cards(stage_summary(spark, sf), load_universe(spark, sf))
+
+
+@register("q_stream_sliding", "STR3 STR1 watermarked sliding windows on the post stream (append)",
+          S.with_ctes(*S.BASE) + f"""SELECT * FROM (SELECT ticker, window_start, window_start + INTERVAL '1 day' AS window_end,
+  avg(compound) AS avg_sentiment, count(post_id) AS tweet_count,
+  avg(CASE WHEN compound > 0.15 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bullish_ratio,
+  avg(CASE WHEN compound < -0.15 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bearish_ratio,
+  count(post_id)::DOUBLE / 1440 AS velocity
+FROM (SELECT p.*, time_bucket(INTERVAL '6 hours', ts) - k * INTERVAL '6 hours' AS window_start
+      FROM posts p, range(4) r(k)) s
+GROUP BY 1, 2, 3) WHERE window_end <= {_PWM}""", ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity"])
+def q_stream_sliding(spark, sf):
+    return ST.run_to_table(spark, ST.stream_sentiment(_post_stream(spark, sf), WINDOW, SLIDE), "sliding")
