@@ -812,3 +812,25 @@ FROM (SELECT p.*, time_bucket(INTERVAL '6 hours', ts) - k * INTERVAL '6 hours' A
 GROUP BY 1, 2, 3) WHERE window_end <= {_PWM}""", ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity"])
 def q_stream_sliding(spark, sf):
     return ST.run_to_table(spark, ST.stream_sentiment(_post_stream(spark, sf), WINDOW, SLIDE), "sliding")
+
+
+def _post_messages_path(spark, sf) -> str:
+    """Post messages as a producer would publish them (key = ticker, JSON value), written
+    once per input snapshot to the shared folder: the stream's source topic."""
+    from marketspark.sources import tables as TB
+
+    def build():
+        p = TB.load_posts(spark, sf).select(F.col("post_id").cast("string").alias("id"), "ticker", "text", "username",
+                                            F.col("ts").alias("timestamp"), F.col("followers").cast("int").alias("followers"))
+        return encode_records(p, "ticker", ts_cols=("timestamp",))
+    key = TB.snapshot_key(spark, sf, ["documents", "events"], "post-messages")
+    return TB.written_table(spark, key, "post-messages", build, sort=())
+
+
+@register("q_stream_messages", "SRC1 PRJ1 PRJ3 UDF1 STR1 STR2: JSON messages -> parse -> score -> watermark -> windows",
+          S.with_ctes(*S.BASE, S.SENT_DAY) + f"SELECT * FROM sent_day WHERE window_end <= {_PWM}",
+          ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity"])
+def q_stream_messages(spark, sf):
+    raw = ST.read_stream(spark, _post_messages_path(spark, sf)).select("key", "value")
+    posts = ST.scored_post_stream(raw)
+    return ST.run_to_table(spark, ST.stream_sentiment(posts, WINDOW), "messages")

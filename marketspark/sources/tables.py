@@ -170,12 +170,12 @@ def _file_stamp(spark: SparkSession, path: str) -> tuple:
     return int(st.getModificationTime()), int(st.getLen())
 
 
-def _snapshot_key(spark: SparkSession, sf_dir: str, names: list[str], tag: str) -> tuple:
+def snapshot_key(spark: SparkSession, sf_dir: str, names: list[str], tag: str) -> tuple:
     stats = tuple((n, *_file_stamp(spark, os.path.join(sf_dir, f"{n}.parquet"))) for n in names)
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tag, stats)
 
 
-def _written(spark: SparkSession, key: tuple, name: str, build) -> str:
+def written_table(spark: SparkSession, key: tuple, name: str, build, sort: tuple[str, ...] = ("ts", "ticker")) -> str:
     """Write ``build()`` once to the shared checkpoint folder and read it back.
 
     This is the ingest step of the pipeline (the reference scores a post once when it
@@ -187,7 +187,8 @@ def _written(spark: SparkSession, key: tuple, name: str, build) -> str:
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-        build().sortWithinPartitions("ts", "ticker").write.mode("overwrite").parquet(path)
+        df = build()
+        (df.sortWithinPartitions(*sort) if sort else df).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return path
 
@@ -202,8 +203,8 @@ def posts_table(spark: SparkSession, sf_dir: str, model: str = "keyword") -> Dat
 
 
 def posts_table_path(spark: SparkSession, sf_dir: str, model: str = "keyword") -> str:
-    key = _snapshot_key(spark, sf_dir, ["documents", "events"], f"posts/{model}")
-    return _written(spark, key, "posts", lambda: load_posts(spark, sf_dir, model).drop("text"))
+    key = snapshot_key(spark, sf_dir, ["documents", "events"], f"posts/{model}")
+    return written_table(spark, key, "posts", lambda: load_posts(spark, sf_dir, model).drop("text"))
 
 
 def post_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,5 +218,5 @@ def ticks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks_table_path(spark: SparkSession, sf_dir: str) -> str:
-    key = _snapshot_key(spark, sf_dir, ["events"], "ticks")
-    return _written(spark, key, "ticks", lambda: load_ticks(spark, sf_dir))
+    key = snapshot_key(spark, sf_dir, ["events"], "ticks")
+    return written_table(spark, key, "ticks", lambda: load_ticks(spark, sf_dir))

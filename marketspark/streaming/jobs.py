@@ -130,3 +130,14 @@ def run_joined_sink(spark: SparkSession, posts: DataFrame, ticks: DataFrame, win
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return read_batches(spark, agg), read_batches(spark, sig)
+
+
+def scored_post_stream(raw: DataFrame, default_ts=None, model: str = "keyword") -> DataFrame:
+    """Message stream (``value`` column, e.g. a Kafka source) -> typed, scored post rows
+    (post_id, ticker, ts, username, compound, ...) ready for ``stream_sentiment``."""
+    from marketspark.functions.sentiment import with_scores
+    from marketspark.sources.records import parse_posts
+    d = parse_posts(raw, default_ts)
+    d = d.select(F.col("id").alias("post_id"), "ticker", F.col("timestamp").alias("ts"), "text", "username",
+                 "followers")
+    return with_scores(d, "text", model).drop("text")

@@ -112,3 +112,19 @@ def test_joined_sink_writes_both_tables(spark):
     assert agg.count() == sig.count() > 0
     assert set(r["signal"] for r in sig.collect()) == {"HOLD"}
     assert sig.columns == ["ticker", "timestamp", "pearson", "lag", "signal", "confidence"]
+
+
+def test_change_feed_marks_and_latest_post_detection(spark):
+    from marketspark.operators.records_ops import change_feed
+    ticks = spark.createDataFrame([(1, "A", T0, 1.0, 10), (2, "A", T0 + dt.timedelta(seconds=1), 2.0, 20)],
+                                  "tick_id long, ticker string, ts timestamp, price double, volume long")
+    alerts = spark.createDataFrame([(5, "A", "INFO", "m", "Bullish Spike", T0)],
+                                   "alert_id long, ticker string, severity string, message string, type string, "
+                                   "timestamp timestamp")
+    posts = spark.createDataFrame([(7, "A", T0, 0.5), (8, "B", T0 + dt.timedelta(minutes=1), -0.5)],
+                                  "post_id long, ticker string, ts timestamp, compound double")
+    rows = change_feed(ticks, alerts, posts, after_tick=1, after_alert=0).collect()
+    assert sorted((r["type"], r["id"]) for r in rows) == [("new_alerts", "5"), ("new_ticks", "2"), ("new_tweet", "8")]
+    assert '"price":2.0' in [r for r in rows if r["type"] == "new_ticks"][0]["payload"]
+    again = change_feed(ticks, alerts, posts, after_tick=2, after_alert=5, last_post_id=8).collect()
+    assert again == []                       # nothing new, latest post already pushed
