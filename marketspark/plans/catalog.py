@@ -11,13 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.functions.bands import chart_band, label
-from marketspark.operators.align import rolling_sentiment_at_ticks
-from marketspark.operators.correlation import window_correlation
-from marketspark.operators.signals import post_alerts, signal_alerts, signals, signals_stream_preset
-from marketspark.operators.windows import join_windows, ohlc_bars, price_windows, sentiment_windows
+from marketspark.functions.bands import fear_greed as _fg
+from marketspark.functions.bands import mood3 as _mood3
+from marketspark.functions.sentiment import scale_score, tone_from_logits
+from marketspark.operators import lexicon as LX
+from marketspark.operators.align import asof_join, rolling_sentiment_at_ticks
+from marketspark.operators.correlation import correlation_matrix, window_correlation
+from marketspark.operators.records_ops import change_feed, dedupe, manual_posts
+from marketspark.operators.signals import filter_alerts, post_alerts, signal_alerts, signals, signals_stream_preset
+from marketspark.operators.topk import last_n_per_key
+from marketspark.operators.windows import (join_windows, ohlc_bars, price_windows, sentiment_windows,
+                                           trailing_sentiment)
 from marketspark.plans import oracle_sql as S
-from marketspark.plans.registry import register
-from marketspark.sources.tables import load_posts, load_ticks, post_texts, posts_table, spread, ticks_table
+from marketspark.plans import reports as RP
+from marketspark.plans import snapshots as SN
+from marketspark.plans.registry import as_of_literal, register
+from marketspark.sources import news as NW
+from marketspark.sources.quotes import extract_quotes, quote_documents
+from marketspark.sources.records import encode_records, parse_ticks, tick_wire
+from marketspark.sources.tables import (load_chat_messages, load_logits, load_posts, load_questions, load_ticks,
+                                        load_universe, post_texts, posts_table, posts_table_path, read_table,
+                                        spread, ticks_table, ticks_table_path, universe_aliases)
+from marketspark.streaming import jobs as ST
 
 WINDOW, LOOKBACK, SLIDE = "1 day", "12 hours", "6 hours"
 
@@ -195,15 +210,6 @@ def q_stream_preset_signals(spark, sf):
 
 # --- latest rows, as-of, timeline, snapshots -----------------------------------------------
 
-from marketspark.functions.bands import fear_greed as _fg, mood3 as _mood3  # noqa: E402
-from marketspark.operators.align import asof_join  # noqa: E402
-from marketspark.operators.correlation import correlation_matrix  # noqa: E402
-from marketspark.operators.signals import filter_alerts  # noqa: E402
-from marketspark.operators.topk import last_n_per_key, latest_per_key  # noqa: E402
-from marketspark.operators.windows import trailing_sentiment  # noqa: E402
-from marketspark.plans import snapshots as SN  # noqa: E402
-from marketspark.plans.registry import as_of_literal  # noqa: E402
-from marketspark.sources.tables import load_universe  # noqa: E402
 
 SEARCH_TEXT = "  COMPANY 3 "
 
@@ -435,10 +441,6 @@ def q_corr_matrix(spark, sf):
 
 # --- scorers on other inputs --------------------------------------------------------------
 
-from marketspark.functions.sentiment import scale_score, tone_from_logits  # noqa: E402
-from marketspark.operators import lexicon as LX  # noqa: E402
-from marketspark.sources.tables import load_logits  # noqa: E402
-
 
 def _lexicon_sql() -> str:
     vals = ", ".join([f"('{w}', {LX.DEFAULT_VALENCE})" for w in LX.POSITIVE_WORDS]
@@ -498,8 +500,6 @@ def q_scaled_score(spark, sf):
 
 # --- reports and question routing ----------------------------------------------------------
 
-from marketspark.plans import reports as RP  # noqa: E402
-from marketspark.sources.tables import load_questions, universe_aliases  # noqa: E402
 
 _FACTS_SQL = """facts AS (
   SELECT u.ticker, u.name, coalesce(lt.price, 200.0) AS price, coalesce(lt.volume, 1000000) AS volume,
@@ -585,12 +585,6 @@ def q_question_routing(spark, sf):
 
 # --- sources: records, quotes, news; dedupe; manual log; change feed; CSV --------------------
 
-from marketspark.operators.records_ops import change_feed, dedupe, manual_posts  # noqa: E402
-from marketspark.sources import news as NW  # noqa: E402
-from marketspark.sources.quotes import extract_quotes, quote_documents  # noqa: E402
-from marketspark.sources.records import encode_records, parse_ticks, tick_wire  # noqa: E402
-from marketspark.sources.tables import load_chat_messages, read_table, ticker_of  # noqa: E402
-
 
 @register("q_quote_extract", "SRC4 PRJ7 SCA22 quote documents -> ticks (last array element, fallbacks, rounding)",
           S.with_ctes(S.TICKS) + """SELECT ticker, round(price, 2) AS price, round(coalesce(nullif(open, 0), price), 2) AS open,
@@ -702,8 +696,6 @@ def q_csv_rows(spark, sf):
 
 # --- streaming: run on the ingest tables as file streams, availableNow ----------------------
 
-from marketspark.streaming import jobs as ST  # noqa: E402
-from marketspark.sources.tables import posts_table_path, ticks_table_path  # noqa: E402
 
 _PWM = "(SELECT max(ts) FROM posts) - INTERVAL '10 minutes'"
 _TWM = "(SELECT least((SELECT max(ts) FROM posts), (SELECT max(ts) FROM ticks))) - INTERVAL '10 minutes'"
