@@ -94,7 +94,9 @@ def attach_containing_window(ticks: DataFrame, aggregates: DataFrame, max_window
     cond = ((t["ticker"] == a["_a_ticker"]) & (t["_b"] == a["_b"]) & (a["window_start"] <= t["ts"])
             & (a["window_end"] >= t["ts"]))
     j = t.join(a, cond, "left").drop(a["_b"]).drop("_a_ticker")
-    w = Window.partitionBy(id_col).orderBy(
+    # candidates of a tick share its (ticker, bucket): partitioning the pick by those keys
+    # too reuses the join's distribution instead of shuffling again by tick id
+    w = Window.partitionBy("ticker", "_b", id_col).orderBy(
         F.col("window_start").asc_nulls_last(), F.col("window_end").asc_nulls_last())
     return (j.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
             .drop("_rn", "_b"))

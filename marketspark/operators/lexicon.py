@@ -8,11 +8,11 @@ previous tokens flips and damps it, a booster / dampener right before it adds /
 neg / neu are the shares of (|v| + 1) mass of positive / negative tokens and the count of
 neutral tokens.
 
-A lexicon of checked size (at most ``MAP_MAX`` entries) is folded into a literal map and
-the scoring is pure per-row higher-order functions: no explode, no shuffle, whole-stage
-friendly.  A larger lexicon takes the relational path: posexplode the tokens, join the
-lexicon (Spark picks broadcast or shuffle from its size), and a partial aggregate per
-post.  Both paths give the same numbers.
+A small lexicon (at most ``MAP_MAX`` entries, checked) is folded into a literal map and
+the scoring is pure per-row higher-order functions: no explode, no shuffle.  A larger
+lexicon takes the relational path: explode the tokens (each carrying its previous tokens
+from its own row), join the lexicon (hash join; Spark picks broadcast or shuffle from its
+size), and a partial aggregate per post.  Both paths give the same numbers.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ DAMPENERS = ["slightly", "somewhat", "barely", "hardly", "marginally", "partly"]
 DEFAULT_VALENCE = 2.0  # bundled default lexicon: the keyword lists at +/- this valence
 # ---------------------------------------------------------------------------
 
-MAP_MAX = 50_000
+# A literal map is searched key by key for every token, so only a small lexicon is folded
+# into one; a larger one is joined (hash lookup, broadcast when AQE sees it is small).
+MAP_MAX = 256
 
 
 def default_lexicon(spark: SparkSession) -> DataFrame:
