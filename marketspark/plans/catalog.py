@@ -826,3 +826,17 @@ def q_stream_messages(spark, sf):
     raw = ST.read_stream(spark, _post_messages_path(spark, sf)).select("key", "value")
     posts = ST.scored_post_stream(raw)
     return ST.run_to_table(spark, ST.stream_sentiment(posts, WINDOW), "messages")
+
+
+@register("q_stream_signals", "SNK2 SIG3 COR2 streaming signals with the per-window Pearson computed for closed windows",
+          S.with_ctes(*S.CHAIN, S.PRICE_DAY) + f"""SELECT s.ticker, s.window_end AS timestamp, c.pearson, 0 AS lag,
+  CASE WHEN s.avg_sentiment > 0.5 AND c.pearson > 0.3 THEN 'BUY'
+       WHEN s.avg_sentiment < -0.5 AND c.pearson < -0.3 THEN 'SELL' ELSE 'HOLD' END AS signal,
+  0.8::DOUBLE AS confidence
+FROM sent_day s JOIN price_day p USING (ticker, window_start, window_end)
+LEFT JOIN corr_day c USING (ticker, window_start, window_end)
+WHERE s.window_end <= {_TWM}""", ["pearson", "confidence"])
+def q_stream_signals(spark, sf):
+    enrich = ST.correlation_enricher(stage_ticks(spark, sf), stage_posts(spark, sf), WINDOW, LOOKBACK)
+    _, sig = ST.run_joined_sink(spark, _post_stream(spark, sf), _tick_stream(spark, sf), WINDOW, enrich=enrich)
+    return sig

@@ -178,7 +178,7 @@ def snapshot_key(spark: SparkSession, sf_dir: str, names: list[str], tag: str) -
 def written_table(spark: SparkSession, key: tuple, name: str, build, sort: tuple[str, ...] = ("ts", "ticker")) -> str:
     """Write ``build()`` once to the shared checkpoint folder and read it back.
 
-    This is the ingest step of the pipeline (the reference scores a post once when it
+    This is the ingest step (the reference scores a post once when it
     arrives and stores the scores).  The written table cuts lineage, survives executor
     loss, and stops later filters on scores from being pushed back into the scorer.
     Rows are sorted within files by time, so row groups cover narrow time ranges and the

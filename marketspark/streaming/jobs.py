@@ -118,15 +118,40 @@ def dropped_by_watermark(query) -> int:
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in prog.get("stateOperators", []))
 
 
+def correlation_enricher(ticks: DataFrame, posts: DataFrame, window: str = WINDOW, lookback: str = "2 minutes",
+                         min_ticks: int = 5):
+    """``enrich`` for ``joined_window_sink``: adds the windows' sentiment-price Pearson.
+
+    For a micro-batch of closed windows it reads only their time range from the stored
+    ticks and posts (a literal range predicate, pushed into the scans) and runs the batch
+    alignment and correlation operators; windows with too few ticks get NULL."""
+    from marketspark.operators.align import rolling_sentiment_at_ticks
+    from marketspark.operators.correlation import window_correlation
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        b = batch.agg(F.date_format(F.min("window_start"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("lo"),
+                      F.date_format(F.max("window_end"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("hi")).first()
+        if b is None or b["lo"] is None:
+            return batch.withColumn("pearson", F.lit(None).cast("double"))
+        lo, hi = F.expr(f"TIMESTAMP '{b['lo']}'"), F.expr(f"TIMESTAMP '{b['hi']}'")
+        t = ticks.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
+        p = posts.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
+        c = window_correlation(rolling_sentiment_at_ticks(t, p, window=window, lookback=lookback), min_ticks)
+        return batch.join(c.select("ticker", "window_start", "window_end", "pearson"),
+                          ["ticker", "window_start", "window_end"], "left")
+    return enrich
+
+
 def run_joined_sink(spark: SparkSession, posts: DataFrame, ticks: DataFrame, window: str = WINDOW,
-                    watermark: str = WATERMARK, name: str = "joined") -> tuple[DataFrame, DataFrame]:
+                    watermark: str = WATERMARK, name: str = "joined", enrich=None) -> tuple[DataFrame, DataFrame]:
     """Run the stream-stream join into the two-table sink (availableNow); return
     (aggregates, signals) as batch DataFrames."""
     from marketspark.streaming.sinks import joined_window_sink
     run = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
     agg, sig = os.path.join(run, "aggregates"), os.path.join(run, "signals")
     q = (stream_join(posts, ticks, window, watermark).writeStream.outputMode("append")
-         .foreachBatch(joined_window_sink(agg, sig)).option("checkpointLocation", os.path.join(run, "checkpoint"))
+         .foreachBatch(joined_window_sink(agg, sig, enrich=enrich))
+         .option("checkpointLocation", os.path.join(run, "checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return read_batches(spark, agg), read_batches(spark, sig)

@@ -83,15 +83,21 @@ def latest_state(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     return g.select(*key, *[F.col(f"_s.{c}").alias(c) for c in rest])
 
 
-def joined_window_sink(aggregates_path: str, signals_path: str, pearson=None):
+def joined_window_sink(aggregates_path: str, signals_path: str, pearson=None, enrich=None):
     """The streaming job's two-table sink: each joined-window batch is cached once and
     written as sentiment_aggregates rows and as signal rows (streaming preset rule).
-    ``pearson`` is a Column over the batch (NULL when no correlation feed is attached,
-    which yields HOLD)."""
+
+    ``enrich(batch) -> batch`` may add a computed ``pearson`` column (see
+    ``streaming.jobs.correlation_enricher``); otherwise ``pearson`` is the given Column, or
+    NULL (which yields HOLD)."""
     from marketspark.operators.signals import signals_stream_preset
 
     def with_signal(df: DataFrame) -> DataFrame:
-        r = pearson if pearson is not None else F.lit(None).cast("double")
-        return signals_stream_preset(df.withColumn("pearson", r))
-
-    return make_sink(aggregates_writer(aggregates_path), parquet_writer(signals_path, with_signal))
+        if "pearson" not in df.columns:
+            df = df.withColumn("pearson", pearson if pearson is not None else F.lit(None).cast("double"))
+        return signals_stream_preset(df)
+
+    inner = make_sink(aggregates_writer(aggregates_path), parquet_writer(signals_path, with_signal))
+    if enrich is None:
+        return inner
+    return lambda df, batch_id: inner(enrich(df), batch_id)
