@@ -840,3 +840,18 @@ def q_stream_signals(spark, sf):
     enrich = ST.correlation_enricher(stage_ticks(spark, sf), stage_posts(spark, sf), WINDOW, LOOKBACK)
     _, sig = ST.run_joined_sink(spark, _post_stream(spark, sf), _tick_stream(spark, sf), WINDOW, enrich=enrich)
     return sig
+
+
+@register("q_correlation_detail", "SNP2 FLT6 correlation detail header per supported ticker",
+          S.with_ctes(*S.CHAIN, S.SIG, S.LATEST_SIG, S.UNIVERSE) + """, pts AS (
+  SELECT ticker, count(*) AS n_points FROM (
+    SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) AS rnk FROM ticks)
+  WHERE rnk <= 30 GROUP BY ticker)
+SELECT u.ticker, coalesce(sg.pearson, 0.0) AS pearson_coefficient, coalesce(sg.confidence, 0.5) AS confidence_score,
+  coalesce(sg.signal, 'HOLD') AS trading_signal, coalesce(pts.n_points, 0) AS n_points
+FROM universe u LEFT JOIN sg USING (ticker) LEFT JOIN pts USING (ticker)""", ["pearson_coefficient", "confidence_score"])
+def q_correlation_detail(spark, sf):
+    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
+    sigs = stage_signals(spark, sf, t, p)
+    tl = last_n_per_key(t.select("ticker", "ts", "tick_id"), "ticker", ["ts", "tick_id"], 30)
+    return SN.correlation_detail(load_universe(spark, sf), sigs, tl)

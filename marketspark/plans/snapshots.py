@@ -185,3 +185,17 @@ def confidence_text(conf: Column) -> Column:
     """``Math.round(confidence * 100) + '%'``."""
     from marketspark.functions.formats import js_round
     return F.concat(js_round(conf * 100).cast("string"), F.lit("%"))
+
+
+def correlation_detail(universe: DataFrame, sigs: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Detail header per supported ticker: latest signal's pearson / confidence / signal
+    (defaults 0.0 / 0.5 / HOLD) and the number of timeline points.  Requests for tickers
+    outside the universe are the caller's ``unsupported`` rows (anti join)."""
+    sg = latest_signal(sigs)
+    pts = timeline.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_points"))
+    j = universe.select("ticker").join(sg, "ticker", "left").join(pts, "ticker", "left")
+    d = DETAIL_DEFAULTS
+    return j.select("ticker", F.coalesce("pearson", F.lit(d["pearson"])).alias("pearson_coefficient"),
+                    F.coalesce("confidence", F.lit(d["confidence"])).alias("confidence_score"),
+                    F.coalesce("signal", F.lit(d["signal"])).alias("trading_signal"),
+                    F.coalesce("n_points", F.lit(0).cast("long")).alias("n_points"))
