@@ -78,12 +78,16 @@ def load_ticks(spark: SparkSession, sf_dir: str, bucket: str = "auto") -> DataFr
     return t.select("tick_id", "ticker", "ts", "price", F.coalesce("_prev", "price").alias("open"), "volume")
 
 
+SPREAD_MAX = 64   # fan-out for small inputs; large inputs already have many splits
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores before
+    """Round-robin a scan that yields fewer partitions than min(cores, SPREAD_MAX) before
     CPU-heavy per-row work.  A large input already has at least that many splits, so on a
-    cluster this is a no-op; it only fans out small single-row-group files."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    cluster this is a no-op; it only fans out small single-row-group files, and never
+    into more than SPREAD_MAX tasks."""
+    target = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def load_posts(spark: SparkSession, sf_dir: str, model: str = "keyword") -> DataFrame:
