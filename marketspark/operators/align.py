@@ -82,9 +82,10 @@ def attach_containing_window(ticks: DataFrame, aggregates: DataFrame, max_window
     [window_start, window_end] contains the tick time (both ends inclusive); when several
     do, the earliest (window_start, window_end).  Unmatched ticks keep NULLs.
 
-    ``max_window`` must be at least the longest window: aggregates are copied into each
-    ``max_window``-wide bucket they touch (at most 3), ticks join on (ticker, bucket), so
-    the candidate count per tick is bounded by the window geometry.
+    Aggregates are copied into every ``max_window``-wide time bucket they touch and ticks
+    join on (ticker, bucket), so the lookup is exact for any width; with ``max_window`` at
+    least the longest window each aggregate lands in at most three buckets and the
+    candidate count per tick is bounded by the window geometry (overlapping windows).
     """
     a = aggregates.select("ticker", "window_start", "window_end", *value_cols)
     a = a.withColumn("_b", F.explode(F.sequence(time_bucket(F.col("window_start"), max_window),
