@@ -777,7 +777,12 @@ def q_stream_sinks(spark, sf):
 
 
 def _dec(x: str, d: int) -> str:
-    return f"CAST(round(({x})::DECIMAL(38,18), {d}) AS VARCHAR)"
+    """Browser ``toFixed(d)`` in SQL: a value that is exactly a binary tie (x * 2^(d+1) is
+    an integer and x * 10^d ends in .5) rounds away from zero via an exact DECIMAL; every
+    other value goes through ``format``, which rounds the exact binary value."""
+    k, m = 2 ** (d + 1), 10 ** d
+    return (f"CASE WHEN ({x}) * {k} = floor(({x}) * {k}) AND ({x}) * {m} - floor(({x}) * {m}) = 0.5 "
+            f"THEN CAST(round(({x})::DECIMAL(38,18), {d}) AS VARCHAR) ELSE format('{{:.{d}f}}', ({x})) END")
 
 
 @register("q_board_cards", "SCA19 board display texts (signed percent, price, volume in thousands)",

@@ -239,3 +239,13 @@ def test_browser_number_formats(spark):
                     confidence_text(F.col("c")).alias("c")).collect()
     assert [(r["a"], r["b"], r["c"]) for r in got] == [("1.00", "1", "13%"), ("-0.13", "-0", "75%"),
                                                          ("12345.50", "12346", "50%")]
+
+
+def test_browser_fixed_matches_reference_engine_cases(spark):
+    # expected texts as a browser prints them (checked with a JavaScript engine)
+    from marketspark.functions.formats import js_fixed
+    cases = [(0.235, 2, "0.23"), (0.125, 2, "0.13"), (1.005, 2, "1.00"), (-0.125, 2, "-0.13"),
+             (2.5, 0, "3"), (-0.5, 0, "-1"), (-0.125, 0, "-0")]
+    df = spark.createDataFrame([(x,) for x, _, _ in cases], "x double")
+    got = [df.select(js_fixed(F.col("x"), d).alias("t")).collect()[i]["t"] for i, (_, d, _) in enumerate(cases)]
+    assert got == [t for _, _, t in cases]
