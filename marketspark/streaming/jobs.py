@@ -166,3 +166,16 @@ def scored_post_stream(raw: DataFrame, default_ts=None, model: str = "keyword")
     d = d.select(F.col("id").alias("post_id"), "ticker", F.col("timestamp").alias("ts"), "text", "username",
                  "followers")
     return with_scores(d, "text", model).drop("text")
+
+
+def start_job(spark: SparkSession, stream: DataFrame, name: str, sink, mode: str = "append",
+              processing_time: str | None = "15 seconds", available_now: bool = False):
+    """Start a long-running stream into a ``foreachBatch`` sink with a stable checkpoint
+    under the shared folder: a restarted job (after a failure or redeploy) resumes from its
+    committed offsets and state, so each input row is processed once into the idempotent
+    sink.  ``processing_time`` is the micro-batch cadence (the reference's worker ran every
+    15 seconds)."""
+    w = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+         .option("checkpointLocation", scratch_path(spark, f"jobs/{name}/checkpoint")))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
+    return w.start()

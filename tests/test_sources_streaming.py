@@ -128,3 +128,18 @@ def test_change_feed_marks_and_latest_post_detection(spark):
     assert '"price":2.0' in [r for r in rows if r["type"] == "new_ticks"][0]["payload"]
     again = change_feed(ticks, alerts, posts, after_tick=2, after_alert=5, last_post_id=8).collect()
     assert again == []                       # nothing new, latest post already pushed
+
+
+def test_restarted_job_resumes_from_checkpoint(spark):
+    import uuid
+    from marketspark.plans.catalog import _tick_stream
+    from marketspark.session import scratch_path
+    sf = "/root/testdata/sf0.001"
+    name = f"feed-{uuid.uuid4().hex}"
+    out = scratch_path(spark, f"jobs/{name}/out")
+    for _ in range(2):                      # second start: nothing new to process
+        q = ST.start_job(spark, ST.stream_change_feed(_tick_stream(spark, sf)), name, make_sink(parquet_writer(out)),
+                         available_now=True)
+        q.awaitTermination()
+    got = read_batches(spark, out)
+    assert got.count() == got.select("id").distinct().count() == 390
