@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators.signals import post_alerts
-from marketspark.operators.windows import price_windows, sentiment_windows
+from marketspark.operators.sequence import interval_micros
+from marketspark.operators.windows import price_windows, sentiment_windows, window_minutes
 from marketspark.session import scratch_path
 from marketspark.streaming.sinks import latest_state, make_sink, parquet_writer, read_batches
 
@@ -33,10 +34,34 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def stream_sentiment(posts: DataFrame, window: str = WINDOW, slide: str | None = None,
-                     watermark: str = WATERMARK) -> DataFrame:
+                     watermark: str = WATERMARK, threshold: float = 0.15, panes: bool = False) -> DataFrame:
     """Watermarked post windows (append: a window is emitted once the watermark passes it;
-    rows later than the watermark are dropped)."""
-    return sentiment_windows(posts.withWatermark("ts", watermark), window, slide, panes=False)
+    rows later than the watermark are dropped).
+
+    ``panes=True`` (sliding windows whose length is a multiple of the slide) chains two
+    windowed aggregations: rows -> slide-wide panes, then panes (at their ``window_time``)
+    -> sliding windows, so state grows with panes, not rows x window/slide.  In-order input
+    gives identical windows; rows later than the watermark may be dropped at pane rather
+    than window granularity (both are within Spark's watermark contract), so the direct
+    form stays the default."""
+    wm = posts.withWatermark("ts", watermark)
+    if not (panes and slide and interval_micros(window) % interval_micros(slide) == 0
+            and interval_micros(window) > interval_micros(slide)):
+        return sentiment_windows(wm, window, slide, panes=False)
+    c = F.col("compound")
+    panes = wm.groupBy(F.window("ts", slide).alias("pw"), "ticker").agg(
+        F.sum(c).alias("_s"), F.count(c).alias("_n"), F.count(F.lit(1)).alias("_rows"),
+        F.count("post_id").alias("_ids"), F.count(F.when(c > threshold, 1)).alias("_bull"),
+        F.count(F.when(c < -threshold, 1)).alias("_bear"))
+    panes = panes.select(F.window_time("pw").alias("_pt"), "ticker", "_s", "_n", "_rows", "_ids", "_bull", "_bear")
+    g = panes.groupBy(F.window("_pt", window, slide).alias("w"), "ticker").agg(
+        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.sum("_rows").alias("_rows"),
+        F.sum("_ids").alias("tweet_count"), F.sum("_bull").alias("_bull"), F.sum("_bear").alias("_bear"))
+    return g.select("ticker", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    (F.col("_s") / F.col("_n")).alias("avg_sentiment"), "tweet_count",
+                    (F.col("_bull") / F.col("_rows")).alias("bullish_ratio"),
+                    (F.col("_bear") / F.col("_rows")).alias("bearish_ratio"),
+                    (F.col("tweet_count") / F.lit(window_minutes(window))).alias("velocity"))
 
 
 def stream_prices(ticks: DataFrame, window: str = WINDOW, slide: str | None = None,
