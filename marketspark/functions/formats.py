@@ -1,66 +1,20 @@
-"""Number-to-text formatting with Python's rules.
+"""Text helpers: fixed templates and browser rounding.
 
-Java's formatter (behind ``format_string``) rounds decimal ties half-up on the shortest
-digit string (71.25 -> '71.3', 2.675 -> '2.68'); Python rounds the exact binary value
-(71.25 -> '71.2', 2.675 -> '2.67').  Report texts must match the Python wording, so the
-number formatting is a vectorised pandas UDF (Arrow batches, one call per batch); it is
-only used on report rows, never on the scoring or aggregation path.
+Exact fixed-point number text (Python / browser rules) lives in ``functions/fixed.py``
+and runs natively; nothing here needs a Python worker.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _make(spec: str):
-    integral = not any(ch in spec for ch in ".efgEFG%")   # ',' / 'd' specs format integers
-
-    @F.pandas_udf("string")
-    def fmt(s: pd.Series) -> pd.Series:
-        conv = (lambda v: int(v)) if integral else (lambda v: float(v))
-        return s.map(lambda v: None if v is None or pd.isna(v) else format(conv(v), spec))
-    return fmt
-
-
-_CACHE: dict[str, object] = {}
-
-
-def _make_fixed(digits: int):
-    from decimal import ROUND_HALF_UP, Decimal
-    q = Decimal(1).scaleb(-digits)
-
-    @F.pandas_udf("string")
-    def fixed(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None or pd.isna(v)
-                     else str(Decimal(float(v)).quantize(q, rounding=ROUND_HALF_UP)))
-    return fixed
-
-
-def js_fixed(x: Column, digits: int) -> Column:
-    """Text of ``x.toFixed(digits)`` as a browser renders it: the exact binary value rounded
-    half away from zero (1.005 -> '1.00', 0.125 -> '0.13'); Java and Python differ on ties."""
-    key = f"js{digits}"
-    f = _CACHE.get(key)
-    if f is None:
-        f = _CACHE[key] = _make_fixed(digits)
-    return f(x)
-
-
 def js_round(x: Column) -> Column:
     """``Math.round``: floor(x + 0.5)."""
     return F.floor(x + F.lit(0.5)).cast("long")
 
 
-def py_format(x: Column, spec: str) -> Column:
-    """Text of ``format(x, spec)`` as Python renders it, e.g. spec '.2f', ',', '.1f'."""
-    f = _CACHE.get(spec)
-    if f is None:
-        f = _CACHE[spec] = _make(spec)
-    return f(x)
-
-
 def render(template: str, **parts: Column) -> Column:
     """Fill the ``{key}`` slots of a fixed text template with Columns (one ``concat``)."""
     out, rest = [], template

@@ -569,8 +569,7 @@ _REPORT_CTES = [*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.U
 @register("q_asset_report", "SNP9 JON6 asset intelligence report text per ticker",
           S.with_ctes(*_REPORT_CTES) + f"SELECT ticker, name, {_asset_text_sql()} AS report FROM facts")
 def q_asset_report(spark, sf):
-    f = stage_facts(spark, sf)
-    return f.select("ticker", "name", RP.asset_report_text(f).alias("report"))
+    return RP.asset_reports(stage_facts(spark, sf))
 
 
 @register("q_question_routing", "SNP10 SNP11 JON7 SCA21 question routing to asset / macro / default replies",

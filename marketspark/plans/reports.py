@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketspark.functions.bands import fear_greed, mood3, status
-from marketspark.functions.formats import py_format, render
+from marketspark.functions.bands import thousands
+from marketspark.functions.fixed import with_fixed_text
+from marketspark.functions.formats import render
 from marketspark.plans.snapshots import latest_aggregate, latest_signal, latest_tick
 
 # ---------------------------------------------------------------------------
@@ -85,12 +87,17 @@ def asset_facts(ticks: DataFrame, aggregates: DataFrame, sigs: DataFrame, names:
                     F.coalesce(F.col("pearson"), F.lit(d["pearson"])).alias("pearson"))
 
 
-def asset_report_text(f: DataFrame) -> Column:
-    bull = py_format(F.col("bullish_ratio") * 100, ".1f")
-    pr = py_format(F.col("pearson"), ".3f")
-    return render(ASSET_TEMPLATE, name=F.col("name"), tick=F.col("ticker"), price=py_format(F.col("price"), ".2f"),
-                  vol=py_format(F.col("volume"), ","), sent=py_format(F.col("avg_sentiment"), ".3f"),
-                  sent_status=status(F.col("avg_sentiment")), bull=bull, pearson=pr, sig=F.col("signal"))
+def asset_reports(facts: DataFrame) -> DataFrame:
+    """(ticker, name, report): the asset report text per ticker, numbers rendered with
+    Python's rules (exact binary value, half-even) natively."""
+    f = with_fixed_text(facts, {"_price": (F.col("price"), 2, "even"),
+                                "_sent": (F.col("avg_sentiment"), 3, "even"),
+                                "_bull": (F.col("bullish_ratio") * 100, 1, "even"),
+                                "_pr": (F.col("pearson"), 3, "even")})
+    text = render(ASSET_TEMPLATE, name=F.col("name"), tick=F.col("ticker"), price=F.col("_price"),
+                  vol=thousands(F.col("volume")), sent=F.col("_sent"), sent_status=status(F.col("avg_sentiment")),
+                  bull=F.col("_bull"), pearson=F.col("_pr"), sig=F.col("signal"))
+    return f.select("ticker", "name", text.alias("report"))
 
 
 def macro_facts(posts: DataFrame, as_of: Column, lookback: str = "2 hours") -> DataFrame:
@@ -122,7 +129,7 @@ def route_questions(messages: DataFrame, aliases: DataFrame, facts: DataFrame, m
         moody = moody | low.contains(w)
     # reports are rendered once per ticker (a universe-sized table) and joined once by
     # ticker; a matched alias outside the universe finds no report and is not an asset
-    texts = facts.select(F.col("ticker").alias("_ft"), asset_report_text(facts).alias("_report"))
+    texts = asset_reports(facts).select(F.col("ticker").alias("_ft"), F.col("report").alias("_report"))
     j = m.join(texts, F.col("ticker") == F.col("_ft"), "left")
     j = j.withColumn("ticker", F.when(F.col("_ft").isNotNull(), F.col("ticker")))
     reply = (F.when(F.col("ticker").isNotNull(), F.col("_report"))

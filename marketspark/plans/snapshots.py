@@ -167,18 +167,22 @@ def latest_alerts(alerts: DataFrame, limit: int = ALERTS_DEFAULT, order: tuple[s
 
 def board_cards(summary: DataFrame, names: DataFrame) -> DataFrame:
     """Per-ticker display texts of the market board: signed percent change, price, volume
-    in thousands, volume with separators, sentiment (browser number formatting).  Rendered
-    on the per-ticker summary, so the formatting runs once per ticker."""
-    from marketspark.functions.formats import js_fixed
+    in thousands, volume with separators, sentiment (browser number formatting: exact
+    binary value, ties away from zero), rendered natively on the per-ticker summary."""
+    from marketspark.functions.fixed import with_fixed_text
     j = summary.join(F.broadcast(names.select("ticker", "name")), "ticker", "left")
+    j = with_fixed_text(j, {"_chg": (F.col("price_change_pct"), 2, "away"),
+                            "_px": (F.col("current_price"), 2, "away"),
+                            "_vk": (F.col("volume") / 1000, 0, "away"),
+                            "_st": (F.col("avg_sentiment"), 2, "away")})
     pct = F.col("price_change_pct")
     return j.select(
         "ticker", F.coalesce("name", "ticker").alias("name"),
-        F.concat(F.when(pct >= 0, F.lit("+")).otherwise(F.lit("")), js_fixed(pct, 2), F.lit("%")).alias("change_text"),
-        F.concat(F.lit("$"), js_fixed(F.col("current_price"), 2)).alias("price_text"),
-        F.concat(F.lit("Vol: "), js_fixed(F.col("volume") / 1000, 0), F.lit("k")).alias("vol_text"),
+        F.concat(F.when(pct >= 0, F.lit("+")).otherwise(F.lit("")), F.col("_chg"), F.lit("%")).alias("change_text"),
+        F.concat(F.lit("$"), F.col("_px")).alias("price_text"),
+        F.concat(F.lit("Vol: "), F.col("_vk"), F.lit("k")).alias("vol_text"),
         F.format_number(F.col("volume").cast("long"), 0).alias("volume_text"),
-        js_fixed(F.col("avg_sentiment"), 2).alias("sentiment_text"))
+        F.col("_st").alias("sentiment_text"))
 
 
 def confidence_text(conf: Column) -> Column:

@@ -232,20 +232,40 @@ def test_pane_sliding_windows_equal_direct_form(spark):
 
 
 def test_browser_number_formats(spark):
-    from marketspark.functions.formats import js_fixed
+    from marketspark.functions.fixed import with_fixed_text
     from marketspark.plans.snapshots import confidence_text
     df = spark.createDataFrame([(1.005, 0.125), (-0.125, 0.745), (12345.5, 0.5)], "x double, c double")
-    got = df.select(js_fixed(F.col("x"), 2).alias("a"), js_fixed(F.col("x"), 0).alias("b"),
-                    confidence_text(F.col("c")).alias("c")).collect()
+    df = with_fixed_text(df, {"a": (F.col("x"), 2, "away"), "b": (F.col("x"), 0, "away")})
+    got = df.select("a", "b", confidence_text(F.col("c")).alias("c")).collect()
     assert [(r["a"], r["b"], r["c"]) for r in got] == [("1.00", "1", "13%"), ("-0.13", "-0", "75%"),
                                                          ("12345.50", "12346", "50%")]
 
 
 def test_browser_fixed_matches_reference_engine_cases(spark):
     # expected texts as a browser prints them (checked with a JavaScript engine)
-    from marketspark.functions.formats import js_fixed
+    from marketspark.functions.fixed import with_fixed_text
     cases = [(0.235, 2, "0.23"), (0.125, 2, "0.13"), (1.005, 2, "1.00"), (-0.125, 2, "-0.13"),
              (2.5, 0, "3"), (-0.5, 0, "-1"), (-0.125, 0, "-0")]
     df = spark.createDataFrame([(x,) for x, _, _ in cases], "x double")
-    got = [df.select(js_fixed(F.col("x"), d).alias("t")).collect()[i]["t"] for i, (_, d, _) in enumerate(cases)]
+    df = with_fixed_text(df, {"t2": (F.col("x"), 2, "away"), "t0": (F.col("x"), 0, "away")})
+    rows = df.collect()
+    got = [rows[i]["t2" if d == 2 else "t0"] for i, (_, d, _) in enumerate(cases)]
     assert got == [t for _, _, t in cases]
+
+
+def test_exact_fixed_matches_python_and_browser_rules(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+    from marketspark.functions.fixed import with_fixed_text
+    rnd = random.Random(3)
+    vals = [0.0, -0.0, 0.125, 2.675, 1.005, 71.25, -0.5, 1e-9, 999999.9995, 5e-7, -99.995, 1e-25, None]
+    vals += [rnd.uniform(-1000, 1000) for _ in range(400)] + [k / 8 for k in range(-40, 40)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    specs = {f"{t}{d}": (F.col("x"), d, t) for d in (0, 1, 2, 3) for t in ("even", "away")}
+    for r in with_fixed_text(df, specs).collect():
+        x = r["x"]
+        for d in (0, 1, 2, 3):
+            py = None if x is None else format(x, f".{d}f")
+            js = None if x is None else ("-" if x < 0 else "") + str(
+                Decimal(abs(x)).quantize(Decimal(1).scaleb(-d), rounding=ROUND_HALF_UP))
+            assert (r[f"even{d}"], r[f"away{d}"]) == (py, js), (x, d)
