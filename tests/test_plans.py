@@ -13,9 +13,10 @@ def plan(spark, name: str) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith("q_stream")))
-def test_no_pair_joins(spark, name):
+def test_no_pair_joins_and_no_python(spark, name):
     p = plan(spark, name)
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert "EvalPython" not in p          # every registered query stays in the JVM
 
 
 def test_time_filters_reach_the_scan(spark):
