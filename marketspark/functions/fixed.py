@@ -43,41 +43,56 @@ def with_fixed_text(df: DataFrame, specs: dict) -> DataFrame:
     ``ties='even'``: Python ``format(x, '.Nf')`` (half-even; '-' kept for -0.0).
     ``ties='away'``: browser ``toFixed`` (half away from zero; no sign for -0.0).
     Supports 0 <= digits <= 6 and |x| < 1e12; other finite values fall back to Java's
-    formatter, non-finite values to their cast text.  Each step is its own named column,
-    so every intermediate is computed once and the generated code stays small.
+    formatter, non-finite values to their cast text.  Each step is one projection holding
+    that step for every spec, so every intermediate is computed once, the generated code
+    stays small and the plan stays shallow.
     """
-    d = df
-    tmp: list[str] = []
-    for out, (x, digits, ties) in specs.items():
+    for out, (_, digits, ties) in specs.items():
         if not 0 <= digits <= 6:
             raise ValueError("digits must be in 0..6")
         if ties not in ("even", "away"):
             raise ValueError("ties must be 'even' or 'away'")
-        c = lambda name: f"_fx_{out}_{name}"
-        col = lambda name: F.col(c(name))     # noqa: E731
-        tmp += [c(n) for n in ("x", "a", "e", "n", "d", "q0", "r2", "q")]
-        scale = F.lit(10 ** digits).cast(_DEC)
-        d = d.withColumn(c("x"), x.cast("double"))
-        d = d.withColumn(c("a"), F.abs(col("x")))
-        d = d.withColumn(c("e"), _exponent(col("a")))
-        d = d.withColumn(c("n"), (col("a") * F.pow(F.lit(2.0), F.lit(52) - col("e"))).cast("long").cast(_DEC) * scale)
-        d = d.withColumn(c("d"), _pow2_dec(F.lit(52) - col("e")))
-        # decimal division rounds the quotient, so floor() may be one off: fix with the
-        # exact remainder
-        d = d.withColumn(c("q0"), F.floor(col("n") / col("d")).cast(_DEC))
-        d = d.withColumn(c("q0"), F.when(col("n") - col("q0") * col("d") < 0, col("q0") - 1)
-                         .when(col("n") - col("q0") * col("d") >= col("d"), col("q0") + 1).otherwise(col("q0")))
-        d = d.withColumn(c("r2"), (col("n") - col("q0") * col("d")) * F.lit(2).cast(_DEC))
-        tie_up = (F.pmod(col("q0"), F.lit(2).cast(_DEC)) == 1) if ties == "even" else F.lit(True)
-        q = col("q0") + F.when(col("r2") > col("d"), 1).when((col("r2") == col("d")) & tie_up, 1).otherwise(0)
-        d = d.withColumn(c("q"), F.when(col("a") < F.lit(_TINY), F.lit(0).cast(_DEC)).otherwise(q.cast(_DEC)))
-        int_part = F.floor(col("q") / scale).cast("long").cast("string")
-        frac = F.lpad(F.pmod(col("q"), scale).cast("long").cast("string"), digits, "0")
-        body = F.concat(int_part, F.lit("."), frac) if digits else int_part
-        xx = col("x")
-        neg = ((xx < 0) | ((xx == 0) & xx.cast("string").startswith("-"))) if ties == "even" else (xx < 0)
-        text = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), body)
-        finite = ~F.isnan(xx) & (col("a") != F.lit(float("inf")))
-        d = d.withColumn(out, F.when(xx.isNull(), F.lit(None).cast("string")).when(~finite, xx.cast("string"))
-                         .when(col("a") < F.lit(1e12), text).otherwise(F.format_string(f"%.{digits}f", xx)))
-    return d.drop(*tmp)
+
+    def c(out: str, name: str) -> str:
+        return f"_fx_{out}_{name}"
+
+    def col(out: str, name: str) -> Column:
+        return F.col(c(out, name))
+
+    def step(d: DataFrame, name: str, make) -> DataFrame:
+        return d.withColumns({c(o, name): make(o, x, dg, t) for o, (x, dg, t) in specs.items()})
+
+    scale = lambda dg: F.lit(10 ** dg).cast(_DEC)
+    d = step(df, "x", lambda o, x, dg, t: x.cast("double"))
+    d = step(d, "a", lambda o, x, dg, t: F.abs(col(o, "x")))
+    d = step(d, "e", lambda o, x, dg, t: _exponent(col(o, "a")))
+    d = step(d, "n", lambda o, x, dg, t: (col(o, "a") * F.pow(F.lit(2.0), F.lit(52) - col(o, "e")))
+             .cast("long").cast(_DEC) * scale(dg))
+    d = step(d, "d", lambda o, x, dg, t: _pow2_dec(F.lit(52) - col(o, "e")))
+    # decimal division rounds the quotient, so floor() may be one off: the exact remainder
+    # fixes it
+    d = step(d, "f", lambda o, x, dg, t: F.floor(col(o, "n") / col(o, "d")).cast(_DEC))
+    d = step(d, "r", lambda o, x, dg, t: col(o, "n") - col(o, "f") * col(o, "d"))
+    d = step(d, "q0", lambda o, x, dg, t: F.when(col(o, "r") < 0, col(o, "f") - 1)
+             .when(col(o, "r") >= col(o, "d"), col(o, "f") + 1).otherwise(col(o, "f")))
+    d = step(d, "r2", lambda o, x, dg, t: (col(o, "n") - col(o, "q0") * col(o, "d")) * F.lit(2).cast(_DEC))
+
+    def rounded(o, x, dg, t):
+        tie_up = (F.pmod(col(o, "q0"), F.lit(2).cast(_DEC)) == 1) if t == "even" else F.lit(True)
+        q = col(o, "q0") + F.when(col(o, "r2") > col(o, "d"), 1).when((col(o, "r2") == col(o, "d")) & tie_up, 1) \
+            .otherwise(0)
+        return F.when(col(o, "a") < F.lit(_TINY), F.lit(0).cast(_DEC)).otherwise(q.cast(_DEC))
+    d = step(d, "q", rounded)
+
+    def text(o, x, dg, t):
+        xx, q = col(o, "x"), col(o, "q")
+        int_part = F.floor(q / scale(dg)).cast("long").cast("string")
+        frac = F.lpad(F.pmod(q, scale(dg)).cast("long").cast("string"), dg, "0")
+        body = F.concat(int_part, F.lit("."), frac) if dg else int_part
+        neg = ((xx < 0) | ((xx == 0) & xx.cast("string").startswith("-"))) if t == "even" else (xx < 0)
+        txt = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), body)
+        finite = ~F.isnan(xx) & (col(o, "a") != F.lit(float("inf")))
+        return (F.when(xx.isNull(), F.lit(None).cast("string")).when(~finite, xx.cast("string"))
+                .when(col(o, "a") < F.lit(1e12), txt).otherwise(F.format_string(f"%.{dg}f", xx)))
+    d = d.withColumns({o: text(o, x, dg, t) for o, (x, dg, t) in specs.items()})
+    return d.drop(*[c(o, n) for o in specs for n in ("x", "a", "e", "n", "d", "f", "r", "q0", "r2", "q")])
