@@ -107,13 +107,21 @@ def trending(posts: DataFrame, as_of: Column, lookback: str = "1 hour", k: int =
     return top_k(g, [F.col("mentions").desc(), F.col("ticker").asc()], k)
 
 
-def movers(ticks: DataFrame, k: int = MOVERS_K) -> tuple[DataFrame, DataFrame]:
-    """(gainers, losers) by % change of the latest tick vs its open (NULL/0 open -> price)."""
+def movers(ticks: DataFrame, k: int = MOVERS_K, universe: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(gainers, losers) by % change of the latest tick vs its open (NULL/0 open -> price).
+    Equal changes keep universe order (the reference sorts stably over its ticker list)
+    when ``universe`` (ticker, ordinal) is given, else ticker order."""
     lt = latest_tick(ticks)
     ch = lt.select("ticker", "price", pct_change(F.col("price"), open_or_price(F.col("open"), F.col("price")))
                    .alias("change"))
-    gainers = top_k(ch.filter(F.col("change") >= 0), [F.col("change").desc(), F.col("ticker").asc()], k)
-    losers = top_k(ch.filter(F.col("change") < 0), [F.col("change").asc(), F.col("ticker").asc()], k)
+    tie = F.col("ticker").asc()
+    if universe is not None:
+        ch = ch.join(F.broadcast(universe.select("ticker", F.col("ordinal").alias("_ord"))), "ticker", "left")
+        tie = F.col("_ord").asc_nulls_last()
+    gainers = top_k(ch.filter(F.col("change") >= 0), [F.col("change").desc(), tie], k)
+    losers = top_k(ch.filter(F.col("change") < 0), [F.col("change").asc(), tie], k)
+    if universe is not None:
+        gainers, losers = gainers.drop("_ord"), losers.drop("_ord")
     return gainers, losers
 
 

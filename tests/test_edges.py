@@ -269,3 +269,16 @@ def test_exact_fixed_matches_python_and_browser_rules(spark):
             js = None if x is None else ("-" if x < 0 else "") + str(
                 Decimal(abs(x)).quantize(Decimal(1).scaleb(-d), rounding=ROUND_HALF_UP))
             assert (r[f"even{d}"], r[f"away{d}"]) == (py, js), (x, d)
+
+
+def test_movers_ties_keep_universe_order(spark):
+    from marketspark.plans.snapshots import movers
+    ticks = spark.createDataFrame([(1, "TSLA", T0, 110.0, 100.0, 1), (2, "AAPL", T0, 110.0, 100.0, 1),
+                                   (3, "NVDA", T0, 90.0, 100.0, 1)],
+                                  "tick_id long, ticker string, ts timestamp, price double, open double, volume long")
+    uni = spark.createDataFrame([(0, "TSLA"), (1, "AAPL"), (2, "NVDA")], "ordinal int, ticker string")
+    g, l = movers(ticks, 3, uni)
+    assert [r["ticker"] for r in g.collect()] == ["TSLA", "AAPL"]
+    assert [r["ticker"] for r in l.collect()] == ["NVDA"]
+    g2, _ = movers(ticks, 3)
+    assert [r["ticker"] for r in g2.collect()] == ["AAPL", "TSLA"]
