@@ -74,3 +74,9 @@ def iso(ts: Column) -> Column:
 def thousands(n: Column) -> Column:
     """Integer with thousands separators (``{:,}``)."""
     return F.format_number(n.cast("long"), 0)
+
+
+def py_strip(text: Column) -> Column:
+    """Python ``str.strip()``: remove leading and trailing whitespace of any kind (Spark's
+    ``trim`` removes spaces only)."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -535,11 +535,11 @@ def _sql_str(s: str) -> str:
 
 
 def _routing_sql() -> str:
-    alias_case = " ".join(f"WHEN contains(lower(trim(message)), 't{i}') THEN 'T{i}' "
-                          f"WHEN contains(lower(trim(message)), 'company {i}') THEN 'T{i}'" for i in range(8))
-    mood = " OR ".join(f"contains(lower(trim(message)), '{w}')" for w in RP.MOOD_WORDS)
+    alias_case = " ".join(f"WHEN contains(lower(regexp_replace(message, '^\\s+|\\s+$', '', 'g')), 't{i}') THEN 'T{i}' "
+                          f"WHEN contains(lower(regexp_replace(message, '^\\s+|\\s+$', '', 'g')), 'company {i}') THEN 'T{i}'" for i in range(8))
+    mood = " OR ".join(f"contains(lower(regexp_replace(message, '^\\s+|\\s+$', '', 'g')), '{w}')" for w in RP.MOOD_WORDS)
     macro = _render_sql(RP.MACRO_TEMPLATE, dict(fg="CAST(mc.fg_score AS VARCHAR)", mood="mc.mood"))
-    default = _render_sql(RP.DEFAULT_TEMPLATE, dict(query="trim(q.message)"))
+    default = _render_sql(RP.DEFAULT_TEMPLATE, dict(query="regexp_replace(q.message, '^\\s+|\\s+$', '', 'g')"))
     return f""", questions AS (
   SELECT conv_id * 1000 + turn AS msg_id,
          CASE WHEN conv_id % 3 = 0 THEN 'T' || CAST(conv_id % 8 AS VARCHAR) || ' outlook? ' || text
@@ -549,7 +549,7 @@ mc AS (SELECT CAST(trunc((coalesce(nullif(avg(compound), 0.0), 0.15) + 1.0) * 50
               CASE WHEN fg_score > 55 THEN 'GREED' WHEN fg_score < 45 THEN 'FEAR' ELSE 'NEUTRAL' END AS mood
        FROM posts WHERE ts >= (SELECT max(ts) FROM posts) - INTERVAL '2 hours' AND ts <= (SELECT max(ts) FROM posts)),
 q AS (SELECT msg_id, message, CASE {alias_case} END AS ticker, {mood} AS moody
-      FROM questions WHERE length(trim(message)) > 0)
+      FROM questions WHERE length(regexp_replace(message, '^\\s+|\\s+$', '', 'g')) > 0)
 SELECT q.msg_id,
        CASE WHEN q.ticker IS NOT NULL THEN {_asset_text_sql('f.')} WHEN q.moody THEN {macro} ELSE {default} END AS reply,
        'native-nlp' AS source, q.ticker,

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions.bands import fear_greed, mood3, status
+from marketspark.functions.bands import fear_greed, mood3, py_strip, status
 from marketspark.functions.bands import thousands
 from marketspark.functions.fixed import with_fixed_text
 from marketspark.functions.formats import render
@@ -64,7 +64,7 @@ def match_alias(messages: DataFrame, aliases: DataFrame, text_col: str = "messag
     if n > ALIAS_MAX:
         raise ValueError(f"alias table has {n} rows; at most {ALIAS_MAX} are folded into the routing expression")
     rows = aliases.orderBy("ordinal").select("word", "ticker").collect()  # bounded by the check above
-    low = F.lower(F.trim(F.col(text_col)))
+    low = F.lower(py_strip(F.col(text_col)))
     expr = F.lit(None).cast("string")
     for r in reversed(rows):
         expr = F.when(low.contains(F.lit(r["word"])), F.lit(r["ticker"])).otherwise(expr)
@@ -119,11 +119,11 @@ def route_questions(messages: DataFrame, aliases: DataFrame, facts: DataFrame, m
     ``macro`` is the one-row result of ``macro_facts``; its two values are read as
     literals (one row through the driver), so routing needs no join for it.
     """
-    m = messages.filter(F.length(F.trim(F.col(text_col))) > 0)
+    m = messages.filter(F.length(py_strip(F.col(text_col))) > 0)
     m = match_alias(m, aliases, text_col)
     mrow = macro.first()
     fg, mood = F.lit(int(mrow["fg_score"])), F.lit(mrow["mood"])
-    low = F.lower(F.trim(F.col(text_col)))
+    low = F.lower(py_strip(F.col(text_col)))
     moody = F.lit(False)
     for w in MOOD_WORDS:
         moody = moody | low.contains(w)
@@ -134,6 +134,6 @@ def route_questions(messages: DataFrame, aliases: DataFrame, facts: DataFrame, m
     j = j.withColumn("ticker", F.when(F.col("_ft").isNotNull(), F.col("ticker")))
     reply = (F.when(F.col("ticker").isNotNull(), F.col("_report"))
              .when(moody, macro_report_text(fg, mood))
-             .otherwise(render(DEFAULT_TEMPLATE, query=F.trim(F.col(text_col)))))
+             .otherwise(render(DEFAULT_TEMPLATE, query=py_strip(F.col(text_col)))))
     route = F.when(F.col("ticker").isNotNull(), "asset").when(moody, "macro").otherwise("default")
     return j.select(id_col, reply.alias("reply"), F.lit(REPLY_SOURCE).alias("source"), "ticker", route.alias("route"))
