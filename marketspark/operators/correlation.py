@@ -12,6 +12,7 @@ from marketspark.functions.stats import pearson
 from marketspark.operators.sequence import lag_rows, time_bucket
 
 MIN_TICKS = 5
+MATRIX_MAX = 64     # tickers per matrix: one aggregate holds a Pearson per pair (U*(U-1)/2)
 
 
 def window_correlation(aligned: DataFrame, min_ticks: int = MIN_TICKS, lag: int = 0,
@@ -52,6 +53,9 @@ def correlation_matrix(ticks: DataFrame, tickers: list[str], bucket: str = "1 ho
     aggregate holding a Pearson per pair.  No self-join, so no pair rows are emitted per
     bucket; the pair count is fixed by the configured universe.
     """
+    if len(tickers) > MATRIX_MAX:
+        raise ValueError(f"correlation_matrix holds one aggregate per ticker pair; {len(tickers)} tickers exceed "
+                         f"MATRIX_MAX={MATRIX_MAX} (split the universe into sectors)")
     t = ticks
     if lookback is not None and as_of is not None:
         t = t.filter((F.col("ts") >= as_of - F.expr(f"INTERVAL {lookback}")) & (F.col("ts") <= as_of))

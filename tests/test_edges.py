@@ -282,3 +282,10 @@ def test_movers_ties_keep_universe_order(spark):
     assert [r["ticker"] for r in l.collect()] == ["NVDA"]
     g2, _ = movers(ticks, 3)
     assert [r["ticker"] for r in g2.collect()] == ["AAPL", "TSLA"]
+
+
+def test_correlation_matrix_universe_cap(spark):
+    from marketspark.operators.correlation import MATRIX_MAX
+    ticks = spark.createDataFrame([(1, "A", T0, 1.0)], "tick_id long, ticker string, ts timestamp, price double")
+    with pytest.raises(ValueError):
+        correlation_matrix(ticks, [f"X{i}" for i in range(MATRIX_MAX + 1)])
