@@ -1,0 +1 @@
+"""Loaders, fixture adapters, wire records, quote and news sources, connectors."""

@@ -1,0 +1 @@
+"""Structured Streaming jobs and idempotent micro-batch sinks."""
