@@ -289,3 +289,11 @@ def test_correlation_matrix_universe_cap(spark):
     ticks = spark.createDataFrame([(1, "A", T0, 1.0)], "tick_id long, ticker string, ts timestamp, price double")
     with pytest.raises(ValueError):
         correlation_matrix(ticks, [f"X{i}" for i in range(MATRIX_MAX + 1)])
+
+
+def test_py_strip_matches_python(spark):
+    from marketspark.functions.bands import py_strip
+    texts = ["  a b  ", "\n\tfear?\r\n", " x ", "", "   ", "\x1cz\x1f", "mid \n dle"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(py_strip(F.col("t"))).collect()]
+    assert got == [t.strip() for t in texts]
