@@ -57,3 +57,26 @@ def test_range_average_any_chunking(spark, tick_rows, post_rows, chunks):
         vals = [c for pk, pm, c in post_rows if pk == k and pm // 120 == win and m - 20 <= pm <= m]
         exp = round(sum(vals) / len(vals), 9) if vals else 0.0
         assert abs(got[i] - exp) < 1e-12
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["A", "B", "C"]), st.integers(0, 2000), st.sampled_from([None, 1.0, 2.5])),
+                min_size=1, max_size=30),
+       st.sampled_from(["1 minute", "7 minutes", "1 hour", "auto"]))
+def test_split_sequence_ops_match_whole_key_definitions(spark, rows, bucket):
+    import pandas as pd
+    from marketspark.operators.sequence import forward_fill, previous_value, row_index
+    data = [(i, k, T0 + dt.timedelta(minutes=m), v) for i, (k, m, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k string, ts timestamp, v double")
+    pdf = pd.DataFrame(data, columns=["id", "k", "ts", "v"]).sort_values(["k", "ts", "id"])
+    prev = pdf.groupby("k")["v"].shift(1)
+    fill = pdf.groupby("k")["v"].ffill()
+    idx = pdf.groupby("k").cumcount() + 1
+    exp = {r.id: (p, f, n) for r, p, f, n in zip(pdf.itertuples(), prev, fill, idx)}
+    order = ["ts", "id"]
+    got_p = {r["id"]: r["p"] for r in previous_value(df, "k", order, "v", "p", bucket=bucket).collect()}
+    got_f = {r["id"]: r["f"] for r in forward_fill(df, "k", order, "v", "f", bucket=bucket).collect()}
+    got_i = {r["id"]: r["n"] for r in row_index(df, "k", order, "n", bucket=bucket).collect()}
+    same = lambda a, b: (a is None and (b is None or b != b)) or a == b
+    for i, (p, f, n) in exp.items():
+        assert same(got_p[i], p) and same(got_f[i], f) and got_i[i] == n, i
