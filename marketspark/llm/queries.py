@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import simhash
+from marketspark.llm import linededup, simhash
 from marketspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,44 @@ def query(sql: str | None = None):
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 4-word shingles, links at 4 bits."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), distance=4, shingle=4).drop("fp")
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS raw
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+weighed AS (
+  SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS h,
+         len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS w FROM lines),
+placed AS (
+  SELECT *, sum(w * 1000 + 1) OVER (PARTITION BY doc_id, text ORDER BY pos) - (w * 1000 + 1) AS s FROM weighed),
+reached AS (
+  SELECT *, list(h) OVER r AS hs, max(s + w * 1000 + 1) OVER r AS fin FROM placed
+  WINDOW r AS (PARTITION BY doc_id, text ORDER BY s RANGE BETWEEN 0 PRECEDING AND 49999 FOLLOWING)),
+following AS (SELECT *, coalesce(lead(hs) OVER (PARTITION BY doc_id, text ORDER BY s), []) AS nxt FROM reached),
+wins AS (
+  SELECT doc_id, text, pos, hs, nxt, row_number() OVER k AS nth, first(nxt) OVER k AS there
+  FROM following WHERE w > 0 AND fin >= s + 50000
+  WINDOW k AS (PARTITION BY hs ORDER BY doc_id NULLS LAST, text, pos)),
+runs AS (
+  SELECT doc_id, text, pos AS first,
+         pos + greatest(len(hs) - 1, coalesce(list_position(list_transform(range(1, len(nxt) + 1),
+             lambda i: nxt[i] IS NOT DISTINCT FROM there[i]), false) - 1, len(nxt))) AS last
+  FROM wins WHERE nth > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.text, l.pos FROM lines l JOIN runs r
+         ON l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.text = r.text AND l.pos BETWEEN r.first AND r.last),
+done AS (
+  SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.pos) AS n_deleted,
+         coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
+  FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.pos = g.pos
+  GROUP BY l.doc_id, l.text)
+SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_deleted, 0) AS n_deleted, x.kept AS text
+FROM documents d LEFT JOIN done x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text
+"""
+
+
+@query(OP8_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of all documents without the later of repeated runs of 50 words or more."""
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_deleted").alias("n_deleted"), "text")
