@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import linededup, simhash
+from marketspark.llm import bpe, linededup, simhash
 from marketspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of all documents without the later of repeated runs of 50 words or more."""
     out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_deleted").alias("n_deleted"), "text")
+
+
+def codec(spark: SparkSession) -> bpe.Codec:
+    """The production vocabulary: a public byte-level BPE for many languages."""
+    import public_tokenizers as public
+    return bpe.Codec(spark, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and what they decode to, as digests."""
+    return bpe.digests(read(spark, sf_dir, "documents"), codec(spark))
