@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import bpe, linededup, simhash
-from marketspark.llm.common import read
+from marketspark.llm import bpe, langid, linededup, simhash, toxicity
+from marketspark.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,24 @@ def codec(spark: SparkSession) -> bpe.Codec:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and what they decode to, as digests."""
     return bpe.digests(read(spark, sf_dir, "documents"), codec(spark))
+
+
+TOXIC_FROM = 0.3
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labelled rows outside fold 2."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+@query()
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from labelled rows outside fold 2."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs)
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), langid.predict(F.col("text"), model).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
