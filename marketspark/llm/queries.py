@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import bpe, langid, linededup, simhash, toxicity
+from marketspark.llm import bpe, langid, linededup, mixing, simhash, toxicity
 from marketspark.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,33 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), langid.predict(F.col("text"), model).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+         ('0x' || substr(md5('mix-1 ' || coalesce(doc_id::VARCHAR, 'text ' || coalesce(md5(text), ''))), 1, 13))::BIGINT::DOUBLE / pow(16, 13) AS u
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+fill AS (
+  SELECT 0 AS step, (SELECT 1.5::DOUBLE * sum(source_size) / sum(weight) FROM sources)::DOUBLE AS unit
+  UNION ALL
+  SELECT step + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (WHERE weight * unit > 2.0::DOUBLE * source_size), 0))
+                           / (sum(weight) FILTER (WHERE weight * unit <= 2.0::DOUBLE * source_size)) FROM sources)::DOUBLE
+  FROM fill WHERE step < 40),
+goal AS (
+  SELECT source, source_size, least(weight * unit, 2.0::DOUBLE * source_size) AS target FROM sources, (SELECT max(unit) AS unit FROM fill)),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM goal)
+SELECT d.doc_id, d.size, r.source_size, round(r.target, 6) AS target,
+       (d.size * (floor(r.rate) + CASE WHEN d.u < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
+"""
+
+
+@query(OP10_SQL)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix by weights 3, 1, 2 of 150% of all words takes of every document."""
+    out = mixing.plan(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
