@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import bpe, langid, linededup, mixing, simhash, toxicity
+from marketspark.llm import bpe, langid, linededup, mixing, simhash, toxicity, warc
 from marketspark.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix by weights 3, 1, 2 of 150% of all words takes of every document."""
     out = mixing.plan(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+             max(page_id) OVER (PARTITION BY sha1(body), strlen(body)) AS top FROM p),
+b AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(hex, (5 * g + 1)::INT, 5))::BIGINT) AS parts FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1]),
+                      'string_agg', '') AS payload_digest,
+       CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM b
+"""
+
+
+@query(OP4_SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    table = warc.archives(read(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.records(table, payloads=False).drop("url")
