@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import bpe, langid, linededup, mixing, simhash, toxicity, warc
+from marketspark.llm import bpe, langid, linededup, mixing, simhash, toxicity, urlfilter, warc
 from marketspark.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,68 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     table = warc.archives(read(spark, sf_dir, "pages"), min_bytes=0)
     return warc.records(table, payloads=False).drop("url")
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def _level(k: int) -> str:
+    """The oracle's generalisation of one tree level."""
+    node = ", ".join(["host", *[f"t{i}" for i in range(1, k)]])
+    source = f"g{k - 1}"
+    return f"""
+c{k} AS (SELECT {node}, s{k}, sum(n) AS kn, sum(sum(n)) OVER (PARTITION BY {node}) AS total, count(*) OVER (PARTITION BY {node}) AS kinds
+         FROM {source} GROUP BY {node}, s{k}),
+g{k} AS (SELECT {source}.*, CASE WHEN s{k} <> '' AND NOT (kinds < 8 OR kn >= 0.05::DOUBLE * total) THEN '/*' ELSE s{k} END AS t{k}
+         FROM {source} JOIN c{k} USING ({node}, s{k})),"""
+
+
+OP2_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parsed AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN ['example.org/en/1', 'block']
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN ['example.org/es/', 'block']
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN ['com/de/', 'block']
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN ['com/fr/', 'allow']
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN ['org/', 'allow'] END AS r,
+    string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') AS p FROM parsed),
+rows_ AS (
+  SELECT *, CASE WHEN len(p) > 1 THEN '/' || p[2] ELSE '' END AS s1, CASE WHEN len(p) > 2 THEN '/' || p[3] ELSE '' END AS s2,
+         CASE WHEN len(p) > 3 THEN '/' || array_to_string(p[4:], '/') ELSE '' END AS s3 FROM ruled),
+g0 AS (
+  SELECT host, s1, s2, s3, count(*) AS n, count(*) FILTER (WHERE r[2] = 'allow') AS allow, count(*) FILTER (WHERE r[2] = 'block') AS block
+  FROM rows_ GROUP BY ALL),""" + _level(1) + _level(2) + _level(3) + r"""
+cells AS (SELECT host, t1, t2, t3, sum(n)::BIGINT AS n, sum(allow)::BIGINT AS allow, sum(block)::BIGINT AS block FROM g3 GROUP BY ALL),
+pool AS (SELECT host, t2, t3, sum(n)::BIGINT AS ns FROM cells GROUP BY ALL),
+hosts AS (SELECT host, sum(ns)::BIGINT AS nh, count(*) AS kinds FROM pool GROUP BY host),
+marks AS (SELECT host, sum(allow)::BIGINT AS ah, sum(block)::BIGINT AS kh FROM cells GROUP BY host),
+tested AS (
+  SELECT host, t1, sum(n)::BIGINT AS nb, sum(allow)::BIGINT AS ab, sum(block)::BIGINT AS kb, sum(n * n / ns::DOUBLE) AS q
+  FROM cells JOIN pool USING (host, t2, t3) GROUP BY host, t1),
+branches AS (
+  SELECT host, t1, CASE WHEN q * nh / nb - nb <= kinds - 1 + 3.0::DOUBLE * sqrt(2.0::DOUBLE * (kinds - 1)) + 1e-9
+    AND (ab + kb = 0 OR kh = 0 OR ah = 0 OR pow(kb - (ab + kb) * (kh / (ah + kh)::DOUBLE), 2)
+         <= 9.0::DOUBLE * (ab + kb) * (kh / (ah + kh)::DOUBLE) * (1 - kh / (ah + kh)::DOUBLE)) THEN '/~' ELSE t1 END AS branch
+  FROM tested JOIN hosts USING (host) JOIN marks USING (host)),
+base AS (SELECT (sum(kh) + 1.0::DOUBLE) / (sum(ah + kh) + 2.0::DOUBLE) AS b FROM marks),
+tree AS (SELECT * FROM g3 JOIN branches USING (host, t1)),
+judged AS (
+  SELECT host, branch, t2, t3, branch || t2 || t3 AS template,
+         (sum(block) + 5.0::DOUBLE * ((any_value(kh) + 5.0::DOUBLE * any_value(b)) / (any_value(ah + kh) + 5.0::DOUBLE))) / (sum(allow + block) + 5.0::DOUBLE) AS purity
+  FROM tree JOIN marks USING (host), base GROUP BY host, branch, t2, t3)
+SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+       template, round(purity, 9) AS purity
+FROM rows_ JOIN tree USING (host, s1, s2, s3) JOIN judged USING (host, branch, t2, t3)
+"""
+
+
+@query(OP2_SQL)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules, else by its path template."""
+    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
