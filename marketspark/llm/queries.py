@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import bpe, langid, linededup, mixing, simhash, toxicity, urlfilter, warc
+from marketspark.llm import anntree, bpe, langid, linededup, mixing, simhash, toxicity, urlfilter, vafile, warc
 from marketspark.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,29 @@ FROM rows_ JOIN tree USING (host, s1, s2, s3) JOIN judged USING (host, branch, t
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by rules, else by its path template."""
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP7_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query(OP7_SQL)
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector against all."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return vafile.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
+@query()
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found by cosine of every fiftieth vector against all."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return anntree.Index(vectors).search(vectors.where("vec_id % 50 = 0"), k=5)
