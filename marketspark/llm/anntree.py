@@ -50,9 +50,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def matrix(vectors) -> np.ndarray:
-    """Vectors as rows of doubles, scaled by their largest component so that squares stay finite."""
+    """Vectors as rows of doubles, scaled by a power of two so that squares stay finite; cosines keep every bit."""
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
-    return x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:

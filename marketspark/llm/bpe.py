@@ -266,9 +266,9 @@ class Codec:
         return text(ids)
 
 
-def digests(docs, codec: Codec, id_col: str = "doc_id", text_col: str = "text"):
+def digests(docs, codec: Codec, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False):
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and
-    decoded_sha256 (of the decoded bytes).
+    decoded_sha256 (of the decoded bytes); with ``keep_ids`` also the ids themselves.
 
     Null and empty texts have no tokens and the digests of the empty string; repeated rows each
     give a row; other columns are not read."""
@@ -276,4 +276,4 @@ def digests(docs, codec: Codec, id_col: str = "doc_id", text_col: str = "text"):
     both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+                       F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))

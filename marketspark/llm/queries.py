@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 @query()
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 4-word shingles, links at 4 bits."""
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"), distance=4, shingle=4).drop("fp")
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), distance=4, shingle=4).drop("fp", "root")
 
 
 OP8_SQL = r"""

@@ -247,32 +247,31 @@ def link_components(marked: DataFrame, distance: int = 4, id_col: str = "doc_id"
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``fp`` (signed), ``fingerprint`` (16 hex digits) and ``component_id``.
+    """One row per row of ``docs``: id, ``fp`` (signed), ``root`` (its class),
+    ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Null, empty and word-free texts have fingerprint zero and are linked like any other.  Repeated
     rows each give a row.  Only the two named columns are read, so further columns cannot clash."""
     marked = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "marked")
     classes = staged(link_components(marked, distance).select("fp", "root", "component_id"), "classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+    return marked.join(classes, "fp").select("doc_id", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                              "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id.
 
-    In a class without any id, and among rows that repeat that id, one row stays.  Columns are
-    unchanged."""
+    Among rows of the class that repeat that id, and in a class without any id, one row stays.
+    Columns are unchanged."""
     names = docs.columns
-    found = near_duplicates(docs, distance, shingle)
-    classes = staged(found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-                     .agg(F.sum((F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("rows")), "kept")
-    keep = classes.where("component_id is not null").select(F.col("component_id").alias("_keep"), F.col("rows").alias("_rows"))
-    out = docs.join(keep, docs["doc_id"] == keep["_keep"], "inner")
+    found = staged(near_duplicates(docs, distance, shingle).select("doc_id", "fp", "root", "component_id"), "found")
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = own.groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    out = docs.join(ids.withColumnRenamed("doc_id", "_keep"), docs["doc_id"] == F.col("_keep"))
     once = out.where("_rows = 1").select(*[docs[c] for c in names])
-    again = out.where("_rows > 1").select(*[docs[c] for c in names]).dropDuplicates(["doc_id"])
-    lost = docs.where(F.col("doc_id").isNull())
-    if not classes.where("component_id is null").isEmpty():
-        nulls = classes.where("component_id is null").select(F.col("fp").alias("_fp"))
-        lost = lost.withColumn("_fp", fingerprint(F.col("text"), shingle)).join(nulls, "_fp").dropDuplicates(["_fp"]).select(*names)
-        return once.unionByName(again).unionByName(lost)
-    return once.unionByName(again)
+    # rows with a repeated id, or none, are few or odd: only for them the fingerprint is needed again
+    again = out.where("_rows > 1").select(*[docs[c] for c in names]).unionByName(docs.where(F.col("doc_id").isNull()))
+    roots = own.select(F.col("doc_id").alias("_keep"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    again = again.withColumn("_f", fingerprint(F.col("text"), shingle))
+    again = again.join(roots, (F.col("_f") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_root"])
+    return once.unionByName(again.select(*names))
