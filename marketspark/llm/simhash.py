@@ -266,12 +266,12 @@ def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     names = docs.columns
     found = staged(near_duplicates(docs, distance, shingle).select("doc_id", "fp", "root", "component_id"), "found")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = own.groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    out = docs.join(ids.withColumnRenamed("doc_id", "_keep"), docs["doc_id"] == F.col("_keep"))
-    once = out.where("_rows = 1").select(*[docs[c] for c in names])
+    ids = own.groupBy("doc_id").agg(F.count("*").alias("_sh_rows"))
+    out = docs.join(ids.withColumnRenamed("doc_id", "_sh_id"), docs["doc_id"] == F.col("_sh_id"))
+    once = out.where("_sh_rows = 1").select(*[docs[c] for c in names])
     # rows with a repeated id, or none, are few or odd: only for them the fingerprint is needed again
-    again = out.where("_rows > 1").select(*[docs[c] for c in names]).unionByName(docs.where(F.col("doc_id").isNull()))
-    roots = own.select(F.col("doc_id").alias("_keep"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    again = again.withColumn("_f", fingerprint(F.col("text"), shingle))
-    again = again.join(roots, (F.col("_f") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_root"])
+    again = out.where("_sh_rows > 1").select(*[docs[c] for c in names]).unionByName(docs.where(F.col("doc_id").isNull()))
+    roots = own.select(F.col("doc_id").alias("_sh_id"), F.col("fp").alias("_sh_of"), F.col("root").alias("_sh_root")).distinct()
+    again = again.withColumn("_sh_fp", fingerprint(F.col("text"), shingle))
+    again = again.join(roots, (F.col("_sh_fp") == F.col("_sh_of")) & F.col("doc_id").eqNullSafe(F.col("_sh_id"))).dropDuplicates(["_sh_root"])
     return once.unionByName(again.select(*names))
