@@ -13,7 +13,9 @@ bytes a priority queue of (rank, position) makes the same merges in the same ord
 from __future__ import annotations
 
 import base64
+import re
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,24 @@ TEXT_AT_ONCE = 4_000_000        # characters split before their new pieces are e
 CELLS = 1 << 19                 # cells of one matrix: its arrays stay in the processor's cache
 
 
+def latin_pattern(pattern: str) -> str:
+    """``pattern`` for ``re`` and texts of code points below 256: its classes (\\p{..}, \\s, \\S)
+    written out as the characters that they match there."""
+    low = [chr(c) for c in range(256)]
+    out, inside, at = [], False, 0
+    for m in regex.finditer(r"\\p\{\w+\}|\\[sS]|\\.|[\[\]]|[^\\\[\]]+", pattern):
+        assert m.start() == at, "an unforeseen pattern"
+        at, token = m.end(), m[0]
+        if token in "[]":
+            inside = token == "["
+        elif len(token) > 2 and token[0] == "\\" or token in ("\\s", "\\S"):
+            token = "".join(f"\\x{ord(c):02x}" for c in low if regex.fullmatch(token, c))
+            token = token if inside else f"[{token}]"
+        out.append(token)
+    # beyond the listed characters nothing may match \\S, but such texts do not come here
+    return "".join(out)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank from a file of base64 token and rank per line."""
     with open(path, "rb") as f:
@@ -75,7 +95,7 @@ class PairTable:
 
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find_pieces = ranks, regex.compile(pattern).findall
+        self.ranks, self.find_any, self.find_latin = ranks, regex.compile(pattern).findall, re.compile(latin_pattern(pattern)).findall
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         assert (self.byte >= 0).all(), "the vocabulary must hold every single byte"
         cuts = [(a, b, rank) for token, rank in ranks.items() for cut in range(1, len(token))
@@ -95,8 +115,15 @@ class Tokenizer:
         self.ids = np.zeros(0, np.int32)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _merge_rows(self, rows: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each of ``rows``, which share a length bucket."""
+    def find_pieces(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find_any(text)
+        return self.find_latin(text)
+
+    def _merge_rows(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all ``rows``, which share a length bucket, one after the other; their counts."""
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         width = int(size.max())
         mat = np.full((len(rows), width), -1, np.int32)
@@ -104,7 +131,7 @@ class Tokenizer:
         ranks = np.full((len(rows), width), NONE, np.int32)              # of the pair that starts here
         real = np.arange(width - 1) < size[:, None] - 1
         ranks[:, :-1][real] = self.pairs.find(mat[:, :-1][real], mat[:, 1:][real])
-        out: list = [None] * len(rows)
+        ids, counts = np.empty_like(mat), np.zeros(len(rows), np.int64)
         live = np.arange(len(rows))
         while True:
             at = np.arange(len(live))
@@ -112,12 +139,12 @@ class Tokenizer:
             least = ranks[at, best]
             done = least == NONE
             if done.any():
-                for i, row, n in zip(live[done].tolist(), mat[done], size[done].tolist()):
-                    out[i] = row[:n]
+                ids[live[done], :width] = mat[done]
+                counts[live[done]] = size[done]
                 stay = ~done
                 live, mat, size, ranks, best, least = (x[stay] for x in (live, mat, size, ranks, best, least))
                 if not len(live):
-                    return out
+                    return ids[np.arange(ids.shape[1]) < counts[:, None]], counts
                 width = int(size.max())
                 mat, ranks, at = mat[:, :width], ranks[:, :width], at[: len(live)]
             before = np.arange(width - 1) <= best[:, None]               # every row gives up one place
@@ -157,30 +184,28 @@ class Tokenizer:
         return np.array([self.ranks[p] for p in part if p is not None], np.int32)
 
     def _learn(self, pieces: list[str]) -> None:
-        made: list[np.ndarray] = []
-        names: list[str] = []
-        buckets: dict[int, tuple[list[str], list[bytes]]] = {}
-        for piece in pieces:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None or len(raw) >= QUEUE_FROM:
-                names.append(piece)
-                made.append(self._merge_long(raw) if whole is None else np.array([whole], np.int32))
-            else:
-                step = 1 << max(0, len(raw).bit_length() - 3)            # a bucket's widths differ by a quarter at most
-                into = buckets.setdefault(-(-len(raw) // step) * step, ([], []))
-                into[0].append(piece)
-                into[1].append(raw)
-        for width, (members, raws) in buckets.items():
-            most = max(1, CELLS // width)
-            for at in range(0, len(raws), most):
-                made += self._merge_rows(raws[at: at + most])
-            names += members
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names))))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-        self.count = np.concatenate([self.count, size])
-        self.ids = np.concatenate([self.ids, *made])
+        raws = [p.encode() for p in pieces]
+        whole = np.fromiter(map(self.ranks.get, raws, repeat(-1)), np.int64, len(raws))
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        order = np.argsort(np.where(whole >= 0, 0, size), kind="stable")
+        single = int((whole >= 0).sum())
+        ids, counts = [whole[order[:single]].astype(np.int32)], [np.ones(single, np.int64)]
+        at, short = single, int(np.searchsorted(size[order[single:]], QUEUE_FROM)) + single
+        while at < short:                                                # a bucket's widths differ by a quarter at most
+            width = int(size[order[at]])
+            end = int(np.searchsorted(size[order[single:short]], width + (width >> 2), "right")) + single
+            end = min(end, at + max(1, CELLS // (width + (width >> 2))))
+            flat, count = self._merge_rows([raws[i] for i in order[at:end].tolist()])
+            ids.append(flat), counts.append(count)
+            at = end
+        for i in order[short:].tolist():
+            ids.append(self._merge_long(raws[i]))
+            counts.append(np.array([len(ids[-1])]))
+        known, count = len(self.number), np.concatenate(counts)
+        self.number.update(zip([pieces[i] for i in order.tolist()], range(known, known + len(pieces))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, *ids])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
