@@ -201,7 +201,7 @@ branches AS (
     AND (ab + kb = 0 OR kh = 0 OR ah = 0 OR pow(kb - (ab + kb) * (kh / (ah + kh)::DOUBLE), 2)
          <= 9.0::DOUBLE * (ab + kb) * (kh / (ah + kh)::DOUBLE) * (1 - kh / (ah + kh)::DOUBLE)) THEN '/~' ELSE t1 END AS branch
   FROM tested JOIN hosts USING (host) JOIN marks USING (host)),
-base AS (SELECT (sum(kh) + 1.0::DOUBLE) / (sum(ah + kh) + 2.0::DOUBLE) AS b FROM marks),
+base AS (SELECT least(0.5::DOUBLE, (sum(kh) + 1.0::DOUBLE) / (sum(ah + kh) + 2.0::DOUBLE)) AS b FROM marks),
 tree AS (SELECT * FROM g3 JOIN branches USING (host, t1)),
 judged AS (
   SELECT host, branch, t2, t3, branch || t2 || t3 AS template,

@@ -10,7 +10,7 @@ Rules label the urls they fit.  All urls, labelled or not, build a tree per host
    Branches that do not differ significantly form one merged branch ``~``; comparing with the pool
    instead of with each other keeps this linear in the number of branches.
 3. Reject.  A template's block purity is smoothed towards its host's, and the host's towards the
-   corpus's.  Urls that no rule fits are blocked if their template's purity is ``REJECT`` or more.
+   corpus's (at most one half).  Urls that no rule fits are blocked if their template's purity is ``REJECT`` or more.
 
 Pages are reduced to counts per (host, masked path) before anything is joined, and partial sums
 absorb hot hosts.  DataFrame functions only.
@@ -100,7 +100,8 @@ def templates(urls: DataFrame) -> DataFrame:
     tree = _generalised(urls)
     tree = staged(tree.join(_merged(tree), ["host", "t1"]), "branches")
     total = tree.agg(F.sum("block").alias("k"), (F.sum("allow") + F.sum("block")).alias("l")).first()
-    base = F.lit(((total["k"] or 0) + 1.0) / ((total["l"] or 0) + 2.0))
+    # at most even odds: no template is rejected without labelled relatives
+    base = F.lit(min(0.5, ((total["k"] or 0) + 1.0) / ((total["l"] or 0) + 2.0)))
     hosts = tree.groupBy("host").agg(F.sum("block").alias("kh"), F.sum(F.col("allow") + F.col("block")).alias("lh"))
     key = ["host", "branch", "t2", "t3"]
     found = tree.groupBy(*key).agg(F.sum("block").alias("k"), F.sum(F.col("allow") + F.col("block")).alias("l")).join(hosts, "host")
