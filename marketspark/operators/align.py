@@ -1,7 +1,7 @@
 """Aligning posts with ticks: trailing range average, interval containment, as-of lookup.
 
-None of these emits (tick, post) pairs.  The trailing average is a RANGE window over the
-union of both inputs; the containment lookup joins each tick to the few windows whose
+None of these emits (tick, post) pairs.  The trailing average is a difference of running sums over
+the union of both inputs; the containment lookup joins each tick to the few windows whose
 time bucket it falls in (bounded by window geometry, not data); the as-of lookup is a
 forward fill over a union.
 """
@@ -11,69 +11,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.operators.sequence import auto_bucket_micros, forward_fill, interval_micros, time_bucket
+from marketspark.operators.sequence import forward_fill, interval_micros, time_bucket, with_bucket
 
 ALIGN_DIGITS = 9   # rolling averages are rounded so equal values stay bit-equal across engines
-MAX_COPIES = 8     # at most this many extra chunk copies of each post
-
-
-def _window_cols(ts: str, window: str, slide: str | None) -> list[Column]:
-    w = F.window(F.col(ts), window, slide) if slide else F.window(F.col(ts), window)
-    return [w.alias("_w")]
-
-
-def _chunk_plan(ticks: DataFrame, posts: DataFrame, lookback_us: int, chunks) -> tuple[int, int]:
-    """(chunk width, copies r): chunk width c divides the look-back into r <= MAX_COPIES
-    parts; posts are copied into chunks k..k+r.  ``chunks='auto'`` sizes c from the hottest
-    ticker's measured density so a (ticker, window, chunk) task holds about
-    TARGET_ROWS_PER_BUCKET rows."""
-    if chunks == "auto":
-        u = ticks.select("ticker", "ts").unionByName(posts.select("ticker", "ts"))
-        width = auto_bucket_micros(u, ["ticker"], "ts")
-    elif isinstance(chunks, int):
-        width = max(1, lookback_us // chunks)
-    else:
-        width = interval_micros(chunks)
-    width = max(width, -(-lookback_us // MAX_COPIES), 1)
-    width = min(width, max(lookback_us, 1))
-    copies = -(-lookback_us // width)
-    return width, copies
+SUM = "decimal(38,12)"   # running sums are exact, so any order of summing gives the same average
 
 
 def rolling_sentiment_at_ticks(ticks: DataFrame, posts: DataFrame, window: str = "5 minutes",
                                lookback: str = "2 minutes", slide: str | None = None,
-                               digits: int | None = ALIGN_DIGITS, chunks="auto") -> DataFrame:
+                               digits: int | None = ALIGN_DIGITS, bucket="auto") -> DataFrame:
     """Per tick and window: mean compound of the same ticker's posts with
     ts - lookback <= post.ts <= ts inside the same window (inclusive both ends); 0.0 if none.
 
-    Plan: time is cut into chunks of width c = lookback / r; ticks go to their own chunk,
-    posts are copied into their own and the next r chunks; one shuffle on
-    (ticker, window, chunk) and a RANGE frame of ``lookback`` microseconds.  Every post a
-    tick needs lies in the tick's partition, each post is counted once per partition, and
-    no partition spans more than one chunk of one ticker, so a hot ticker is spread over
-    many tasks.  ``chunks``: 'auto' (measured), an interval string, or r as an int.
+    Linear in the input.  A post enters the running sum at its time and leaves it right after its
+    look-back; a tick reads the running sum.  Where the window started within the look-back, the sum
+    since that start is the difference of two prefix sums: the one at the tick, and the one over all
+    earlier panes (slide-wide stretches between window starts), a table of one row per ticker and
+    pane.  Posts are never copied to windows or look-backs; a tick has a row per window that
+    holds it, as the result does.  The running sums are cut into buckets with carry-in, so a hot
+    ticker is spread over many tasks.
     """
-    lb = interval_micros(lookback)
-    width, copies = _chunk_plan(ticks, posts, lb, chunks)
-    t = ticks.select("tick_id", "ticker", "ts", "price", *_window_cols("ts", window, slide))
-    t = t.select("ticker", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
-                 "ts", "tick_id", "price", F.lit(None).cast("double").alias("compound"),
-                 time_bucket(F.col("ts"), width).alias("_chunk"))
-    p = posts.select("ticker", "ts", "compound", *_window_cols("ts", window, slide))
-    own = time_bucket(F.col("ts"), width)
-    p = p.select("ticker", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
-                 "ts", F.lit(None).cast("long").alias("tick_id"), F.lit(None).cast("double").alias("price"),
-                 "compound", F.explode(F.sequence(own, own + copies)).alias("_chunk"))
-    u = t.unionByName(p).withColumn("_us", F.unix_micros("ts"))
-    frame = (Window.partitionBy("ticker", "window_start", "_chunk").orderBy("_us")
-             .rangeBetween(-lb, Window.currentRow))
-    u = u.withColumn("_avg", F.avg("compound").over(frame)).withColumn("n_posts", F.count("compound").over(frame))
-    s = F.coalesce(F.col("_avg"), F.lit(0.0))
+    lb, pane = interval_micros(lookback), interval_micros(slide or window)
+    c = F.col("compound").cast(SUM)
+    real = posts.where(F.col("compound").isNotNull())
+
+    def event(df, kind, us, add, n, seen, **more):
+        none = {"tick_id": "long", "price": "double"}
+        return df.select("ticker", F.lit(kind).alias("_kind"), us.alias("_us"), add.cast(SUM).alias("_c"), F.lit(n).cast("long").alias("_n"),
+                         F.lit(seen).cast("long").alias("_p"), *[more.get(k, F.lit(None).cast(t)).alias(k) for k, t in none.items()])
+
+    us = F.unix_micros("ts")
+    u = (event(real, 0, us, c, 1, 1)                                     # a post enters ...
+         .unionByName(event(real, 2, us + lb, -c, -1, 0))                # ... and leaves after ticks of that time
+         .unionByName(event(ticks, 1, us, F.lit(0), 0, 0, tick_id=F.col("tick_id"), price=F.col("price"))))
+    u = u.withColumn("_ts", F.timestamp_micros("_us"))
+    u = with_bucket(u, ["ticker"], "_ts", bucket, "_b")
+    own, own_n = F.col("_c") * F.col("_p"), F.col("_p")                  # prefix: entering posts only
+    parts = {"_tc": F.col("_c"), "_tn": F.col("_n"), "_pc": own, "_pn": own_n}
+    # equal (time, kind) rows share a sum, so no tie-break is needed
+    run = Window.partitionBy("ticker", "_b").orderBy("_us", "_kind")
+    inside = u.select("ticker", "_b", "_us", "_kind", "tick_id", "price", *[F.sum(x).over(run).cast(SUM).alias(k) for k, x in parts.items()])
+    totals = u.groupBy("ticker", "_b").agg(*[F.sum(x).cast(SUM).alias(k) for k, x in parts.items()])
+    before = Window.partitionBy("ticker").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("ticker", "_b", *[F.coalesce(F.sum(k).over(before), F.lit(0)).cast(SUM).alias(f"{k}0") for k in parts])
+    at = (inside.where(F.col("_kind") == 1).join(carry, ["ticker", "_b"], "left")
+          .select("ticker", "_us", "tick_id", "price", *[(F.col(k) + F.coalesce(F.col(f"{k}0"), F.lit(0))).alias(k) for k in parts]))
+
+    # prefix sums at the pane starts
+    number = F.floor(us / pane)
+    panes = real.groupBy("ticker", number.alias("_pane")).agg(F.sum(c).cast(SUM).alias("_sc"), F.count(F.lit(1)).alias("_sn"))
+    upto = Window.partitionBy("ticker").orderBy("_pane").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    panes = panes.select(F.col("ticker").alias("_pt"), "_pane", F.sum("_sc").over(upto).cast(SUM).alias("_sc"), F.sum("_sn").over(upto).alias("_sn"))
+    w = F.window(F.timestamp_micros("_us"), window, slide) if slide else F.window(F.timestamp_micros("_us"), window)
+    rows = at.select("*", w.alias("_w")).select("*", F.unix_micros("_w.start").alias("_start")).drop("_w")
+    rows = rows.withColumn("_short", F.col("_start") > F.col("_us") - lb)
+    return _since(rows, panes, pane, interval_micros(window), digits)
+
+
+def _since(rows: DataFrame, panes: DataFrame, pane: int, width: int, digits: int | None) -> DataFrame:
+    """Averages of ``rows``: over the look-back, or since the window's start where that is nearer."""
+    # the prefix before a window start is that of the last pane with posts before it
+    need = rows.where("_short").select("ticker", F.floor(F.col("_start") / pane).alias("_at")).distinct()
+    known = panes.select(F.col("_pt").alias("ticker"), (F.col("_pane") + 1).alias("_at"), "_sc", "_sn", F.lit(0).alias("_q"))
+    asked = need.select("ticker", "_at", F.lit(None).cast(SUM).alias("_sc"), F.lit(None).cast("long").alias("_sn"), F.lit(1).alias("_q"))
+    fill = Window.partitionBy("ticker").orderBy("_at", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = known.unionByName(asked)
+    base = (both.select("ticker", "_at", "_q", F.last("_sc", True).over(fill).alias("_bc"), F.last("_sn", True).over(fill).alias("_bn"))
+            .where("_q = 1").select(F.col("ticker").alias("_bt"), F.col("_at").alias("_ba"), "_bc", "_bn"))
+    j = rows.join(base, (F.col("ticker") == F.col("_bt")) & (F.floor(F.col("_start") / pane) == F.col("_ba")), "left")
+    zero = F.lit(0)
+    total = F.when(F.col("_short"), F.col("_pc") - F.coalesce("_bc", zero)).otherwise(F.col("_tc"))
+    n = F.when(F.col("_short"), F.col("_pn") - F.coalesce("_bn", zero)).otherwise(F.col("_tn")).cast("long")
+    s = F.when(n > 0, total.cast("double") / n).otherwise(F.lit(0.0))
     if digits is not None:
         s = F.round(s, digits)
-    return (u.filter(F.col("tick_id").isNotNull())
-            .select("tick_id", "ticker", "ts", "price", "window_start", "window_end",
-                    s.alias("sentiment"), "n_posts"))
+    return j.select("tick_id", "ticker", F.timestamp_micros("_us").alias("ts"), "price", F.timestamp_micros("_start").alias("window_start"),
+                    F.timestamp_micros(F.col("_start") + width).alias("window_end"), s.alias("sentiment"), n.alias("n_posts"))
 
 
 def attach_containing_window(ticks: DataFrame, aggregates: DataFrame, max_window: str = "1 day",

@@ -8,10 +8,11 @@ value computed from a per-(key, bucket) summary.  The summary has one row per
 (key, bucket), so the only per-key window runs over a table whose size is bounded by
 the time span divided by the bucket width, not by the data volume.
 
-Results are exact for any bucket width; the width only trades task size against the
-size of the summary table.  The default ``"auto"`` measures the hottest key's row count
-and the time span (one small aggregate) and picks the width that keeps about
-``TARGET_ROWS_PER_BUCKET`` rows of that key per task.
+Results are exact for any bucketing; it only trades task size against the size of the
+summary table.  A bucketing is an interval, a number of microseconds, or ``"auto"``: rows are
+counted per (key, fine time slot) and neighbouring slots are packed into buckets of about
+``TARGET_ROWS_PER_BUCKET`` rows, so bursts are cut as finely as quiet spans are merged.  Slots are
+refined until none holds more than a target (rows of one microsecond stay together).
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET = "auto"
-TARGET_ROWS_PER_BUCKET = 2_000_000     # rows of the hottest key per (key, bucket) task
-MIN_BUCKET_MICROS = 1_000_000
+TARGET_ROWS_PER_BUCKET = 2_000_000     # rows of a (key, bucket) task
+SLOTS_PER_TARGET = 8                   # fine slots that an evenly spread target of rows covers
+REFINE = 64                            # a slot width that leaves a slot too full is divided by this
 
 
 def interval_micros(spec: str) -> int:
@@ -40,37 +42,49 @@ def time_bucket(ts: Column, width) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(us)).cast("long")
 
 
-_WIDTHS: dict[tuple, int] = {}
+_SLOTS: dict[tuple, int] = {}
 
 
-def auto_bucket_micros(df: DataFrame, keys: list[str], ts: str,
-                       target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
-    """Bucket width such that the hottest key averages about ``target_rows`` rows per
-    bucket: span * target / max rows per key.  One small aggregate (per-key count and time
-    range, partial-aggregated) returns three scalars to the driver.  Widths are memoised by
-    the input plan's semantic hash: a width only affects task sizes, never results."""
+def slot_micros(df: DataFrame, keys: list[str], ts: str, target_rows: int) -> int:
+    """Slot width at which no (key, slot) holds more than ``target_rows`` rows, 0 if no key has more
+    than that in all.  Each look is an aggregate that returns one row; the result is memoised by
+    the input plan's semantic hash, as it affects task sizes only, never results."""
     memo = (df.semanticHash(), tuple(keys), ts, target_rows)
-    if memo in _WIDTHS:
-        return _WIDTHS[memo]
-    _WIDTHS[memo] = w = _measure_width(df, keys, ts, target_rows)
-    return w
-
-
-def _measure_width(df: DataFrame, keys: list[str], ts: str, target_rows: int) -> int:
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    r = per_key.agg(F.max("n").alias("n"), F.unix_micros(F.min("lo")).alias("lo"),
-                    F.unix_micros(F.max("hi")).alias("hi")).first()
-    if r is None or not r["n"]:
-        return MIN_BUCKET_MICROS
-    span = max(int(r["hi"] - r["lo"]) + 1, 1)
-    width = span * target_rows // int(r["n"])
-    return int(max(MIN_BUCKET_MICROS, min(width, span)))
-
-
-def resolve_bucket(df: DataFrame, keys: list[str], ts: str, bucket) -> int:
-    if bucket == "auto":
-        return auto_bucket_micros(df, keys, ts)
-    return bucket if isinstance(bucket, int) else interval_micros(bucket)
+    if memo not in _SLOTS:
+        _SLOTS[memo] = _measure_slots(df, keys, ts, target_rows)
+    return _SLOTS[memo]
+
+
+def _measure_slots(df: DataFrame, keys: list[str], ts: str, target_rows: int) -> int:
+    us = F.unix_micros(F.col(ts))
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi"))
+    r = per_key.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if r is None or not r["n"] or r["n"] <= target_rows:
+        return 0
+    width = max(1, int(r["hi"] - r["lo"] + 1) * target_rows // (int(r["n"]) * SLOTS_PER_TARGET))
+    while width > 1:
+        fullest = df.groupBy(*keys, F.floor(us / width)).count().agg(F.max("count").alias("n")).first()["n"]
+        if fullest <= target_rows:
+            break
+        width = max(1, width // REFINE)
+    return width
+
+
+def with_bucket(df: DataFrame, keys: list[str], ts: str, bucket, out: str) -> DataFrame:
+    """``df`` with bucket number ``out``: ascending in ``ts`` within a key."""
+    if bucket != "auto":
+        return df.withColumn(out, time_bucket(F.col(ts), bucket))
+    target = TARGET_ROWS_PER_BUCKET
+    width = slot_micros(df, keys, ts, target)
+    if not width:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    slot = F.floor(F.unix_micros(F.col(ts)) / width).cast("long")
+    d = df.withColumn("_slot", slot)
+    counts = d.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_slot_n"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    packed = counts.select(*keys, "_slot", F.floor(F.coalesce(F.sum("_slot_n").over(before), F.lit(0)) / target).cast("long").alias(out))
+    # rows without a key or time find no slot and share bucket 0
+    return d.join(packed, [*keys, "_slot"], "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long"))).drop("_slot")
 
 
 def _as_list(x) -> list:
@@ -87,7 +101,7 @@ def previous_value(df: DataFrame, key, order: list[str], value: str, out: str,
     keys = _as_list(key)
     ts = ts or order[0]
     b = "_seq_b"
-    d = df.withColumn(b, time_bucket(F.col(ts), resolve_bucket(df, keys, ts, bucket)))
+    d = with_bucket(df, keys, ts, bucket, b)
     w_in = Window.partitionBy(*keys, b).orderBy(*order)
     d = d.withColumn("_seq_prev", F.lag(F.struct(F.col(value).alias("v"))).over(w_in))
     summary = d.groupBy(*keys, b).agg(
@@ -110,7 +124,7 @@ def forward_fill(df: DataFrame, key, order: list[str], value: str, out: str,
     keys = _as_list(key)
     ts = ts or order[0]
     b = "_ff_b"
-    d = df.withColumn(b, time_bucket(F.col(ts), resolve_bucket(df, keys, ts, bucket)))
+    d = with_bucket(df, keys, ts, bucket, b)
     w_in = (Window.partitionBy(*keys, b).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_ff_in", F.last(F.col(value), ignorenulls=True).over(w_in))
@@ -129,7 +143,7 @@ def row_index(df: DataFrame, key, order: list[str], out: str, ts: str | None = N
     keys = _as_list(key)
     ts = ts or order[0]
     b = "_ri_b"
-    d = df.withColumn(b, time_bucket(F.col(ts), resolve_bucket(df, keys, ts, bucket)))
+    d = with_bucket(df, keys, ts, bucket, b)
     d = d.withColumn("_ri_rn", F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)))
     counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_ri_n"))
     w_key = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -140,15 +154,27 @@ def row_index(df: DataFrame, key, order: list[str], out: str, ts: str | None = N
 
 def lag_rows(df: DataFrame, key, order: list[str], value: str, k: int, out: str,
              ts: str | None = None, bucket: str = DEFAULT_BUCKET) -> DataFrame:
-    """``lag(value, k)`` per key without a per-key window: index the rows, then equi-join
-    each row to the row ``k`` positions earlier.  The join key (key, index) is unique, so
-    hash partitioning spreads even a hot key evenly."""
+    """``lag(value, k)`` per key: ``lag`` inside the bucket; the first k rows of a bucket take theirs
+    from the carry-in, the last k values of all earlier buckets of the key.  Neither the rows nor
+    an index of them is joined with itself."""
     keys = _as_list(key)
     if k == 0:
         return df.withColumn(out, F.col(value))
-    idx = row_index(df, keys, order, "_lag_i", ts=ts, bucket=bucket)
-    right = idx.select(*[F.col(c).alias(f"_lag_k{i}") for i, c in enumerate(keys)],
-                       (F.col("_lag_i") + k).alias("_lag_j"), F.col(value).alias(out))
-    cond = [F.col(c) == F.col(f"_lag_k{i}") for i, c in enumerate(keys)] + [F.col("_lag_i") == F.col("_lag_j")]
-    j = idx.join(right, cond, "left")
-    return j.drop("_lag_i", "_lag_j", *[f"_lag_k{i}" for i in range(len(keys))])
+    ts = ts or order[0]
+    b = "_lag_b"
+    d = with_bucket(df, keys, ts, bucket, b)
+    w_in = Window.partitionBy(*keys, b).orderBy(*order)
+    d = d.withColumn("_lag_rn", F.row_number().over(w_in)).withColumn("_lag_in", F.lag(F.col(value), k).over(w_in))
+    # the last k values of a bucket, oldest first
+    back = Window.partitionBy(*keys, b).orderBy(*[F.col(c).desc() for c in order])
+    tails = (d.select(*keys, b, F.struct(F.col(value).alias("v")).alias("_lag_v"), F.row_number().over(back).alias("_lag_back"))
+             .where(F.col("_lag_back") <= k).groupBy(*keys, b)
+             .agg(F.sort_array(F.collect_list(F.struct((-F.col("_lag_back")).alias("o"), "_lag_v"))).alias("_lag_t")))
+    # a bucket may have fewer than k rows, so as many earlier buckets as it takes (at most k) lend theirs
+    earlier = Window.partitionBy(*keys).orderBy(b).rowsBetween(-k, -1)
+    lent = F.flatten(F.collect_list(F.col("_lag_t._lag_v")).over(earlier))
+    carry = tails.select(*keys, b, lent.alias("_lag_c"))
+    j = d.join(carry, [*keys, b], "left")
+    place = F.size("_lag_c") + F.col("_lag_rn") - k - 1          # from the left, counted from 0
+    out_col = F.when(F.col("_lag_rn") > k, F.col("_lag_in")).when(place >= 0, F.get("_lag_c", place)["v"])
+    return j.withColumn(out, out_col).drop(b, "_lag_rn", "_lag_in", "_lag_c")

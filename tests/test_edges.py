@@ -126,8 +126,8 @@ def test_rolling_sentiment_matches_brute_force(spark):
     posts = spark.createDataFrame(prow, "post_id long, ticker string, ts timestamp, compound double")
     got = rolling_sentiment_at_ticks(ticks, posts, window="1 day", lookback="3 hours").toPandas()
     got = got.set_index("tick_id")["sentiment"]
-    for chunks in ("40 minutes", 3, "3 hours"):
-        other = rolling_sentiment_at_ticks(ticks, posts, window="1 day", lookback="3 hours", chunks=chunks).toPandas()
+    for chunks in ("40 minutes", "7 minutes", "3 hours"):
+        other = rolling_sentiment_at_ticks(ticks, posts, window="1 day", lookback="3 hours", bucket=chunks).toPandas()
         assert (other.set_index("tick_id")["sentiment"].sort_index() == got.sort_index()).all(), chunks
     day = lambda t: t.replace(hour=0, minute=0, second=0, microsecond=0)
     for tid, tk, ts, _ in _random_ticks(120, 9):
@@ -209,8 +209,8 @@ def test_auto_bucket_splits_hot_key_and_stays_exact(spark, monkeypatch):
     rows = _random_ticks(400, 21) + [(1000 + i, "T0", T0 + dt.timedelta(minutes=i), 50.0 + i) for i in range(600)]
     df = spark.createDataFrame(rows, "tick_id long, ticker string, ts timestamp, price double")
     monkeypatch.setattr(SQ, "TARGET_ROWS_PER_BUCKET", 25)
-    w = SQ.auto_bucket_micros(df, ["ticker"], "ts", 25)
-    assert w < 3000 * 60_000_000 // 10          # the hot key is cut into many buckets
+    sizes = [r["count"] for r in SQ.with_bucket(df, ["ticker"], "ts", "auto", "b").groupBy("ticker", "b").count().collect()]
+    assert max(sizes) <= 50 and len(sizes) > 20          # the hot key is cut into many buckets
     got = SQ.previous_value(df, "ticker", ["ts", "tick_id"], "price", "prev").toPandas()
     pdf = df.toPandas().sort_values(["ticker", "ts", "tick_id"])
     pdf["prev"] = pdf.groupby("ticker")["price"].shift(1)
@@ -297,3 +297,62 @@ def test_py_strip_matches_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(py_strip(F.col("t"))).collect()]
     assert got == [t.strip() for t in texts]
+
+
+def test_buckets_follow_bursts(spark, monkeypatch):
+    """90% of the rows in the first of 30 days' hours: no bucket above twice the target."""
+    import marketspark.operators.sequence as SQ
+    monkeypatch.setattr(SQ, "TARGET_ROWS_PER_BUCKET", 1000)
+    n = 100_000
+    burst = spark.range(n * 9 // 10).select((F.col("id") * 3600 * 1_000_000 / (n * 0.9)).cast("long").alias("us"))
+    rest = spark.range(n // 10).select((F.col("id") * 30 * 86_400 * 1_000_000 / (n / 10)).cast("long").alias("us"))
+    df = burst.union(rest).select(F.lit("A").alias("k"), F.timestamp_micros("us").alias("ts"))
+    b = SQ.with_bucket(df, ["k"], "ts", "auto", "b").groupBy("b").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    rows = sorted(b.collect(), key=lambda r: r["b"])
+    assert max(r["n"] for r in rows) <= 2000 and 50 <= len(rows) <= 200 and sum(r["n"] for r in rows) == n
+    assert all(x["hi"] <= y["lo"] for x, y in zip(rows, rows[1:]))
+
+
+def test_lag_across_small_buckets(spark):
+    from marketspark.operators.sequence import lag_rows
+    rows = _random_ticks(150, 5)
+    df = spark.createDataFrame(rows, "tick_id long, ticker string, ts timestamp, price double")
+    pdf = df.toPandas().sort_values(["ticker", "ts", "tick_id"])
+    for k, bucket in ((1, "1 minute"), (3, "10 minutes"), (7, "3 hours"), (2, "auto")):
+        got = lag_rows(df, "ticker", ["ts", "tick_id"], "price", k, "l", bucket=bucket).toPandas().set_index("tick_id")["l"].sort_index()
+        want = pdf.assign(l=pdf.groupby("ticker")["price"].shift(k)).set_index("tick_id")["l"].sort_index()
+        pd.testing.assert_series_equal(got, want, check_names=False)
+
+
+def test_sliding_range_average(spark):
+    rnd = random.Random(12)
+    trow = _random_ticks(80, 13)
+    ticks = spark.createDataFrame(trow, "tick_id long, ticker string, ts timestamp, price double")
+    prow = [(i, f"T{rnd.randrange(3)}", T0 + dt.timedelta(minutes=rnd.randrange(0, 3000)), rnd.choice([-1.0, 0.5, None, 1.0]))
+            for i in range(200)]
+    posts = spark.createDataFrame(prow, "post_id long, ticker string, ts timestamp, compound double")
+    got = rolling_sentiment_at_ticks(ticks, posts, window="6 hours", lookback="4 hours", slide="2 hours", bucket="5 hours").collect()
+    assert len(got) == 3 * len(trow)
+    for r in got:
+        vals = [c for _, k, t, c in prow if k == r["ticker"] and c is not None and r["window_start"] <= t <= r["ts"]
+                and r["ts"] - dt.timedelta(hours=4) <= t]
+        assert r["window_start"] <= r["ts"] < r["window_end"] == r["window_start"] + dt.timedelta(hours=6)
+        assert r["n_posts"] == len(vals) and abs(r["sentiment"] - (round(sum(vals) / len(vals), 9) if vals else 0.0)) < 1e-12
+
+
+def test_range_average_is_linear(spark):
+    """One ticker, a 12-hour look-back: twice the rows take about twice the time, not four times."""
+    import time
+
+    def run(n):
+        at = F.timestamp_micros((F.col("id") * (5 * 86_400_000_000 // n)).cast("long")).alias("ts")
+        ticks = spark.range(n).select(F.col("id").alias("tick_id"), F.lit("A").alias("ticker"), at, F.lit(1.0).alias("price"))
+        posts = spark.range(n).select(F.lit("A").alias("ticker"), at, ((F.col("id") % 7) / 10.0).alias("compound"))
+        t = time.perf_counter()
+        out = rolling_sentiment_at_ticks(ticks, posts, window="1 day", lookback="12 hours")
+        assert out.agg(F.sum("n_posts")).first()[0] > n
+        return time.perf_counter() - t
+
+    run(20_000)
+    half, full = run(100_000), run(200_000)
+    assert full < 3.2 * half + 2

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from marketspark.plans.registry import QUERIES
 from tests.oracle_compare import compare, duck
 
 SF = os.environ.get("MARKETSPARK_TEST_SF", "/root/testdata/sf0.001")
@@ -16,7 +17,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     build = E.queries()[name]
     if name not in SQLS:
