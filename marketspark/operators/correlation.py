@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketspark.functions.bands import corr_band
 from marketspark.functions.stats import pearson
 from marketspark.operators.sequence import lag_rows, time_bucket
+from marketspark.operators.topk import order_key
 
 MIN_TICKS = 5
-MATRIX_MAX = 64     # tickers per matrix: one aggregate holds a Pearson per pair (U*(U-1)/2)
 
 
 def window_correlation(aligned: DataFrame, min_ticks: int = MIN_TICKS, lag: int = 0,
@@ -31,7 +29,9 @@ def window_correlation(aligned: DataFrame, min_ticks: int = MIN_TICKS, lag: int
         a = lag_rows(a, ["ticker", "window_start"], ["ts", "tick_id"], "sentiment", lag, "_ylag",
                      bucket=lag_bucket)
         y = "_ylag"
-    order = F.struct("ts", "tick_id")
+    order = order_key(a, ["ts", "tick_id"])
+    if order is None:
+        order = F.struct("ts", "tick_id")
     g = a.groupBy("ticker", "window_start", "window_end").agg(
         F.count(F.lit(1)).alias("n_ticks"),
         pearson(F.col("price"), F.col(y)).alias("pearson"),
@@ -49,34 +49,29 @@ def correlation_matrix(ticks: DataFrame, tickers: list[str], bucket: str = "1 ho
     """Cross-asset correlation of bucketed average prices, long form
     (ticker_a, ticker_b, pearson, n_buckets, band) for every ordered pair of ``tickers``.
 
-    Plan: bucket averages (partial aggregate) -> pivot on the fixed ticker list -> one
-    aggregate holding a Pearson per pair.  No self-join, so no pair rows are emitted per
-    bucket; the pair count is fixed by the configured universe.
+    ``as_of`` defaults to the latest tick; ``lookback`` None takes all ticks.
+
+    Plan: bucket averages (partial aggregate), an equi-join of the averages with themselves on the
+    bucket (a < b), one partial aggregate per pair.  The result has a row per ordered pair, as asked.
     """
-    if len(tickers) > MATRIX_MAX:
-        raise ValueError(f"correlation_matrix holds one aggregate per ticker pair; {len(tickers)} tickers exceed "
-                         f"MATRIX_MAX={MATRIX_MAX} (split the universe into sectors)")
-    t = ticks
-    if lookback is not None and as_of is not None:
-        t = t.filter((F.col("ts") >= as_of - F.expr(f"INTERVAL {lookback}")) & (F.col("ts") <= as_of))
-    hourly = (t.groupBy(time_bucket(F.col("ts"), bucket).alias("_bk"), "ticker")
-              .agg(F.avg("price").alias("p")))
-    wide = hourly.groupBy("_bk").pivot("ticker", tickers).agg(F.first("p"))
-    pairs = list(combinations(tickers, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        aggs += [pearson(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
-    for j, a in enumerate(tickers):
-        aggs.append(F.count(F.col(f"`{a}`")).alias(f"d{j}"))
-    stats = wide.agg(*aggs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        for u, v in ((a, b), (b, a)):
-            rows.append(F.struct(F.lit(u).alias("ticker_a"), F.lit(v).alias("ticker_b"),
-                                 F.col(f"r{i}").alias("pearson"), F.col(f"n{i}").alias("n_buckets")))
-    for j, a in enumerate(tickers):
-        rows.append(F.struct(F.lit(a).alias("ticker_a"), F.lit(a).alias("ticker_b"),
-                             F.lit(1.0).alias("pearson"), F.col(f"d{j}").alias("n_buckets")))
-    long = stats.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
-    return long.withColumn("band", corr_band(F.col("pearson"), F.col("ticker_a") == F.col("ticker_b")))
+    t = ticks.where(F.col("ticker").isin(*tickers)) if tickers else ticks.where(F.lit(False))
+    if lookback is not None:
+        end = as_of if as_of is not None else ticks.agg(F.max("ts")).scalar()
+        t = t.filter((F.col("ts") >= end - F.expr(f"INTERVAL {lookback}")) & (F.col("ts") <= end))
+    avgs = (t.groupBy(time_bucket(F.col("ts"), bucket).alias("_bk"), "ticker").agg(F.avg("price").alias("p"))
+            .where(F.col("p").isNotNull()))
+    a = avgs.select("_bk", F.col("ticker").alias("ticker_a"), F.col("p").alias("pa"))
+    b = avgs.select(F.col("_bk").alias("_bk2"), F.col("ticker").alias("ticker_b"), F.col("p").alias("pb"))
+    both = (a.join(b, (F.col("_bk") == F.col("_bk2")) & (F.col("ticker_a") < F.col("ticker_b"))).groupBy("ticker_a", "ticker_b")
+            .agg(pearson(F.col("pa"), F.col("pb")).alias("pearson"), F.count(F.lit(1)).alias("n_buckets")))
+    mirrored = both.select(F.col("ticker_b").alias("ticker_a"), F.col("ticker_a").alias("ticker_b"), "pearson", "n_buckets")
+    own = avgs.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_buckets")).select(
+        F.col("ticker").alias("ticker_a"), F.col("ticker").alias("ticker_b"), F.lit(1.0).alias("pearson"), "n_buckets")
+    names = F.array(*[F.lit(x) for x in tickers]) if tickers else F.array().cast("array<string>")
+    every = (ticks.sparkSession.range(1).select(F.explode(names).alias("ticker_a"))
+             .select("ticker_a", F.explode(names).alias("ticker_b")))
+    long = every.join(both.unionByName(mirrored).unionByName(own), ["ticker_a", "ticker_b"], "left")
+    same = F.col("ticker_a") == F.col("ticker_b")
+    long = long.select("ticker_a", "ticker_b", F.when(same, 1.0).otherwise(F.coalesce("pearson", F.lit(0.0))).alias("pearson"),
+                       F.coalesce("n_buckets", F.lit(0)).cast("long").alias("n_buckets"))
+    return long.withColumn("band", corr_band(F.col("pearson"), same))

@@ -8,11 +8,11 @@ previous tokens flips and damps it, a booster / dampener right before it adds /
 neg / neu are the shares of (|v| + 1) mass of positive / negative tokens and the count of
 neutral tokens.
 
-A small lexicon (at most ``MAP_MAX`` entries, checked) is folded into a literal map and
-the scoring is pure per-row higher-order functions: no explode, no shuffle.  A larger
-lexicon takes the relational path: explode the tokens (each carrying its previous tokens
-from its own row), join the lexicon (hash join; Spark picks broadcast or shuffle from its
-size), and a partial aggregate per post.  Both paths give the same numbers.
+One relational path for every lexicon size: explode the tokens (each carrying its previous tokens
+from its own row), join the lexicon (a hash join; Spark picks broadcast or shuffle from its size), and a
+partial aggregate per (id, text).  Rows that share an id but not the text are scored apart; rows equal in
+both get the same scores.  A token listed twice takes the mean of its valences.  A null or
+token-free text scores 0 throughout.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.functions.sentiment import NEGATIVE_WORDS, POSITIVE_WORDS
+from marketspark.functions.sentiment import NEGATIVE_WORDS, POSITIVE_WORDS, scale_score, with_scores
 
 # ---------------------------------------------------------------------------
 # Fixed values of the lexicon method (published constants).
@@ -37,10 +37,6 @@ DAMPENERS = ["slightly", "somewhat", "barely", "hardly", "marginally", "partly"]
 DEFAULT_VALENCE = 2.0  # bundled default lexicon: the keyword lists at +/- this valence
 # ---------------------------------------------------------------------------
 
-# A literal map is searched key by key for every token, so only a small lexicon is folded
-# into one; a larger one is joined (hash lookup, broadcast when AQE sees it is small).
-MAP_MAX = 256
-
 
 def default_lexicon(spark: SparkSession) -> DataFrame:
     rows = [(w, DEFAULT_VALENCE) for w in POSITIVE_WORDS] + [(w, -DEFAULT_VALENCE) for w in NEGATIVE_WORDS]
@@ -65,61 +61,43 @@ def _finish(s: Column, pos_mass: Column, neg_mass: Column, neu_n: Column) -> Col
                     share(neg_mass).alias("neg"), share(neu_n).alias("neu"))
 
 
-def _score_with_map(df: DataFrame, text_col: str, lex_map: Column) -> DataFrame:
-    d = df.withColumn("_tok", tokens(F.col(text_col)))
-
-    def val(t, i):
-        v = F.coalesce(F.try_element_at(lex_map, t), F.lit(0.0))
-        prev = [F.get(F.col("_tok"), i - k) for k in range(1, NEGATION_SCOPE + 1)]
-        negated = F.coalesce(F.greatest(*[F.coalesce(p.isin(*NEGATORS), F.lit(False)) for p in prev]), F.lit(False))
-        return _adjust(v, F.coalesce(prev[0], F.lit("")), negated)
-
-    d = d.withColumn("_val", F.transform(F.col("_tok"), val))
-    v = F.col("_val")
-    s = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    pos_mass = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x > 0, x + 1).otherwise(0.0))
-    neg_mass = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x < 0, -x + 1).otherwise(0.0))
-    neu_n = F.size(F.filter(v, lambda x: x == 0)).cast("double")
-    d = d.withColumn("_s", _finish(s, pos_mass, neg_mass, neu_n))
-    return d.select(*df.columns, *[F.col(f"_s.{f}").alias(f) for f in ("compound", "pos", "neg", "neu")])
-
-
-def _score_relational(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+def score_lexicon(posts: DataFrame, lexicon: DataFrame | None = None, text_col: str = "text",
+                  id_col: str = "post_id") -> DataFrame:
+    """Append compound/pos/neg/neu from the lexicon scorer (see module doc)."""
+    lex = lexicon if lexicon is not None else default_lexicon(posts.sparkSession)
+    lex = lex.groupBy(F.col("token").alias("_t")).agg(F.avg("valence").alias("valence"))
     # each token carries its previous tokens from the row's own array: no window, no self-join
     arr = F.col("_tok")
-    ctx_arr = F.transform(arr, lambda t, i: F.struct(t.alias("_t"), *[F.get(arr, i - k).alias(f"_p{k}")
-                                                                     for k in range(1, NEGATION_SCOPE + 1)]))
-    ctx = (df.select(id_col, tokens(F.col(text_col)).alias("_tok"))
-           .select(id_col, F.explode(ctx_arr).alias("_c")).select(id_col, "_c.*"))
-    j = ctx.join(lexicon.select(F.col("token").alias("_t"), "valence"), "_t", "left")
+    ctx_arr = F.transform(arr, lambda t, i: F.struct(t.alias("_t"), (i == 0).cast("int").alias("_first"),
+                                                     *[F.get(arr, i - k).alias(f"_p{k}") for k in range(1, NEGATION_SCOPE + 1)]))
+    rows = posts.withColumn("_h", F.xxhash64(F.col(text_col)))
+    ctx = (rows.select(F.col(id_col).alias("_id"), "_h", tokens(F.col(text_col)).alias("_tok"))
+           .select("_id", "_h", F.explode(ctx_arr).alias("_c")).select("_id", "_h", "_c.*"))
+    j = ctx.join(lex, "_t", "left")
     v0 = F.coalesce(F.col("valence"), F.lit(0.0))
     negated = F.coalesce(F.greatest(*[F.coalesce(F.col(f"_p{k}").isin(*NEGATORS), F.lit(False))
                                      for k in range(1, NEGATION_SCOPE + 1)]), F.lit(False))
     j = j.withColumn("_v", _adjust(v0, F.coalesce(F.col("_p1"), F.lit("")), negated))
     v = F.col("_v")
-    g = j.groupBy(id_col).agg(F.sum(v).alias("_sum"),
-                              F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_pm"),
-                              F.sum(F.when(v < 0, -v + 1).otherwise(0.0)).alias("_nm"),
-                              F.sum(F.when(v == 0, 1.0).otherwise(0.0)).alias("_nn"))
-    g = g.select(id_col, _finish(F.col("_sum"), F.col("_pm"), F.col("_nm"), F.col("_nn")).alias("_s"))
-    out = df.join(g, id_col, "left")
-    empty = F.lit(0.0)
-    return out.select(*df.columns, *[F.coalesce(F.col(f"_s.{f}"), empty).alias(f)
-                                     for f in ("compound", "pos", "neg", "neu")])
-
-
-def score_lexicon(posts: DataFrame, lexicon: DataFrame | None = None, text_col: str = "text",
-                  id_col: str = "post_id") -> DataFrame:
-    """Append compound/pos/neg/neu from the lexicon scorer (see module doc)."""
-    spark = posts.sparkSession
-    lex = lexicon if lexicon is not None else default_lexicon(spark)
-    n = lex.count()
-    if n <= MAP_MAX:
-        pairs = lex.select("token", "valence").collect()   # bounded by the check above
-        if not pairs:
-            lex_map = F.create_map().cast("map<string,double>")
-        else:
-            lex_map = F.map_from_arrays(F.array(*[F.lit(r["token"]) for r in pairs]),
-                                        F.array(*[F.lit(float(r["valence"])) for r in pairs]))
-        return _score_with_map(posts, text_col, lex_map)
-    return _score_relational(posts, id_col, text_col, lex)
+    g = j.groupBy("_id", "_h").agg(F.sum(v).alias("_sum"), F.sum("_first").alias("_copies"),
+                                   F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_pm"),
+                                   F.sum(F.when(v < 0, -v + 1).otherwise(0.0)).alias("_nm"),
+                                   F.sum(F.when(v == 0, 1.0).otherwise(0.0)).alias("_nn"))
+    one = [F.col(c) / F.col("_copies") for c in ("_sum", "_pm", "_nm", "_nn")]      # equal rows were summed together
+    g = g.select(F.col("_id").alias("_gid"), F.col("_h").alias("_gh"), _finish(*one).alias("_s"))
+    out = rows.join(g, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left")
+    return out.select(*posts.columns, *[F.coalesce(F.col(f"_s.{f}"), F.lit(0.0)).alias(f) for f in ("compound", "pos", "neg", "neu")])
+
+
+def score_posts(posts: DataFrame, model: str | None = None, text_col: str = "text", id_col: str = "post_id") -> DataFrame:
+    """Append compound/pos/neg/neu by scorer name, case-insensitive: ``vader`` (also the default, and
+    what unknown names and ``finbert``, whose runtime is absent, fall back to) is the lexicon
+    scorer, ``llm`` the scaled lexicon score, ``keyword`` the keyword scorer."""
+    name = (model or "vader").lower()
+    if name == "keyword":
+        return with_scores(posts, text_col, "keyword")
+    scored = score_lexicon(posts, text_col=text_col, id_col=id_col)
+    if name != "llm":
+        return scored
+    s = scale_score(F.struct("compound", "pos", "neg", "neu"))
+    return scored.select(*posts.columns, *[s[f].alias(f) for f in ("compound", "pos", "neg", "neu")])

@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def order_key(df: DataFrame, order: list[str]) -> Column | None:
+    """``order`` as one DECIMAL(38,0): (timestamp), (timestamp, integer) or (integer); else None.
+
+    A decimal is a mutable hash-aggregate buffer; a struct is not, and makes Spark sort."""
+    kinds = [df.schema[c].dataType for c in order]
+    integral = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
+    def number(c, kind):
+        return F.unix_micros(c) if isinstance(kind, T.TimestampType) else F.col(c)
+
+    if len(order) == 1 and isinstance(kinds[0], (T.TimestampType, *integral)):
+        return number(order[0], kinds[0]).cast("decimal(38,0)")
+    if len(order) == 2 and isinstance(kinds[0], T.TimestampType) and isinstance(kinds[1], integral):
+        # 10^20 exceeds the span of bigint, so ids (of either sign) never reach into the time digits
+        high = number(order[0], kinds[0]).cast("decimal(17,0)") * F.lit(str(10 ** 20)).cast("decimal(21,0)")
+        return (high + F.coalesce(F.col(order[1]), F.lit(str(-(2 ** 63))).cast(kinds[1])).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return None
 
 
 def latest_per_key(df: DataFrame, key, order: list[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key, via ``max_by(struct(*), struct(order))``:
-    a partial aggregate, so a hot key is reduced map-side (no whole-key sort)."""
+    """The row with the greatest ``order`` per key: a partial aggregate, so a hot key is reduced
+    map-side (no whole-key sort).  Rows of fixed-width columns take one ``max_by`` per column over
+    one decimal order key, which hash-aggregates; others one ``max_by`` of the whole row."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
+    by = order_key(df, order)
+    if by is not None and all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in rest):
+        g = df.withColumn("_by", by).groupBy(*keys).agg(*[F.max_by(c, F.col("_by")).alias(c) for c in rest])
+        return g.select(*keys, *rest)
     g = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_latest"))
     return g.select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in rest])
 
@@ -36,8 +64,7 @@ def first_k_by_ordinal(df: DataFrame, universe: DataFrame, k: int) -> DataFrame:
 
 
 def in_universe(df: DataFrame, universe: DataFrame, key: str = "ticker") -> DataFrame:
-    """Rows whose key is a supported ticker (left semi join; the universe is configuration
-    sized, so Spark broadcasts it)."""
+    """Rows whose key is a supported ticker (left semi join; Spark picks the strategy by size)."""
     return df.join(universe.select(key), key, "left_semi")
 
 

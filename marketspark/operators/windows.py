@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketspark.operators.topk import order_key
 from marketspark.operators.sequence import interval_micros
 
 DEFAULT_WINDOW = "5 minutes"
@@ -111,7 +112,9 @@ def price_windows(ticks: DataFrame, window: str = DEFAULT_WINDOW, slide: str | N
 def ohlc_bars(ticks: DataFrame, window: str = DEFAULT_WINDOW, slide: str | None = None, ts: str = "ts",
               id_col: str = "tick_id") -> DataFrame:
     """OHLCV bars: open/close = first/last price in (ts, id) order, high/low, summed volume."""
-    order = F.struct(F.col(ts), F.col(id_col))
+    order = order_key(ticks, [ts, id_col])
+    if order is None:
+        order = F.struct(F.col(ts), F.col(id_col))
     agg = ticks.groupBy(_window(ts, window, slide).alias("w"), "ticker").agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"),

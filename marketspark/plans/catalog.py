@@ -7,19 +7,22 @@ defaults are 5 minutes / 2 minutes / 15 seconds (those stay the library defaults
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.functions.bands import chart_band, label
 from marketspark.functions.bands import fear_greed as _fg
 from marketspark.functions.bands import mood3 as _mood3
-from marketspark.functions.sentiment import scale_score, tone_from_logits
+from marketspark.functions.sentiment import scale_score, score_keyword, tone_from_logits, with_scores
 from marketspark.operators import lexicon as LX
 from marketspark.operators.align import asof_join, rolling_sentiment_at_ticks
 from marketspark.operators.correlation import correlation_matrix, window_correlation
 from marketspark.operators.records_ops import change_feed, dedupe, manual_posts
-from marketspark.operators.signals import filter_alerts, post_alerts, signal_alerts, signals, signals_stream_preset
-from marketspark.operators.topk import last_n_per_key
+from marketspark.operators.signals import (alert_buffer, filter_alerts, post_alerts, signal_alerts, signals, signals_stream_preset,
+                                           strong_buy_flag)
+from marketspark.operators.topk import first_k_by_ordinal, in_universe, last_n_per_key, merge_board, unsupported
 from marketspark.operators.windows import (join_windows, ohlc_bars, price_windows, sentiment_windows,
                                            trailing_sentiment)
 from marketspark.plans import oracle_sql as S
@@ -27,12 +30,15 @@ from marketspark.plans import reports as RP
 from marketspark.plans import snapshots as SN
 from marketspark.plans.registry import as_of_literal, register
 from marketspark.sources import news as NW
-from marketspark.sources.quotes import extract_quotes, quote_documents
+from marketspark.session import scratch_path
+from marketspark.sources.quotes import extract_quotes, quote_documents, with_fallback
 from marketspark.sources.records import encode_records, parse_ticks, tick_wire
 from marketspark.sources.tables import (load_chat_messages, load_logits, load_posts, load_questions, load_ticks,
                                         load_universe, post_texts, posts_table, posts_table_path, read_table,
-                                        spread, ticks_table, ticks_table_path, universe_aliases)
+                                        snapshot_key, spread, ticks_table, ticks_table_path, universe_aliases,
+                                        written_table)
 from marketspark.streaming import jobs as ST
+from marketspark.streaming.sinks import truncate
 
 WINDOW, LOOKBACK, SLIDE = "1 day", "12 hours", "6 hours"
 
@@ -66,6 +72,25 @@ def stage_signals(spark, sf, ticks=None, posts=None, **thresholds) -> DataFrame:
     return signals(stage_corr(spark, sf, ticks, p), stage_sentiment(spark, sf, p), **thresholds)
 
 
+def _stored(spark, sf, name: str, build, *sort: str) -> DataFrame:
+    """A derived table written once per input snapshot, as the reference's worker stores it."""
+    key = snapshot_key(spark, sf, ["documents", "events"], name)
+    return spark.read.parquet(written_table(spark, key, name, build, sort=sort))
+
+
+def stored_sentiment(spark, sf) -> DataFrame:
+    return _stored(spark, sf, "aggregates", lambda: stage_sentiment(spark, sf), "window_start", "ticker")
+
+
+def stored_signals(spark, sf) -> DataFrame:
+    """Signals at the reference thresholds; snapshots read them here and plan no alignment."""
+    return _stored(spark, sf, "signals", lambda: signals(stage_corr(spark, sf), stored_sentiment(spark, sf)), "timestamp", "ticker")
+
+
+def stored_alerts(spark, sf) -> DataFrame:
+    return _stored(spark, sf, "alerts", lambda: stage_alerts(spark, sf), "timestamp", "ticker")
+
+
 # --- adapters and scoring -----------------------------------------------------------------
 
 @register("q_ticks", "adapter ticks, previous-price open (sequence.previous_value)",
@@ -214,17 +239,15 @@ def q_stream_preset_signals(spark, sf):
 SEARCH_TEXT = "  COMPANY 3 "
 
 
-def stage_alerts(spark, sf, ticks=None, posts=None) -> DataFrame:
+def stage_alerts(spark, sf) -> DataFrame:
     """Alert table: extreme-post alerts plus signal alerts (reference thresholds)."""
-    p = posts if posts is not None else stage_posts(spark, sf)
-    pa = post_alerts(p).drop("post_id")
-    return pa.unionByName(signal_alerts(stage_signals(spark, sf, ticks, p)))
+    pa = post_alerts(stage_posts(spark, sf)).drop("post_id")
+    return pa.unionByName(signal_alerts(stored_signals(spark, sf)))
 
 
 def stage_summary(spark, sf) -> DataFrame:
-    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
-    return SN.market_summary(t, stage_sentiment(spark, sf, p), stage_signals(spark, sf, t, p),
-                             as_of_literal(t), lookback="1 hour")
+    t = stage_ticks(spark, sf)
+    return SN.market_summary(t, stored_sentiment(spark, sf), stored_signals(spark, sf), as_of_literal(t), lookback="1 hour")
 
 
 @register("q_latest_tick", "WIN1 latest row per key (max_by)",
@@ -274,8 +297,7 @@ SELECT a.ticker, a.tick_id, a.ts, strftime(a.ts, '%H:%M:%S') AS time, a.price, c
   31 - a.rnk AS position
 FROM att a LEFT JOIN sg USING (ticker)""", ["price", "sentiment", "pearson", "confidence"])
 def q_timeline(spark, sf):
-    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
-    return SN.correlation_timeline(t, stage_sentiment(spark, sf, p), stage_signals(spark, sf, t, p), n=30,
+    return SN.correlation_timeline(stage_ticks(spark, sf), stored_sentiment(spark, sf), stored_signals(spark, sf), n=30,
                                    max_window=WINDOW)
 
 
@@ -358,8 +380,7 @@ UNION ALL SELECT 'total_ticks', count(*) FROM ticks
 UNION ALL SELECT 'total_signals', count(*) FROM sig
 UNION ALL SELECT 'total_alerts', count(*) FROM alerts""")
 def q_metrics(spark, sf):
-    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
-    return SN.ingest_metrics(p, t, stage_signals(spark, sf, t, p), stage_alerts(spark, sf, t, p))
+    return SN.ingest_metrics(stage_posts(spark, sf), stage_ticks(spark, sf), stored_signals(spark, sf), stored_alerts(spark, sf))
 
 
 @register("q_universe", "SNP8 universe of tickers with names",
@@ -380,14 +401,14 @@ def q_search(spark, sf):
 @register("q_alert_filter", "FLT7 alert filter (SPIKE)",
           S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + "SELECT * FROM alerts WHERE type = 'Bullish Spike'")
 def q_alert_filter(spark, sf):
-    return filter_alerts(stage_alerts(spark, sf), "SPIKE")
+    return filter_alerts(stored_alerts(spark, sf), "SPIKE")
 
 
 @register("q_latest_alerts", "TOP1 latest 20 alerts",
           S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS)
           + "SELECT * FROM alerts ORDER BY timestamp DESC, ticker DESC, type DESC, message DESC LIMIT 20")
 def q_latest_alerts(spark, sf):
-    return SN.latest_alerts(stage_alerts(spark, sf), 20, order=("timestamp", "ticker", "type", "message"))
+    return SN.latest_alerts(stored_alerts(spark, sf), 20, order=("timestamp", "ticker", "type", "message"))
 
 
 @register("q_trailing_sentiment", "AGG4 rolling aggregate evaluated at as_of (12-hour look-back)",
@@ -541,7 +562,7 @@ def _routing_sql() -> str:
     macro = _render_sql(RP.MACRO_TEMPLATE, dict(fg="CAST(mc.fg_score AS VARCHAR)", mood="mc.mood"))
     default = _render_sql(RP.DEFAULT_TEMPLATE, dict(query="regexp_replace(q.message, '^\\s+|\\s+$', '', 'g')"))
     return f""", questions AS (
-  SELECT conv_id * 1000 + turn AS msg_id,
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS msg_id,
          CASE WHEN conv_id % 3 = 0 THEN 'T' || CAST(conv_id % 8 AS VARCHAR) || ' outlook? ' || text
               WHEN conv_id % 3 = 1 THEN 'Fear and greed today? ' || text ELSE text END AS message
   FROM conversations WHERE role = 'user'),
@@ -557,10 +578,8 @@ SELECT q.msg_id,
 FROM q LEFT JOIN facts f ON f.ticker = q.ticker CROSS JOIN mc"""
 
 
-def stage_facts(spark, sf, t=None, p=None):
-    t = t if t is not None else stage_ticks(spark, sf)
-    p = p if p is not None else stage_posts(spark, sf)
-    return RP.asset_facts(t, stage_sentiment(spark, sf, p), stage_signals(spark, sf, t, p), load_universe(spark, sf))
+def stage_facts(spark, sf):
+    return RP.asset_facts(stage_ticks(spark, sf), stored_sentiment(spark, sf), stored_signals(spark, sf), load_universe(spark, sf))
 
 
 _REPORT_CTES = [*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.UNIVERSE, _FACTS_SQL]
@@ -575,8 +594,8 @@ def q_asset_report(spark, sf):
 @register("q_question_routing", "SNP10 SNP11 JON7 SCA21 question routing to asset / macro / default replies",
           S.with_ctes(*_REPORT_CTES).rstrip() + _routing_sql())
 def q_question_routing(spark, sf):
-    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
-    facts = stage_facts(spark, sf, t, p)
+    p = stage_posts(spark, sf)
+    facts = stage_facts(spark, sf)
     macro = RP.macro_facts(p, as_of_literal(p), "2 hours")
     msgs = load_questions(spark, sf).select("msg_id", "message")
     return RP.route_questions(msgs, universe_aliases(load_universe(spark, sf)), facts, macro)
@@ -596,7 +615,7 @@ def q_quote_extract(spark, sf):
 
 
 _NEWS_SQL = """news AS (
-  SELECT page_id, 'news_' || substr(md5(title), 1, 8) AS id, 'T' || CAST(page_id % 8 AS VARCHAR) AS ticker,
+  SELECT page_id, 'news_' || md5(title) AS id, 'T' || CAST(page_id % 8 AS VARCHAR) AS ticker,
          '$' || 'T' || CAST(page_id % 8 AS VARCHAR) || ' News: ' || title || '. ' || substr(coalesce(description, ''), 1, 100) AS text,
          'YahooFinanceNews' AS username, NULL::TIMESTAMP AS timestamp, 1500000 AS followers,
          'Yahoo Finance RSS' AS source, 0.95::DOUBLE AS confidence_score, 0.05::DOUBLE AS bot_probability
@@ -623,7 +642,7 @@ def q_dedupe_posts(spark, sf):
 
 
 _PAYLOADS = """payloads AS (
-  SELECT conv_id * 1000 + turn AS msg_id, 't' || CAST(conv_id % 8 AS VARCHAR) AS ticker, text,
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS msg_id, 't' || CAST(conv_id % 8 AS VARCHAR) AS ticker, text,
          CASE WHEN turn % 4 = 0 THEN NULL ELSE 'user' || CAST(conv_id AS VARCHAR) END AS username,
          CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(turn * 10 AS INTEGER) END AS followers
   FROM conversations WHERE role = 'user')"""
@@ -633,7 +652,7 @@ _PAYLOADS = """payloads AS (
           S.with_ctes(*S.BASE, _PAYLOADS).rstrip() + """, scored AS (
   SELECT p.*, CAST(""" + S._hits(S.POSITIVE_WORDS).replace("d.text", "p.text") + """ AS DOUBLE) AS np,
          CAST(""" + S._hits(S.NEGATIVE_WORDS).replace("d.text", "p.text") + """ AS DOUBLE) AS nn FROM payloads p)
-SELECT 'tw_manual_' || CAST(msg_id AS VARCHAR) AS id, upper(ticker) AS ticker, text,
+SELECT 'tw_manual_' || msg_id AS id, upper(ticker) AS ticker, text,
   coalesce(username, 'manual_feed') AS username, (SELECT max(ts) FROM posts) AS timestamp,
   coalesce(followers, 500) AS followers, 0 AS likes, 0 AS retweets, 15 AS views, 'Manual API Feed' AS source,
   0.98::DOUBLE AS confidence_score, 0.01::DOUBLE AS bot_probability,
@@ -654,16 +673,31 @@ def q_manual_log(spark, sf):
 LAST_PUSH_BEFORE = "1 day"   # the previous push happened this long before as_of
 
 
-@register("q_change_feed", "STR9 FLT4 FLT5 PRJ10 PRJ12 push messages since the previous push's high-water mark",
-          S.with_ctes(*S.BASE) + f"""SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker FROM ticks
-WHERE tick_id > (SELECT max(tick_id) FROM ticks WHERE ts <= (SELECT max(ts) FROM ticks) - INTERVAL '{LAST_PUSH_BEFORE}')
-UNION ALL SELECT 'new_tweet', CAST(arg_max(post_id, (ts, post_id)) AS VARCHAR), arg_max(ticker, (ts, post_id)) FROM posts""")
+_TICK_JSON = """'{"ticker":"' || ticker || '","price":' || CAST(price AS VARCHAR) || ',"volume":' || CAST(volume AS VARCHAR)
+  || ',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}'"""
+
+
+@register("q_change_feed", "STR9 FLT4 FLT5 PRJ10 PRJ11 PRJ12 all three push messages with payloads since the previous push",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + f""", push AS (SELECT max(ts) - INTERVAL '{LAST_PUSH_BEFORE}' AS t0 FROM ticks),
+newest AS (SELECT * FROM posts QUALIFY row_number() OVER (ORDER BY ts DESC, post_id DESC) = 1),
+known AS (SELECT post_id FROM posts, push WHERE ts <= t0 QUALIFY row_number() OVER (ORDER BY ts DESC, post_id DESC) = 1)
+SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker, {_TICK_JSON} AS payload FROM ticks
+WHERE tick_id > (SELECT max(tick_id) FROM ticks, push WHERE ts <= t0)
+UNION ALL SELECT 'new_alerts', CAST(epoch_us(timestamp) AS VARCHAR), ticker,
+  '{{"id":' || CAST(epoch_us(timestamp) AS VARCHAR) || ',"ticker":"' || ticker || '","severity":"' || severity || '","message":"' || message
+  || '","type":"' || type || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '"}}' FROM alerts, push WHERE timestamp > t0
+UNION ALL SELECT 'new_tweet', CAST(n.post_id AS VARCHAR), n.ticker, '{{"id":' || CAST(n.post_id AS VARCHAR) || ',"ticker":"' || n.ticker
+  || '","timestamp":"' || strftime(n.ts, '%Y-%m-%dT%H:%M:%S.%f') || '","compound":' || CAST(n.compound AS VARCHAR) || '}}'
+  FROM newest n WHERE n.post_id NOT IN (SELECT post_id FROM known)""")
 def q_change_feed(spark, sf):
-    t = stage_ticks(spark, sf)
+    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
     push = as_of_literal(t) - F.expr(f"INTERVAL {LAST_PUSH_BEFORE}")
-    hwm = t.filter(F.col("ts") <= push).agg(F.max("tick_id").alias("m")).first()["m"]   # one scalar
-    f = change_feed(t, None, stage_posts(spark, sf), int(hwm if hwm is not None else -1))
-    return f.select("type", "id", "ticker")
+    # the marks of the previous push: one row
+    m = (t.filter(F.col("ts") <= push).agg(F.max("tick_id").alias("tick"))
+         .crossJoin(p.filter(F.col("ts") <= push).agg(F.max_by("post_id", F.struct("ts", "post_id")).alias("post")))
+         .select("*", F.unix_micros(push).alias("alert")).first())
+    alerts = stored_alerts(spark, sf).withColumn("alert_id", F.unix_micros("timestamp"))
+    return change_feed(t, alerts, p, int(m["tick"] if m["tick"] is not None else -1), m["alert"], m["post"])
 
 
 @register("q_tick_wire", "SRC7 PRJ10 tick wire projection encoded as keyed JSON records",
@@ -760,9 +794,9 @@ def q_stream_board(spark, sf):
 
 
 @register("q_stream_change_feed", "STR9 change feed with the checkpoint as high-water mark",
-          S.with_ctes(S.TICKS) + "SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker FROM ticks")
+          S.with_ctes(S.TICKS) + f"SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker, {_TICK_JSON} AS payload FROM ticks")
 def q_stream_change_feed(spark, sf):
-    return ST.run_to_table(spark, ST.stream_change_feed(_tick_stream(spark, sf)), "feed").select("type", "id", "ticker")
+    return ST.run_to_table(spark, ST.stream_change_feed(_tick_stream(spark, sf)), "feed")
 
 
 @register("q_stream_sinks", "SNK1 SNK2 SNK3 STR7 joined windows written to aggregates and signals tables",
@@ -855,7 +889,170 @@ SELECT u.ticker, coalesce(sg.pearson, 0.0) AS pearson_coefficient, coalesce(sg.c
   coalesce(sg.signal, 'HOLD') AS trading_signal, coalesce(pts.n_points, 0) AS n_points
 FROM universe u LEFT JOIN sg USING (ticker) LEFT JOIN pts USING (ticker)""", ["pearson_coefficient", "confidence_score"])
 def q_correlation_detail(spark, sf):
-    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
-    sigs = stage_signals(spark, sf, t, p)
+    t = stage_ticks(spark, sf)
+    sigs = stored_signals(spark, sf)
     tl = last_n_per_key(t.select("ticker", "ts", "tick_id"), "ticker", ["ts", "tick_id"], 30)
     return SN.correlation_detail(load_universe(spark, sf), sigs, tl)
+
+
+# --- further operators ----------------------------------------------------------------------
+
+_SENT_SLIDE = """sent_slide AS (SELECT ticker, window_start, window_start + INTERVAL '1 day' AS window_end, avg(compound) AS avg_sentiment
+FROM (SELECT p.*, time_bucket(INTERVAL '6 hours', ts) - k * INTERVAL '6 hours' AS window_start FROM posts p, range(4) r(k)) s GROUP BY 1, 2, 3)"""
+_ALIGNED_SLIDE = """aligned AS (
+  SELECT t.tick_id, t.ticker, t.ts, t.price, t.window_start, t.window_start + INTERVAL '1 day' AS window_end,
+         round(coalesce(avg(p.compound), 0.0), 9) AS sentiment, count(p.compound) AS n_posts
+  FROM (SELECT x.*, time_bucket(INTERVAL '6 hours', ts) - k * INTERVAL '6 hours' AS window_start FROM ticks x, range(4) r(k)) t
+  LEFT JOIN posts p ON p.ticker = t.ticker AND p.ts >= t.window_start AND p.ts >= t.ts - INTERVAL '12 hours' AND p.ts <= t.ts
+  GROUP BY t.tick_id, t.ticker, t.ts, t.price, t.window_start)"""
+
+
+@register("q_sliding_signals", "JON2 COR2 SIG1 rolling signal: 1-day windows every 6 hours over the trailing average",
+          S.with_ctes(*S.BASE, _SENT_SLIDE.replace("sent_slide", "sent_day"), _ALIGNED_SLIDE, S.CORR, S.signals_cte(0.1, 0.1, 0.002))
+          + "SELECT * FROM sig", ["pearson", "avg_sentiment", "momentum", "confidence"])
+def q_sliding_signals(spark, sf):
+    t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
+    aligned = rolling_sentiment_at_ticks(t, p, window=WINDOW, lookback=LOOKBACK, slide=SLIDE)
+    return signals(window_correlation(aligned, min_ticks=5), sentiment_windows(p, WINDOW, SLIDE), sent_t=0.1, corr_t=0.1, mom_t=0.002)
+
+
+@register("q_universe_filter", "FLT6 posts of supported (semi join) and unsupported (anti join) tickers",
+          S.with_ctes(*S.BASE) + "SELECT post_id, ticker, ticker IN ('T0', 'T1', 'T2', 'T3') AS supported FROM posts")
+def q_universe_filter(spark, sf):
+    p = stage_posts(spark, sf).select("post_id", "ticker")
+    half = load_universe(spark, sf).where("ordinal < 4")
+    return (in_universe(p, half).withColumn("supported", F.lit(True))
+            .unionByName(unsupported(p, half).withColumn("supported", F.lit(False))))
+
+
+@register("q_board_merge", "JON8 newest ticks merged into the board of a day before",
+          S.with_ctes(S.TICKS) + """, m AS (SELECT max(ts) - INTERVAL '1 day' AS t0 FROM ticks),
+b AS (SELECT ticker, price, volume, tick_id AS board_tick FROM ticks, m WHERE ts <= t0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) = 1),
+n AS (SELECT ticker, price, volume FROM ticks, m WHERE ts > t0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) = 1)
+SELECT b.ticker, coalesce(n.price, b.price) AS price, coalesce(n.volume, b.volume) AS volume, board_tick FROM b LEFT JOIN n USING (ticker)""", ["price"])
+def q_board_merge(spark, sf):
+    t = stage_ticks(spark, sf)
+    at = as_of_literal(t) - F.expr("INTERVAL 1 day")
+    board = SN.latest_tick(t.where(F.col("ts") <= at)).select("ticker", "price", "volume", F.col("tick_id").alias("board_tick"))
+    return merge_board(board, t.where(F.col("ts") > at))
+
+
+@register("q_quote_fallback", "SET1 quotes with stored ticks for tickers that the source lacks",
+          S.with_ctes(S.TICKS, S.LATEST_TICK) + """SELECT ticker, CASE WHEN substr(ticker, 2)::INT % 2 = 0 THEN round(price, 2) ELSE price END AS price,
+  CASE WHEN substr(ticker, 2)::INT % 2 = 0 THEN 'quote' ELSE 'stored' END AS origin FROM lt""", ["price"])
+def q_quote_fallback(spark, sf):
+    latest = SN.latest_tick(stage_ticks(spark, sf))
+    quotes = extract_quotes(quote_documents(latest.where(F.substring("ticker", 2, 9).cast("int") % 2 == 0)), ts=F.col("ts"))
+    return with_fallback(quotes.select("ticker", "price", F.lit("quote").alias("origin")),
+                         latest.select("ticker", "price", F.lit("stored").alias("origin")))
+
+
+@register("q_alert_buffer", "TOP6 newest 50 of old and new alerts",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + "SELECT * FROM alerts ORDER BY timestamp DESC, ticker DESC, type DESC, message DESC LIMIT 50")
+def q_alert_buffer(spark, sf):
+    a = stored_alerts(spark, sf)
+    at = as_of_literal(stage_ticks(spark, sf)) - F.expr("INTERVAL 1 day")
+    return alert_buffer(a.where(F.col("timestamp") <= at), a.where(F.col("timestamp") > at), ["timestamp", "ticker", "type", "message"])
+
+
+@register("q_first_tickers", "TOP7 first four tickers in universe order",
+          S.with_ctes(S.TICKS, S.LATEST_TICK) + "SELECT ticker, price FROM lt ORDER BY ticker LIMIT 4", ["price"])
+def q_first_tickers(spark, sf):
+    return first_k_by_ordinal(SN.latest_tick(stage_ticks(spark, sf)).select("ticker", "price"), load_universe(spark, sf), 4).select("ticker", "price")
+
+
+@register("q_strong_buy", "ALR3 strong-buy mark on alerts",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + "SELECT *, contains(message, 'Strong BUY') AS strong_buy FROM alerts")
+def q_strong_buy(spark, sf):
+    return strong_buy_flag(stored_alerts(spark, sf))
+
+
+@register("q_scorer_by_name", "SCA5 scorer chosen by name",
+          S.with_ctes(*S.BASE).rstrip() + ", lexed AS (WITH own AS (SELECT 1)" + _lexicon_sql().replace(", lex(token", ", lex(token", 1) + """)
+SELECT 'VADER' AS model, post_id, compound FROM lexed
+UNION ALL SELECT 'llm', post_id, greatest(-1.0, least(1.0, compound * 1.05)) FROM lexed
+UNION ALL SELECT 'keyword', post_id, compound FROM posts""", ["compound"])
+def q_scorer_by_name(spark, sf):
+    ids = stage_posts(spark, sf).select("post_id")
+    texts = post_texts(spark, sf)
+    out = [LX.score_posts(texts, m).select(F.lit(m).alias("model"), "post_id", "compound").join(ids, "post_id", "left_semi")
+           for m in ("VADER", "llm", "keyword")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("model", "post_id", "compound")
+
+
+@register("q_scorer_fallback", "UDF2 fallback scorer where the primary yields no score",
+          S.with_ctes(*S.BASE) + "SELECT post_id, CASE WHEN length(text) % 2 = 0 THEN greatest(-1.0, least(1.0, compound * 1.05)) ELSE compound END AS compound FROM posts",
+          ["compound"])
+def q_scorer_fallback(spark, sf):
+    def primary(text):
+        s = scale_score(score_keyword(text))
+        return F.when(F.length(text) % 2 == 0, s).otherwise(F.lit(None))
+    d = with_scores(post_texts(spark, sf), "text", primary, fallback=lambda t: F.struct(*[score_keyword(t)[f].alias(f) for f in ("compound", "pos", "neg", "neu")]))
+    return d.select("post_id", "compound").join(stage_posts(spark, sf).select("post_id"), "post_id", "left_semi")
+
+
+@register("q_parse_fallback", "PRJ3 junk and missing times fall back to the arrival time",
+          S.with_ctes(S.TICKS) + """SELECT ticker, price, CASE WHEN tick_id % 5 IN (0, 1) THEN (SELECT max(ts) FROM ticks) ELSE ts END AS timestamp FROM ticks""", ["price"])
+def q_parse_fallback(spark, sf):
+    t = stage_ticks(spark, sf)
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stamp = F.when(F.col("tick_id") % 5 == 0, F.lit("soon")).when(F.col("tick_id") % 5 != 1, iso)
+    raw = encode_records(t.select("ticker", "price", stamp.alias("timestamp")), "ticker", ts_cols=())
+    return parse_ticks(raw, default_ts=as_of_literal(t)).select("ticker", "price", "timestamp")
+
+
+@register("q_truncated", "SNK6 a stored table emptied in place",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + "SELECT * FROM alerts WHERE false")
+def q_truncated(spark, sf):
+    a = stored_alerts(spark, sf)
+    path = scratch_path(spark, f"truncated-{uuid.uuid4().hex}")
+    a.write.parquet(path)
+    truncate(spark, path, a.schema)
+    return spark.read.parquet(path)
+
+
+@register("q_rss_feed", "SRC5 PRJ8 PRJ9 feed items read as XML, with RFC 822 dates",
+          """SELECT 'news_' || md5(title) AS id, 'NVDA' AS ticker, '$NVDA News: ' || title || '. ' AS text,
+  TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL '1 hour' AS timestamp
+FROM (SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages) WHERE title <> ''""")
+def q_rss_feed(spark, sf):
+    at = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, CAST(page_id AS INT), 0, 0)")
+    items = NW.page_items(read_table(spark, sf, "pages")).select(
+        F.trim("title").alias("title"), F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("pubDate"))
+    path = scratch_path(spark, f"rss-{uuid.uuid4().hex}")
+    items.where("title <> ''").write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return NW.news_to_posts(NW.read_rss(spark, path), F.lit("NVDA")).select("id", "ticker", "text", "timestamp")
+
+
+def _tick_messages_path(spark, sf) -> str:
+    """Tick messages as a producer would publish them, written once per input snapshot."""
+    def build():
+        t = stage_ticks(spark, sf).select("ticker", "price", "open", "volume", F.col("ts").alias("timestamp"))
+        return encode_records(t, "ticker", ts_cols=("timestamp",))
+    return written_table(spark, snapshot_key(spark, sf, ["events"], "tick-messages"), "tick-messages", build, sort=())
+
+
+@register("q_stream_ticks", "SRC2 PRJ2 STR1 AGG3 tick messages: parse, watermark, price windows",
+          S.with_ctes(S.TICKS, S.PRICE_DAY) + "SELECT * FROM price_day WHERE window_end <= (SELECT max(ts) FROM ticks) - INTERVAL '10 minutes'",
+          ["avg_price"])
+def q_stream_ticks(spark, sf):
+    raw = ST.read_stream(spark, _tick_messages_path(spark, sf)).select("key", "value")
+    ticks = parse_ticks(raw).withColumnRenamed("timestamp", "ts")
+    return ST.run_to_table(spark, ST.stream_prices(ticks, WINDOW), "ticks")
+
+
+@register("q_stream_late", "STR2 STR10 several micro-batches: rows behind the watermark are dropped, open windows carry over",
+          S.with_ctes(*S.BASE) + f""", cut AS (SELECT {S.day('max(ts)')} - INTERVAL '4 days' AS t0 FROM posts),
+kept AS (SELECT p.* FROM posts p, cut WHERE ts >= t0)
+SELECT ticker, {S.day('ts')} AS window_start, {S.day('ts')} + INTERVAL '1 day' AS window_end, avg(compound) AS avg_sentiment, count(post_id) AS tweet_count
+FROM kept GROUP BY 1, 2, 3 HAVING {S.day('ts')} + INTERVAL '1 day' <= {_PWM}""", ["avg_sentiment"])
+def q_stream_late(spark, sf):
+    """Day by day the newest days arrive first to last, then everything older, all too late."""
+    p = stage_posts(spark, sf).select("post_id", "ticker", "ts", "compound")
+    cut = F.date_trunc("day", as_of_literal(p)) - F.expr("INTERVAL 4 days")
+    mid = cut + F.expr("INTERVAL 2 days")
+    path = scratch_path(spark, f"late-{uuid.uuid4().hex}")
+    for part in (p.where((F.col("ts") >= cut) & (F.col("ts") < mid)), p.where(F.col("ts") >= mid), p.where(F.col("ts") < cut)):
+        part.coalesce(1).write.mode("append").parquet(path)          # one file a micro-batch, in this order
+    out = ST.run_to_table(spark, ST.stream_sentiment(ST.read_stream(spark, path, max_files=1), WINDOW), "late")
+    return out.select("ticker", "window_start", "window_end", "avg_sentiment", "tweet_count")

@@ -55,20 +55,15 @@ DEFAULT_TEMPLATE = (
 REPLY_SOURCE = "native-nlp"
 # ---------------------------------------------------------------------------
 
-ALIAS_MAX = 10_000
-
-
 def match_alias(messages: DataFrame, aliases: DataFrame, text_col: str = "message") -> DataFrame:
-    """Append ``ticker``: first alias (by ordinal) contained in the lower-cased text."""
-    n = aliases.count()
-    if n > ALIAS_MAX:
-        raise ValueError(f"alias table has {n} rows; at most {ALIAS_MAX} are folded into the routing expression")
-    rows = aliases.orderBy("ordinal").select("word", "ticker").collect()  # bounded by the check above
-    low = F.lower(py_strip(F.col(text_col)))
-    expr = F.lit(None).cast("string")
-    for r in reversed(rows):
-        expr = F.when(low.contains(F.lit(r["word"])), F.lit(r["ticker"])).otherwise(expr)
-    return messages.withColumn("ticker", expr)
+    """Append ``ticker``: first alias (by ordinal) contained in the lower-cased text.
+
+    The alias table enters as one array, a scalar subquery that Spark evaluates once; the plan has the
+    same size for ten aliases or ten thousand."""
+    known = aliases.agg(F.sort_array(F.collect_list(F.struct("ordinal", "word", "ticker"))).alias("a")).scalar()
+    m = messages.withColumn("_low", F.lower(py_strip(F.col(text_col)))).withColumn("_known", known)
+    hit = F.filter("_known", lambda a: F.contains(F.col("_low"), a["word"]))
+    return m.withColumn("ticker", F.get(hit, F.lit(0))["ticker"]).drop("_low", "_known")
 
 
 def asset_facts(ticks: DataFrame, aggregates: DataFrame, sigs: DataFrame, names: DataFrame) -> DataFrame:
@@ -87,6 +82,16 @@ def asset_facts(ticks: DataFrame, aggregates: DataFrame, sigs: DataFrame, names:
                     F.coalesce(F.col("pearson"), F.lit(d["pearson"])).alias("pearson"))
 
 
+def with_alias_tickers(facts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``facts`` plus a row of defaults for each alias ticker that it lacks."""
+    d = ASSET_DEFAULTS
+    more = aliases.select("ticker").distinct().join(facts.select("ticker"), "ticker", "left_anti")
+    return facts.unionByName(more.select(
+        "ticker", F.col("ticker").alias("name"), F.lit(d["price"]).alias("price"), F.lit(d["volume"]).cast("long").alias("volume"),
+        F.lit(d["avg_sentiment"]).alias("avg_sentiment"), F.lit(d["bullish_ratio"]).alias("bullish_ratio"),
+        F.lit(d["signal"]).alias("signal"), F.lit(d["pearson"]).alias("pearson")))
+
+
 def asset_reports(facts: DataFrame) -> DataFrame:
     """(ticker, name, report): the asset report text per ticker, numbers rendered with
     Python's rules (exact binary value, half-even) natively."""
@@ -127,11 +132,10 @@ def route_questions(messages: DataFrame, aliases: DataFrame, facts: DataFrame, m
     moody = F.lit(False)
     for w in MOOD_WORDS:
         moody = moody | low.contains(w)
-    # reports are rendered once per ticker (a universe-sized table) and joined once by
-    # ticker; a matched alias outside the universe finds no report and is not an asset
-    texts = asset_reports(facts).select(F.col("ticker").alias("_ft"), F.col("report").alias("_report"))
+    # reports are rendered once per ticker (a universe-sized table) and joined once by ticker; a
+    # matched alias outside the universe gets the defaults' report under its own ticker
+    texts = asset_reports(with_alias_tickers(facts, aliases)).select(F.col("ticker").alias("_ft"), F.col("report").alias("_report"))
     j = m.join(texts, F.col("ticker") == F.col("_ft"), "left")
-    j = j.withColumn("ticker", F.when(F.col("_ft").isNotNull(), F.col("ticker")))
     reply = (F.when(F.col("ticker").isNotNull(), F.col("_report"))
              .when(moody, macro_report_text(fg, mood))
              .otherwise(render(DEFAULT_TEMPLATE, query=py_strip(F.col(text_col)))))

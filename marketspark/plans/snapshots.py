@@ -116,7 +116,7 @@ def movers(ticks: DataFrame, k: int = MOVERS_K, universe: DataFrame | None = Non
                    .alias("change"))
     tie = F.col("ticker").asc()
     if universe is not None:
-        ch = ch.join(F.broadcast(universe.select("ticker", F.col("ordinal").alias("_ord"))), "ticker", "left")
+        ch = ch.join(universe.select("ticker", F.col("ordinal").alias("_ord")), "ticker", "left")
         tie = F.col("_ord").asc_nulls_last()
     gainers = top_k(ch.filter(F.col("change") >= 0), [F.col("change").desc(), tie], k)
     losers = top_k(ch.filter(F.col("change") < 0), [F.col("change").asc(), tie], k)
@@ -152,7 +152,7 @@ def ingest_metrics(posts: DataFrame, ticks: DataFrame, sigs: DataFrame, alerts:
 
 def search_tickers(summary: DataFrame, names: DataFrame, query: str | None) -> DataFrame:
     """Case-insensitive substring search on ticker or company name; blank query -> all."""
-    j = summary.join(F.broadcast(names.select("ticker", "name")), "ticker", "left")
+    j = summary.join(names.select("ticker", "name"), "ticker", "left")
     q = (query or "").strip().lower()
     if not q:
         return j
@@ -161,7 +161,7 @@ def search_tickers(summary: DataFrame, names: DataFrame, query: str | None) -> D
 
 def export_rows(summary: DataFrame, names: DataFrame) -> DataFrame:
     """Rows of the market-summary CSV export with the UI's header names."""
-    j = summary.join(F.broadcast(names.select("ticker", "name")), "ticker", "left")
+    j = summary.join(names.select("ticker", "name"), "ticker", "left")
     return j.select(F.col("ticker").alias("Ticker"), F.coalesce("name", "ticker").alias("Company Name"),
                     F.col("current_price").alias("Price"), F.col("volume").alias("Volume"),
                     F.col("avg_sentiment").alias("AvgSentiment"), F.col("signal").alias("Signal"))
@@ -178,7 +178,7 @@ def board_cards(summary: DataFrame, names: DataFrame) -> DataFrame:
     in thousands, volume with separators, sentiment (browser number formatting: exact
     binary value, ties away from zero), rendered natively on the per-ticker summary."""
     from marketspark.functions.fixed import with_fixed_text
-    j = summary.join(F.broadcast(names.select("ticker", "name")), "ticker", "left")
+    j = summary.join(names.select("ticker", "name"), "ticker", "left")
     j = with_fixed_text(j, {"_chg": (F.col("price_change_pct"), 2, "away"),
                             "_px": (F.col("current_price"), 2, "away"),
                             "_vk": (F.col("volume") / 1000, 0, "away"),

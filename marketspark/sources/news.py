@@ -19,7 +19,8 @@ NEWS_SOURCE = "Yahoo Finance RSS"
 NEWS_FOLLOWERS = 1_500_000
 NEWS_CONFIDENCE, NEWS_BOT = 0.95, 0.05
 DESCRIPTION_CHARS = 100
-ID_DIGITS = 8
+# RFC 822 dates without the day's name, with an offset or a zone's name
+PUB_DATE_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"]
 # ---------------------------------------------------------------------------
 
 
@@ -39,8 +40,16 @@ def page_items(pages: DataFrame) -> DataFrame:
 
 
 def news_id(title: Column) -> Column:
-    """Stable id from the headline (the reference's salted hash is not reproducible)."""
-    return F.concat(F.lit("news_"), F.substring(F.md5(title), 1, ID_DIGITS))
+    """Stable id from the headline (the reference's salted hash is not reproducible): its full digest,
+    so different headlines stay apart at any volume."""
+    return F.concat(F.lit("news_"), F.md5(title))
+
+
+def pub_date(text: Column) -> Column:
+    """A feed's date: RFC 822 or ISO; NULL if neither."""
+    text = F.trim(text)
+    bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*", "")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in PUB_DATE_FORMATS], F.try_to_timestamp(text))
 
 
 def news_to_posts(items: DataFrame, ticker: Column, ts: Column | None = None) -> DataFrame:
@@ -48,7 +57,7 @@ def news_to_posts(items: DataFrame, ticker: Column, ts: Column | None = None) ->
                     F.substring(F.coalesce(F.col("description"), F.lit("")), 1, DESCRIPTION_CHARS))
     return items.select(news_id(F.col("title")).alias("id"), ticker.alias("ticker"), text.alias("text"),
                         F.lit(NEWS_USERNAME).alias("username"),
-                        (ts if ts is not None else F.try_to_timestamp(F.col("pubDate"))).alias("timestamp")
+                        (ts if ts is not None else pub_date(F.col("pubDate"))).alias("timestamp")
                         if "pubDate" in items.columns or ts is not None
                         else F.lit(None).cast("timestamp").alias("timestamp"),
                         F.lit(NEWS_FOLLOWERS).alias("followers"), F.lit(NEWS_SOURCE).alias("source"),

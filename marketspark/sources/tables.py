@@ -78,16 +78,16 @@ def load_ticks(spark: SparkSession, sf_dir: str, bucket: str = "auto") -> DataFr
     return t.select("tick_id", "ticker", "ts", "price", F.coalesce("_prev", "price").alias("open"), "volume")
 
 
-SPREAD_MAX = 64   # fan-out for small inputs; large inputs already have many splits
+SCAN_TASKS = "marketspark.scan.tasks"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than min(cores, SPREAD_MAX) before
-    CPU-heavy per-row work.  A large input already has at least that many splits, so on a
-    cluster this is a no-op; it only fans out small single-row-group files, and never
-    into more than SPREAD_MAX tasks."""
-    target = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    """``df`` in as many tasks as the session's ``marketspark.scan.tasks`` asks for, else as it is.
+
+    For small files of one row group, which Spark cannot split, ahead of CPU-heavy work; unset
+    on a cluster, where a scan has splits enough and the corpus is never shuffled."""
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def load_posts(spark: SparkSession, sf_dir: str, model: str = "keyword") -> DataFrame:
@@ -136,7 +136,7 @@ def reference_aliases(spark: SparkSession) -> DataFrame:
 def load_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages: user turns of ``conversations`` -> (msg_id, message)."""
     c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "conv_id", "turn",
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("msg_id"), "conv_id", "turn",
                     F.col("text").alias("message"))
 
 
@@ -164,18 +164,21 @@ def load_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WRITTEN: dict[tuple, str] = {}
 
 
-def _file_stamp(spark: SparkSession, path: str) -> tuple:
-    """(modification time, length) of a file or folder through the Hadoop FileSystem API,
-    so the key works for local, HDFS and object-store paths alike."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    st = fs.getFileStatus(p)
-    return int(st.getModificationTime()), int(st.getLen())
+SNAPSHOT = "marketspark.snapshot"
+
+
+def _file_stamp(spark: SparkSession, path: str) -> int:
+    """Digest of the paths, sizes and modification times of all files that make up a table, listed by
+    Spark's binaryFile source (contents are not read), so any store and nested folders work."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    r = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return hash(tuple(r))
 
 
 def snapshot_key(spark: SparkSession, sf_dir: str, names: list[str], tag: str) -> tuple:
-    stats = tuple((n, *_file_stamp(spark, os.path.join(sf_dir, f"{n}.parquet"))) for n in names)
+    """Identity of the input state: the caller's ``marketspark.snapshot`` setting, else the files'."""
+    given = spark.conf.get(SNAPSHOT, None)
+    stats = given or tuple((n, _file_stamp(spark, os.path.join(sf_dir, f"{n}.parquet"))) for n in names)
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tag, stats)
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,18 +128,23 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     q = (stream.writeStream.outputMode(mode).foreachBatch(make_sink(parquet_writer(out)))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        if mode == "update" and key:
-            return latest_state(spark, out, key)
-        return read_batches(spark, out)
-    except AnalysisException:       # no batch produced any output folder
+    if not wrote(q):                # no micro-batch ran, so there is no output folder
         return spark.createDataFrame([], stream.schema)
+    if mode == "update" and key:
+        return latest_state(spark, out, key)
+    return read_batches(spark, out)
+
+
+def wrote(query) -> bool:
+    """Whether the query ran any micro-batch (each writes its folder, even when empty)."""
+    return any(p["batchId"] >= 0 and p["durationMs"].get("addBatch") is not None for p in query.recentProgress)
 
 
 def dropped_by_watermark(query) -> int:
-    """Rows dropped as too late in the last micro-batch (from the query's progress)."""
-    prog = query.lastProgress or {}
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in prog.get("stateOperators", []))
+    """Rows dropped as too late, over all micro-batches that the query still reports.
+
+    Spark keeps ``spark.sql.streaming.numRecentProgressUpdates`` of them (100 by default)."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def correlation_enricher(ticks: DataFrame, posts: DataFrame, window: str = WINDOW, lookback: str = "2 minutes",
@@ -193,14 +197,14 @@ def scored_post_stream(raw: DataFrame, default_ts=None, model: str = "keyword")
     return with_scores(d, "text", model).drop("text")
 
 
-def start_job(spark: SparkSession, stream: DataFrame, name: str, sink, mode: str = "append",
+def start_job(spark: SparkSession, stream: DataFrame, checkpoint: str, sink, mode: str = "append",
               processing_time: str | None = "15 seconds", available_now: bool = False):
-    """Start a long-running stream into a ``foreachBatch`` sink with a stable checkpoint
-    under the shared folder: a restarted job (after a failure or redeploy) resumes from its
+    """Start a long-running stream into a ``foreachBatch`` sink.  ``checkpoint`` is a path on shared storage
+    that the caller keeps across sessions: a restarted job (after a failure or redeploy) resumes from its
     committed offsets and state, so each input row is processed once into the idempotent
     sink.  ``processing_time`` is the micro-batch cadence (the reference's worker ran every
     15 seconds)."""
     w = (stream.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", scratch_path(spark, f"jobs/{name}/checkpoint")))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()

@@ -25,17 +25,12 @@ def parquet_writer(path: str, select: Callable[[DataFrame], DataFrame] | None =
     return write
 
 
-def jdbc_writer(url: str, table: str, properties: dict, select: Callable[[DataFrame], DataFrame] | None = None,
-                key_cols: tuple[str, ...] = ()) -> Writer:
-    """Append a batch to a JDBC table (needs the vendor driver on the classpath).
-
-    For idempotency the target should carry a unique key on ``key_cols`` (natural keys
-    such as (ticker, window_start)); a replayed batch then fails fast on the key instead
-    of duplicating rows.
-    """
+def jdbc_writer(url: str, table: str, properties: dict, select: Callable[[DataFrame], DataFrame] | None = None) -> Writer:
+    """Store a batch in a JDBC staging table of its own, ``<table>_<batch id>`` (overwritten, so a replay
+    replaces it), for the database to merge by its keys.  Needs the vendor driver."""
     def write(df: DataFrame, batch_id: int) -> None:
         out = select(df) if select else df
-        out.write.jdbc(url, table, mode="append", properties=properties)
+        out.write.jdbc(url, f"{table}_{batch_id}", mode="overwrite", properties=properties)
     return write
 
 
@@ -100,4 +95,11 @@ def joined_window_sink(aggregates_path: str, signals_path: str, pearson=None, en
     inner = make_sink(aggregates_writer(aggregates_path), parquet_writer(signals_path, with_signal))
     if enrich is None:
         return inner
-    return lambda df, batch_id: inner(enrich(df), batch_id)
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        df.persist()                 # ``enrich`` looks at the batch before the writers do
+        try:
+            inner(enrich(df), batch_id)
+        finally:
+            df.unpersist()
+    return sink

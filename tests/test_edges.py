@@ -284,11 +284,32 @@ def test_movers_ties_keep_universe_order(spark):
     assert [r["ticker"] for r in g2.collect()] == ["AAPL", "TSLA"]
 
 
-def test_correlation_matrix_universe_cap(spark):
-    from marketspark.operators.correlation import MATRIX_MAX
-    ticks = spark.createDataFrame([(1, "A", T0, 1.0)], "tick_id long, ticker string, ts timestamp, price double")
-    with pytest.raises(ValueError):
-        correlation_matrix(ticks, [f"X{i}" for i in range(MATRIX_MAX + 1)])
+def test_correlation_matrix_of_many_tickers(spark):
+    names = [f"X{i:03d}" for i in range(200)]
+    ticks = spark.range(200 * 6).select(
+        F.col("id").alias("tick_id"), F.format_string("X%03d", F.col("id") % 200).alias("ticker"),
+        F.timestamp_micros(F.floor(F.col("id") / 200) * 3_600_000_000).alias("ts"), (100 + F.sin(F.col("id") * 7)).alias("price"))
+    m = correlation_matrix(ticks, names, lookback=None)
+    assert m.count() == 200 * 200 and m.where("n_buckets = 6").count() == 200 * 200
+    assert correlation_matrix(ticks, names[:2], lookback="2 hours").first()["n_buckets"] == 3      # as_of defaults to the latest tick
+
+
+def test_a_thousand_aliases(spark):
+    from marketspark.plans.reports import match_alias
+    aliases = spark.createDataFrame([(i, f"word{i:04d}x", f"T{i}") for i in range(1500)] + [(1500, "word", "LAST")], "ordinal int, word string, ticker string")
+    texts = [("  WORD0700X and word0003x ",), ("a word",), ("none",), (None,)]
+    got = match_alias(spark.createDataFrame(texts, "message string"), aliases).collect()
+    assert [r["ticker"] for r in got] == ["T3", "LAST", None, None]
+
+
+def test_latest_per_key_with_odd_ids(spark):
+    from marketspark.operators.topk import latest_per_key
+    rows = [("A", T0, -(2 ** 63), 1.0), ("A", T0, 2 ** 63 - 1, 2.0), ("A", T0, 0, 3.0), ("B", T0 - dt.timedelta(days=40_000), 5, 4.0),
+            ("B", T0 - dt.timedelta(days=40_000, microseconds=1), 2 ** 62, 5.0), ("C", T0, 7, None)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id long, v double")
+    got = {r["k"]: r["v"] for r in latest_per_key(df, "k", ["ts", "id"]).collect()}
+    assert got == {"A": 2.0, "B": 4.0, "C": None}
+    assert "SortAggregate" not in latest_per_key(df, "k", ["ts", "id"])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_py_strip_matches_python(spark):

@@ -52,14 +52,19 @@ def test_lexicon_values_and_negation(spark):
     assert r[3]["compound"] == 0.0
 
 
-def test_lexicon_relational_path_matches_map_path(spark, monkeypatch):
+def test_lexicon_odd_rows(spark):
     import marketspark.operators.lexicon as LX
-    df = spark.createDataFrame([(1, POS), (2, NEG), (3, NEU), (4, "not very bad, never weak 📉 up")],
-                               "post_id long, text string")
-    a = {r["post_id"]: r for r in LX.score_lexicon(df).collect()}
-    monkeypatch.setattr(LX, "MAP_MAX", 0)
-    b = {r["post_id"]: r for r in LX.score_lexicon(df).collect()}
-    assert a == b
+    rows = [(1, POS), (1, POS), (4, "bad"), (4, "surging"), (5, None), (6, ""), (None, "not very bad, never weak up"), (7, "custom word")]
+    df = spark.createDataFrame(rows, "post_id long, text string")
+    alone = {(i, t): r for i, t in rows for r in LX.score_lexicon(spark.createDataFrame([(99, t)], "post_id long, text string")).collect()}
+    got = LX.score_lexicon(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [r[c] for c in ("compound", "pos", "neg", "neu")] == [alone[r["post_id"], r["text"]][c] for c in ("compound", "pos", "neg", "neu")]
+    assert all(r["compound"] == 0.0 for r in got if r["post_id"] in (5, 6))
+    twice = spark.createDataFrame([("custom", 1.0), ("custom", 3.0)], "token string, valence double")
+    once = spark.createDataFrame([("custom", 2.0)], "token string, valence double")
+    assert LX.score_lexicon(df, twice).collect()[-1]["compound"] == LX.score_lexicon(df, once).collect()[-1]["compound"]
 
 
 def test_tone_and_scale(spark):

@@ -136,9 +136,9 @@ def test_restarted_job_resumes_from_checkpoint(spark):
     from marketspark.session import scratch_path
     sf = "/root/testdata/sf0.001"
     name = f"feed-{uuid.uuid4().hex}"
-    out = scratch_path(spark, f"jobs/{name}/out")
+    out, checkpoint = scratch_path(spark, f"jobs/{name}/out"), scratch_path(spark, f"jobs/{name}/checkpoint")
     for _ in range(2):                      # second start: nothing new to process
-        q = ST.start_job(spark, ST.stream_change_feed(_tick_stream(spark, sf)), name, make_sink(parquet_writer(out)),
+        q = ST.start_job(spark, ST.stream_change_feed(_tick_stream(spark, sf)), checkpoint, make_sink(parquet_writer(out)),
                          available_now=True)
         q.awaitTermination()
     got = read_batches(spark, out)
