@@ -93,14 +93,14 @@ def stored_alerts(spark, sf) -> DataFrame:
 
 # --- adapters and scoring -----------------------------------------------------------------
 
-@register("q_ticks", "adapter ticks, previous-price open (sequence.previous_value)",
+@register("q_ticks", "SRC3 FLT1 SCA18 adapter ticks, previous-price open (sequence.previous_value)",
           S.with_ctes(S.TICKS) + "SELECT tick_id, ticker, ts, price, open, volume FROM ticks",
           ["price", "open"])
 def q_ticks(spark, sf):
     return load_ticks(spark, sf)
 
 
-@register("q_posts_scored", "adapter posts, SCA1 keyword scorer",
+@register("q_posts_scored", "SCA1 PRJ4 keyword scorer over the posts adapter, score struct flattened",
           S.with_ctes(*S.BASE) + "SELECT post_id, ticker, ts, username, followers, compound, pos, neg, neu FROM posts",
           ["compound", "pos", "neg", "neu"])
 def q_posts_scored(spark, sf):
@@ -120,7 +120,7 @@ def q_post_labels(spark, sf):
 
 # --- window aggregates ---------------------------------------------------------------------
 
-@register("q_sentiment_tumbling", "AGG1 AGG2 AGG5 tumbling sentiment windows",
+@register("q_sentiment_tumbling", "AGG1 AGG2 AGG5 PRJ5 tumbling sentiment windows, window struct flattened",
           S.with_ctes(*S.BASE, S.SENT_DAY) + "SELECT * FROM sent_day",
           ["avg_sentiment", "bullish_ratio", "bearish_ratio", "velocity"])
 def q_sentiment_tumbling(spark, sf):
@@ -172,7 +172,7 @@ def q_rolling_sentiment_at_tick(spark, sf):
     return stage_aligned(spark, sf)
 
 
-@register("q_window_pearson", "COR1 COR2 FLT10 guarded Pearson per window",
+@register("q_window_pearson", "COR1 COR2 AGG10 FLT10 SCA14 guarded Pearson and momentum per window",
           S.with_ctes(*S.CHAIN) + "SELECT * FROM corr_day",
           ["pearson", "first_price", "last_price", "momentum"])
 def q_window_pearson(spark, sf):
@@ -219,7 +219,7 @@ def q_post_alerts(spark, sf):
     return post_alerts(stage_posts(spark, sf))
 
 
-@register("q_stream_preset_signals", "SIG3 streaming-job signal rule on joined windows with computed r",
+@register("q_stream_preset_signals", "SIG3 PRJ6 streaming-job signal rule on joined windows with computed r",
           S.with_ctes(*S.CHAIN, S.PRICE_DAY) + """SELECT s.ticker, s.window_end AS timestamp, c.pearson, 0 AS lag,
   CASE WHEN s.avg_sentiment > 0.5 AND c.pearson > 0.3 THEN 'BUY'
        WHEN s.avg_sentiment < -0.5 AND c.pearson < -0.3 THEN 'SELL' ELSE 'HOLD' END AS signal,
@@ -257,7 +257,7 @@ def q_latest_tick(spark, sf):
     return SN.latest_tick(stage_ticks(spark, sf))
 
 
-@register("q_last30_ticks", "WIN2 last 30 ticks per ticker (WindowGroupLimit)",
+@register("q_last30_ticks", "WIN2 SRT1 last 30 ticks per ticker (WindowGroupLimit)",
           S.with_ctes(S.TICKS) + """SELECT tick_id, ticker, ts, price, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, tick_id DESC) AS rank FROM ticks) WHERE rank <= 30""",
           ["price"])
@@ -301,7 +301,7 @@ def q_timeline(spark, sf):
                                    max_window=WINDOW)
 
 
-@register("q_market_summary", "SNP1 JON5 SCA13 market summary",
+@register("q_market_summary", "SNP1 JON5 FLT11 SCA13 SCA17 market summary over stored tables",
           S.with_ctes(*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.SUMMARY)
           + "SELECT * FROM summary", ["current_price", "price_change_pct", "avg_sentiment", "bullish_ratio", "pearson"])
 def q_market_summary(spark, sf):
@@ -374,7 +374,7 @@ def q_news_feed(spark, sf):
     return SN.news_feed(stage_posts(spark, sf), k=6, texts=post_texts(spark, sf))
 
 
-@register("q_metrics", "SNP7 AGG8 ingest counts",
+@register("q_metrics", "SNP7 AGG8 SNK4 counts over the stored posts, ticks, signals and alerts",
           S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + """SELECT 'total_tweets' AS metric, count(*) AS value FROM posts
 UNION ALL SELECT 'total_ticks', count(*) FROM ticks
 UNION ALL SELECT 'total_signals', count(*) FROM sig
@@ -411,7 +411,7 @@ def q_latest_alerts(spark, sf):
     return SN.latest_alerts(stored_alerts(spark, sf), 20, order=("timestamp", "ticker", "type", "message"))
 
 
-@register("q_trailing_sentiment", "AGG4 rolling aggregate evaluated at as_of (12-hour look-back)",
+@register("q_trailing_sentiment", "AGG4 FLT2 rolling aggregate evaluated at as_of (12-hour look-back)",
           S.with_ctes(*S.BASE) + """SELECT ticker, (SELECT max(ts) FROM posts) - INTERVAL '12 hours' AS window_start,
   (SELECT max(ts) FROM posts) AS window_end, avg(compound) AS avg_sentiment, count(post_id) AS tweet_count,
   avg(CASE WHEN compound > 0.15 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bullish_ratio,
@@ -585,7 +585,7 @@ def stage_facts(spark, sf):
 _REPORT_CTES = [*S.CHAIN, S.SIG, S.LATEST_TICK, S.LATEST_SENT, S.LATEST_SIG, S.UNIVERSE, _FACTS_SQL]
 
 
-@register("q_asset_report", "SNP9 JON6 asset intelligence report text per ticker",
+@register("q_asset_report", "SNP9 JON6 SCA7 asset intelligence report text per ticker",
           S.with_ctes(*_REPORT_CTES) + f"SELECT ticker, name, {_asset_text_sql()} AS report FROM facts")
 def q_asset_report(spark, sf):
     return RP.asset_reports(stage_facts(spark, sf))
@@ -700,7 +700,7 @@ def q_change_feed(spark, sf):
     return change_feed(t, alerts, p, int(m["tick"] if m["tick"] is not None else -1), m["alert"], m["post"])
 
 
-@register("q_tick_wire", "SRC7 PRJ10 tick wire projection encoded as keyed JSON records",
+@register("q_tick_wire", "SRC7 PRJ10 SCA16 tick wire projection encoded as keyed JSON records",
           S.with_ctes(S.TICKS) + """SELECT ticker AS key, '{"ticker":"' || ticker || '","price":' || CAST(price AS VARCHAR)
   || ',"volume":' || CAST(volume AS VARCHAR) || ',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS value
 FROM ticks""")
@@ -1056,3 +1056,13 @@ def q_stream_late(spark, sf):
         part.coalesce(1).write.mode("append").parquet(path)          # one file a micro-batch, in this order
     out = ST.run_to_table(spark, ST.stream_sentiment(ST.read_stream(spark, path, max_files=1), WINDOW), "late")
     return out.select("ticker", "window_start", "window_end", "avg_sentiment", "tweet_count")
+
+
+@register("q_pluggable_source", "UDF3 SRC3 a caller's loader in place of the parquet reader",
+          S.with_ctes(S.TICKS) + "SELECT tick_id, ticker, price FROM ticks WHERE ticker IN ('T1', 'T2')", ["price"])
+def q_pluggable_source(spark, sf):
+    """The tick adapter over a loader that serves two tickers' events only."""
+    def loader(spark, sf_dir, name):
+        t = read_table(spark, sf_dir, name)
+        return t.where(F.pmod("user_id", F.lit(8)).isin(1, 2)) if name == "events" else t
+    return load_ticks(spark, sf, reader=loader).select("tick_id", "ticker", "price")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,14 +63,17 @@ def ticker_of(user_id: F.Column) -> F.Column:
     return F.concat(F.lit("T"), F.pmod(user_id, F.lit(N_TICKERS)).cast("string"))
 
 
-def load_ticks(spark: SparkSession, sf_dir: str, bucket: str = "auto") -> DataFrame:
+Reader = Callable[[SparkSession, str, str], DataFrame]     # a pluggable source: (session, folder, table name) -> rows
+
+
+def load_ticks(spark: SparkSession, sf_dir: str, bucket: str = "auto", reader: Reader = read_table) -> DataFrame:
     """ticks(tick_id, ticker, ts, price, open, volume) from ``events`` (view/purchase rows).
 
     ``open`` is the previous price of the same ticker in (ts, tick_id) order, else the
     tick's own price; computed per (ticker, time bucket) with a carry-in, never with a
     window over a whole ticker.
     """
-    ev = (read_table(spark, sf_dir, "events")
+    ev = (reader(spark, sf_dir, "events")
           .filter(F.col("event_type").isin(*TICK_EVENT_TYPES))
           .select(F.col("event_id").alias("tick_id"), ticker_of(F.col("user_id")).alias("ticker"),
                   _utc("ts"), (F.lit(100.0) + F.col("value")).alias("price"),
@@ -90,18 +94,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(tasks)) if tasks else df
 
 
-def load_posts(spark: SparkSession, sf_dir: str, model: str = "keyword") -> DataFrame:
+def load_posts(spark: SparkSession, sf_dir: str, model: str = "keyword", reader: Reader = read_table) -> DataFrame:
     """posts(post_id, ticker, ts, text, username, followers, compound, pos, neg, neu).
 
     Each document is scored (native Column scorer over the whole text) on the scan side,
     then joined to ``events`` on event_id = doc_id * 5 (unique keys: a plain shuffle or
     broadcast join chosen by AQE from runtime sizes, no skew).
     """
-    docs = spread(read_table(spark, sf_dir, "documents").select(
+    docs = spread(reader(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("post_id"), "text", F.col("source").alias("username"),
         F.col("n_chars").alias("followers")))
     docs = with_scores(docs, "text", model).withColumn("_eid", F.col("post_id") * POST_EVENT_STRIDE)
-    ev = read_table(spark, sf_dir, "events").select(
+    ev = reader(spark, sf_dir, "events").select(
         F.col("event_id").alias("_eid"), ticker_of(F.col("user_id")).alias("ticker"), _utc("ts"))
     p = docs.join(ev, "_eid")
     return p.select("post_id", "ticker", "ts", "text", "username", "followers", "compound", "pos", "neg", "neu")
