@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from marketspark.llm.common import bound_batches
+
 NONE = np.int32(2**31 - 1)      # rank of a pair that the vocabulary does not hold
 QUEUE_FROM = 1024
-CACHE_PIECES = 400_000          # distinct pieces a task remembers before it starts afresh
-TEXT_AT_ONCE = 4_000_000        # characters split before their new pieces are encoded
+CACHE_PIECES = 200_000          # distinct pieces a task remembers before it starts afresh
+TEXT_AT_ONCE = 1_000_000        # characters split before their new pieces are encoded
 CELLS = 1 << 19                 # cells of one matrix: its arrays stay in the processor's cache
 
 
@@ -261,6 +263,7 @@ class Codec:
     The driver reads the file (its size is fixed by the vocabulary) and broadcasts the ranks."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        bound_batches(spark)
         self.ranks, self.pattern = spark.sparkContext.broadcast(load_ranks(path)), pattern
 
     def encode(self, text: Column) -> Column:

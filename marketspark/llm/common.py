@@ -25,6 +25,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Have Arrow batches of texts sent to Python workers hold about ``size`` bytes.
+
+    Spark's default of 64 MB is what one batch of long texts costs several times over - in the JVM,
+    in the worker, and in what is made of it - for each core of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fold(doc_id: Column, folds: int = 4) -> Column:
     """crc32 of the id's decimal text modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")

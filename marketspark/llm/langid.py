@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import fold, staged
+from marketspark.llm.common import bound_batches, fold, staged
 
 PER_LANG = 1000          # bound on labelled texts a language is learned from
 CLUSTERS = 3
@@ -111,6 +111,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS) -
             yield pd.DataFrame({"lang": [r[0] for r in rows],
                                 "counts": [np.minimum(r[1], 2**31 - 1).astype(np.int32) for r in rows]}, columns=["lang", "counts"])
 
+    bound_batches(docs.sparkSession)
     sample = staged(labelled_sample(docs, per_lang).mapInPandas(count, "lang string, counts array<int>"), "langid")
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

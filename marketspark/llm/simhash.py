@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import staged
+from marketspark.llm.common import bound_batches, staged
 
 GROUP_ROWS = 512      # a group above this is cut into pairs of chunks of half of it
 GROUP_MEAN = 256      # wanted rows of an ordinary group
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
 
     Null, empty and word-free texts have fingerprint zero and are linked like any other.  Repeated
     rows each give a row.  Only the two named columns are read, so further columns cannot clash."""
+    bound_batches(docs.sparkSession)
     marked = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "marked")
     classes = staged(link_components(marked, distance).select("fp", "root", "component_id"), "classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import fold, staged
+from marketspark.llm.common import bound_batches, fold, staged
 
 SAMPLE_ROWS = 12_000     # bound on labelled rows a model is learned from
 PREFIXES = (3, 4, 5, 6, 8)
@@ -43,6 +43,7 @@ ODDS_MIN = 1.5
 Z_MIN = 3.0
 DRIFT = 0.25
 TOP_SCORE = 8.0
+CONTEXTS_AT_ONCE, WORDS_KNOWN = 50_000, 100_000    # what a worker holds in memory
 WORD = re.compile(r"\w+")
 
 
@@ -102,7 +103,7 @@ class Scorer:
         """Number of tokens, and the maximal segments over them."""
         words = WORD.findall(text.lower()) if text else []
         seen, token = self.seen, self.model.token
-        if len(seen) > 500_000:
+        if len(seen) > WORDS_KNOWN:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = token(w)
@@ -147,14 +148,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct (word, hash of its neighbours, label) of each batch."""
+    """(word, hash of its neighbours, label) of the texts, distinct in every CONTEXTS_AT_ONCE or so."""
+    columns = ["word", "ctx", "toxic"]
     for b in batches:
         seen: set[tuple[str, int, int]] = set()
         for text, toxic in zip(b["text"], b["toxic"]):
             words = ["", *WORD.findall(text.lower()), ""]
             label = int(toxic)
             seen.update((w, xxhash.xxh64_intdigest(f"{x} {y}") - 2**63, label) for x, w, y in zip(words, words[1:], words[2:]))
-        yield pd.DataFrame(list(seen), columns=["word", "ctx", "toxic"])
+            if len(seen) > CONTEXTS_AT_ONCE:
+                yield pd.DataFrame(list(seen), columns=columns)
+                seen.clear()
+        yield pd.DataFrame(list(seen), columns=columns)
 
 
 def _log_odds(counts: pd.DataFrame, clean: int, toxic: int) -> dict[str, float]:
@@ -192,6 +197,7 @@ def _log_odds(counts: pd.DataFrame, clean: int, toxic: int) -> dict[str, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit the model.  Without both labels in the sample every text scores the same low value."""
+    bound_batches(docs.sparkSession)
     sample = staged(labelled_sample(docs, labels, rows), "toxic-sample")
     train = sample.where("fold in (0, 1)")
     contexts = train.select("text", "toxic").mapInPandas(_contexts, "word string, ctx long, toxic int").distinct()

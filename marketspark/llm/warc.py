@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import staged
+from marketspark.llm.common import bound_batches, staged
 
 MAGIC = 0x184D2A5D
 PAYLOAD_AT_ONCE = 4 << 20        # payload bytes of an archive, beyond which it is closed
@@ -111,6 +111,7 @@ def archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         if open_:
             yield close()
 
+    bound_batches(pages.sparkSession)
     return staged(_marked(pages, min_bytes).mapInArrow(write, "path string, content binary"), "warc")
 
 
