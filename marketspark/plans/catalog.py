@@ -31,10 +31,10 @@ from marketspark.plans import snapshots as SN
 from marketspark.plans.registry import as_of_literal, register
 from marketspark.sources import news as NW
 from marketspark.session import scratch_path
-from marketspark.sources.quotes import extract_quotes, quote_documents, with_fallback
+from marketspark.sources.quotes import extract_quotes, with_fallback
 from marketspark.sources.records import encode_records, parse_ticks, tick_wire
 from marketspark.sources.tables import (load_chat_messages, load_logits, load_posts, load_questions, load_ticks,
-                                        load_universe, post_texts, posts_table, posts_table_path, read_table,
+                                        load_universe, post_texts, posts_table, posts_table_path, quote_documents, read_table,
                                         snapshot_key, spread, ticks_table, ticks_table_path, universe_aliases,
                                         written_table)
 from marketspark.streaming import jobs as ST
@@ -692,12 +692,11 @@ UNION ALL SELECT 'new_tweet', CAST(n.post_id AS VARCHAR), n.ticker, '{{"id":' ||
 def q_change_feed(spark, sf):
     t, p = stage_ticks(spark, sf), stage_posts(spark, sf)
     push = as_of_literal(t) - F.expr(f"INTERVAL {LAST_PUSH_BEFORE}")
-    # the marks of the previous push: one row
-    m = (t.filter(F.col("ts") <= push).agg(F.max("tick_id").alias("tick"))
-         .crossJoin(p.filter(F.col("ts") <= push).agg(F.max_by("post_id", F.struct("ts", "post_id")).alias("post")))
-         .select("*", F.unix_micros(push).alias("alert")).first())
+    # the marks of the previous push: one row each
+    tick = t.filter(F.col("ts") <= push).agg(F.max("tick_id").alias("id"), F.max(F.unix_micros(push)).alias("at")).first()
+    post = p.filter(F.col("ts") <= push).agg(F.max_by("post_id", F.struct("ts", "post_id")).alias("id")).first()
     alerts = stored_alerts(spark, sf).withColumn("alert_id", F.unix_micros("timestamp"))
-    return change_feed(t, alerts, p, int(m["tick"] if m["tick"] is not None else -1), m["alert"], m["post"])
+    return change_feed(t, alerts, p, tick["id"] if tick["id"] is not None else -1, tick["at"] or 0, post["id"])
 
 
 @register("q_tick_wire", "SRC7 PRJ10 SCA16 tick wire projection encoded as keyed JSON records",
@@ -793,10 +792,18 @@ def q_stream_board(spark, sf):
     return ST.run_to_table(spark, ST.stream_board(_tick_stream(spark, sf)), "board", mode="update", key=["ticker"])
 
 
-@register("q_stream_change_feed", "STR9 change feed with the checkpoint as high-water mark",
-          S.with_ctes(S.TICKS) + f"SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker, {_TICK_JSON} AS payload FROM ticks")
+@register("q_stream_change_feed", "STR9 PRJ11 PRJ12 change feed of ticks, posts and alerts, the checkpoint as high-water mark",
+          S.with_ctes(*S.BASE) + f"""SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker, {_TICK_JSON} AS payload FROM ticks
+UNION ALL SELECT 'new_tweet', CAST(post_id AS VARCHAR), ticker, '{{"id":' || CAST(post_id AS VARCHAR) || ',"ticker":"' || ticker
+  || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","compound":' || CAST(compound AS VARCHAR) || '}}' FROM posts
+UNION ALL SELECT 'new_alerts', CAST(epoch_us(ts) AS VARCHAR), ticker, '{{"id":' || CAST(epoch_us(ts) AS VARCHAR) || ',"ticker":"' || ticker
+  || '","severity":"' || CASE WHEN compound <= -0.75 THEN 'CRITICAL' ELSE 'INFO' END || '","message":"'
+  || CASE WHEN compound <= -0.75 THEN 'Panic Alert: Extreme Bearish' ELSE 'FOMO Alert: Extreme Bullish' END
+  || ' Sentiment detected on $' || ticker || '. Username: @' || username || '","type":"'
+  || CASE WHEN compound <= -0.75 THEN 'Bearish Crash' ELSE 'Bullish Spike' END
+  || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}}' FROM posts WHERE compound <= -0.75 OR compound >= 0.75""")
 def q_stream_change_feed(spark, sf):
-    return ST.run_to_table(spark, ST.stream_change_feed(_tick_stream(spark, sf)), "feed")
+    return ST.run_to_table(spark, ST.stream_change_feed(_tick_stream(spark, sf), _post_stream(spark, sf)), "feed")
 
 
 @register("q_stream_sinks", "SNK1 SNK2 SNK3 STR7 joined windows written to aggregates and signals tables",

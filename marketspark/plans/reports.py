@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions.bands import fear_greed, mood3, py_strip, status
+from marketspark.functions.bands import MACRO_DEFAULT_AVG, fear_greed, mood3, py_strip, status
 from marketspark.functions.bands import thousands
 from marketspark.functions.fixed import with_fixed_text
 from marketspark.functions.formats import render
@@ -25,7 +25,6 @@ from marketspark.plans.snapshots import latest_aggregate, latest_signal, latest_
 ASSET_DEFAULTS = {"price": 200.0, "volume": 1_000_000, "avg_sentiment": 0.45, "bullish_ratio": 0.70,
                   "signal": "BUY", "pearson": 0.52}
 MOOD_WORDS = ["fear", "greed", "mood", "macro"]
-MACRO_DEFAULT_AVG = 0.15
 ASSET_TEMPLATE = (
     "**{name} (${tick}) Real-Time Intelligence Report**:\n\n"
     "• **Current Price**: ${price}\n"

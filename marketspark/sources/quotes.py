@@ -45,20 +45,6 @@ def extract_quotes(raw: DataFrame, key_col: str = "ticker", value_col: str = "va
                     *(["timestamp"] if ts is not None else []))
 
 
-def quote_documents(ticks: DataFrame) -> DataFrame:
-    """Encode ticks as quote documents (two-point arrays: previous open, this tick)."""
-    hi = F.greatest("open", "price")
-    lo = F.least("open", "price")
-    doc = F.struct(F.struct(F.array(F.struct(
-        F.struct(F.col("price").alias("regularMarketPrice")).alias("meta"),
-        F.struct(F.array(F.struct(F.array(F.col("open"), F.col("open")).alias("open"),
-                                  F.array(F.col("open"), hi).alias("high"),
-                                  F.array(F.col("open"), lo).alias("low"),
-                                  F.array(F.lit(None).cast("long"), F.col("volume")).alias("volume"))).alias("quote"))
-        .alias("indicators"))).alias("result")).alias("chart"))
-    return ticks.select("tick_id", "ticker", "ts", F.to_json(doc).alias("value"))
-
-
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "ticker") -> DataFrame:
     """Primary rows plus fallback rows for keys the primary lacks (anti join + union)."""
     return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti"),

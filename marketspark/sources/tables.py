@@ -156,6 +156,20 @@ def load_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("msg_id", "conv_id", "turn", q.alias("message"))
 
 
+def quote_documents(ticks: DataFrame) -> DataFrame:
+    """Fixture quote documents: ticks encoded as chart JSON (two-point arrays: previous open, this tick)."""
+    hi = F.greatest("open", "price")
+    lo = F.least("open", "price")
+    doc = F.struct(F.struct(F.array(F.struct(
+        F.struct(F.col("price").alias("regularMarketPrice")).alias("meta"),
+        F.struct(F.array(F.struct(F.array(F.col("open"), F.col("open")).alias("open"),
+                                  F.array(F.col("open"), hi).alias("high"),
+                                  F.array(F.col("open"), lo).alias("low"),
+                                  F.array(F.lit(None).cast("long"), F.col("volume")).alias("volume"))).alias("quote"))
+        .alias("indicators"))).alias("result")).alias("chart"))
+    return ticks.select("tick_id", "ticker", "ts", F.to_json(doc).alias("value"))
+
+
 def load_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class logits: the first three embedding entries as (neutral, positive, negative)."""
     e = read_table(spark, sf_dir, "embeddings")

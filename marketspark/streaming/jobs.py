@@ -109,13 +109,24 @@ def stream_board(ticks: DataFrame) -> DataFrame:
     return g.select("ticker", "_b.ts", "_b.tick_id", "_b.price", "_b.volume")
 
 
-def stream_change_feed(ticks: DataFrame) -> DataFrame:
-    """Push messages for new ticks; the stream checkpoint is the high-water mark, so each
-    tick is emitted exactly once across restarts."""
-    return ticks.select(F.lit("new_ticks").alias("type"), F.col("tick_id").cast("string").alias("id"), "ticker",
-                        F.to_json(F.struct("ticker", "price", "volume",
-                                           F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")))
-                        .alias("payload"))
+def stream_change_feed(ticks: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Push messages for new ticks and, given the scored post stream, for each new post and each alert
+    it raises; the stream checkpoint is the high-water mark, so each message is emitted exactly
+    once across restarts.  An alert's id is its time in microseconds."""
+    def iso(c):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+
+    out = ticks.select(F.lit("new_ticks").alias("type"), F.col("tick_id").cast("string").alias("id"), "ticker",
+                       F.to_json(F.struct("ticker", "price", "volume", iso("ts"))).alias("payload"))
+    if posts is None:
+        return out
+    tweets = posts.select(F.lit("new_tweet").alias("type"), F.col("post_id").cast("string").alias("id"), "ticker",
+                          F.to_json(F.struct(F.col("post_id").alias("id"), "ticker", iso("ts"), "compound")).alias("payload"))
+    number = F.unix_micros("timestamp")
+    alerts = post_alerts(posts)
+    alerts = alerts.select(F.lit("new_alerts").alias("kind"), number.cast("string").alias("id"), "ticker",
+                           F.to_json(F.struct(number.alias("id"), "ticker", "severity", "message", "type", iso("timestamp"))).alias("payload"))
+    return out.unionByName(tweets).unionByName(alerts.withColumnRenamed("kind", "type"))
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
