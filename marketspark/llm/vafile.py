@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CELLS = 16
-BLOCK, QUERIES_AT_ONCE = 4096, 1024
+BLOCK, QUERIES_AT_ONCE = 4096, 8192
 READ = 32                 # exact vectors read between two looks at the next bound
 SLICE = 128               # queries whose bounds are in memory at once
 
