@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.operators.sequence import forward_fill, interval_micros, time_bucket, with_bucket
+from marketspark.operators.sequence import forward_fill, interval_micros, is_whole, time_bucket, with_bucket
 
 ALIGN_DIGITS = 9   # rolling averages are rounded so equal values stay bit-equal across engines
 SUM = "decimal(38,12)"   # running sums are exact, so any order of summing gives the same average
@@ -45,33 +45,39 @@ def rolling_sentiment_at_ticks(ticks: DataFrame, posts: DataFrame, window: str =
          .unionByName(event(real, 2, us + lb, -c, -1, 0))                # ... and leaves after ticks of that time
          .unionByName(event(ticks, 1, us, F.lit(0), 0, 0, tick_id=F.col("tick_id"), price=F.col("price"))))
     u = u.withColumn("_ts", F.timestamp_micros("_us"))
+    whole = is_whole(u, ["ticker"], "_ts", bucket)
     u = with_bucket(u, ["ticker"], "_ts", bucket, "_b")
     own, own_n = F.col("_c") * F.col("_p"), F.col("_p")                  # prefix: entering posts only
     parts = {"_tc": F.col("_c"), "_tn": F.col("_n"), "_pc": own, "_pn": own_n}
     # equal (time, kind) rows share a sum, so no tie-break is needed
     run = Window.partitionBy("ticker", "_b").orderBy("_us", "_kind")
     inside = u.select("ticker", "_b", "_us", "_kind", "tick_id", "price", *[F.sum(x).over(run).cast(SUM).alias(k) for k, x in parts.items()])
-    totals = u.groupBy("ticker", "_b").agg(*[F.sum(x).cast(SUM).alias(k) for k, x in parts.items()])
-    before = Window.partitionBy("ticker").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("ticker", "_b", *[F.coalesce(F.sum(k).over(before), F.lit(0)).cast(SUM).alias(f"{k}0") for k in parts])
-    at = (inside.where(F.col("_kind") == 1).join(carry, ["ticker", "_b"], "left")
-          .select("ticker", "_us", "tick_id", "price", *[(F.col(k) + F.coalesce(F.col(f"{k}0"), F.lit(0))).alias(k) for k in parts]))
+    at = inside.where(F.col("_kind") == 1)
+    if not whole:
+        totals = u.groupBy("ticker", "_b").agg(*[F.sum(x).cast(SUM).alias(k) for k, x in parts.items()])
+        before = Window.partitionBy("ticker").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select("ticker", "_b", *[F.coalesce(F.sum(k).over(before), F.lit(0)).cast(SUM).alias(f"{k}0") for k in parts])
+        at = at.join(carry, ["ticker", "_b"], "left").select(
+            "ticker", "_us", "tick_id", "price", *[(F.col(k) + F.coalesce(F.col(f"{k}0"), F.lit(0))).alias(k) for k in parts])
 
     # prefix sums at the pane starts
     number = F.floor(us / pane)
     panes = real.groupBy("ticker", number.alias("_pane")).agg(F.sum(c).cast(SUM).alias("_sc"), F.count(F.lit(1)).alias("_sn"))
     upto = Window.partitionBy("ticker").orderBy("_pane").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     panes = panes.select(F.col("ticker").alias("_pt"), "_pane", F.sum("_sc").over(upto).cast(SUM).alias("_sc"), F.sum("_sn").over(upto).alias("_sn"))
-    w = F.window(F.timestamp_micros("_us"), window, slide) if slide else F.window(F.timestamp_micros("_us"), window)
-    rows = at.select("*", w.alias("_w")).select("*", F.unix_micros("_w.start").alias("_start")).drop("_w")
-    rows = rows.withColumn("_short", F.col("_start") > F.col("_us") - lb)
-    return _since(rows, panes, pane, interval_micros(window), digits)
+    def windowed(df, ts):
+        w = F.window(ts, window, slide) if slide else F.window(ts, window)
+        return df.select("*", w.alias("_w")).select("*", F.unix_micros("_w.start").alias("_start")).drop("_w")
 
+    rows = windowed(at, F.timestamp_micros("_us")).withColumn("_short", F.col("_start") > F.col("_us") - lb)
+    # the window starts to look up, from the ticks' times alone: the running sums are computed once
+    starts = windowed(ticks.select("ticker", "ts"), F.col("ts")).select("ticker", F.floor(F.col("_start") / pane).alias("_at")).distinct()
+    return _since(rows, starts, panes, pane, interval_micros(window), digits)
 
-def _since(rows: DataFrame, panes: DataFrame, pane: int, width: int, digits: int | None) -> DataFrame:
+
+def _since(rows: DataFrame, need: DataFrame, panes: DataFrame, pane: int, width: int, digits: int | None) -> DataFrame:
     """Averages of ``rows``: over the look-back, or since the window's start where that is nearer."""
     # the prefix before a window start is that of the last pane with posts before it
-    need = rows.where("_short").select("ticker", F.floor(F.col("_start") / pane).alias("_at")).distinct()
     known = panes.select(F.col("_pt").alias("ticker"), (F.col("_pane") + 1).alias("_at"), "_sc", "_sn", F.lit(0).alias("_q"))
     asked = need.select("ticker", "_at", F.lit(None).cast(SUM).alias("_sc"), F.lit(None).cast("long").alias("_sn"), F.lit(1).alias("_q"))
     fill = Window.partitionBy("ticker").orderBy("_at", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -66,13 +66,14 @@ def score_lexicon(posts: DataFrame, lexicon: DataFrame | None = None, text_col:
     """Append compound/pos/neg/neu from the lexicon scorer (see module doc)."""
     lex = lexicon if lexicon is not None else default_lexicon(posts.sparkSession)
     lex = lex.groupBy(F.col("token").alias("_t")).agg(F.avg("valence").alias("valence"))
-    # each token carries its previous tokens from the row's own array: no window, no self-join
-    arr = F.col("_tok")
-    ctx_arr = F.transform(arr, lambda t, i: F.struct(t.alias("_t"), (i == 0).cast("int").alias("_first"),
-                                                     *[F.get(arr, i - k).alias(f"_p{k}") for k in range(1, NEGATION_SCOPE + 1)]))
+    # each token carries its previous tokens: the array zipped with itself shifted, so no window and no self-join
     rows = posts.withColumn("_h", F.xxhash64(F.col(text_col)))
-    ctx = (rows.select(F.col(id_col).alias("_id"), "_h", tokens(F.col(text_col)).alias("_tok"))
-           .select("_id", "_h", F.explode(ctx_arr).alias("_c")).select("_id", "_h", "_c.*"))
+    tok = F.col("_t")
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), tok).alias(f"_p{k}") for k in range(1, NEGATION_SCOPE + 1)]
+    names = ["_t", *[f"_p{k}" for k in range(1, NEGATION_SCOPE + 1)]]
+    ctx = (rows.select(F.col(id_col).alias("_id"), "_h", tokens(F.col(text_col)).alias("_t")).select("_id", "_h", "_t", *shifted)
+           .select("_id", "_h", F.inline(F.arrays_zip(*names))).where(tok.isNotNull())
+           .withColumn("_first", F.col("_p1").isNull().cast("int")))
     j = ctx.join(lex, "_t", "left")
     v0 = F.coalesce(F.col("valence"), F.lit(0.0))
     negated = F.coalesce(F.greatest(*[F.coalesce(F.col(f"_p{k}").isin(*NEGATORS), F.lit(False))

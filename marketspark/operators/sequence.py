@@ -70,6 +70,11 @@ def _measure_slots(df: DataFrame, keys: list[str], ts: str, target_rows: int) ->
     return width
 
 
+def is_whole(df: DataFrame, keys: list[str], ts: str, bucket) -> bool:
+    """Whether every key fits one bucket, so that no carry-in exists and none need be joined."""
+    return bucket == "auto" and not slot_micros(df, keys, ts, TARGET_ROWS_PER_BUCKET)
+
+
 def with_bucket(df: DataFrame, keys: list[str], ts: str, bucket, out: str) -> DataFrame:
     """``df`` with bucket number ``out``: ascending in ``ts`` within a key."""
     if bucket != "auto":
@@ -103,6 +108,8 @@ def previous_value(df: DataFrame, key, order: list[str], value: str, out: str,
     b = "_seq_b"
     d = with_bucket(df, keys, ts, bucket, b)
     w_in = Window.partitionBy(*keys, b).orderBy(*order)
+    if is_whole(df, keys, ts, bucket):
+        return d.withColumn(out, F.lag(F.col(value)).over(w_in)).drop(b)
     d = d.withColumn("_seq_prev", F.lag(F.struct(F.col(value).alias("v"))).over(w_in))
     summary = d.groupBy(*keys, b).agg(
         F.max_by(F.col(value), F.struct(*order)).alias("_seq_last"))
@@ -127,6 +134,8 @@ def forward_fill(df: DataFrame, key, order: list[str], value: str, out: str,
     d = with_bucket(df, keys, ts, bucket, b)
     w_in = (Window.partitionBy(*keys, b).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if is_whole(df, keys, ts, bucket):
+        return d.withColumn(out, F.last(F.col(value), ignorenulls=True).over(w_in)).drop(b)
     d = d.withColumn("_ff_in", F.last(F.col(value), ignorenulls=True).over(w_in))
     summary = d.groupBy(*keys, b).agg(
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_ff_last"))
@@ -164,6 +173,8 @@ def lag_rows(df: DataFrame, key, order: list[str], value: str, k: int, out: str,
     b = "_lag_b"
     d = with_bucket(df, keys, ts, bucket, b)
     w_in = Window.partitionBy(*keys, b).orderBy(*order)
+    if is_whole(df, keys, ts, bucket):
+        return d.withColumn(out, F.lag(F.col(value), k).over(w_in)).drop(b)
     d = d.withColumn("_lag_rn", F.row_number().over(w_in)).withColumn("_lag_in", F.lag(F.col(value), k).over(w_in))
     # the last k values of a bucket, oldest first
     back = Window.partitionBy(*keys, b).orderBy(*[F.col(c).desc() for c in order])

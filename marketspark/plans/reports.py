@@ -84,11 +84,11 @@ def asset_facts(ticks: DataFrame, aggregates: DataFrame, sigs: DataFrame, names:
 def with_alias_tickers(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     """``facts`` plus a row of defaults for each alias ticker that it lacks."""
     d = ASSET_DEFAULTS
-    more = aliases.select("ticker").distinct().join(facts.select("ticker"), "ticker", "left_anti")
-    return facts.unionByName(more.select(
-        "ticker", F.col("ticker").alias("name"), F.lit(d["price"]).alias("price"), F.lit(d["volume"]).cast("long").alias("volume"),
-        F.lit(d["avg_sentiment"]).alias("avg_sentiment"), F.lit(d["bullish_ratio"]).alias("bullish_ratio"),
-        F.lit(d["signal"]).alias("signal"), F.lit(d["pearson"]).alias("pearson")))
+    both = facts.join(aliases.select(F.col("ticker").alias("_at")).distinct(), F.col("ticker") == F.col("_at"), "full")
+    ticker = F.coalesce("ticker", "_at")
+    return both.select(ticker.alias("ticker"), F.coalesce(F.col("name"), ticker).alias("name"),
+                       *[F.coalesce(F.col(c), F.lit(d[c]).cast(facts.schema[c].dataType)).alias(c)
+                         for c in ("price", "volume", "avg_sentiment", "bullish_ratio", "signal", "pearson")])
 
 
 def asset_reports(facts: DataFrame) -> DataFrame:
