@@ -2,13 +2,14 @@
 
 Rules label the urls they fit.  All urls, labelled or not, build a tree per host:
 
-1. Generalise.  Runs of digits become ``#``.  Level by level (two segments, then the rest as a
-   third), a node with ``FEW`` children or more keeps those that hold ``LITERAL`` of its urls; the
-   others, variable segments, become ``*``.
+1. Generalise.  Runs of digits become ``#``.  Level by level, down to the deepest path, a node with
+   ``FEW`` children or more keeps those that hold ``LITERAL`` of its urls; the others, variable
+   segments, become ``*``.
 2. Merge.  A host's branches (first segments) are compared with the host's pooled distribution over
    sub-templates by a chi-square statistic, and by the block rate of their labelled urls.
    Branches that do not differ significantly form one merged branch ``~``; comparing with the pool
-   instead of with each other keeps this linear in the number of branches.
+   instead of with each other keeps this linear in the number of branches.  The same goes on, level
+   by level, in nodes that reach below the third segment, for branches that hold a sub-tree.
 3. Reject.  A template's block purity is smoothed towards its host's, and the host's towards the
    corpus's (at most one half).  Urls that no rule fits are blocked if their template's purity is ``REJECT`` or more.
 
@@ -18,6 +19,8 @@ absorb hot hosts.  DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,38 +52,72 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.when(F.size(fit) > 0, F.struct(F.concat(fit[0]["h"], fit[0]["p"]).alias("rule"), fit[0]["v"].alias("verdict")))
 
 
-def _segments(path: Column) -> list[Column]:
-    parts = F.split(F.regexp_replace(path, "[0-9]+", "#"), "/", -1)
-    nth = lambda k: F.when(F.size(parts) > k, F.concat(F.lit("/"), F.get(parts, F.lit(k)))).otherwise("")
-    tail = F.when(F.size(parts) > 3, F.concat(F.lit("/"), F.array_join(F.slice(parts, 4, F.size(parts)), "/"))).otherwise("")
-    return [nth(1), nth(2), tail]
+def _masked(path: Column) -> Column:
+    return F.regexp_replace(path, "[0-9]+", "#")
+
+
+def _segments(path: Column) -> Column:
+    parts = F.split(path, "/", -1)
+    return F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.concat(F.lit("/"), x))
+
+
+def _shared(low: Column, high: Column) -> Column:
+    """Length of the common prefix of the least and the greatest of some arrays, hence of all of them."""
+    differ = F.array_position(F.zip_with(low, high, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differ == 0, F.size(low)).otherwise(differ - 1).cast("int")
+
+
+def _after(rest: Column, k: Column) -> Column:
+    return F.slice(rest, k + 1, F.size(rest))
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _generalised(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, s1, s2, s3, counts) with templates t1, t2, t3."""
-    for level in (1, 2, 3):
-        node = ["host", *[f"t{i}" for i in range(1, level)]]
-        seg = f"s{level}"
-        kids = urls.groupBy(*node, seg).agg(F.sum("n").alias("k"))
+    """``urls`` (host, masked, counts) with the template ``t``, a level of every open node a round.
+
+    Where all urls of a node share further segments these are taken at once, and a node of fewer than ``FEW``
+    masked paths is done, as no node below it can have more children."""
+    todo = urls.withColumn("t", F.lit("")).withColumn("rest", _segments(F.col("masked")))
+    names, done, level = [*urls.columns, "t"], [], 0
+    node = ["host", "t"]
+    while level == 0 or not todo.isEmpty():
+        level += 1
+        spread = todo.groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.count("*").alias("paths"))
+        spread = spread.select(*node, _shared(F.col("lo"), F.col("hi")).alias("c"), (F.col("paths") < FEW).alias("few"))
+        step = todo.join(spread, node)
+        step = step.withColumn("c", F.when(F.col("few"), F.size("rest")).otherwise(F.col("c")))
+        step = step.withColumn("t", F.concat("t", F.array_join(F.slice("rest", F.lit(1), F.col("c")), "")))
+        step = step.withColumn("seg", F.coalesce(F.get("rest", F.col("c")), F.lit(""))).withColumn("rest", _after(F.col("rest"), F.col("c") + 1))
+        step = staged(step.drop("c"), f"tree{level}")
+        done.append(step.where("few").select(*names))
+        step = step.where("NOT few").drop("few")
+        kids = step.groupBy(*node, "seg").agg(F.sum("n").alias("k"))
         sizes = kids.groupBy(*node).agg(F.sum("k").alias("all"), F.count("*").alias("kinds"))
         literal = (kids.join(sizes, node).where((F.col("kinds") < FEW) | (F.col("k") >= LITERAL * F.col("all")))
-                   .select(*node, seg, F.lit(True).alias("literal")))
-        urls = urls.join(literal, [*node, seg], "left")
-        variable = F.col("literal").isNull() & (F.col(seg) != "")
-        urls = staged(urls.withColumn(f"t{level}", F.when(variable, "/*").otherwise(F.col(seg))).drop("literal"), f"tree{level}")
-    return urls
-
-
-def _merged(tree: DataFrame) -> DataFrame:
-    """(host, t1, branch): the branch is ``~`` where t1 does not differ from its host's pool."""
-    cells = tree.groupBy("host", "t1", "t2", "t3").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")])
-    branch = cells.groupBy("host", "t1").agg(F.sum("n").alias("nb"), F.sum("allow").alias("ab"), F.sum("block").alias("kb"))
-    pool = cells.groupBy("host", "t2", "t3").agg(F.sum("n").alias("ns"))
-    host = pool.groupBy("host").agg(F.sum("ns").alias("nh"), F.count("*").alias("kinds"))
-    marks = cells.groupBy("host").agg(F.sum("allow").alias("ah"), F.sum("block").alias("kh"))
-    part = cells.select("host", "t1", "t2", "t3", "n").join(pool, ["host", "t2", "t3"])
-    fit = part.groupBy("host", "t1").agg(F.sum(F.col("n") * F.col("n") / F.col("ns").cast("double")).alias("q"))
-    both = branch.join(fit, ["host", "t1"]).join(host, "host").join(marks, "host")
+                   .select(*node, "seg", F.lit(True).alias("literal")))
+        step = step.join(literal, [*node, "seg"], "left")
+        variable = F.col("literal").isNull() & (F.col("seg") != "")
+        step = staged(step.withColumn("t", F.concat("t", F.when(variable, "/*").otherwise(F.col("seg")))).drop("literal"), f"level{level}")
+        done.append(step.where("seg = ''").select(*names))
+        todo = step.where("seg <> ''").drop("seg")
+        if len(done) > 30:
+            done = [staged(_united(done), "done")]
+    return staged(_united(done), "generalised")
+
+
+def _alike(cells: DataFrame, node: list[str]) -> DataFrame:
+    """(node, head, alike): whether a head's sub-templates ``tail`` and block rate do not differ from its node's pool."""
+    cells = cells.groupBy(*node, "head", "tail").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")])
+    branch = cells.groupBy(*node, "head").agg(F.sum("n").alias("nb"), F.sum("allow").alias("ab"), F.sum("block").alias("kb"))
+    pool = cells.groupBy(*node, "tail").agg(F.sum("n").alias("ns"))
+    whole = pool.groupBy(*node).agg(F.sum("ns").alias("nh"), F.count("*").alias("kinds"))
+    marks = cells.groupBy(*node).agg(F.sum("allow").alias("ah"), F.sum("block").alias("kh"))
+    part = cells.select(*node, "head", "tail", "n").join(pool, [*node, "tail"])
+    fit = part.groupBy(*node, "head").agg(F.sum(F.col("n") * F.col("n") / F.col("ns").cast("double")).alias("q"))
+    both = branch.join(fit, [*node, "head"]).join(whole, node).join(marks, node)
     free = F.col("kinds") - 1
     chi = F.col("q") * F.col("nh") / F.col("nb") - F.col("nb")
     shape = chi <= free + SIGMAS * F.sqrt(2.0 * free) + 1e-9
@@ -88,7 +125,42 @@ def _merged(tree: DataFrame) -> DataFrame:
     gap = F.col("kb") - seen * rate
     label = F.when((seen == 0) | (F.col("kh") == 0) | (F.col("ah") == 0), True).otherwise(
         gap * gap <= SIGMAS * SIGMAS * seen * rate * (1 - rate))
-    return both.select("host", "t1", F.when(shape & label, "/~").otherwise(F.col("t1")).alias("branch"))
+    return both.select(*node, "head", (shape & label).alias("alike"))
+
+
+def _merged(tree: DataFrame) -> DataFrame:
+    """(host, t, template): ``t`` with ``~`` for the branches that do not differ from their node's pool.
+
+    First the host's branches, then level by level those of every node that reaches below the third
+    segment, has several branches, and holds sub-trees: ends of paths are not compared below the first level."""
+    rows = tree.groupBy("host", "t").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")]).withColumn("rest", _segments(F.col("t")))
+    head, tail = F.coalesce(F.get("rest", F.lit(0)), F.lit("")), _after(F.col("rest"), F.lit(1))
+    rows = rows.withColumn("deep", F.size("rest")).withColumn("head", head).withColumn("rest", tail).withColumn("tail", F.array_join("rest", ""))
+    todo = rows.join(_alike(rows, ["host"]), ["host", "head"]).withColumn("template", F.when(F.col("alike"), "/~").otherwise(F.col("head")))
+    kept = ["host", "t", "template", "rest", "deep", "n", "allow", "block"]
+    todo, done, level, node = staged(todo.select(*kept), "branches1"), [], 1, ["host", "template"]
+    while level == 1 or not todo.isEmpty():
+        level += 1
+        spread = todo.groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.max(F.size("rest")).alias("down"), F.max("deep").alias("deep_"))
+        spread = spread.select(*node, _shared(F.col("lo"), F.col("hi")).alias("c"), "down", "deep_")
+        spread = spread.withColumn("open", (F.col("deep_") > 3) & (F.col("down") - F.col("c") > 1)).drop("down", "deep_")
+        step = todo.join(spread, node)
+        step = step.withColumn("c", F.when(F.col("open"), F.col("c")).otherwise(F.size("rest")))
+        step = step.withColumn("template", F.concat("template", F.array_join(F.slice("rest", F.lit(1), F.col("c")), "")))
+        step = step.withColumn("head", F.coalesce(F.get("rest", F.col("c")), F.lit(""))).withColumn("rest", _after(F.col("rest"), F.col("c") + 1))
+        step = staged(step.drop("c"), f"nodes{level}")
+        done.append(step.where("NOT open").select("host", "t", "template"))
+        step = step.where("open").drop("open").withColumn("tail", F.array_join("rest", ""))
+        if step.isEmpty():
+            break
+        inner = step.groupBy(*node, "head").agg(F.max(F.size("rest")).alias("below"))
+        alike = _alike(step, node).join(inner, [*node, "head"]).withColumn("alike", F.col("alike") & (F.col("below") > 0)).drop("below")
+        step = step.join(alike, [*node, "head"])
+        step = step.withColumn("template", F.concat("template", F.when(F.col("alike"), "/~").otherwise(F.col("head"))))
+        todo = staged(step.select(*kept), f"branches{level}")
+        if len(done) > 30:
+            done = [staged(_united(done), "done")]
+    return _united(done)
 
 
 def _purity(block: Column, seen: Column, prior: Column) -> Column:
@@ -96,18 +168,17 @@ def _purity(block: Column, seen: Column, prior: Column) -> Column:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """(host, s1, s2, s3, template, purity) for ``urls`` (host, s1, s2, s3, n, allow, block)."""
+    """(host, masked, template, purity) for ``urls`` (host, masked, n, allow, block)."""
     tree = _generalised(urls)
-    tree = staged(tree.join(_merged(tree), ["host", "t1"]), "branches")
+    tree = staged(tree.join(_merged(tree), ["host", "t"]), "branches")
     total = tree.agg(F.sum("block").alias("k"), (F.sum("allow") + F.sum("block")).alias("l")).first()
     # at most even odds: no template is rejected without labelled relatives
     base = F.lit(min(0.5, ((total["k"] or 0) + 1.0) / ((total["l"] or 0) + 2.0)))
     hosts = tree.groupBy("host").agg(F.sum("block").alias("kh"), F.sum(F.col("allow") + F.col("block")).alias("lh"))
-    key = ["host", "branch", "t2", "t3"]
+    key = ["host", "template"]
     found = tree.groupBy(*key).agg(F.sum("block").alias("k"), F.sum(F.col("allow") + F.col("block")).alias("l")).join(hosts, "host")
-    judged = found.select(*key, F.concat("branch", "t2", "t3").alias("template"),
-                          _purity(F.col("k"), F.col("l"), _purity(F.col("kh"), F.col("lh"), base)).alias("purity"))
-    return tree.join(judged, key).select("host", "s1", "s2", "s3", "template", "purity")
+    judged = found.select(*key, _purity(F.col("k"), F.col("l"), _purity(F.col("kh"), F.col("lh"), base)).alias("purity"))
+    return tree.join(judged, key).select("host", "masked", "template", "purity")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -118,11 +189,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    s1, s2, s3 = _segments(F.col("path"))
-    rows = rows.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), s1.alias("s1"), s2.alias("s2"), s3.alias("s3"))
-    counted = rows.groupBy("host", "s1", "s2", "s3").agg(
+    rows = rows.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), _masked(F.col("path")).alias("masked"))
+    counted = rows.groupBy("host", "masked").agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"))
     known = staged(templates(staged(counted, "urls")), "templates")
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    return rows.join(known, ["host", "s1", "s2", "s3"]).select(
+    return rows.join(known, ["host", "masked"]).select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", F.round("purity", 9).alias("purity"))

@@ -151,6 +151,27 @@ def test_variable_segments_merge_and_pure_templates_are_rejected(spark):
     assert urlfilter.judge(pages(spark, [(1, "http://a.b/c", None)]), []).first()["verdict"] == "allow"
 
 
+def test_deep_paths_generalise_and_merge_at_every_level(spark):
+    word = lambda k, at: prose(1000 * at + k, 1) + "abcdefghij"[k % 10] * at
+    table = [(k, f"http://shop.net/shop/item/{word(k, 3)}{k}x/{'spam' if k % 2 else 'info'}") for k in range(80)]
+    table += [(200 + k, f"http://five.net/a/b/c/{word(k, 4)}x{k}/{'spam' if k % 2 else 'info'}/end") for k in range(80)]
+    table += [(400 + k, f"http://like.net/a/s/{'red' if k % 2 else 'blue'}/{'x' if k % 4 < 2 else 'y'}/end") for k in range(80)]
+    table += [(600, "http://like.net/a/s/red"), (601, "http://like.net/a")]
+    labelled = [("block", h, urlfilter_path(u)) for h in ("shop.net", "five.net") for _, u in [x for x in table if h in x[1] and "/spam" in x[1]][:20]]
+    labelled += [("allow", h, urlfilter_path(u)) for h in ("shop.net", "five.net") for _, u in [x for x in table if h in x[1] and "/info" in x[1]][:20]]
+    got = {r["page_id"]: r for r in urlfilter.judge(pages(spark, [(*t, None) for t in table]), labelled).collect()}
+    assert {got[k]["template"] for k in range(80)} == {"/~/item/*/spam", "/~/item/*/info"}
+    left = [got[k] for k in (*range(80), *range(200, 280)) if got[k]["rule"] is None]
+    assert len(left) == 80 and all(r["verdict"] == ("block" if "/spam" in r["path"] else "allow") for r in left)
+    assert {got[200 + k]["template"] for k in range(80)} == {"/~/b/c/*/spam/end", "/~/b/c/*/info/end"}
+    assert len({got[400 + k]["template"] for k in range(80)}) < 4        # red and blue, or x and y, are one branch
+    assert len(got) == len(table)
+
+
+def urlfilter_path(url):
+    return "/" + url.split("/", 3)[3]
+
+
 # --- mixing ----------------------------------------------------------------------------------
 
 def mix_rows():
