@@ -3,8 +3,9 @@
 Rules label the urls they fit.  All urls, labelled or not, build a tree per host:
 
 1. Generalise.  Runs of digits become ``#``.  Level by level, down to the deepest path, a node with
-   ``FEW`` children or more keeps those that hold ``LITERAL`` of its urls; the others, variable
-   segments, become ``*``.
+   ``FEW`` children or more keeps those that hold ``LITERAL`` of its urls or ``MANY`` distinct urls,
+   and those with ``FEW`` labelled urls or more whose block rate differs from the node's; the
+   others, variable segments, become ``*``.
 2. Merge.  A host's branches (first segments) are compared with the host's pooled distribution over
    sub-templates by a chi-square statistic, and by the block rate of their labelled urls.
    Branches that do not differ significantly form one merged branch ``~``; comparing with the pool
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from marketspark.llm.common import staged
 
 FEW, LITERAL = 8, 0.05
+MANY = 30                 # distinct urls that make a child well populated, whatever its share
 SMOOTH, REJECT = 5.0, 0.8
 SIGMAS = 3.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,13 +77,22 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _same_rate() -> Column:
+    """Whether the block rate of a child's labels (ab, kb) does not differ from its node's (ah, kh)."""
+    seen, rate = F.col("ab") + F.col("kb"), F.col("kh") / (F.col("ah") + F.col("kh"))
+    gap = F.col("kb") - seen * rate
+    return F.when((seen == 0) | (F.col("kh") == 0) | (F.col("ah") == 0), True).otherwise(
+        gap * gap <= SIGMAS * SIGMAS * seen * rate * (1 - rate))
+
+
 def _generalised(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, masked, counts) with the template ``t``, a level of every open node a round.
+    """``urls`` (host, masked, counts) with the template ``t`` and, for each of its segments, whether it is
+    literal by evidence alone (``own``), a level of every open node a round.
 
     Where all urls of a node share further segments these are taken at once, and a node of fewer than ``FEW``
     masked paths is done, as no node below it can have more children."""
-    todo = urls.withColumn("t", F.lit("")).withColumn("rest", _segments(F.col("masked")))
-    names, done, level = [*urls.columns, "t"], [], 0
+    todo = urls.withColumn("t", F.lit("")).withColumn("own", F.array().cast("array<boolean>")).withColumn("rest", _segments(F.col("masked")))
+    names, done, level = [*urls.columns, "t", "own"], [], 0
     node = ["host", "t"]
     while level == 0 or not todo.isEmpty():
         level += 1
@@ -90,16 +101,20 @@ def _generalised(urls: DataFrame) -> DataFrame:
         step = todo.join(spread, node)
         step = step.withColumn("c", F.when(F.col("few"), F.size("rest")).otherwise(F.col("c")))
         step = step.withColumn("t", F.concat("t", F.array_join(F.slice("rest", F.lit(1), F.col("c")), "")))
+        step = step.withColumn("own", F.concat("own", F.array_repeat(F.lit(False), F.col("c"))))
         step = step.withColumn("seg", F.coalesce(F.get("rest", F.col("c")), F.lit(""))).withColumn("rest", _after(F.col("rest"), F.col("c") + 1))
         step = staged(step.drop("c"), f"tree{level}")
         done.append(step.where("few").select(*names))
         step = step.where("NOT few").drop("few")
-        kids = step.groupBy(*node, "seg").agg(F.sum("n").alias("k"))
-        sizes = kids.groupBy(*node).agg(F.sum("k").alias("all"), F.count("*").alias("kinds"))
-        literal = (kids.join(sizes, node).where((F.col("kinds") < FEW) | (F.col("k") >= LITERAL * F.col("all")))
-                   .select(*node, "seg", F.lit(True).alias("literal")))
+        kids = step.groupBy(*node, "seg").agg(F.sum("n").alias("k"), F.sum("urls").alias("u"), F.sum("allow").alias("ab"), F.sum("block").alias("kb"))
+        sizes = kids.groupBy(*node).agg(F.sum("k").alias("all"), F.count("*").alias("kinds"), F.sum("ab").alias("ah"), F.sum("kb").alias("kh"))
+        seen = F.col("ab") + F.col("kb")
+        kept = (F.col("kinds") < FEW) | (F.col("k") >= LITERAL * F.col("all"))
+        own = (F.col("u") >= MANY) | ((seen >= FEW) & ~_same_rate())
+        literal = kids.join(sizes, node).where(kept | own).select(*node, "seg", F.lit(True).alias("literal"), (~kept).alias("mine"))
         step = step.join(literal, [*node, "seg"], "left")
         variable = F.col("literal").isNull() & (F.col("seg") != "")
+        step = step.withColumn("own", F.concat("own", F.array(F.coalesce("mine", F.lit(False))))).drop("mine")
         step = staged(step.withColumn("t", F.concat("t", F.when(variable, "/*").otherwise(F.col("seg")))).drop("literal"), f"level{level}")
         done.append(step.where("seg = ''").select(*names))
         todo = step.where("seg <> ''").drop("seg")
@@ -121,42 +136,41 @@ def _alike(cells: DataFrame, node: list[str]) -> DataFrame:
     free = F.col("kinds") - 1
     chi = F.col("q") * F.col("nh") / F.col("nb") - F.col("nb")
     shape = chi <= free + SIGMAS * F.sqrt(2.0 * free) + 1e-9
-    seen, rate = F.col("ab") + F.col("kb"), F.col("kh") / (F.col("ah") + F.col("kh"))
-    gap = F.col("kb") - seen * rate
-    label = F.when((seen == 0) | (F.col("kh") == 0) | (F.col("ah") == 0), True).otherwise(
-        gap * gap <= SIGMAS * SIGMAS * seen * rate * (1 - rate))
-    return both.select(*node, "head", (shape & label).alias("alike"))
+    return both.select(*node, "head", (shape & _same_rate()).alias("alike"))
 
 
 def _merged(tree: DataFrame) -> DataFrame:
     """(host, t, template): ``t`` with ``~`` for the branches that do not differ from their node's pool.
 
     First the host's branches, then level by level those of every node that reaches below the third
-    segment, has several branches, and holds sub-trees: ends of paths are not compared below the first level."""
-    rows = tree.groupBy("host", "t").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")]).withColumn("rest", _segments(F.col("t")))
+    segment, has several branches, and holds sub-trees: ends of paths are not compared below the first level.
+    Children that are literal by evidence alone are compared in any node, and join ``*`` if alike."""
+    rows = tree.groupBy("host", "t").agg(F.max("own").alias("own"), *[F.sum(c).alias(c) for c in ("n", "allow", "block")]).withColumn("rest", _segments(F.col("t")))
     head, tail = F.coalesce(F.get("rest", F.lit(0)), F.lit("")), _after(F.col("rest"), F.lit(1))
-    rows = rows.withColumn("deep", F.size("rest")).withColumn("head", head).withColumn("rest", tail).withColumn("tail", F.array_join("rest", ""))
+    rows = rows.withColumn("deep", F.size("rest")).withColumn("head", head).withColumn("rest", tail).withColumn("own", _after(F.col("own"), F.lit(1))).withColumn("tail", F.array_join("rest", ""))
     todo = rows.join(_alike(rows, ["host"]), ["host", "head"]).withColumn("template", F.when(F.col("alike"), "/~").otherwise(F.col("head")))
-    kept = ["host", "t", "template", "rest", "deep", "n", "allow", "block"]
+    kept = ["host", "t", "template", "own", "rest", "deep", "n", "allow", "block"]
     todo, done, level, node = staged(todo.select(*kept), "branches1"), [], 1, ["host", "template"]
     while level == 1 or not todo.isEmpty():
         level += 1
-        spread = todo.groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.max(F.size("rest")).alias("down"), F.max("deep").alias("deep_"))
-        spread = spread.select(*node, _shared(F.col("lo"), F.col("hi")).alias("c"), "down", "deep_")
-        spread = spread.withColumn("open", (F.col("deep_") > 3) & (F.col("down") - F.col("c") > 1)).drop("down", "deep_")
+        spread = todo.groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.max(F.size("rest")).alias("down"), F.max("deep").alias("deep_"),
+                                          F.max(F.array_contains("own", True)).alias("some"))
+        spread = spread.select(*node, _shared(F.col("lo"), F.col("hi")).alias("c"), "down", (F.col("deep_") > 3).alias("far"), "some")
+        spread = spread.withColumn("open", (F.col("far") & (F.col("down") - F.col("c") > 1)) | (F.col("some") & (F.col("down") > F.col("c")))).drop("down", "some")
         step = todo.join(spread, node)
         step = step.withColumn("c", F.when(F.col("open"), F.col("c")).otherwise(F.size("rest")))
         step = step.withColumn("template", F.concat("template", F.array_join(F.slice("rest", F.lit(1), F.col("c")), "")))
         step = step.withColumn("head", F.coalesce(F.get("rest", F.col("c")), F.lit(""))).withColumn("rest", _after(F.col("rest"), F.col("c") + 1))
+        step = step.withColumn("mine", F.coalesce(F.get("own", F.col("c")), F.lit(False))).withColumn("own", _after(F.col("own"), F.col("c") + 1))
         step = staged(step.drop("c"), f"nodes{level}")
         done.append(step.where("NOT open").select("host", "t", "template"))
         step = step.where("open").drop("open").withColumn("tail", F.array_join("rest", ""))
         if step.isEmpty():
             break
         inner = step.groupBy(*node, "head").agg(F.max(F.size("rest")).alias("below"))
-        alike = _alike(step, node).join(inner, [*node, "head"]).withColumn("alike", F.col("alike") & (F.col("below") > 0)).drop("below")
-        step = step.join(alike, [*node, "head"])
-        step = step.withColumn("template", F.concat("template", F.when(F.col("alike"), "/~").otherwise(F.col("head"))))
+        step = step.join(_alike(step, node).join(inner, [*node, "head"]), [*node, "head"])
+        branch = F.when(F.col("alike") & F.col("far") & (F.col("below") > 0), "/~").when(F.col("alike") & F.col("mine"), "/*").otherwise(F.col("head"))
+        step = step.withColumn("template", F.concat("template", branch))
         todo = staged(step.select(*kept), f"branches{level}")
         if len(done) > 30:
             done = [staged(_united(done), "done")]
@@ -168,7 +182,7 @@ def _purity(block: Column, seen: Column, prior: Column) -> Column:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """(host, masked, template, purity) for ``urls`` (host, masked, n, allow, block)."""
+    """(host, masked, template, purity) for ``urls`` (host, masked, n, urls, allow, block)."""
     tree = _generalised(urls)
     tree = staged(tree.join(_merged(tree), ["host", "t"]), "branches")
     total = tree.agg(F.sum("block").alias("k"), (F.sum("allow") + F.sum("block")).alias("l")).first()
@@ -190,8 +204,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), _masked(F.col("path")).alias("masked"))
-    counted = rows.groupBy("host", "masked").agg(
+    distinct = rows.groupBy("host", "masked", "path").agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"))
+    counted = distinct.groupBy("host", "masked").agg(F.count("*").alias("urls"), *[F.sum(c).alias(c) for c in ("n", "allow", "block")])
     known = staged(templates(staged(counted, "urls")), "templates")
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return rows.join(known, ["host", "masked"]).select(

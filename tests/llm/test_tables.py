@@ -168,6 +168,26 @@ def test_deep_paths_generalise_and_merge_at_every_level(spark):
     assert len(got) == len(table)
 
 
+def test_sections_of_a_large_host_keep_their_labels(spark):
+    names = [a + b for a in "abcd" for b in "efghijklmn"]                      # 40 even sections, 2.5% each
+    table = [(100 * i + k, f"http://hot.net/{s}/{k + 100}") for i, s in enumerate(names) for k in range(40)]
+    table += [(9000 + k, f"http://hot.net/zz/{prose(k, 1)}{'xyz'[k % 3]}/{k + 100}") for k in range(16)]       # small, but all blocked
+    table += [(9500 + k, f"http://hot.net/user{prose(k, 1)}{'abcdefghij'[k % 10] * 3}{'uvwxyz'[k % 6]}/9") for k in range(60)]
+    rules = [("block", "hot.net", f"/{names[3]}/11"), ("block", "hot.net", f"/{names[3]}/12")]
+    rules += [("block", "hot.net", urlfilter_path(u)) for p, u in table if 9000 <= p < 9012] + [("allow", "hot.net", f"/{s}/11") for s in names if s != names[3]]
+    got = {r["page_id"]: r for r in urlfilter.judge(pages(spark, [(*t, None) for t in table]), rules).collect()}
+    assert got[300]["template"] == f"/{names[3]}/#" and got[300]["verdict"] == "block"
+    assert all(r["verdict"] == "allow" for p, r in got.items() if p < 4000 and p // 100 != 3)
+    assert got[9012]["template"].startswith("/zz/") and got[9500]["template"] == "/~/#"
+    assert len({r["template"] for p, r in got.items() if p < 4000 and p // 100 != 3}) == 1         # alike sections are one branch
+    # a level down, names of 40 urls each: those that are alike stay one template, the blocked one has its own
+    low = [(p, u.replace("hot.net/", "low.net/in/")) for p, u in table if p < 4000]
+    rules = [(v, "low.net", f"/in{p}") for v, _, p in rules if p.count("/") == 2] + [("allow", "low.net", "/out/")]
+    got = {r["page_id"]: r for r in urlfilter.judge(pages(spark, [(*t, None) for t in [*low, (8000, "http://low.net/out/a")]]), rules).collect()}
+    assert {got[p]["template"] for p in got if p < 4000 and p // 100 != 3} == {"/~/*/#"}
+    assert got[300]["template"] == f"/~/{names[3]}/#" and got[300]["verdict"] == "block"
+
+
 def urlfilter_path(url):
     return "/" + url.split("/", 3)[3]
 
