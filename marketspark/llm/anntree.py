@@ -10,7 +10,9 @@ necessary: for up to ``CALIBRATE`` of the queries the true neighbours among all
 number of visited leaves widens until the leaves hold ``RECALL`` of them.
 
 Rows are grouped by bins of neighbouring leaves; a leaf with more than ``BIN`` rows, however hot, is dealt
-over several bins by id hash.  A query goes once to every bin that holds a leaf it visits.  Found
+over several bins by a number counted up along the rows.  A query goes once to every bin that holds a leaf it
+visits; the visits of each bin are counted first, and a bin that more than ``AT_ONCE`` queries visit is
+copied to as many parts as these need, so a task's group is bounded on both sides.  Found
 rows are ranked by the cosine of the original vectors in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and null ids, take
@@ -26,6 +28,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ from marketspark.llm.vafile import usable
 
 SAMPLE, BRANCH, LEAF = 20_000, 8, 64
 CALIBRATE, RECALL = 128, 0.97
-BIN = 1024
+BIN, AT_ONCE = 1024, 8192
 
 
 @dataclass
@@ -164,11 +167,13 @@ class Index:
         tree = self.tree
 
         def file(batches):
+            salt = TaskContext.get().partitionId()      # counts on from there: equal rows are dealt evenly, too
             for b in batches:
-                yield b.assign(leaf=tree.assign(unit(matrix(b["v"]))) if len(b) else [])
+                yield b.assign(leaf=tree.assign(unit(matrix(b["v"]))) if len(b) else [], salt=np.arange(salt, salt + len(b)))
+                salt += len(b)
 
         rows = rows.where(F.size("v") == self.dim)
-        self.rows = staged(rows.mapInPandas(file, "id bigint, v array<double>, leaf bigint"), "index") if tree else None
+        self.rows = staged(rows.mapInPandas(file, "id bigint, v array<double>, leaf bigint, salt bigint"), "index") if tree else None
         if tree:
             self.sizes = {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}     # one row a leaf
             self._deal(self.sizes)
@@ -190,10 +195,10 @@ class Index:
             self.first[leaf], self.parts[leaf] = at, parts
             at, filled = (at + parts, 0) if parts > 1 else (at, filled + n)
 
-    def _bin(self, leaf: Column, id_: Column) -> Column:
+    def _bin(self, leaf: Column, salt: Column) -> Column:
         table = F.create_map(*[x for leaf_ in self.first for x in (F.lit(leaf_).cast("bigint"), F.struct(F.lit(self.first[leaf_]), F.lit(self.parts[leaf_])))])
         place = F.element_at(table, leaf)
-        return (place["col1"] + F.pmod(F.xxhash64(id_), place["col2"])).cast("int")
+        return (place["col1"] + F.pmod(salt, place["col2"])).cast("int")
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         return (self._clean(queries).where(F.size("v") == self.dim).withColumn("key", F.xxhash64("id", "v")).dropDuplicates(["id", "key"]))
@@ -218,34 +223,51 @@ class Index:
         depth = np.sort([place[q, key][leaf] + 1 for q, key, leaf in zip(true["query_id"], true["key"], true["leaf"])])
         return int(depth[min(len(depth) - 1, int(np.ceil(RECALL * len(depth))) - 1)])
 
-    def search(self, queries: DataFrame, k: int, leaves: int | None = None) -> DataFrame:
-        """(query_id, rank, vec_id, score): each query's k nearest found, nearest first."""
-        if self.tree is None:
-            return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-        leaves = leaves or self.calibrate(queries, k)
+    def _dealt(self, queries: DataFrame, k: int, leaves: int) -> tuple[DataFrame, DataFrame]:
+        """The rows and the queries by (bin, part), about BIN and AT_ONCE of them at most in each."""
         tree, first, parts, sizes = self.tree, self.first, self.parts, self.sizes
         # rows of the query's own id are no candidates, so as many more must be met
         own = self.rows.groupBy("id").count().where("count > 1").withColumnRenamed("count", "own")
         asked = self._queries(queries).join(own, "id", "left").fillna(1, ["own"])
 
+        def visited(b):
+            for qid, v, key, own_rows in zip(b["id"], b["v"], b["key"], b["own"]):
+                bins: dict[int, list[int]] = {}
+                for leaf in tree.visit(unit(matrix([v]))[0], leaves, sizes, k + int(own_rows)):
+                    for part in range(parts[leaf]):
+                        bins.setdefault(first[leaf] + part, []).append(leaf)
+                yield qid, v, key, bins
+
+        def tally(batches):
+            for b in batches:
+                n = pd.Series([bin_ for *_, bins in visited(b) for bin_ in bins], dtype="int32").value_counts()
+                yield pd.DataFrame({"bin": n.index, "n": n.to_numpy()})
+
+        # how many parts the queries of each bin need: one number a bin
+        visits = asked.mapInPandas(tally, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
+        cut = staged(visits.select("bin", F.ceil(F.col("n") / AT_ONCE).cast("int").alias("pieces")), "visits")
+        pieces = asked.sparkSession.sparkContext.broadcast({r["bin"]: r["pieces"] for r in cut.where("pieces > 1").collect()})
+
         def route(batches):
             for b in batches:
-                rows = []
-                for qid, v, key, own_rows in zip(b["id"], b["v"], b["key"], b["own"]):
-                    bins: dict[int, list[int]] = {}
-                    for leaf in tree.visit(unit(matrix([v]))[0], leaves, sizes, k + int(own_rows)):
-                        for part in range(parts[leaf]):
-                            bins.setdefault(first[leaf] + part, []).append(leaf)
-                    rows += [(bin_, qid, v, key, seen) for bin_, seen in bins.items()]
-                yield pd.DataFrame(rows, columns=["bin", "id", "v", "key", "leaves"])
-
-        asked = asked.mapInPandas(route, "bin int, id bigint, v array<double>, key bigint, leaves array<bigint>")
-        data = self.rows.withColumn("bin", self._bin(F.col("leaf"), F.col("id")))
+                rows = [(bin_, int(key) % pieces.value.get(bin_, 1), qid, v, key, seen)
+                        for qid, v, key, bins in visited(b) for bin_, seen in bins.items()]
+                yield pd.DataFrame(rows, columns=["bin", "part", "id", "v", "key", "leaves"])
+
+        asked = asked.mapInPandas(route, "bin int, part int, id bigint, v array<double>, key bigint, leaves array<bigint>")
+        data = self.rows.withColumn("bin", self._bin(F.col("leaf"), F.col("salt"))).join(cut, "bin")     # unvisited bins drop out
+        return data.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces"), asked
+
+    def search(self, queries: DataFrame, k: int, leaves: int | None = None) -> DataFrame:
+        """(query_id, rank, vec_id, score): each query's k nearest found, nearest first."""
+        if self.tree is None:
+            return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        data, asked = self._dealt(queries, k, leaves or self.calibrate(queries, k))
 
         def look(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(asked):
                 return pd.DataFrame(columns=["query_id", "key", "vec_id", "score", "leaf"]).astype({"score": "float64"})
             return _local(rows, asked, k, True)
 
-        found = data.groupBy("bin").cogroup(asked.groupBy("bin")).applyInPandas(look, FOUND)
+        found = data.groupBy("bin", "part").cogroup(asked.groupBy("bin", "part")).applyInPandas(look, FOUND)
         return _best(found, k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,6 @@
 """Exact top-k inner products with vector-approximation files.
 
-Vectors are dealt by id hash into blocks of bounded size, the queries into blocks of their own, and
+Vectors are dealt by the hash of id and vector into blocks of bounded size, the queries into blocks of their own, and
 every pair of a vector block and a query block is one task group: that is the whole work of a
 stated query set against all rows, in pieces of bounded memory whatever keys or vectors repeat.
 
@@ -109,7 +109,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 64.0, i
     def deal(n):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
-    left = base.select("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint").alias("block"), deal(parts).alias("part"), "id", "v")
+    left = base.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("bigint").alias("block"), deal(parts).alias("part"), "id", "v")
     right = asked.select("dim", deal(blocks).alias("block"), F.pmod("key", F.lit(parts)).cast("bigint").alias("part"), "id", "key", "v")
     # the groups' (block, part) number is known beforehand and bounded by their sizes
     columns = ["query_id", "key", "vec_id", "score"]

@@ -327,6 +327,23 @@ def test_tree_search(spark, monkeypatch):
     assert index.tree.leaves > 20 and index.rows.count() == len(clean)
 
 
+def test_groups_of_the_tree_search_are_bounded_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    table = [(k, [float(x) for x in rng.normal(0, 1, 4)]) for k in range(300)] + [(400, [1.0, 2.0, 3.0, 4.0])] * 90
+    df = vectors(spark, table)
+    asked = df.where("vec_id < 150")
+    want = rows(anntree.Index(df).search(asked, k=4, leaves=3), "query_id", "rank", "vec_id")
+    monkeypatch.setattr(anntree, "BIN", 40)
+    monkeypatch.setattr(anntree, "AT_ONCE", 20)
+    index = anntree.Index(df)
+    assert rows(index.search(asked, k=4, leaves=3), "query_id", "rank", "vec_id") == want
+    data, routed = index._dealt(asked, 4, index.tree.leaves)           # every query visits every bin
+    assert max(r["count"] for r in data.groupBy("bin", "part").count().collect()) <= 60        # 90 rows of one id and vector, too
+    groups = {(r["bin"], r["part"]): r["count"] for r in routed.groupBy("bin", "part").count().collect()}
+    assert max(groups.values()) <= 45 and {part for _, part in groups} == set(range(8))        # about AT_ONCE by hash, never all 150
+    assert data.select("bin", "part").distinct().count() == len(groups)
+
+
 def test_tree_of_equal_few_or_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(anntree, "LEAF", 4)
     monkeypatch.setattr(anntree, "BIN", 10)
