@@ -160,3 +160,12 @@ def test_stream_pane_windows(spark):
     truth = sentiment_windows(spark.read.parquet(path), "1 day", "6 hours")
     j = many.select(*k).join(truth.select(*k[:3], F.col("tweet_count").alias("b")), k[:3], "left")
     assert j.filter("b IS NULL OR tweet_count > b").count() == 0
+
+
+def test_a_plugged_loader_serves_every_tick(spark):
+    from marketspark.plans.catalog import plugged_ticks
+    from marketspark.sources.tables import load_ticks
+    columns = ["tick_id", "ticker", "ts", "price", "open", "volume"]
+    got = sorted(map(tuple, plugged_ticks(spark, "/root/testdata/sf0.001").select(*columns).collect()))
+    want = sorted(map(tuple, load_ticks(spark, "/root/testdata/sf0.001").select(*columns).collect()))
+    assert got == want and len({t[1] for t in got}) == 8
