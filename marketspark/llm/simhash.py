@@ -267,7 +267,8 @@ def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     names = docs.columns
     found = staged(near_duplicates(docs, distance, shingle).select("doc_id", "fp", "root", "component_id"), "found")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = own.groupBy("doc_id").agg(F.count("*").alias("_sh_rows"))
+    # rows of an id anywhere: its other rows may stand in another class, and only the fingerprint tells them apart
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("_sh_rows")).join(own.select("doc_id").distinct(), "doc_id")
     out = docs.join(ids.withColumnRenamed("doc_id", "_sh_id"), docs["doc_id"] == F.col("_sh_id"))
     once = out.where("_sh_rows = 1").select(*[docs[c] for c in names])
     # rows with a repeated id, or none, are few or odd: only for them the fingerprint is needed again

@@ -97,6 +97,13 @@ def test_keep_one_of_each_class(spark):
     assert simhash.keep_one(df.where("doc_id < 0")).count() == 0
 
 
+def test_keep_one_drops_a_near_copy_whose_id_is_kept_elsewhere(spark):
+    near = prose(70, 60)
+    df = docs(spark, [(3, near, "en", "a"), (5, prose(71, 60), "en", "a"), (5, near, "en", "a"), (9, prose(72, 60), "en", "a")])
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(df).select("doc_id", "text").collect())
+    assert kept == sorted([(3, near), (5, prose(71, 60)), (9, prose(72, 60))])
+
+
 # --- line dedup ------------------------------------------------------------------------------
 
 def slow_line_dedup(table, min_words):
