@@ -1058,10 +1058,10 @@ def q_stream_late(spark, sf):
     p = stage_posts(spark, sf).select("post_id", "ticker", "ts", "compound")
     cut = F.date_trunc("day", as_of_literal(p)) - F.expr("INTERVAL 4 days")
     mid = cut + F.expr("INTERVAL 2 days")
-    path = scratch_path(spark, f"late-{uuid.uuid4().hex}")
+    path, run = scratch_path(spark, f"late-{uuid.uuid4().hex}"), scratch_path(spark, f"late-run-{uuid.uuid4().hex}")
     for part in (p.where((F.col("ts") >= cut) & (F.col("ts") < mid)), p.where(F.col("ts") >= mid), p.where(F.col("ts") < cut)):
-        part.coalesce(1).write.mode("append").parquet(path)          # one file a micro-batch, in this order
-    out = ST.run_to_table(spark, ST.stream_sentiment(ST.read_stream(spark, path, max_files=1), WINDOW), "late")
+        part.write.mode("append").parquet(path)          # the files of a slice are one micro-batch, in this order
+        out = ST.run_to_table(spark, ST.stream_sentiment(ST.read_stream(spark, path), WINDOW), "late", run=run)
     return out.select("ticker", "window_start", "window_end", "avg_sentiment", "tweet_count")
 
 

@@ -130,11 +130,12 @@ def stream_change_feed(ticks: DataFrame, posts: DataFrame | None = None) -> Data
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                 key: list[str] | None = None) -> DataFrame:
+                 key: list[str] | None = None, run: str | None = None) -> DataFrame:
     """Run ``stream`` until all available input is processed (``availableNow``) into an
     idempotent per-batch parquet sink under the shared checkpoint folder; return the
-    result as a batch DataFrame (update mode: the latest row per ``key``)."""
-    run = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
+    result as a batch DataFrame (update mode: the latest row per ``key``).
+    Calls with the same ``run`` folder go on from each other's checkpoint."""
+    run = run or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
     out, ckpt = os.path.join(run, "out"), os.path.join(run, "checkpoint")
     q = (stream.writeStream.outputMode(mode).foreachBatch(make_sink(parquet_writer(out)))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

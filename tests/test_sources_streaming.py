@@ -169,3 +169,15 @@ def test_a_plugged_loader_serves_every_tick(spark):
     got = sorted(map(tuple, plugged_ticks(spark, "/root/testdata/sf0.001").select(*columns).collect()))
     want = sorted(map(tuple, load_ticks(spark, "/root/testdata/sf0.001").select(*columns).collect()))
     assert got == want and len({t[1] for t in got}) == 8
+
+
+def test_late_slices_are_written_in_many_files(spark, monkeypatch):
+    from marketspark.plans import catalog
+    sf, folders = "/root/testdata/sf0.001", []
+    want = sorted(map(tuple, catalog.q_stream_late(spark, sf).drop("avg_sentiment").collect()))
+    stage, place = catalog.stage_posts, catalog.scratch_path
+    monkeypatch.setattr(catalog, "stage_posts", lambda *a: stage(*a).repartition(4))
+    monkeypatch.setattr(catalog, "scratch_path", lambda s, name: folders.append(place(s, name)) or folders[-1])
+    got = sorted(map(tuple, catalog.q_stream_late(spark, sf).drop("avg_sentiment").collect()))
+    assert got == want and want
+    assert len(spark.read.parquet(folders[0]).inputFiles()) > 3
