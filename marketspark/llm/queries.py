@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import anntree, bpe, langid, linededup, mixing, simhash, toxicity, urlfilter, vafile, warc
+from marketspark.llm import anntree, bpe, langid, linededup, minhash, mixing, phrases, resample, simhash, toxicity, urlfilter, vafile, warc
 from marketspark.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,100 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found by cosine of every fiftieth vector against all."""
     vectors = read(spark, sf_dir, "embeddings")
     return anntree.Index(vectors).search(vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, row, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]]
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM worded),
+kinds AS (SELECT list_sort(s) AS s, min(row) AS kind, min(doc_id) AS low, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+items AS (SELECT kind, n, unnest(s) AS item FROM kinds),
+both_ AS (SELECT a.kind AS x, b.kind AS y, a.n + b.n AS total, count(*) AS c FROM items a JOIN items b ON a.item = b.item AND a.kind < b.kind
+          GROUP BY a.kind, b.kind, a.n, b.n),
+links AS (SELECT x, y FROM both_ WHERE c * 100 >= (total - c) * 80 UNION ALL SELECT y, x FROM both_ WHERE c * 100 >= (total - c) * 80),
+reach AS (SELECT kind AS x, kind AS y FROM kinds UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+classes AS (SELECT r.x AS kind, min(k.low) AS component_id FROM reach r JOIN kinds k ON r.y = k.kind GROUP BY r.x)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE c.component_id END AS component_id,
+       d.doc_id IS NOT DISTINCT FROM (CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE c.component_id END) AS kept
+FROM sets d LEFT JOIN kinds k ON len(d.s) > 0 AND list_sort(d.s) = k.s LEFT JOIN classes c USING (kind)
+"""
+
+
+@query(OP11_SQL)
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 2-word shingles, 80% similar sets."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+OP12_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda c: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, c)) AS t),
+worded AS (
+  SELECT 0 AS side, doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+uses AS (SELECT side, row, unnest(w) AS word FROM worded),
+words AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM uses),
+bucketed AS (
+  SELECT word, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT),
+         lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM words, crc_table),
+counted AS (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM uses JOIN bucketed USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counted),
+gains AS (
+  SELECT bucket, floor(1000::DOUBLE * ln((t + 1)::DOUBLE * (s_all + 10000::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000::DOUBLE))))::BIGINT AS gain
+  FROM counted, totals),
+weights AS (SELECT row, sum(gain)::BIGINT AS weight FROM uses JOIN bucketed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY row),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE)
+                                                             / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM worded LEFT JOIN weights USING (row) WHERE side = 0),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id NULLS LAST, weight DESC) AS r,
+         count(*) FILTER (WHERE n_features >= 20) OVER () * 10 // 100 AS draw FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= draw THEN r END AS rank FROM placed
+"""
+
+
+@query(OP12_SQL)
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's word distribution."""
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, seed="2024")
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, p FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+split AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: list_slice(w, i, i + size - 1))) AS g
+  FROM split, (SELECT unnest([1, 2, 3]) AS size)),
+freq AS (SELECT lang, g, len(g) AS size, count(*) AS a FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM freq WHERE size = 1 GROUP BY lang),
+cand AS (SELECT * FROM freq WHERE size >= 2 AND a >= 10),
+cuts AS (SELECT lang, g, a, k, list_slice(g, 1, k) AS head, list_slice(g, k + 1, size) AS tail FROM cand, (SELECT unnest([1, 2]) AS k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, h.a AS l, t.a AS r, (1000000::HUGEINT * c.a * c.a) // (h.a::HUGEINT * t.a) AS score
+  FROM cuts c JOIN freq h ON h.lang = c.lang AND h.g = c.head JOIN freq t ON t.lang = c.lang AND t.g = c.tail),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM scored),
+around AS (
+  SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, unnest([list_slice(g, 1, 2), list_slice(g, 2, 3)]) AS g FROM cand WHERE size = 3) GROUP BY lang, g),
+free AS (SELECT x.*, array_to_string(x.g, ' ') AS phrase FROM lowest x LEFT JOIN around y ON x.lang = y.lang AND x.g = y.g
+         WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 50 * x.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query(OP13_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of 2 and 3 words in every language, 2,000 at most."""
+    return phrases.collocations(read(spark, sf_dir, "documents"), lo=2, hi=3, least=10, top=2000, share=50)
