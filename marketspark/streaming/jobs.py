@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators.signals import post_alerts
-from marketspark.operators.sequence import interval_micros
+from marketspark.operators.sequence import interval_micros, time_bucket
 from marketspark.operators.windows import price_windows, sentiment_windows, window_minutes
 from marketspark.session import scratch_path
 from marketspark.streaming.sinks import latest_state, make_sink, parquet_writer, read_batches
@@ -147,6 +147,40 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     return read_batches(spark, out)
 
 
+def advance(stream: DataFrame, run: str, mode: str = "append", sink=None):
+    """Process the input there is and stop; the next call goes on from the checkpoint in ``run``.  Returns the query.
+
+    Without a sink the rows go nowhere: the stream is run for its state."""
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(run, "checkpoint")).trigger(availableNow=True)
+    q = (w.foreachBatch(sink) if sink else w.format("noop")).start()
+    q.awaitTermination()
+    return q
+
+
+def read_state(spark: SparkSession, run: str, batch_id: int | None = None, operator: int = 0) -> DataFrame:
+    """Rows (partition_id, key, value) of a stateful operator as of the last committed batch, or of ``batch_id``.
+
+    Read from the checkpoint by Spark's state data source, in one task per state partition, beside a running query."""
+    r = spark.read.format("statestore").option("operatorId", operator)
+    if batch_id is not None:
+        r = r.option("batchId", batch_id)
+    return r.load(os.path.join(run, "checkpoint"))
+
+
+def state_versions(spark: SparkSession, run: str) -> DataFrame:
+    """The stateful operators of a checkpoint: name, state store, partitions, batches that can be read."""
+    return spark.read.format("state-metadata").load(os.path.join(run, "checkpoint"))
+
+
+def board_from_state(spark: SparkSession, run: str, batch_id: int | None = None) -> DataFrame:
+    """The board (ticker, ts, tick_id, price, volume) out of the state of ``stream_board``.
+
+    The aggregate's buffer holds the row and the order it was chosen by; the row is its first field."""
+    state = read_state(spark, run, batch_id)
+    row = state.schema["value"].dataType.fields[0].name
+    return state.select("key.ticker", *[F.col(f"value.{row}.{c}").alias(c) for c in ("ts", "tick_id", "price", "volume")])
+
+
 def wrote(query) -> bool:
     """Whether the query ran any micro-batch (each writes its folder, even when empty)."""
     return any(p["batchId"] >= 0 and p["durationMs"].get("addBatch") is not None for p in query.recentProgress)
@@ -183,6 +217,46 @@ def correlation_enricher(ticks: DataFrame, posts: DataFrame, window: str = WINDO
     return enrich
 
 
+def stream_interval_correlation(posts: DataFrame, ticks: DataFrame, window: str = WINDOW, lookback: str = "2 minutes",
+                                watermark: str = WATERMARK, min_ticks: int = 5, salts: int = 1) -> DataFrame:
+    """Per (ticker, window) the guarded Pearson of price and trailing sentiment, computed in state.
+
+    Three stateful steps in one append-mode query, all evicted by the watermark:
+
+    1. a stream-stream left outer join of each tick with the posts of its ticker and window in
+       [tick - ``lookback``, tick]; a post stays until the watermark is ``lookback`` past it, a tick
+       until the watermark passes it (then, without any post, it goes on alone with sentiment 0);
+    2. an aggregate per tick: the mean compound, an exact decimal sum over a count, so that it does not depend on
+       arrival order;
+    3. an aggregate per (ticker, window): covariance, variances, first and last price.
+
+    A window comes out once the watermark is ``lookback`` past its end.  The join key holds the window, so one
+    ticker's state is spread over its open windows; ``salts`` deals a hot ticker's ticks over that many
+    partitions, each with its own copy of the posts.  Results equal the batch operators' on closed windows."""
+    from marketspark.operators.align import ALIGN_DIGITS, SUM
+    from marketspark.operators.correlation import window_aggregates
+    lb = F.expr(f"INTERVAL {lookback}")
+    p = (posts.where(F.col("compound").isNotNull()).select(F.col("ticker").alias("_pt"), F.col("ts").alias("_ps"), F.col("compound").cast(SUM).alias("_c"))
+         .withWatermark("_ps", watermark).withColumn("_pw", time_bucket(F.col("_ps"), window)))
+    t = ticks.select("ticker", "ts", "tick_id", "price").withWatermark("ts", watermark).withColumn("_w", time_bucket(F.col("ts"), window))
+    same = (F.col("ticker") == F.col("_pt")) & (F.col("_w") == F.col("_pw"))
+    if salts > 1:
+        p = p.withColumn("_psalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        t = t.withColumn("_salt", F.pmod(F.xxhash64("tick_id"), F.lit(salts)).cast("int"))
+        same = same & (F.col("_salt") == F.col("_psalt"))
+    near = t.join(p, same & (F.col("_ps") <= F.col("ts")) & (F.col("_ps") >= F.col("ts") - lb), "left_outer")
+    # a query carries one event time at a time, so a tick's own goes on as a number beside its window
+    each = near.groupBy(F.window("ts", window).alias("w"), "ticker", F.unix_micros("ts").alias("_us"), "tick_id", "price").agg(
+        F.sum("_c").alias("_s"), F.count("_c").alias("_n"))
+    mean = F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n")).otherwise(F.lit(0.0))
+    rows = each.select("ticker", F.timestamp_micros("_us").alias("ts"), "tick_id", "price", F.window_time("w").alias("_at"), F.round(mean, ALIGN_DIGITS).alias("sentiment"))
+    g = window_aggregates(rows.groupBy(F.window("_at", window).alias("w"), "ticker"), rows, "sentiment")
+    return g.where(F.col("n_ticks") >= min_ticks).select(
+        "ticker", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_ticks", "pearson",
+        F.lit(0).alias("lag"), "first_price", "last_price",
+        F.try_divide(F.col("last_price") - F.col("first_price"), F.col("first_price")).alias("momentum"))
+
+
 def run_joined_sink(spark: SparkSession, posts: DataFrame, ticks: DataFrame, window: str = WINDOW,
                     watermark: str = WATERMARK, name: str = "joined", enrich=None) -> tuple[DataFrame, DataFrame]:
     """Run the stream-stream join into the two-table sink (availableNow); return
