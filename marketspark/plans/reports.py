@@ -2,10 +2,8 @@
 
 Routing per message: the first alias (in alias order) contained in the lower-cased
 trimmed message names an asset -> asset report; else a mood word -> macro report; else
-the default reply.  Blank messages are rejected (dropped).  The alias table is a
-configuration table of checked size folded into one CASE expression, so routing is a
-per-row expression with no join; the per-ticker report facts (one row per ticker) are
-joined on the matched ticker.
+the default reply.  Blank messages are rejected (dropped).  Aliases are found through a trigram index
+of any size; the per-ticker report facts (one row per ticker) are joined on the matched ticker.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ from marketspark.functions.bands import MACRO_DEFAULT_AVG, fear_greed, mood3, py
 from marketspark.functions.bands import thousands
 from marketspark.functions.fixed import with_fixed_text
 from marketspark.functions.formats import render
+from marketspark.operators.grams import with_contained
 from marketspark.plans.snapshots import latest_aggregate, latest_signal, latest_tick
 
 # ---------------------------------------------------------------------------
@@ -57,12 +56,12 @@ REPLY_SOURCE = "native-nlp"
 def match_alias(messages: DataFrame, aliases: DataFrame, text_col: str = "message") -> DataFrame:
     """Append ``ticker``: first alias (by ordinal) contained in the lower-cased text.
 
-    The alias table enters as one array, a scalar subquery that Spark evaluates once; the plan has the
-    same size for ten aliases or ten thousand."""
-    known = aliases.agg(F.sort_array(F.collect_list(F.struct("ordinal", "word", "ticker"))).alias("a")).scalar()
-    m = messages.withColumn("_low", F.lower(py_strip(F.col(text_col)))).withColumn("_known", known)
-    hit = F.filter("_known", lambda a: F.contains(F.col("_low"), a["word"]))
-    return m.withColumn("ticker", F.get(hit, F.lit(0))["ticker"]).drop("_low", "_known")
+    Candidates come from a trigram index of the aliases (``operators.grams``), so a message meets only
+    aliases that share a rare trigram with it, however many there are."""
+    m = messages.withColumn("_low", F.lower(py_strip(F.col(text_col))))
+    hit = with_contained(m, aliases.select("ordinal", "word", "ticker"), "_hits", "_low")
+    first = F.array_min(F.transform("_hits", lambda a: F.struct(a["ordinal"], a["word"], a["ticker"])))
+    return hit.withColumn("ticker", first["ticker"]).select(*messages.columns, "ticker")
 
 
 def asset_facts(ticks: DataFrame, aggregates: DataFrame, sigs: DataFrame, names: DataFrame) -> DataFrame:
