@@ -37,6 +37,10 @@ def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
     w.parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV export with the UI's header; fields holding a comma are quoted by the writer."""
-    rows.select(*CSV_HEADER).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """CSV export with the UI's header; fields holding a comma are quoted by the writer.
+
+    Every task writes a part of its own, each with the header, so an export of any size is
+    parallel; ``files`` sets their number where a reader wants few."""
+    out = rows.select(*CSV_HEADER)
+    (out.repartition(files) if files else out).write.mode("overwrite").option("header", True).csv(path)
