@@ -30,6 +30,7 @@ from marketspark.plans import reports as RP
 from marketspark.plans import snapshots as SN
 from marketspark.plans.registry import as_of_literal, register
 from marketspark.sources import news as NW
+from marketspark.sources import quote_source as QS
 from marketspark.session import scratch_path
 from marketspark.sources.quotes import extract_quotes, with_fallback
 from marketspark.sources.records import encode_records, parse_ticks, tick_wire
@@ -38,7 +39,10 @@ from marketspark.sources.tables import (load_chat_messages, load_logits, load_po
                                         snapshot_key, spread, ticks_table, ticks_table_path, universe_aliases,
                                         written_table)
 from marketspark.streaming import jobs as ST
-from marketspark.streaming.sinks import truncate
+from marketspark.streaming import late as LT
+from marketspark.streaming import panes as PN
+from marketspark.streaming import subscribers as SB
+from marketspark.streaming.sinks import make_sink, read_batches, truncate
 
 WINDOW, LOOKBACK, SLIDE = "1 day", "12 hours", "6 hours"
 
@@ -498,6 +502,70 @@ def q_lexicon_score(spark, sf):
     return scored.join(stage_posts(spark, sf).select("post_id"), "post_id", "left_semi")
 
 
+CLAUSE_RULES = LX.Rules(negators=["was", "no"], boosters=["the", "of"], dampeners=["in", "to"], contrast=["that", "que", "und"], clauses=True)
+
+
+def _clause_sql() -> str:
+    """The clause rules over window functions, with the fixture's lexicon: words and word pairs of ``benchmark``."""
+    r = CLAUSE_RULES
+    lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    capital = lambda t: f"(upper({t}) = {t} AND lower({t}) <> {t})"
+
+    def boost(k: int, fade: float) -> str:
+        b = f"CASE WHEN list_contains({lst(r.boosters)}, low{k}) THEN 1 WHEN list_contains({lst(r.dampeners)}, low{k}) THEN -1 ELSE 0 END"
+        return (f" + CASE WHEN coalesce(raw{k}, 0) = 0 AND low{k} IS NOT NULL THEN sign(raw) * ({b}) * "
+                f"({LX.BOOST}::DOUBLE + CASE WHEN mixed AND {capital(f'tok{k}')} THEN {LX.CAPITALS}::DOUBLE ELSE 0 END) * {fade}::DOUBLE ELSE 0 END")
+
+    back = ", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for c in ("tok", "low", "raw") for k in (1, 2, 3))
+    negated = " OR ".join(f"coalesce(list_contains({lst(r.negators)}, low{k}), false)" for k in (1, 2, 3))
+    return f"""WITH bench AS (SELECT regexp_extract_all(lower(text), '{LX.TOKEN_PATTERN}') AS t FROM benchmark),
+lex AS (SELECT DISTINCT w, ((length(w) * 7) % 9 - 4)::DOUBLE AS v FROM (
+  SELECT unnest(t) AS w FROM bench UNION ALL
+  SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM bench) WHERE length(w) > 3 AND (length(w) * 7) % 9 <> 4),
+docs AS (SELECT doc_id AS post_id, text, regexp_extract_all(text, '{LX.TOKEN_PATTERN}') AS t FROM documents),
+toks AS (SELECT post_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM docs),
+lows AS (SELECT *, lower(tok) AS low, lower(tok) || ' ' || lead(lower(tok)) OVER (PARTITION BY post_id ORDER BY i) AS pair FROM toks),
+valued AS (SELECT x.post_id, x.i, x.tok, x.low, coalesce(a.v, 0) AS single, b.v AS pv FROM lows x LEFT JOIN lex a ON a.w = x.low LEFT JOIN lex b ON b.w = x.pair),
+hits AS (SELECT post_id, i, i - row_number() OVER (PARTITION BY post_id ORDER BY i) AS island FROM valued WHERE pv IS NOT NULL),
+chosen AS (SELECT post_id, i FROM (SELECT *, (i - min(i) OVER (PARTITION BY post_id, island)) % 2 = 0 AS first FROM hits) WHERE first),
+raws AS (SELECT v.*, CASE WHEN c.i IS NOT NULL THEN v.pv WHEN d.i IS NOT NULL THEN NULL ELSE v.single END AS raw
+         FROM valued v LEFT JOIN chosen c ON c.post_id = v.post_id AND c.i = v.i LEFT JOIN chosen d ON d.post_id = v.post_id AND d.i + 1 = v.i),
+shape AS (SELECT post_id, count(*) FILTER (WHERE lower(tok) <> upper(tok)) AS words, count(*) FILTER (WHERE {capital('tok')}) AS loud,
+                 min(i) FILTER (WHERE list_contains({lst(r.contrast)}, low)) AS turn FROM lows GROUP BY post_id),
+ctx AS (SELECT r.*, (loud > 0 AND loud < words) AS mixed, turn, {back} FROM raws r JOIN shape USING (post_id)
+        WINDOW w AS (PARTITION BY r.post_id ORDER BY r.i)),
+adj AS (SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN raw = 0 THEN 0 ELSE
+          (raw + sign(raw) * CASE WHEN mixed AND {capital('tok')} THEN {LX.CAPITALS}::DOUBLE ELSE 0 END{boost(1, 1.0)}{boost(2, 0.95)}{boost(3, 0.9)})
+          * CASE WHEN {negated} THEN {LX.NEGATION}::DOUBLE ELSE 1 END END AS v1 FROM ctx),
+val AS (SELECT post_id, v1 * CASE WHEN turn IS NULL OR i = turn THEN 1::DOUBLE WHEN i < turn THEN {LX.BEFORE_CONTRAST}::DOUBLE ELSE {LX.AFTER_CONTRAST}::DOUBLE END AS v FROM adj),
+agg AS (SELECT post_id, coalesce(sum(v), 0) AS s, coalesce(sum(v + 1) FILTER (WHERE v > 0), 0) AS pm, coalesce(sum(1 - v) FILTER (WHERE v < 0), 0) AS nm,
+               count(*) FILTER (WHERE v = 0) AS nn FROM val GROUP BY post_id),
+marked AS (SELECT a.*, least(length(text) - length(replace(text, '!', '')), {LX.MOST_EXCLAIMS}) * {LX.EXCLAIM}::DOUBLE
+             + CASE WHEN length(text) - length(replace(text, '?', '')) > {LX.MOST_QUESTIONS} THEN {LX.MANY_QUESTIONS}::DOUBLE
+                    WHEN length(text) - length(replace(text, '?', '')) > 1 THEN (length(text) - length(replace(text, '?', ''))) * {LX.QUESTION}::DOUBLE ELSE 0 END AS mark
+           FROM agg a JOIN docs USING (post_id)),
+fin AS (SELECT post_id, nn, s + sign(s) * mark AS s, pm + CASE WHEN pm > nm THEN mark ELSE 0 END AS pm, nm + CASE WHEN nm > pm THEN mark ELSE 0 END AS nm FROM marked)
+SELECT d.post_id, coalesce(round(f.s / sqrt(f.s * f.s + {LX.ALPHA}::DOUBLE), 4), 0) AS compound,
+  coalesce(CASE WHEN pm + nm + nn > 0 THEN round(pm / (pm + nm + nn), 3) END, 0) AS pos,
+  coalesce(CASE WHEN pm + nm + nn > 0 THEN round(nm / (pm + nm + nn), 3) END, 0) AS neg,
+  coalesce(CASE WHEN pm + nm + nn > 0 THEN round(nn / (pm + nm + nn), 3) END, 0) AS neu
+FROM docs d LEFT JOIN fin f USING (post_id)"""
+
+
+def fixture_lexicon(spark, sf) -> DataFrame:
+    """Words and word pairs of ``benchmark`` with valences by length: phrases and words of both signs."""
+    t = read_table(spark, sf, "benchmark").select(LX.tokens(F.col("text")).alias("t"))
+    every = t.select(F.explode("t").alias("token")).unionByName(t.select(F.explode(LX.neighbours(F.col("t"), 2)).alias("token")))
+    v = F.length("token") * 7 % 9 - 4
+    return every.where((F.length("token") > 3) & (v != 0)).distinct().select("token", v.cast("double").alias("valence"))
+
+
+@register("q_lexicon_clauses", "SCA2 UDF1 lexicon scorer with phrases, fading boosters, capitals, contrast clauses and marks",
+          _clause_sql(), ["compound", "pos", "neg", "neu"])
+def q_lexicon_clauses(spark, sf):
+    return LX.score_lexicon(spread(post_texts(spark, sf)), fixture_lexicon(spark, sf), rules=CLAUSE_RULES).drop("text")
+
+
 @register("q_tone_from_logits", "SCA3 softmax tone scores from three class logits",
           """WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c
                 FROM embeddings),
@@ -614,6 +682,40 @@ def q_quote_extract(spark, sf):
     return extract_quotes(docs, ts=F.col("ts"))
 
 
+_QUOTES_SQL = S.with_ctes(S.TICKS) + """SELECT ticker, round(price, 2) AS price, round(coalesce(nullif(open, 0), price), 2) AS open,
+  round(coalesce(nullif(greatest(open, price), 0), price), 2) AS high,
+  round(coalesce(nullif(least(open, price), 0), price), 2) AS low, round(price, 2) AS close,
+  coalesce(volume, 0) AS volume, ts AS timestamp FROM ticks"""
+
+
+def _quote_files(spark, sf, slices: int = 1):
+    """A folder of quote documents, written slice by slice (an iterator of the folder after each)."""
+    QS.register(spark)
+    path = scratch_path(spark, f"quote-docs-{uuid.uuid4().hex}")
+    docs = quote_documents(stage_ticks(spark, sf)).select("tick_id", "ticker", "ts", "value")
+    for k in range(slices):
+        QS.write_quote_docs(docs.where(F.pmod(F.xxhash64("tick_id"), F.lit(slices)) == k) if slices > 1 else docs, path)
+        yield path
+
+
+@register("q_quote_source", "UDF3 SRC4 quote documents through a registered Python data source, many partitions",
+          _QUOTES_SQL, ["price", "open", "high", "low", "close"])
+def q_quote_source(spark, sf):
+    path, = _quote_files(spark, sf)
+    docs = spark.read.format(QS.NAME).option("splitBytes", 1 << 16).load(path)
+    return extract_quotes(docs, ts=F.col("ts"))
+
+
+@register("q_stream_quote_source", "UDF3 SRC4 STR7 the same source as a stream with file offsets, a restart between",
+          _QUOTES_SQL, ["price", "open", "high", "low", "close"])
+def q_stream_quote_source(spark, sf):
+    run = scratch_path(spark, f"quote-stream-{uuid.uuid4().hex}")
+    for path in _quote_files(spark, sf, slices=2):
+        docs = spark.readStream.format(QS.NAME).load(path)
+        out = ST.run_to_table(spark, extract_quotes(docs, ts=F.col("ts")), "quotes", run=run)
+    return out
+
+
 _NEWS_SQL = """news AS (
   SELECT page_id, 'news_' || md5(title) AS id, 'T' || CAST(page_id % 8 AS VARCHAR) AS ticker,
          '$' || 'T' || CAST(page_id % 8 AS VARCHAR) || ' News: ' || title || '. ' || substr(coalesce(description, ''), 1, 100) AS text,
@@ -792,6 +894,19 @@ def q_stream_board(spark, sf):
     return ST.run_to_table(spark, ST.stream_board(_tick_stream(spark, sf)), "board", mode="update", key=["ticker"])
 
 
+@register("q_stream_board_state", "STR12 JON8 the board read from the running stream's state, no sink of update rows",
+          S.with_ctes(S.TICKS, S.LATEST_TICK) + "SELECT ticker, ts, tick_id, price, volume FROM lt", ["price"])
+def q_stream_board_state(spark, sf):
+    """The board stream runs twice over one checkpoint, a restart between; its state is then the table."""
+    path, run = scratch_path(spark, f"board-ticks-{uuid.uuid4().hex}"), scratch_path(spark, f"board-state-{uuid.uuid4().hex}")
+    t = stage_ticks(spark, sf).select("ticker", "ts", "tick_id", "price", "volume")
+    half = as_of_literal(t) - F.expr("INTERVAL 10 days")
+    for part in (t.where(F.col("ts") <= half), t.where(F.col("ts") > half)):
+        part.write.mode("append").parquet(path)
+        ST.advance(ST.stream_board(ST.read_stream(spark, path)), run, "update")
+    return ST.board_from_state(spark, run)
+
+
 @register("q_stream_change_feed", "STR9 PRJ11 PRJ12 change feed of ticks, posts and alerts, the checkpoint as high-water mark",
           S.with_ctes(*S.BASE) + f"""SELECT 'new_ticks' AS type, CAST(tick_id AS VARCHAR) AS id, ticker, {_TICK_JSON} AS payload FROM ticks
 UNION ALL SELECT 'new_tweet', CAST(post_id AS VARCHAR), ticker, '{{"id":' || CAST(post_id AS VARCHAR) || ',"ticker":"' || ticker
@@ -806,6 +921,105 @@ def q_stream_change_feed(spark, sf):
     return ST.run_to_table(spark, ST.stream_change_feed(_tick_stream(spark, sf), _post_stream(spark, sf)), "feed")
 
 
+PANE_DAYS = (0, 2, 10)      # snapshots as of the newest whole hour and so many days before
+
+
+@register("q_pane_snapshots", "AGG6 AGG7 AGG8 SNP3 SNP4 SNP7 counters kept up by the sink: metrics, mood and trending from pane states only",
+          S.with_ctes(*S.BASE).rstrip() + f""", newest AS (SELECT date_trunc('hour', max(ts)) AS t FROM posts),
+asked AS (SELECT t - d * INTERVAL '1 day' AS as_of FROM newest, (SELECT unnest({list(PANE_DAYS)}) AS d)),
+near AS (SELECT a.as_of, p.* FROM posts p JOIN asked a ON p.ts >= a.as_of - INTERVAL '1 day' AND p.ts < a.as_of),
+ranked AS (SELECT as_of, ticker, count(post_id) AS mentions, row_number() OVER (PARTITION BY as_of ORDER BY count(post_id) DESC, ticker) AS nth
+           FROM near GROUP BY as_of, ticker)
+SELECT a.as_of, 'avg_compound' AS metric, NULL AS ticker, coalesce(avg(compound), 0)::DOUBLE AS value FROM asked a LEFT JOIN near n USING (as_of) GROUP BY a.as_of
+UNION ALL SELECT a.as_of, 'n_posts', NULL, count(n.post_id)::DOUBLE FROM asked a LEFT JOIN near n USING (as_of) GROUP BY a.as_of
+UNION ALL SELECT as_of, 'mentions', ticker, mentions::DOUBLE FROM ranked WHERE nth <= 4
+UNION ALL SELECT NULL, 'total_posts', NULL, count(*)::DOUBLE FROM posts
+UNION ALL SELECT NULL, 'total_ticks', NULL, count(*)::DOUBLE FROM ticks""", ["value"])
+def q_pane_snapshots(spark, sf):
+    panes, newest = stream_panes(spark, sf), stage_posts(spark, sf).agg(F.max(F.unix_micros("ts")).alias("t")).first()["t"]
+    return pane_snapshots(panes, newest)
+
+
+def stream_panes(spark, sf, pane: str = "1 hour") -> DataFrame:
+    """Pane states of the post and tick streams, three micro-batches each at least."""
+    path, run = scratch_path(spark, f"panes-{uuid.uuid4().hex}"), scratch_path(spark, f"panes-run-{uuid.uuid4().hex}")
+    for kind, table, id_col, value in (("posts", stage_posts(spark, sf), "post_id", "compound"), ("ticks", stage_ticks(spark, sf), "tick_id", "price")):
+        source = scratch_path(spark, f"panes-{kind}-{uuid.uuid4().hex}")
+        table.repartition(3).write.parquet(source)
+        ST.advance(ST.read_stream(spark, source, max_files=1), f"{run}/{kind}", sink=make_sink(PN.pane_writer(path, kind, pane, id_col, value)))
+    PN.compact(spark, path, "posts", 1)
+    return PN.read_panes(spark, path)
+
+
+def pane_snapshots(panes: DataFrame, newest_us: int, pane: str = "1 hour", rows: DataFrame | None = None, back: int = 0) -> DataFrame:
+    """(as_of, metric, ticker, value): mood and trending of the day before each instant, and the totals."""
+    hour, day = 3_600_000_000, 86_400_000_000
+    out = PN.totals(panes).select(F.lit(None).cast("timestamp").alias("as_of"), F.concat(F.lit("total_"), "kind").alias("metric"),
+                                  F.lit(None).cast("string").alias("ticker"), F.col("value").cast("double").alias("value"))
+    for days in PANE_DAYS:
+        stop = newest_us // hour * hour - days * day - back
+        states = PN.covered(panes, rows, "posts", stop - day, stop, pane, "post_id", "compound")
+        at = F.timestamp_micros(F.lit(stop)).alias("as_of")
+        m = PN.mood(states).select(F.explode(F.array(F.struct(F.lit("avg_compound").alias("metric"), F.col("avg_compound").alias("value")),
+                                                     F.struct(F.lit("n_posts").alias("metric"), F.col("n_posts").cast("double").alias("value")))).alias("m"))
+        out = out.unionByName(m.select(at, "m.metric", F.lit(None).cast("string").alias("ticker"), "m.value"))
+        out = out.unionByName(PN.trending(states).select(at, F.lit("mentions").alias("metric"), "ticker", F.col("mentions").cast("double").alias("value")))
+    return out
+
+
+SLICES, LATE_DELAY = 8, "12 hours"
+
+
+@register("q_late_rows", "STR10 SNK3 rows behind the watermark kept with the watermark they missed, counters per micro-batch",
+          S.with_ctes(*S.BASE).rstrip() + f""", dealt AS (SELECT post_id, ticker, ts, CAST(epoch_us(ts) // 86400000000 * 5 % {SLICES} AS BIGINT) AS slice FROM posts),
+slices AS (SELECT slice, row_number() OVER (ORDER BY slice) - 1 AS batch, max(epoch_us(ts)) AS newest FROM dealt GROUP BY slice),
+marks AS (SELECT *, (max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 43200000000) // 1000 * 1000 AS mark FROM slices)
+SELECT d.post_id, d.ticker, d.ts, CAST(m.batch AS INTEGER) AS batch_id, make_timestamp(m.mark) AS watermark
+FROM dealt d JOIN marks m USING (slice) WHERE (epoch_us(d.ts) // 86400000000 + 1) * 86400000000 <= m.mark""")
+def q_late_rows(spark, sf):
+    """The posts' days arrive out of order, in slices of one micro-batch each."""
+    run = late_run(spark, sf)
+    return LT.read_gate(spark, run, "late").select("post_id", "ticker", "ts", "batch_id", "watermark")
+
+
+def late_run(spark, sf) -> str:
+    p = stage_posts(spark, sf).select("post_id", "ticker", "ts", "compound")
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    path, run = scratch_path(spark, f"slices-{uuid.uuid4().hex}"), scratch_path(spark, f"gate-{uuid.uuid4().hex}")
+    for k in range(SLICES):
+        part = p.where(F.pmod(day * 5, F.lit(SLICES)) == k)
+        if not part.isEmpty():                    # a slice without rows would not be a micro-batch
+            part.write.mode("append").parquet(path)
+            LT.gate_rows(ST.read_stream(spark, path), run, WINDOW, LATE_DELAY)
+    return run
+
+
+SUBSCRIBERS, SILENT = 3, "6 hours"
+
+
+@register("q_subscriber_feed", "STR9 FLT4 FLT5 per-subscriber high-water marks in state, silent subscribers expire, a restart between",
+          S.with_ctes(S.TICKS) + f""", polls AS (SELECT 'S' || CAST(user_id % {SUBSCRIBERS} AS VARCHAR) AS subscriber, ts FROM events
+  WHERE event_type NOT IN ('view', 'purchase') GROUP BY 1, 2),
+heads AS (SELECT ts, max(max(tick_id)) OVER (ORDER BY ts) AS head FROM ticks GROUP BY ts),
+seen AS (SELECT p.subscriber, p.ts, coalesce(h.head, -1) AS head FROM polls p ASOF LEFT JOIN heads h ON p.ts >= h.ts),
+ranges AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '{SILENT}' THEN lag(head) OVER w END AS mark FROM seen
+  WINDOW w AS (PARTITION BY subscriber ORDER BY ts))
+SELECT r.subscriber, r.ts AS polled_at, t.tick_id, t.ticker, t.price FROM ranges r JOIN ticks t ON t.tick_id > r.mark AND t.tick_id <= r.head""",
+          ["price"])
+def q_subscriber_feed(spark, sf):
+    t = stage_ticks(spark, sf).select("tick_id", "ticker", "ts", "price")
+    ev = read_table(spark, sf, "events").where(~F.col("event_type").isin("view", "purchase"))
+    polls = ev.select(F.concat(F.lit("S"), F.pmod(F.col("user_id"), F.lit(SUBSCRIBERS)).cast("string")).alias("subscriber"),
+                      F.col("ts").cast("timestamp").alias("ts")).distinct()
+    polls = SB.with_heads(polls, t)
+    path, run = scratch_path(spark, f"polls-{uuid.uuid4().hex}"), scratch_path(spark, f"feed-{uuid.uuid4().hex}")
+    half = as_of_literal(t) - F.expr("INTERVAL 10 days")
+    for part in (polls.where(F.col("ts") <= half), polls.where(F.col("ts") > half)):
+        part.write.mode("append").parquet(path)
+        SB.run_feed(spark, ST.read_stream(spark, path), t, run, ttl=SILENT)
+    return read_batches(spark, f"{run}/out").select("subscriber", "polled_at", "tick_id", "ticker", "price")
+
+
 @register("q_stream_sinks", "SNK1 SNK2 SNK3 STR7 joined windows written to aggregates and signals tables",
           S.with_ctes(*S.BASE, S.SENT_DAY, S.PRICE_DAY) + f"""SELECT ticker, window_start, window_end, avg_sentiment,
   tweet_count, bullish_ratio, bearish_ratio, velocity
@@ -887,6 +1101,14 @@ def q_stream_signals(spark, sf):
     return sig
 
 
+@register("q_stream_interval_corr", "STR5 JON2 COR2 tick-post interval join, per-tick means and Pearson in the stream's state",
+          S.with_ctes(*S.CHAIN) + f"""SELECT * FROM corr_day WHERE window_end <= {_TWM} - INTERVAL '12 hours'""",
+          ["pearson", "first_price", "last_price", "momentum"])
+def q_stream_interval_corr(spark, sf):
+    out = ST.stream_interval_correlation(_post_stream(spark, sf), _tick_stream(spark, sf), WINDOW, LOOKBACK)
+    return ST.run_to_table(spark, out, "interval")
+
+
 @register("q_correlation_detail", "SNP2 FLT6 correlation detail header per supported ticker",
           S.with_ctes(*S.CHAIN, S.SIG, S.LATEST_SIG, S.UNIVERSE) + """, pts AS (
   SELECT ticker, count(*) AS n_points FROM (
@@ -1008,14 +1230,24 @@ def q_parse_fallback(spark, sf):
     return parse_ticks(raw, default_ts=as_of_literal(t)).select("ticker", "price", "timestamp")
 
 
-@register("q_truncated", "SNK6 a stored table emptied in place",
-          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + "SELECT * FROM alerts WHERE false")
+@register("q_truncated", "SNK6 stored tables emptied in place: their rows before and after",
+          S.with_ctes(*S.CHAIN, S.SIG, S.ALERTS) + """SELECT 'ticks' AS name, count(*) AS rows_before, 0 AS rows_after FROM ticks
+UNION ALL SELECT 'aggregates', count(*), 0 FROM sent_day
+UNION ALL SELECT 'signals', count(*), 0 FROM sig
+UNION ALL SELECT 'alerts', count(*), 0 FROM alerts""")
 def q_truncated(spark, sf):
-    a = stored_alerts(spark, sf)
-    path = scratch_path(spark, f"truncated-{uuid.uuid4().hex}")
-    a.write.parquet(path)
-    truncate(spark, path, a.schema)
-    return spark.read.parquet(path)
+    tables = {"ticks": stage_ticks(spark, sf), "aggregates": stored_sentiment(spark, sf), "signals": stored_signals(spark, sf),
+              "alerts": stored_alerts(spark, sf)}
+    out = None
+    for name, table in tables.items():
+        path = scratch_path(spark, f"truncated-{name}-{uuid.uuid4().hex}")
+        table.write.parquet(path)
+        before = spark.read.parquet(path).count()
+        truncate(spark, path, table.schema)
+        row = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_after")).select(
+            F.lit(name).alias("name"), F.lit(before).cast("bigint").alias("rows_before"), "rows_after")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("q_rss_feed", "SRC5 PRJ8 PRJ9 feed items read as XML, with RFC 822 dates",
@@ -1066,10 +1298,10 @@ def q_stream_late(spark, sf):
 
 
 @register("q_pluggable_source", "UDF3 SRC3 a caller's loader in place of the parquet reader",
-          S.with_ctes(S.TICKS) + "SELECT tick_id, ticker, price FROM ticks WHERE ticker IN ('T1', 'T2')", ["price"])
+          S.with_ctes(S.TICKS) + "SELECT tick_id, ticker, ts, price, open, volume FROM ticks", ["price", "open"])
 def q_pluggable_source(spark, sf):
     """The tick adapter over a loader that serves the whole table from another place and format."""
-    return plugged_ticks(spark, sf).where(F.col("ticker").isin("T1", "T2")).select("tick_id", "ticker", "price")
+    return plugged_ticks(spark, sf)
 
 
 def plugged_ticks(spark, sf):
