@@ -36,13 +36,15 @@ def window_correlation(aligned: DataFrame, min_ticks: int = MIN_TICKS, lag: int
                     F.try_divide(F.col("last_price") - F.col("first_price"), F.col("first_price")).alias("momentum"))
 
 
-def window_aggregates(grouped, rows: DataFrame, y: str) -> DataFrame:
-    """n_ticks, guarded Pearson of price and ``y``, first and last price of the groups of ``rows``."""
+def window_aggregates(grouped, rows: DataFrame, y: str, *more: Column) -> DataFrame:
+    """n_ticks, guarded Pearson of price and ``y``, first and last price of the groups of ``rows``, and ``more`` aggregates.
+
+    Rows without a time have no first or last price."""
     order = order_key(rows, ["ts", "tick_id"])
     if order is None:
         order = F.struct("ts", "tick_id")
     return grouped.agg(F.count(F.lit(1)).alias("n_ticks"), pearson(F.col("price"), F.col(y)).alias("pearson"),
-                       F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"))
+                       F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"), *more)
 
 
 BLOCK = 256          # tickers of a block of the matrix

@@ -51,3 +51,8 @@ def test_text_not_carried_into_window_stages(spark):
 def test_news_feed_pushes_id_list(spark):
     df = E.queries()["q_news_feed"](spark, SF)
     assert "In(doc_id" in df._jdf.queryExecution().toString()
+
+
+def test_bucketed_signals_need_no_exchange(spark):
+    p = plan(spark, "q_signals_bucketed")
+    assert "Exchange" not in p and "Join" not in p and p.count("FileScan") == 1
