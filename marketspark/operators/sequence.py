@@ -12,7 +12,8 @@ Results are exact for any bucketing; it only trades task size against the size o
 summary table.  A bucketing is an interval, a number of microseconds, or ``"auto"``: rows are
 counted per (key, fine time slot) and neighbouring slots are packed into buckets of about
 ``TARGET_ROWS_PER_BUCKET`` rows, so bursts are cut as finely as quiet spans are merged.  Slots are
-refined until none holds more than a target (rows of one microsecond stay together).
+refined until none holds more than a target (rows of one microsecond stay together).  ``"whole"`` is for callers that
+know from stored counts that no key exceeds a target: one bucket per key, nothing measured.
 """
 
 from __future__ import annotations
@@ -72,11 +73,13 @@ def _measure_slots(df: DataFrame, keys: list[str], ts: str, target_rows: int) ->
 
 def is_whole(df: DataFrame, keys: list[str], ts: str, bucket) -> bool:
     """Whether every key fits one bucket, so that no carry-in exists and none need be joined."""
-    return bucket == "auto" and not slot_micros(df, keys, ts, TARGET_ROWS_PER_BUCKET)
+    return bucket == "whole" or (bucket == "auto" and not slot_micros(df, keys, ts, TARGET_ROWS_PER_BUCKET))
 
 
 def with_bucket(df: DataFrame, keys: list[str], ts: str, bucket, out: str) -> DataFrame:
     """``df`` with bucket number ``out``: ascending in ``ts`` within a key."""
+    if bucket == "whole":
+        return df.withColumn(out, F.lit(0).cast("long"))
     if bucket != "auto":
         return df.withColumn(out, time_bucket(F.col(ts), bucket))
     target = TARGET_ROWS_PER_BUCKET

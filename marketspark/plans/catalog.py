@@ -17,6 +17,7 @@ from marketspark.functions.bands import fear_greed as _fg
 from marketspark.functions.bands import mood3 as _mood3
 from marketspark.functions.sentiment import scale_score, score_keyword, tone_from_logits, with_scores
 from marketspark.operators import lexicon as LX
+from marketspark.operators import sequence as SQ
 from marketspark.operators.align import asof_join, rolling_sentiment_at_ticks
 from marketspark.operators.correlation import correlation_matrix, window_correlation
 from marketspark.operators.records_ops import change_feed, dedupe, manual_posts
@@ -29,12 +30,13 @@ from marketspark.plans import oracle_sql as S
 from marketspark.plans import reports as RP
 from marketspark.plans import snapshots as SN
 from marketspark.plans.registry import as_of_literal, register
+from marketspark.sources import bucketed as BK
 from marketspark.sources import news as NW
 from marketspark.sources import quote_source as QS
 from marketspark.session import scratch_path
 from marketspark.sources.quotes import extract_quotes, with_fallback
 from marketspark.sources.records import encode_records, parse_ticks, tick_wire
-from marketspark.sources.tables import (load_chat_messages, load_logits, load_posts, load_questions, load_ticks,
+from marketspark.sources.tables import (fullest_ticker, load_chat_messages, load_logits, load_posts, load_questions, load_ticks,
                                         load_universe, post_texts, posts_table, posts_table_path, quote_documents, read_table,
                                         snapshot_key, spread, ticks_table, ticks_table_path, universe_aliases,
                                         written_table)
@@ -64,11 +66,16 @@ def stage_sentiment(spark, sf, posts=None) -> DataFrame:
 def stage_aligned(spark, sf, ticks=None, posts=None) -> DataFrame:
     t = ticks if ticks is not None else stage_ticks(spark, sf)
     p = posts if posts is not None else stage_posts(spark, sf)
-    return rolling_sentiment_at_ticks(t, p, window=WINDOW, lookback=LOOKBACK)
+    return rolling_sentiment_at_ticks(t, p, window=WINDOW, lookback=LOOKBACK, bucket=stage_bucket(spark, sf))
+
+
+def stage_bucket(spark, sf) -> str:
+    """``whole`` where the stored counts show that every ticker fits one bucket."""
+    return "whole" if fullest_ticker(spark, sf) <= SQ.TARGET_ROWS_PER_BUCKET else "auto"
 
 
 def stage_corr(spark, sf, ticks=None, posts=None, lag: int = 0) -> DataFrame:
-    return window_correlation(stage_aligned(spark, sf, ticks, posts), min_ticks=5, lag=lag)
+    return window_correlation(stage_aligned(spark, sf, ticks, posts), min_ticks=5, lag=lag, lag_bucket=stage_bucket(spark, sf))
 
 
 def stage_signals(spark, sf, ticks=None, posts=None, **thresholds) -> DataFrame:
@@ -190,6 +197,25 @@ def q_signals(spark, sf):
     return stage_signals(spark, sf)
 
 
+def bucketed_events(spark, sf) -> DataFrame:
+    """The events of the signal chain as a bucketed table, written once per input snapshot."""
+    key = snapshot_key(spark, sf, ["documents", "events"], "bucketed")
+    if key not in _BUCKETED:
+        name = f"signal_events_{uuid.uuid4().hex}"
+        BK.write_bucketed(BK.signal_events(stage_ticks(spark, sf), stage_posts(spark, sf), WINDOW, LOOKBACK), name, scratch_path(spark, name), buckets=16)
+        _BUCKETED[key] = name
+    return spark.table(_BUCKETED[key])
+
+
+_BUCKETED: dict[tuple, str] = {}
+
+
+@register("q_signals_bucketed", "SRC3 SNK4 SIG1 COR2 JON2 signals from bucketed storage, no exchange above the scan",
+          S.with_ctes(*S.CHAIN, S.signals_cte()) + "SELECT * FROM sig", ["pearson", "avg_sentiment", "momentum", "confidence"])
+def q_signals_bucketed(spark, sf):
+    return BK.bucketed_signals(bucketed_events(spark, sf), WINDOW)
+
+
 @register("q_signals_low", "SIG1 SIG2 with lowered thresholds (0.1 / 0.1 / 0.002) to reach both branches",
           S.with_ctes(*S.CHAIN, S.signals_cte(0.1, 0.1, 0.002)) + "SELECT * FROM sig",
           ["pearson", "avg_sentiment", "momentum", "confidence"])
@@ -277,7 +303,7 @@ FROM posts p ASOF LEFT JOIN ticks t ON p.ticker = t.ticker AND p.ts >= t.ts""",
 def q_asof_tick(spark, sf):
     p = stage_posts(spark, sf).select("post_id", "ticker", "ts")
     t = stage_ticks(spark, sf)
-    return asof_join(p, t, "ticker", "ts", "ts", ["tick_id", "ts", "price"], right_order=["tick_id"])
+    return asof_join(p, t, "ticker", "ts", "ts", ["tick_id", "ts", "price"], right_order=["tick_id"], bucket=stage_bucket(spark, sf))
 
 
 @register("q_asof_old_tick", "JON4 FLT3 last tick per ticker at or before as_of - 1 hour",

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketspark.sources.tables import one_stamp
+
 DIGITS = 6
 
 
@@ -52,7 +54,8 @@ def rounded(sql: str, doubles: list[str]) -> str:
 def register(name: str, operators: str, sql: str | None = None, doubles: list[str] | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finish(fn(spark, sf_dir))
+            with one_stamp():
+                return finish(fn(spark, sf_dir))
         build.__name__ = name
         build.__doc__ = fn.__doc__
         QUERIES[name] = Query(name, build, rounded(sql, doubles or []) if sql else None, operators)

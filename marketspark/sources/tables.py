@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,18 +186,46 @@ _WRITTEN: dict[tuple, str] = {}
 SNAPSHOT = "marketspark.snapshot"
 
 
-def _file_stamp(spark: SparkSession, path: str) -> int:
-    """Digest of the paths, sizes and modification times of all files that make up a table, listed by
-    Spark's binaryFile source (contents are not read), so any store and nested folders work."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
-    r = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
-    return hash(tuple(r))
+_STAMPS: dict[tuple, int] = {}
+_IN_QUERY = False
+
+
+@contextmanager
+def one_stamp():
+    """Within, the files of each table are listed once: all stored tables of a query belong to one state of the input."""
+    global _IN_QUERY
+    outer, _IN_QUERY = _IN_QUERY, True
+    try:
+        yield
+    finally:
+        _IN_QUERY = outer
+        if not outer:
+            _STAMPS.clear()
+
+
+def _file_stamps(spark: SparkSession, paths: list[str]) -> list[int]:
+    """Digest of the paths, sizes and modification times of all files that make up each table, listed by Spark's
+    binaryFile source in one job (contents are not read), so any store and nested folders work."""
+    app = spark.sparkContext.applicationId
+    missing = [p for p in paths if not (_IN_QUERY and (app, p) in _STAMPS)]
+    found = {}
+    if missing:
+        listed = None
+        for k, p in enumerate(missing):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select(
+                F.lit(k).alias("k"), F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)").alias("h"))
+            listed = files if listed is None else listed.unionByName(files)
+        got = {r["k"]: hash((r["n"], r["h"])) for r in listed.groupBy("k").agg(F.count("*").alias("n"), F.sum("h").alias("h")).collect()}
+        found = {p: got.get(k, 0) for k, p in enumerate(missing)}
+        if _IN_QUERY:
+            _STAMPS.update({(app, p): v for p, v in found.items()})
+    return [found[p] if p in found else _STAMPS[app, p] for p in paths]
 
 
 def snapshot_key(spark: SparkSession, sf_dir: str, names: list[str], tag: str) -> tuple:
     """Identity of the input state: the caller's ``marketspark.snapshot`` setting, else the files'."""
     given = spark.conf.get(SNAPSHOT, None)
-    stats = given or tuple((n, _file_stamp(spark, os.path.join(sf_dir, f"{n}.parquet"))) for n in names)
+    stats = given or tuple(zip(names, _file_stamps(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in names])))
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tag, stats)
 
 
@@ -245,3 +274,18 @@ def ticks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks_table_path(spark: SparkSession, sf_dir: str) -> str:
     key = snapshot_key(spark, sf_dir, ["events"], "ticks")
     return written_table(spark, key, "ticks", lambda: load_ticks(spark, sf_dir))
+
+
+_FULLEST: dict[tuple, int] = {}
+
+
+def fullest_ticker(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the ticker with the most ticks and post events (a post enters and leaves a look-back).
+
+    Counted once per input snapshot, so that a query knows without a pass of its own whether every ticker
+    fits one bucket."""
+    key = snapshot_key(spark, sf_dir, ["documents", "events"], "fullest")
+    if key not in _FULLEST:
+        rows = ticks_table(spark, sf_dir).select("ticker", F.lit(1).alias("w")).unionByName(posts_table(spark, sf_dir).select("ticker", F.lit(2).alias("w")))
+        _FULLEST[key] = rows.groupBy("ticker").agg(F.sum("w").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _FULLEST[key]
