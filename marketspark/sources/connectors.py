@@ -40,7 +40,7 @@ def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
 def write_csv(rows: DataFrame, path: str, files: int | None = None) -> None:
     """CSV export with the UI's header; fields holding a comma are quoted by the writer.
 
-    Every task writes a part of its own, each with the header, so an export of any size is
-    parallel; ``files`` sets their number where a reader wants few."""
+    Rows are rebalanced into parts of Spark's advisory size, each a file with the header: a small export is one
+    file, a large one as many as it needs, written in parallel.  ``files`` sets their number instead."""
     out = rows.select(*CSV_HEADER)
-    (out.repartition(files) if files else out).write.mode("overwrite").option("header", True).csv(path)
+    (out.repartition(files) if files else out.hint("rebalance")).write.mode("overwrite").option("header", True).csv(path)
