@@ -110,31 +110,40 @@ def slow_line_dedup(table, min_words):
     """The stated definition by plain loops: {(doc_id, text): kept text}."""
     order = sorted({(i, t) for i, t, _, _ in table if t is not None},
                    key=lambda d: (d[0] is None, d[0] or 0))
-    split = {d: [(x.strip(" \t\r\f\x0b"), len(x.split())) for x in d[1].split("\n")] for d in order}
+    split = {}
+    for d in order:
+        lines, last = [], -1                      # (line, words, blank lines before it, position)
+        for p, x in enumerate(d[1].split("\n")):
+            if x.split():
+                lines.append((x.strip(" \t\r\f\x0b"), len(x.split()), p - last - 1, p))
+                last = p
+        split[d] = lines
     first, gone = {}, {d: set() for d in order}
     for d in order:
         lines = split[d]
-        for i, (_, w) in enumerate(lines):
-            if not w:
-                continue
+        for i in range(len(lines)):
             total, j = 0, i
             while j < len(lines) and total < min_words:
                 total += lines[j][1]
                 j += 1
             if total < min_words:
                 continue
-            key = tuple(x for x, _ in lines[i:j])
+            key = ((lines[i][0], 0), *[(x, g) for x, _, g, _ in lines[i + 1:j]])
             if key not in first:
                 first[key] = (d, i)
                 continue
             e, k = first[key]
-            while j < len(lines) and k + j - i < len(split[e]) and lines[j][0] == split[e][k + j - i][0]:
+            while j < len(lines) and k + j - i < len(split[e]) and (lines[j][0], lines[j][2]) == (split[e][k + j - i][0], split[e][k + j - i][2]):
                 # follow as far as the next line's own reach goes
-                if sum(w for _, w in lines[i + 1:j]) >= min_words:
+                if sum(w for _, w, _, _ in lines[i + 1:j]) >= min_words:
                     break
                 j += 1
-            gone[d].update(range(i, j))
-    return {d: "\n".join(x for p, x in enumerate(d[1].split("\n")) if p not in gone[d]) for d in order}
+            gone[d].update(range(lines[i][3], lines[j - 1][3] + 1))
+    out = {}
+    for d in order:
+        left = [x for p, x in enumerate(d[1].split("\n")) if p not in gone[d]]
+        out[d] = "" if gone[d] and not "".join(left).split() else "\n".join(left)
+    return out
 
 
 def line_table():
@@ -168,5 +177,30 @@ def test_line_dedup_random_texts(spark):
     assert rows(out, "doc_id", "text") == sorted(((i, want[i, t]) for i, t, _, _ in table), key=repr)
 
 
+def test_line_dedup_of_very_many_blank_lines(spark):
+    """200,000 line feeds in a text cost nothing; blank runs inside a repeat must agree and go with it."""
+    import time
+    blank, run = "\n" * 200_000, [prose(200 + k, 30) for k in range(3)]
+    table = [(1, blank + "word", None, "s"), (2, "word" + blank, None, "s"), (3, (blank + "\n").join(run), None, "s"),
+             (4, "x\n" + (blank + "\n").join(run) + "\ny", None, "s"), (5, (blank + "\n\n").join(run), None, "s"), (6, blank, None, "s")]
+    start = time.time()
+    got = dict(rows(linededup.dedup_lines(docs(spark, table)), "doc_id", "text"))
+    assert time.time() - start < 60
+    assert got[4] == "x\ny" and all(got[i] == t for i, t, _, _ in table if i != 4)
+    want = slow_line_dedup(table, 50)
+    assert all(got[i] == want[i, t] for i, t, _, _ in table)
+
+
+def test_line_dedup_of_a_common_passage(spark, monkeypatch):
+    """Later windows of a passage that most documents hold are dealt over tasks, with the same result."""
+    from marketspark.operators import skew
+    monkeypatch.setattr(skew, "KEY_ROWS", 5)
+    passage = "\n".join(prose(300 + k, 20) for k in range(4))
+    table = [(i, prose(i, 12) + "\n" + passage + "\n" + prose(900 + i, 12), None, "s") for i in range(60)]
+    df = docs(spark, table)
+    want = slow_line_dedup(table, 50)
+    assert rows(linededup.dedup_lines(df), "doc_id", "text") == sorted(((i, want[i, t]) for i, t, _, _ in table), key=repr)
+
+
 def test_line_dedup_empty_table(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
