@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from marketspark.llm.common import bound_batches, staged
-from marketspark.llm.tokens import Words, byte_set
+from marketspark.llm.tokens import Words, byte_set, spaced, word_bytes
 
 #: ASCII other than 0-9 and a-z ends a word (capitals are lower-cased before).
 ENDS = byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -94,18 +94,10 @@ def _wide(data: np.ndarray, start: np.ndarray, pieces: int, register: np.ndarray
     return register
 
 
-def _bytes(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    n = len(vocab)
-    if not n:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(vocab.buffers()[1], np.int64)[vocab.offset: vocab.offset + n + 1]
-    return np.frombuffer(vocab.buffers()[2] or b"", np.uint8), offsets
-
-
 def features(col: pa.Array, lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket) of every feature occurrence, and the number of words of every text."""
     words = Words(col, ENDS)
-    data, offsets = _bytes(words.vocab)
+    data, offsets = word_bytes(words.vocab)
     docs, found = [], []
     for length in range(lo, hi + 1):
         at = words.runs(length)
@@ -122,13 +114,7 @@ def features(col: pa.Array, lo: int, hi: int, buckets: int) -> tuple[np.ndarray,
 
 def _joined(kinds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the word rows ``kinds``, words joined by one space."""
-    flat = kinds.reshape(-1)
-    size = offsets[flat + 1] - offsets[flat] + 1              # each word with a space after it
-    ends = np.cumsum(size)
-    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-    within = np.arange(len(out)) - np.repeat(ends - size, size)
-    word = within < np.repeat(size - 1, size)
-    out[word] = data[(np.repeat(offsets[flat], size) + within)[word]]
+    out, ends = spaced(data, offsets, kinds.reshape(-1), 0x20)
     last = ends[kinds.shape[1] - 1:: kinds.shape[1]] - 1       # the space after a feature's last word goes
     keep = np.ones(len(out), bool)
     keep[last] = False

@@ -61,6 +61,27 @@ class Words:
         """Positions where ``length`` chained words start."""
         ok = np.ones(len(self.ids), bool)
         for k in range(length - 1):
-            ok[: len(ok) - k] &= self.chain[k:]
-            ok[len(ok) - k:] = False
+            n = max(len(ok) - k, 0)
+            ok[:n] &= self.chain[k: k + n]
+            ok[n:] = False
         return np.flatnonzero(ok)
+
+
+def word_bytes(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large-binary array without nulls."""
+    n = len(vocab)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(vocab.buffers()[1], np.int64)[vocab.offset: vocab.offset + n + 1]
+    return np.frombuffer(vocab.buffers()[2] or b"", np.uint8), offsets
+
+
+def spaced(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words ``ids`` one after the other, each with the byte ``gap`` after it, and where each ends (its gap included)."""
+    size = offsets[ids + 1] - offsets[ids] + 1
+    ends = np.cumsum(size)
+    out = np.full(int(ends[-1]) if len(ends) else 0, gap, np.uint8)
+    within = np.arange(len(out)) - np.repeat(ends - size, size)
+    word = within < np.repeat(size - 1, size)
+    out[word] = data[(np.repeat(offsets[ids], size) + within)[word]]
+    return out, ends
