@@ -2,17 +2,18 @@
 
 A suffix is a word position with the words after it in its piece, up to ``hi`` words.
 
-1. Each task cuts its texts into pieces and words and writes its suffixes with the number of times they
-   occur in the batch (equal suffixes of a batch are one weighted row).
-2. Suffixes are routed globally by their leading words: Spark deals the stored rows by ranges of (lang,
-   word 1, word 2, ...).  Ranges are bounded in rows, and a hot leading word, or a hot pair, simply
-   spans several of them, since the bounds are whole suffixes.
-3. Each range sorts pointers to its suffixes by multikey three-way quicksort: a partition is split by a
+1. Suffixes are routed globally by their leading words: routes are ranges of (lang, word 1, word 2, ...), cut at
+   quantiles of a bounded sample of suffixes.  A hot leading word, or a hot pair, simply spans several routes,
+   since the bounds are whole suffixes.  (The sample steers sizes only; counts cover every text.)
+2. Each task cuts its texts into pieces and words, sorts a batch's suffixes, and packs those of one route and language
+   into one row: equal suffixes once with their number, word numbers as small integers, and the words they
+   stand for.  So a suffix costs some five bytes in the shuffle.
+3. Each route sorts pointers to its suffixes by multikey three-way quicksort: a partition is split by a
    pivot at its current depth into less, equal and greater; an equal partition's weight is the count of
    that prefix, and it goes on with the next word, to the maximum depth.  A partition whose weight is
    below ``least`` holds no frequent phrase and is abandoned, whichever of the three it is.  All partitions of
-   a depth are split together in numpy.  Only the prefixes of a range's first and last suffix may go
-   on in a neighbouring range: these are kept whatever their weight and summed over the ranges.
+   a depth are split together in numpy.  Only the prefixes of a route's first and last suffix may go
+   on in a neighbouring route: these are kept whatever their weight and summed over the routes.
 4. Candidates (``lo`` to ``hi`` words) are joined with the counts of their parts for every cut, scored in exact
    decimals, relieved of those that a longer candidate explains, and ranked per language in two
    steps (per hash bucket of a language, then per language), so no task sees more than
@@ -28,6 +29,8 @@ read, so further columns cannot clash.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,13 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from marketspark.llm.common import bound_batches, staged
-from marketspark.llm.tokens import Words, byte_set
+from marketspark.llm.tokens import Words, byte_set, spaced, word_bytes
 from marketspark.operators.skew import skew_join
 
 #: Bytes that end a piece: . , ; : ! ? and line feed to carriage return.
 BREAKS = byte_set(*[(ord(c), ord(c)) for c in ".,;:!?"], (0x0A, 0x0D))
 ENDS = BREAKS | byte_set((0x20, 0x20), (0x09, 0x09))
-RANGE_ROWS = 1 << 20     # weighted suffixes sorted by one task
+ROUTE_BYTES = 8 << 20    # text whose suffixes make a route, about; a task sorts one route at a time
+MOST_ROUTES = 1 << 16    # the driver and every task hold the routes' bounds: routes grow beyond this many
+SAMPLE_BYTES, SAMPLE_ROWS = 64 << 20, 100_000    # texts looked at for the bounds, and suffixes taken from them, about
 BATCH_ROWS = 1 << 16
 BUCKETS = 32
 COUNT = "decimal(14,0)"  # 10^14 occurrences; products of two and the factor fit 38 digits
@@ -66,7 +71,7 @@ def _suffix_keys(words: Words, lang: np.ndarray, depth: int) -> list[np.ndarray]
 
 
 def _combined(keys: list[np.ndarray], radix: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the key columns (values below ``radix``) and how often each occurs."""
+    """Distinct rows of the key columns (values below ``radix``) in order, and how often each occurs."""
     space = 1
     for r in radix:
         space *= r
@@ -80,31 +85,119 @@ def _combined(keys: list[np.ndarray], radix: list[int]) -> tuple[list[np.ndarray
             packed, k = np.divmod(packed, r)
             out.append(k)
         return out[::-1], times
-    rows, times = np.unique(np.stack(keys, axis=1), axis=0, return_counts=True)
-    return list(rows.T), times
-
-
-def suffixes(docs: DataFrame, depth: int) -> DataFrame:
-    """Weighted suffixes (lang, w1, ..., wN, n) of (lang, text) rows, summed within each batch."""
-    names = ["lang"] + [f"w{k + 1}" for k in range(depth)] + ["n"]
-
+    code, top = np.zeros(len(keys[0]), np.int64), 1
+    for k, r in zip(keys, radix):
+        if top * r >= 1 << 63:                       # dense numbers in the same order
+            kinds, code = np.unique(code, return_inverse=True)
+            top = len(kinds)
+        code, top = code * r + k, top * r
+    _, first, times = np.unique(code, return_index=True, return_counts=True)
+    return [k[first] for k in keys], times
+
+
+class Batch:
+    """The distinct suffixes of a batch in byte order: columns ``keys`` (lang, word 1, ...) of ranks and ``times``."""
+
+    def __init__(self, lang: pa.Array, text: pa.Array, depth: int):
+        words = Words(text, ENDS, BREAKS)
+        coded = lang.dictionary_encode()
+        self.langs, codes = _ranked(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False))
+        self.vocab, words.ids = _ranked(words.vocab, words.ids)
+        self.keys, self.times = _combined(_suffix_keys(words, codes, depth), [max(1, len(self.langs))] + [len(self.vocab) + 1] * depth)
+
+    def place(self, bound: tuple[bytes, ...]) -> int:
+        """How many of the suffixes come before ``bound``."""
+        lo, hi = 0, len(self.times)
+        for d, word in enumerate(bound):
+            known = self.vocab if d else self.langs
+            if d and not word:
+                rank, exact = 0, True
+            else:
+                rank = bisect_left(known, word)
+                exact = rank < len(known) and known[rank] == word
+                rank += 1 if d else 0
+            column = self.keys[d][lo:hi]
+            first = lo + int(np.searchsorted(column, rank, "left"))
+            if not exact:
+                return first
+            lo, hi = first, lo + int(np.searchsorted(column, rank, "right"))
+        return lo
+
+    def packed(self, bounds: list[tuple[bytes, ...]]):
+        """Yield (route, lang, words, codes) for every route and language of the batch."""
+        if not len(self.times):
+            return
+        cuts = {0: None, len(self.times): None} | {int(c): None for c in np.flatnonzero(np.diff(self.keys[0])) + 1}
+        places = [self.place(b) for b in bounds]
+        ends = sorted(cuts | {p: None for p in places})
+        routes = np.searchsorted(places, ends[:-1], "right")
+        data, offsets = word_bytes(pa.array(self.vocab, pa.large_binary()))
+        for route, lo, hi in zip(routes.tolist(), ends[:-1], ends[1:]):
+            part = np.stack([k[lo:hi] for k in self.keys[1:]])
+            used, codes = np.unique(part, return_inverse=True)
+            codes = codes.reshape(part.shape) + (used[0] != 0)          # 0 stays the end of a piece
+            text, _ = spaced(data, offsets, used[used > 0] - 1, 0x0A)
+            codes[0, 1:] -= codes[0, :-1].copy()                        # leading words ascend
+            small = np.uint16 if len(used) < 1 << 16 else np.uint32
+            times = self.times[lo:hi].astype(np.uint32)
+            blob = bytes([np.dtype(small).itemsize]) + codes.astype(small).tobytes() + times.tobytes()
+            yield route, self.langs[self.keys[0][lo]], text[:-1].tobytes(), blob
+
+
+def _ranked(vocab: pa.Array, ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words in byte order, and ``ids`` renumbered to it."""
+    order = pc.array_sort_indices(vocab).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return vocab.take(pa.array(order)).to_pylist(), rank[ids]
+
+
+def unpacked(words: bytes, blob: bytes, depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, codes (depth x suffixes, 0 past the end) and times of one packed row."""
+    small = np.uint16 if blob[0] == 2 else np.uint32
+    n = (len(blob) - 1) // (depth * blob[0] + 4)
+    codes = np.frombuffer(blob, small, depth * n, 1).reshape(depth, n).astype(np.int64)
+    codes[0] = np.cumsum(codes[0])
+    times = np.frombuffer(blob[1 + depth * n * blob[0]:], np.uint32)
+    return words.split(b"\n"), codes, times.astype(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
+
+
+def route_bounds(docs: DataFrame, depth: int) -> list[tuple[bytes, ...]]:
+    """Bounds between routes: quantiles of about SAMPLE_ROWS suffixes from about SAMPLE_BYTES of texts."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    routes = min(MOST_ROUTES, -(-total // ROUTE_BYTES))
+    if routes < 2:
+        return []
+    taken = min(1.0, SAMPLE_BYTES / total)
+    share = min(1.0, SAMPLE_ROWS / (taken * total / 8))                 # a word of some eight bytes each
+
+    def pick(batches):
+        for number, batch in enumerate(batches):
+            b = Batch(batch.column(0), batch.column(1), depth)
+            chosen = np.random.default_rng(number).random(len(b.times)) < share
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b.langs[k] for k in b.keys[0][chosen]], pa.binary())]
+                + [pa.array([b.vocab[k - 1] if k else b"" for k in key[chosen]], pa.binary()) for key in b.keys[1:]], names)
+
+    names = ["lang"] + [f"w{k + 1}" for k in range(depth)]
+    seen = _texts(docs.sample(taken, 1) if taken < 1 else docs).mapInArrow(pick, ", ".join(f"{c} binary" for c in names)).collect()
+    seen = sorted(tuple(bytes(x) for x in r) for r in seen)
+    return sorted({seen[len(seen) * k // routes] for k in range(1, routes)}) if seen else []
+
+
+def suffixes(docs: DataFrame, depth: int, bounds: list[tuple[bytes, ...]]) -> DataFrame:
+    """Packed suffixes (route, lang, words, codes) of (lang, text) rows."""
     def cut(batches):
         for batch in batches:
-            words = Words(batch.column(1), ENDS, BREAKS)
-            if not len(words.ids):
-                continue
-            langs = batch.column(0).dictionary_encode()
-            codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            keys, times = _combined(_suffix_keys(words, codes, depth), [len(langs.dictionary)] + [len(words.vocab) + 1] * depth)
-            vocab = pa.concat_arrays([pa.array([b""], pa.large_binary()), words.vocab]).cast(pa.binary())
-            for at in range(0, len(times), BATCH_ROWS):
-                part = slice(at, at + BATCH_ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [langs.dictionary.take(pa.array(keys[0][part])), *[vocab.take(pa.array(k[part])) for k in keys[1:]], pa.array(times[part])], names)
-
-    schema = ", ".join(f"{c} binary" for c in names[:-1]) + ", n bigint"
-    lang = F.coalesce("lang", F.lit("und")).cast("binary")
-    return docs.select(lang.alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
+            rows = list(Batch(batch.column(0), batch.column(1), depth).packed(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], names)
+
+    names, kinds = ["route", "lang", "words", "codes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return _texts(docs).mapInArrow(cut, "route int, lang binary, words binary, codes binary")
 
 
 # --- the sort ------------------------------------------------------------------------------------
@@ -156,63 +249,37 @@ def frequent_prefixes(keys: np.ndarray, weight: np.ndarray, least: int, ends: np
         starts = np.cumsum(count) - count
 
 
-def _counted(table: pa.Table, least: int) -> pa.Table:
-    """Prefixes of one range's weighted suffixes: lang, phrase, size, n (size 0: all words of the lang)."""
-    names = table.column_names[:-1]
-    columns = []
-    for name in names:
-        coded = table[name].combine_chunks().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        order = pc.array_sort_indices(coded.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words = coded.dictionary.take(pa.array(order)).to_pylist()
-        if name == "lang":
-            shift = 1                                             # a lang may be the empty string, and no suffix ends at it
-        else:
-            shift = int(not words or words[0] != b"")             # the empty word marks the end: 0
-        columns.append((rank[coded.indices.to_numpy(zero_copy_only=False)] + shift, [b""] * shift + words))
-    keys = np.stack([c for c, _ in columns], axis=1)
-    weight = table["n"].to_numpy().astype(np.int64)
+def route_counts(table: pa.Table, depth: int, least: int) -> pa.Table:
+    """Prefixes of one route's packed suffixes: lang, phrase, size, n (size 0: all words of the lang)."""
+    parts = [unpacked(w, c, depth) for w, c in zip(table["words"].to_pylist(), table["codes"].to_pylist())]
+    coded = pa.array([w for words, _, _ in parts for w in words], pa.large_binary()).dictionary_encode()
+    vocab, rank = _ranked(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    named = table["lang"].combine_chunks().cast(pa.large_binary()).dictionary_encode()
+    langs, lang = _ranked(named.dictionary, named.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    keys = np.empty((sum(len(t) for _, _, t in parts), depth + 1), np.int32)
+    at, base = 0, 0
+    for k, (words, codes, times) in enumerate(parts):
+        keys[at: at + len(times), 0] = lang[k] + 1
+        keys[at: at + len(times), 1:] = np.append(0, rank[base: base + len(words)] + 1)[codes].T
+        at, base = at + len(times), base + len(words)
+    weight = np.concatenate([t for _, _, t in parts])
     ends = []
-    for pick in (np.min, np.max):                                 # the range's first and last suffix
+    for pick in (np.min, np.max):                                 # the route's first and last suffix
         rows = np.arange(len(keys))
-        for d in range(keys.shape[1]):
+        for d in range(depth + 1):
             rows = rows[keys[rows, d] == pick(keys[rows, d])]
         ends.append(rows[0])
-    out = {"lang": [], "phrase": [], "size": [], "n": []}
-    for row, depth, count in frequent_prefixes(keys, weight, least, np.array(ends)):
-        out["lang"].append(columns[0][1][keys[row, 0]])
-        out["phrase"].append(b" ".join(columns[d][1][keys[row, d]] for d in range(1, depth)))
-        out["size"].append(depth - 1)
-        out["n"].append(count)
-    return pa.table({"lang": pa.array(out["lang"], pa.binary()), "phrase": pa.array(out["phrase"], pa.binary()),
-                     "size": pa.array(out["size"], pa.int32()), "n": pa.array(out["n"], pa.int64())})
+    found = list(frequent_prefixes(keys, weight, least, np.array(ends)))
+    return pa.table({"lang": pa.array([langs[keys[r, 0] - 1] for r, _, _ in found], pa.binary()),
+                     "phrase": pa.array([b" ".join(vocab[w - 1] for w in keys[r, 1:d]) for r, d, _ in found], pa.binary()),
+                     "size": pa.array([d - 1 for _, d, _ in found], pa.int32()), "n": pa.array([c for _, _, c in found], pa.int64())})
 
 
 def phrase_counts(docs: DataFrame, depth: int, least: int) -> DataFrame:
     """(lang, phrase, size, n) of all phrases of 1 to ``depth`` words that occur ``least`` times; size 0: all words."""
-    found = staged(suffixes(docs, depth), "suffixes")
-    keys = found.columns[:-1]
-    ranges = max(1, -(-found.count() // RANGE_ROWS))
-
-    def count(batches):
-        held, base, fresh = [], 0, 0
-
-        def summed():
-            return pa.Table.from_batches(held).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
-
-        for batch in batches:
-            held.append(batch)
-            fresh += batch.num_rows
-            if fresh > max(base, RANGE_ROWS):                     # equal suffixes of many batches shrink to one
-                table = summed()
-                held, base, fresh = table.combine_chunks().to_batches(), table.num_rows, 0
-        if base + fresh:
-            yield from _counted(summed(), least).to_batches(BATCH_ROWS)
-
-    routed = found.repartitionByRange(ranges, *keys)
-    counted = routed.mapInArrow(count, "lang binary, phrase binary, size int, n bigint")
+    bounds = route_bounds(docs, depth)
+    routed = suffixes(docs, depth, bounds).repartition(len(bounds) + 1, "route")
+    counted = routed.groupBy("route").applyInArrow(lambda route: route_counts(route, depth, least), "lang binary, phrase binary, size int, n bigint")
     return (counted.groupBy(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "size")
             .agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
@@ -229,7 +296,7 @@ def collocations(docs: DataFrame, lo: int = 2, hi: int = 3, least: int = 10, top
 
     ``a`` is the phrase's count, ``l`` and ``r`` those of the two sides of its lowest-scoring cut, ``n`` the words of the
     language.  A phrase inside a longer candidate that has ``share`` percent of its count is dropped."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, "4m")                          # a batch's suffixes take some twenty times its bytes
     counts = staged(phrase_counts(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), hi, least), "phrases")
     known = counts.where("size > 0").select("lang", "phrase", F.col("n").cast(COUNT).alias("f"))
     cand = counts.where(F.col("size") >= lo).select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
