@@ -30,35 +30,40 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH lines AS (
+WITH raw AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS raw
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
-weighed AS (
+lines AS (
   SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS h,
-         len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS w FROM lines),
+         len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS w FROM raw),
 placed AS (
-  SELECT *, sum(w * 1000 + 1) OVER (PARTITION BY doc_id, text ORDER BY pos) - (w * 1000 + 1) AS s FROM weighed),
+  SELECT doc_id, text, pos, h, w, pos - coalesce(lag(pos) OVER d, -1) - 1 AS gap, sum(w * 1000 + 1) OVER d - (w * 1000 + 1) AS s
+  FROM lines WHERE w > 0 WINDOW d AS (PARTITION BY doc_id, text ORDER BY pos)),
 reached AS (
-  SELECT *, list(h) OVER r AS hs, max(s + w * 1000 + 1) OVER r AS fin FROM placed
+  SELECT *, list({'h': h, 'gap': gap}) OVER r AS ls, list(pos) OVER r AS ps, max(s + w * 1000 + 1) OVER r AS fin FROM placed
   WINDOW r AS (PARTITION BY doc_id, text ORDER BY s RANGE BETWEEN 0 PRECEDING AND 49999 FOLLOWING)),
-following AS (SELECT *, coalesce(lead(hs) OVER (PARTITION BY doc_id, text ORDER BY s), []) AS nxt FROM reached),
+following AS (
+  SELECT *, coalesce(lead(ls) OVER o, []) AS nxt, coalesce(lead(ps) OVER o, []) AS nps,
+         list_transform(ls, lambda l, i: {'h': l.h, 'gap': CASE WHEN i > 1 THEN l.gap ELSE 0 END}) AS win
+  FROM reached WINDOW o AS (PARTITION BY doc_id, text ORDER BY s)),
 wins AS (
-  SELECT doc_id, text, pos, hs, nxt, row_number() OVER k AS nth, first(nxt) OVER k AS there
-  FROM following WHERE w > 0 AND fin >= s + 50000
-  WINDOW k AS (PARTITION BY hs ORDER BY doc_id NULLS LAST, text, pos)),
+  SELECT doc_id, text, pos, ps, nxt, nps, row_number() OVER k AS nth, first(nxt) OVER k AS there
+  FROM following WHERE fin >= s + 50000
+  WINDOW k AS (PARTITION BY win ORDER BY doc_id NULLS LAST, text, pos)),
 runs AS (
-  SELECT doc_id, text, pos AS first,
-         pos + greatest(len(hs) - 1, coalesce(list_position(list_transform(range(1, len(nxt) + 1),
-             lambda i: nxt[i] IS NOT DISTINCT FROM there[i]), false) - 1, len(nxt))) AS last
+  SELECT doc_id, text, pos AS first, greatest(ps[len(ps)], coalesce(nps[coalesce(list_position(list_transform(range(1, len(nxt) + 1),
+         lambda i: nxt[i] IS NOT DISTINCT FROM there[i]), false) - 1, len(nxt))], 0)) AS last
   FROM wins WHERE nth > 1),
-gone AS (SELECT DISTINCT l.doc_id, l.text, l.pos FROM lines l JOIN runs r
+gone AS (SELECT DISTINCT l.doc_id, l.text, l.pos FROM raw l JOIN runs r
          ON l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.text = r.text AND l.pos BETWEEN r.first AND r.last),
 done AS (
-  SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.pos) AS n_deleted,
+  SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.pos) AS n_deleted, count(*) FILTER (WHERE g.pos IS NULL AND l.w > 0) AS worded,
          coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
   FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.pos = g.pos
   GROUP BY l.doc_id, l.text)
-SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_deleted, 0) AS n_deleted, x.kept AS text
+SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines,
+       CASE WHEN x.n_deleted > 0 AND x.worded = 0 THEN x.n_lines ELSE coalesce(x.n_deleted, 0) END AS n_deleted,
+       CASE WHEN x.n_deleted > 0 AND x.worded = 0 THEN '' ELSE x.kept END AS text
 FROM documents d LEFT JOIN done x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text
 """
 
@@ -158,19 +163,22 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
-def _level(k: int) -> str:
-    """The oracle's generalisation of one tree level."""
-    node = ", ".join(["host", *[f"t{i}" for i in range(1, k)]])
-    source = f"g{k - 1}"
-    return f"""
-c{k} AS (SELECT {node}, s{k}, sum(n) AS kn, sum(sum(n)) OVER (PARTITION BY {node}) AS total, count(*) OVER (PARTITION BY {node}) AS kinds
-         FROM {source} GROUP BY {node}, s{k}),
-g{k} AS (SELECT {source}.*, CASE WHEN s{k} <> '' AND NOT (kinds < 8 OR kn >= 0.05::DOUBLE * total) THEN '/*' ELSE s{k} END AS t{k}
-         FROM {source} JOIN c{k} USING ({node}, s{k})),"""
+def _alike_sql(node: str) -> str:
+    """Window expressions: a head's sub-templates and block rate against its node's pool."""
+    return f"""sum(n) OVER (PARTITION BY {node}, head) AS nb, sum(allow) OVER (PARTITION BY {node}, head) AS ab,
+      sum(block) OVER (PARTITION BY {node}, head) AS kb, sum(n) OVER (PARTITION BY {node}) AS nh, sum(allow) OVER (PARTITION BY {node}) AS ah,
+      sum(block) OVER (PARTITION BY {node}) AS kh, count(DISTINCT tail) OVER (PARTITION BY {node}) AS kinds,
+      n * (sum(n) OVER (PARTITION BY {node}, head, tail))::DOUBLE / sum(n) OVER (PARTITION BY {node}, tail) AS part"""
 
 
-OP2_SQL = r"""
-WITH cut AS (
+_RATE = """(ab + kb = 0 OR kh = 0 OR ah = 0 OR pow(kb - (ab + kb) * (kh / (ah + kh)::DOUBLE), 2)
+         <= 9.0::DOUBLE * (ab + kb) * (kh / (ah + kh)::DOUBLE) * (1 - kh / (ah + kh)::DOUBLE))"""
+_ALIKE = f"(q * nh / nb - nb <= kinds - 1 + 3.0::DOUBLE * sqrt(2.0::DOUBLE * (kinds - 1)) + 1e-9 AND {_RATE})"
+_SHARED = """coalesce(list_position(list_transform(range(1, greatest(len(lo), len(hi)) + 1), lambda i: lo[i] IS NOT DISTINCT FROM hi[i]), false) - 1, len(lo))"""
+
+#: The whole rule, level by level to any depth, as two recursions over the urls' remaining segments.
+OP2_SQL = rf"""
+WITH RECURSIVE cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 parsed AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -182,34 +190,61 @@ ruled AS (
     WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN ['com/de/', 'block']
     WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN ['com/fr/', 'allow']
     WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN ['org/', 'allow'] END AS r,
-    string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') AS p FROM parsed),
-rows_ AS (
-  SELECT *, CASE WHEN len(p) > 1 THEN '/' || p[2] ELSE '' END AS s1, CASE WHEN len(p) > 2 THEN '/' || p[3] ELSE '' END AS s2,
-         CASE WHEN len(p) > 3 THEN '/' || array_to_string(p[4:], '/') ELSE '' END AS s3 FROM ruled),
-g0 AS (
-  SELECT host, s1, s2, s3, count(*) AS n, count(*) FILTER (WHERE r[2] = 'allow') AS allow, count(*) FILTER (WHERE r[2] = 'block') AS block
-  FROM rows_ GROUP BY ALL),""" + _level(1) + _level(2) + _level(3) + r"""
-cells AS (SELECT host, t1, t2, t3, sum(n)::BIGINT AS n, sum(allow)::BIGINT AS allow, sum(block)::BIGINT AS block FROM g3 GROUP BY ALL),
-pool AS (SELECT host, t2, t3, sum(n)::BIGINT AS ns FROM cells GROUP BY ALL),
-hosts AS (SELECT host, sum(ns)::BIGINT AS nh, count(*) AS kinds FROM pool GROUP BY host),
-marks AS (SELECT host, sum(allow)::BIGINT AS ah, sum(block)::BIGINT AS kh FROM cells GROUP BY host),
-tested AS (
-  SELECT host, t1, sum(n)::BIGINT AS nb, sum(allow)::BIGINT AS ab, sum(block)::BIGINT AS kb, sum(n * n / ns::DOUBLE) AS q
-  FROM cells JOIN pool USING (host, t2, t3) GROUP BY host, t1),
-branches AS (
-  SELECT host, t1, CASE WHEN q * nh / nb - nb <= kinds - 1 + 3.0::DOUBLE * sqrt(2.0::DOUBLE * (kinds - 1)) + 1e-9
-    AND (ab + kb = 0 OR kh = 0 OR ah = 0 OR pow(kb - (ab + kb) * (kh / (ah + kh)::DOUBLE), 2)
-         <= 9.0::DOUBLE * (ab + kb) * (kh / (ah + kh)::DOUBLE) * (1 - kh / (ah + kh)::DOUBLE)) THEN '/~' ELSE t1 END AS branch
-  FROM tested JOIN hosts USING (host) JOIN marks USING (host)),
-base AS (SELECT least(0.5::DOUBLE, (sum(kh) + 1.0::DOUBLE) / (sum(ah + kh) + 2.0::DOUBLE)) AS b FROM marks),
-tree AS (SELECT * FROM g3 JOIN branches USING (host, t1)),
+    regexp_replace(path, '[0-9]+', '#', 'g') AS masked FROM parsed),
+urls AS (
+  SELECT host, masked, count(*)::BIGINT AS n, count(DISTINCT path)::BIGINT AS urls, count(*) FILTER (WHERE r[2] = 'allow')::BIGINT AS allow,
+         count(*) FILTER (WHERE r[2] = 'block')::BIGINT AS block FROM ruled GROUP BY host, masked),
+gen AS (
+  SELECT *, '' AS t, []::BOOLEAN[] AS own, list_transform(string_split(masked, '/')[2:], lambda x: '/' || x) AS rest, false AS done FROM urls
+  UNION ALL
+  SELECT host, masked, n, urls, allow, block,
+         CASE WHEN few THEN t || array_to_string(rest, '') ELSE t || array_to_string(rest[:c], '') || CASE WHEN literal OR seg = '' THEN seg ELSE '/*' END END,
+         CASE WHEN few THEN own || list_transform(rest, lambda x: false)
+              ELSE own || list_transform(rest[:c], lambda x: false) || [literal AND NOT kept] END,
+         CASE WHEN few THEN [] ELSE rest[c + 2:] END, few OR seg = ''
+  FROM (
+    SELECT *, kept OR u >= 30 OR (ab + kb >= 8 AND NOT {_RATE}) AS literal FROM (
+      SELECT *, kinds < 8 OR k >= 0.05::DOUBLE * total AS kept FROM (
+        SELECT *, sum(n) OVER (PARTITION BY host, t, seg) AS k, sum(urls) OVER (PARTITION BY host, t, seg) AS u,
+               sum(allow) OVER (PARTITION BY host, t, seg) AS ab, sum(block) OVER (PARTITION BY host, t, seg) AS kb,
+               sum(n) OVER (PARTITION BY host, t) AS total, sum(allow) OVER (PARTITION BY host, t) AS ah, sum(block) OVER (PARTITION BY host, t) AS kh,
+               count(DISTINCT seg) OVER (PARTITION BY host, t) AS kinds FROM (
+          SELECT *, coalesce(rest[c + 1], '') AS seg FROM (
+            SELECT *, {_SHARED} AS c FROM (
+              SELECT *, min(rest) OVER (PARTITION BY host, t) AS lo, max(rest) OVER (PARTITION BY host, t) AS hi,
+                     count(*) OVER (PARTITION BY host, t) < 8 AS few FROM gen WHERE NOT done))))))),
+tree AS (SELECT host, masked, n, allow, block, t, own FROM gen WHERE done),
+flat AS (
+  SELECT *, coalesce(rest[1], '') AS head, array_to_string(rest[2:], '') AS tail FROM (
+    SELECT host, t, max(own) AS own, sum(n)::BIGINT AS n, sum(allow)::BIGINT AS allow, sum(block)::BIGINT AS block,
+           list_transform(string_split(t, '/')[2:], lambda x: '/' || x) AS rest FROM tree GROUP BY host, t)),
+tested AS (SELECT *, sum(part) OVER (PARTITION BY host, head) AS q FROM (SELECT *, {_alike_sql('host')} FROM flat)),
+mrg AS (
+  SELECT host, t, n, allow, block, CASE WHEN {_ALIKE} THEN '/~' ELSE head END AS template, own[2:] AS own, rest[2:] AS rest, len(rest) AS deep, false AS done FROM tested
+  UNION ALL
+  SELECT host, t, n, allow, block,
+         template || CASE WHEN NOT open THEN '' WHEN {_ALIKE} AND far AND below > 0 THEN '/~' WHEN {_ALIKE} AND mine THEN '/*' ELSE head END,
+         CASE WHEN open THEN own[c + 2:] ELSE own END, CASE WHEN open THEN rest ELSE [] END, deep, NOT open
+  FROM (
+    SELECT *, sum(part) OVER (PARTITION BY host, template, open, head) AS q, max(len(rest)) OVER (PARTITION BY host, template, open, head) AS below FROM (
+      SELECT *, {_alike_sql('host, template, open')} FROM (
+        SELECT host, t, n, allow, block, own, deep, open, far, c, template || array_to_string(CASE WHEN open THEN rest[:c] ELSE rest END, '') AS template,
+               coalesce(rest[c + 1], '') AS head, coalesce(own[c + 1], false) AS mine, rest[c + 2:] AS rest, array_to_string(rest[c + 2:], '') AS tail FROM (
+          SELECT *, (far AND down - c > 1) OR (evident AND down > c) AS open FROM (
+            SELECT *, {_SHARED} AS c FROM (
+              SELECT *, min(rest) OVER w AS lo, max(rest) OVER w AS hi, max(len(rest)) OVER w AS down, max(deep) OVER w > 3 AS far,
+                     bool_or(list_contains(own, true)) OVER w AS evident FROM mrg WHERE NOT done WINDOW w AS (PARTITION BY host, template)))))))),
+named AS (SELECT host, t, template FROM mrg WHERE done),
+placed AS (SELECT host, masked, n, allow, block, template FROM tree JOIN named USING (host, t)),
+base AS (SELECT least(0.5::DOUBLE, (coalesce(sum(block), 0) + 1.0::DOUBLE) / (coalesce(sum(allow + block), 0) + 2.0::DOUBLE)) AS b FROM placed),
+marks AS (SELECT host, sum(allow)::BIGINT AS ah, sum(block)::BIGINT AS kh FROM placed GROUP BY host),
 judged AS (
-  SELECT host, branch, t2, t3, branch || t2 || t3 AS template,
-         (sum(block) + 5.0::DOUBLE * ((any_value(kh) + 5.0::DOUBLE * any_value(b)) / (any_value(ah + kh) + 5.0::DOUBLE))) / (sum(allow + block) + 5.0::DOUBLE) AS purity
-  FROM tree JOIN marks USING (host), base GROUP BY host, branch, t2, t3)
+  SELECT host, template, (sum(block) + 5.0::DOUBLE * ((any_value(kh) + 5.0::DOUBLE * any_value(b)) / (any_value(ah + kh) + 5.0::DOUBLE)))
+                         / (sum(allow + block) + 5.0::DOUBLE) AS purity
+  FROM placed JOIN marks USING (host), base GROUP BY host, template)
 SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
        template, round(purity, 9) AS purity
-FROM rows_ JOIN tree USING (host, s1, s2, s3) JOIN judged USING (host, branch, t2, t3)
+FROM ruled JOIN placed USING (host, masked) JOIN judged USING (host, template)
 """
 
 

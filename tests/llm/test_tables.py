@@ -104,9 +104,23 @@ def url_rows():
                     (2008, "http://deep.org/" + "/".join("abcdefgh" * 400)), (2009, "http://q.com?x=/de/"), (2010, "http://example.org:80/en/1")]
 
 
-def test_urls_equal_the_sql(spark):
+def deep_rows(seed):
+    """Urls of one to eight segments: hot hosts, variable and fixed segments and labels at every level."""
+    r, table = random.Random(seed), []
+    few = ["shop", "item", "info", "spam"]
+    for k in range(900):
+        host = r.choice(["hot.com"] * 5 + ["www.example.org"] * 3 + ["a.com", "free.net", "free.net", "x.org"])
+        path = [r.choice(["de", "fr", "es", "en"])] if r.random() < 0.8 else []
+        for level in range(r.randint(0, 7)):
+            path.append(r.choice([r.choice(few[:1 + level % 4]), r.choice(few), f"{'abcdefgh'[level]}{prose(r.randint(0, 40), 1)}", str(r.randint(1, 30)), few[0]]))
+        table.append((k, f"http://{host}/" + "/".join(path) + r.choice(["", "", "/"])))
+    return table
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_urls_equal_the_sql(spark, seed):
     import duckdb
-    table = url_rows()
+    table = url_rows() if seed is None else deep_rows(seed)
     df = pages(spark, [(p, u, None) for p, u in table])
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
@@ -355,3 +369,42 @@ def test_tree_of_equal_few_or_no_vectors(spark, monkeypatch):
     assert rows(anntree.Index(few).search(few.where("vec_id = 0"), k=5), "rank", "vec_id") == [(1, 2), (2, 1)]
     none = vectors(spark, [])
     assert anntree.Index(none).search(none, k=5).count() == 0
+
+
+# --- odd numbers and names -------------------------------------------------------------------
+
+def test_top_k_of_components_beyond_every_integer(spark):
+    """Finite components whose scaled value leaves the doubles are still exact integers."""
+    from fractions import Fraction
+    r = random.Random(6)
+    big = [1e307, -1e307, 1.7e308, 3e200, 2.0 ** 600, 0.25, -3.0, 1e18]
+    table = [(k, [r.choice(big) for _ in range(3)]) for k in range(30)] + [(30 + k, [float(k), 1.0, -1.0]) for k in range(10)]
+    vectors = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v in table}
+    clip = lambda s: max(-2 ** 63, min(2 ** 63 - 1, s))
+    want = []
+    for q in (0, 7, 35):
+        best = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:4]
+        want += [(q, k + 1, i, clip(-s)) for k, (s, i) in enumerate(best)]
+    got = rows(vafile.top_k(vectors, vectors.where("vec_id in (0, 7, 35)"), k=4), "query_id", "vec_id", "score")
+    assert {(q, i, s) for q, i, s in got} <= {(q, i, clip(sum(a * b for a, b in zip(whole[q], whole[i])))) for q in (0, 7, 35) for i in whole}
+    inside = {(q, i) for q, _, i, s in want if abs(s) < 2 ** 63 - 1}
+    assert inside <= {(q, i) for q, i, _ in got} and len(got) == 12
+
+
+@pytest.mark.parametrize("operator", ["mix", "keep_one", "dedup_lines"])
+def test_columns_with_the_names_used_inside(spark, operator):
+    """Every name that the operators use inside, as a further column: values come through unchanged."""
+    from marketspark.llm import linededup, simhash
+    inside = ["_copy", "_copies", "_rate", "_source", "_row", "row", "rows", "id", "of", "fp", "root", "doc", "_sh_fp", "_sh_rows", "_sh_of", "_id", "_th",
+              "pos", "v", "p", "gap", "s1", "s2", "nxt", "at", "n", "there", "then", "_skew_n", "u", "rate", "target", "place", "weight", "a.b"]
+    table = [(k, prose(k, 20), "en", "ab"[k % 2]) for k in range(30)] + [(40, prose(3, 20), "en", "a"), (None, prose(4, 20), None, None)]
+    df = docs(spark, table, clash=False)
+    for name in inside:
+        df = df.withColumn(name, F.concat(F.lit(name + " "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = {"mix": mixing.mix, "keep_one": simhash.keep_one, "dedup_lines": linededup.dedup_lines}[operator](df)
+    assert out.columns[:len(df.columns)] == df.columns
+    got = out.select([F.col(f"`{c}`") for c in ["doc_id", *inside]]).collect()
+    assert len(got) > 20
+    for r in got:
+        assert list(r[1:]) == [f"{name} {'none' if r[0] is None else r[0]}" for name in inside]
