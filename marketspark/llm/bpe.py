@@ -12,6 +12,7 @@ bytes a priority queue of (rank, position) makes the same merges in the same ord
 
 from __future__ import annotations
 
+import hashlib
 import base64
 import re
 from heapq import heapify, heappop, heappush
@@ -293,6 +294,25 @@ class Codec:
             return pa.array([made[0].decode(x.values.to_numpy(zero_copy_only=False)) for x in col], pa.binary())
         return text(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct(ids, decoded_sha256): the ids of the whole text, and the digest of what those ids decode to.
+
+        One function, since a column that decodes an encoded column would encode it anew."""
+        shared, pattern = self.ranks, self.pattern
+        made: list[Tokenizer] = []
+
+        @F.arrow_udf("struct<ids array<int>, decoded_sha256 string>")
+        def both(col: pa.Array) -> pa.Array:
+            if not made:
+                made.append(_tokenizer(shared, pattern))
+            got = made[0].encode_batch([x or "" for x in col.to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
+            values = np.concatenate(got) if got else np.zeros(0, np.int32)
+            decoded = [hashlib.sha256(made[0].decode(x)).hexdigest() for x in got]
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32))),
+                                               pa.array(decoded, pa.string())], ["ids", "decoded_sha256"])
+        return both(text)
+
 
 def digests(docs, codec: Codec, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False):
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and
@@ -300,8 +320,7 @@ def digests(docs, codec: Codec, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts have no tokens and the digests of the empty string; repeated rows each
     give a row; other columns are not read."""
-    ids = docs.select(F.col(id_col).alias("doc_id"), codec.encode(F.col(text_col)).alias("ids"))
-    both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
+    both = docs.select(F.col(id_col).alias("doc_id"), codec.round_trip(F.col(text_col)).alias("r")).select("doc_id", "r.ids", "r.decoded_sha256")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
+                       "decoded_sha256", *(["ids"] if keep_ids else []))
