@@ -12,12 +12,14 @@ number of visited leaves widens until the leaves hold ``RECALL`` of them.
 Rows are grouped by bins of neighbouring leaves; a leaf with more than ``BIN`` rows, however hot, is dealt
 over several bins by a number counted up along the rows.  A query goes once to every bin that holds a leaf it
 visits; the visits of each bin are counted first, and a bin that more than ``AT_ONCE`` queries visit is
-copied to as many parts as these need, so a task's group is bounded on both sides.  Found
+copied to as many parts as these need, so a task's group is bounded on both sides.  Each query walks the
+tree once, in tasks sized by the bins they will name.  Found
 rows are ranked by the cosine of the original vectors in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and null ids, take
 no part; vectors of another length than most of the sample neither; rows that share the query's id count as its own; a
-query row repeated exactly counts once.
+query row repeated exactly counts once; equal cosines go by the smaller id; an empty table of vectors, or of queries, gives no
+rows; only the two named columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from marketspark.llm.vafile import usable
 SAMPLE, BRANCH, LEAF = 20_000, 8, 64
 CALIBRATE, RECALL = 128, 0.97
 BIN, AT_ONCE = 1024, 8192
+WALKS = 1 << 16         # bins named by the queries of one task, about
 
 
 @dataclass
@@ -230,31 +233,28 @@ class Index:
         own = self.rows.groupBy("id").count().where("count > 1").withColumnRenamed("count", "own")
         asked = self._queries(queries).join(own, "id", "left").fillna(1, ["own"])
 
-        def visited(b):
-            for qid, v, key, own_rows in zip(b["id"], b["v"], b["key"], b["own"]):
-                bins: dict[int, list[int]] = {}
-                for leaf in tree.visit(unit(matrix([v]))[0], leaves, sizes, k + int(own_rows)):
-                    for part in range(parts[leaf]):
-                        bins.setdefault(first[leaf] + part, []).append(leaf)
-                yield qid, v, key, bins
-
-        def tally(batches):
+        def walk(batches):
             for b in batches:
-                n = pd.Series([bin_ for *_, bins in visited(b) for bin_ in bins], dtype="int32").value_counts()
-                yield pd.DataFrame({"bin": n.index, "n": n.to_numpy()})
-
+                rows = []
+                for qid, v, key, own_rows in zip(b["id"], b["v"], b["key"], b["own"]):
+                    bins: dict[int, list[int]] = {}
+                    for leaf in tree.visit(unit(matrix([v]))[0], leaves, sizes, k + int(own_rows)):
+                        for part in range(parts[leaf]):
+                            bins.setdefault(first[leaf] + part, []).append(leaf)
+                    rows.append((qid, v, key, list(bins), list(bins.values())))
+                yield pd.DataFrame(rows, columns=["id", "v", "key", "bins", "seen"])
+
+        # each query walks the tree once, in tasks of about WALKS bins each, and its list is stored
+        bins = max(first[leaf] + parts[leaf] for leaf in first)
+        tasks = max(1, -(-asked.count() * min(bins, max(1, leaves)) // WALKS))
+        walked = staged(asked.repartition(tasks).mapInPandas(
+            walk, "id bigint, v array<double>, key bigint, bins array<int>, seen array<array<bigint>>"), "walks")
         # how many parts the queries of each bin need: one number a bin
-        visits = asked.mapInPandas(tally, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
+        visits = walked.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
         cut = staged(visits.select("bin", F.ceil(F.col("n") / AT_ONCE).cast("int").alias("pieces")), "visits")
-        pieces = asked.sparkSession.sparkContext.broadcast({r["bin"]: r["pieces"] for r in cut.where("pieces > 1").collect()})
-
-        def route(batches):
-            for b in batches:
-                rows = [(bin_, int(key) % pieces.value.get(bin_, 1), qid, v, key, seen)
-                        for qid, v, key, bins in visited(b) for bin_, seen in bins.items()]
-                yield pd.DataFrame(rows, columns=["bin", "part", "id", "v", "key", "leaves"])
-
-        asked = asked.mapInPandas(route, "bin int, part int, id bigint, v array<double>, key bigint, leaves array<bigint>")
+        each = walked.select("id", "v", "key", F.explode(F.arrays_zip("bins", "seen")).alias("b")).select("id", "v", "key", F.col("b.bins").alias("bin"), F.col("b.seen").alias("leaves"))
+        # one row a bin of the index, which is smaller than the visits by far
+        asked = each.join(cut, "bin").select("bin", F.pmod("key", "pieces").cast("int").alias("part"), "id", "v", "key", "leaves")
         data = self.rows.withColumn("bin", self._bin(F.col("leaf"), F.col("salt"))).join(cut, "bin")     # unvisited bins drop out
         return data.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces"), asked
 

@@ -8,6 +8,12 @@ largest cosine.  Each centroid also has a radius, the cosine that all but a hund
 members reach; a text farther out is marked ``rejected``.
 
 Learning uses at most ``PER_LANG`` labelled texts a language, chosen by id hash.
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0, rejected; very long texts are counted
+whole; of centroids at the same cosine the first language in code-point order is taken; repeated rows each get
+the same result, and repeated ids count once in the sample's choice but with each of their texts; without a
+labelled text everything is ``und``; only doc_id, lang and text are read, so further columns cannot clash; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +30,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketspark.llm.common import bound_batches, fold, staged
+from marketspark.operators.skew import skew_join
 
 PER_LANG = 1000          # bound on labelled texts a language is learned from
 CLUSTERS = 3
+SPARE = 1.5              # ids ranked per id wanted
+MOST_IDS = 500_000       # ids that are sent to every task (16 bytes each)
 BITS = 12                # 2 ** BITS hashed features
 LONGEST = 3              # n-gram length
 CHUNK = 1 << 18          # characters hashed at once
@@ -74,13 +83,20 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """(lang, text) of up to ``per_lang`` texts a language; fold 2 and null ids, langs and texts stay out."""
+    """(lang, text) of the up to ``per_lang`` texts of least id hash a language; fold 2 and null ids, langs and texts stay out.
+
+    A language's ids are thinned by the hash itself before they are ranked, to SPARE times as many as wanted, so
+    the ranking of a hot language reads no more rows than that of a rare one."""
     known = (docs.where("lang is not null and text is not null and doc_id is not null").where(fold(F.col("doc_id")) != 2)
              .select("doc_id", "lang").distinct())
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = (F.xxhash64("doc_id").cast("double") + 2.0 ** 63) / 2.0 ** 64
+    few = skew_join(known, counts.withColumnRenamed("n", "of"), ["lang"], counts=counts).where(place * F.col("of") <= SPARE * per_lang)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("nth", rank).where(F.col("nth") <= per_lang).select("doc_id", "lang")
-    # per_lang ids a language: bounded by the number of languages
-    return docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    chosen = staged(few.select("doc_id", "lang").withColumn("nth", rank).where(F.col("nth") <= per_lang).select("doc_id", "lang"), "langid-ids")
+    # per_lang ids a language; a table with very many languages is joined as any other
+    sent = F.broadcast(chosen) if chosen.count() <= MOST_IDS else chosen
+    return docs.where("text is not null").select("doc_id", "lang", "text").join(sent, ["doc_id", "lang"]).select("lang", "text")
 
 
 def _cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

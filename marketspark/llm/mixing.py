@@ -10,7 +10,8 @@ Only per-source sums leave the scan before the shares are known, so a source tha
 all rows costs one partial sum a task.  The rates go back to the documents by a join on the source.
 
 Defined cases: a null text has size 0; a source of size 0 has target 0 and rate 0; rows with the
-same doc_id draw the same number (a null doc_id draws by its text); reruns agree.
+same doc_id draw the same number (a null doc_id draws by its text); reruns agree; other columns of ``docs`` may have any name (``plan`` does not read them, ``mix``
+passes them through unchanged).
 """
 
 from __future__ import annotations
@@ -95,9 +96,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float =
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns unchanged."""
+    """``docs`` with each row as often as the mix takes it; columns unchanged, whatever their names: a row
+    travels as one struct beside the operator's own columns."""
     goal = staged(targets(_measured(docs, seed), weights, share, limit), "targets").select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    u = uniform(docs["doc_id"], F.when(docs["doc_id"].isNull(), F.md5(docs["text"])), seed)
-    both = docs.join(goal, docs["source"].eqNullSafe(goal["_source"]))
-    copies = both.select(*[docs[c] for c in docs.columns], _copies(F.col("_rate"), u).cast("int").alias("_copies"))
-    return copies.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    u = uniform(F.col("_row.doc_id"), F.when(F.col("_row.doc_id").isNull(), F.md5("_row.text")), seed)
+    both = packed.join(goal, F.col("_row.source").eqNullSafe(F.col("_source")))
+    copies = F.array_repeat("_row", _copies(F.col("_rate"), u).cast("int"))
+    return both.select(F.explode(copies).alias("_row")).select("_row.*")

@@ -263,17 +263,17 @@ def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id.
 
     Among rows of the class that repeat that id, and in a class without any id, one row stays.
-    Columns are unchanged."""
-    names = docs.columns
+    Columns are unchanged, whatever their names: a row travels as one struct beside the operator's own."""
     found = staged(near_duplicates(docs, distance, shingle).select("doc_id", "fp", "root", "component_id"), "found")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # rows of an id anywhere: its other rows may stand in another class, and only the fingerprint tells them apart
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("_sh_rows")).join(own.select("doc_id").distinct(), "doc_id")
-    out = docs.join(ids.withColumnRenamed("doc_id", "_sh_id"), docs["doc_id"] == F.col("_sh_id"))
-    once = out.where("_sh_rows = 1").select(*[docs[c] for c in names])
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows")).join(own.select("doc_id").distinct(), "doc_id")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    out = packed.join(ids.withColumnRenamed("doc_id", "id"), F.col("doc.doc_id") == F.col("id"))
+    once = out.where("rows = 1").select("doc")
     # rows with a repeated id, or none, are few or odd: only for them the fingerprint is needed again
-    again = out.where("_sh_rows > 1").select(*[docs[c] for c in names]).unionByName(docs.where(F.col("doc_id").isNull()))
-    roots = own.select(F.col("doc_id").alias("_sh_id"), F.col("fp").alias("_sh_of"), F.col("root").alias("_sh_root")).distinct()
-    again = again.withColumn("_sh_fp", fingerprint(F.col("text"), shingle))
-    again = again.join(roots, (F.col("_sh_fp") == F.col("_sh_of")) & F.col("doc_id").eqNullSafe(F.col("_sh_id"))).dropDuplicates(["_sh_root"])
-    return once.unionByName(again.select(*names))
+    again = out.where("rows > 1").select("doc").unionByName(packed.where(F.col("doc.doc_id").isNull()))
+    roots = own.select(F.col("doc_id").alias("id"), F.col("fp").alias("of"), "root").distinct()
+    again = again.withColumn("fp", fingerprint(F.col("doc.text"), shingle))
+    again = again.join(roots, (F.col("fp") == F.col("of")) & F.col("doc.doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["root"])
+    return once.unionByName(again.select("doc")).select("doc.*")

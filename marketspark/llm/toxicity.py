@@ -18,14 +18,21 @@ Learning (labelled rows outside fold 2, a sample bounded by ``SAMPLE_ROWS``):
   logistic fit on fold 3 turns it into the probability of label 1.
 
 Scoring reads whole texts: one linear pass (Ruzzo and Tompa) finds all maximal segments.
+
+Defined cases: null, empty and word-free texts have the score of a text without a passage; very long texts are read whole;
+adjoining segments of equal score stay apart, as maximal segments are unique; repeated rows each get the same score;
+repeated labels of an id count once, as toxic if any says so; without both labels every text scores
+the same low value; only doc_id, text and toxic are read, so further columns cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -123,8 +130,11 @@ class Scorer:
         n, segments = self.segments(text)
         if not segments:
             return []
-        spans = [m.span() for m in WORD.finditer(text)] if len(text.lower()) == len(text) else \
-                [m.span() for m in WORD.finditer(text.lower())]
+        low = text.lower()
+        spans = [m.span() for m in WORD.finditer(low)]
+        if len(low) != len(text):       # a letter may have several in lower case: back to the places in the text
+            starts = list(accumulate((len(c.lower()) for c in text), initial=0))
+            spans = [(bisect_right(starts, a) - 1, bisect_left(starts, z)) for a, z in spans]
         out = []
         for a, z, s in segments:
             e = math.exp(min(700.0, self.model.log_k + math.log(n) - self.model.lam * s))

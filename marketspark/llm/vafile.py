@@ -20,6 +20,9 @@ vector repeated under other ids is found once per row; a query row repeated exac
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,18 +42,28 @@ def usable(vector: Column) -> Column:
 
 
 def integers(vectors: pd.Series, scale: float) -> np.ndarray:
-    """floor(scale * x) of each component; Python integers where 64 bits might not hold a score."""
-    raw = np.floor(np.stack([np.asarray(v, np.float64) for v in vectors]) * scale)
-    if not raw.size or float(np.abs(raw).max()) ** 2 * raw.shape[1] < 2.0 ** 62:
-        return raw.astype(np.int64)
-    return np.array([[int(x) for x in row] for row in raw], dtype=object).reshape(raw.shape)
+    """floor(scale * x) of each component; exact Python integers where 64 bits might not hold a score."""
+    values = np.stack([np.asarray(v, np.float64) for v in vectors])
+    with np.errstate(over="ignore"):
+        raw = np.floor(values * scale)
+        if not raw.size or np.abs(raw).max() ** 2 * raw.shape[1] < 2.0 ** 62:
+            return raw.astype(np.int64)
+    exact = Fraction(scale)             # a component times the scale may be beyond every double
+    return np.array([[floor(Fraction(x) * exact) for x in row] for row in values.tolist()], dtype=object).reshape(raw.shape)
+
+
+def _huge(a: np.ndarray) -> bool:
+    """Whether products of such components might leave the range of doubles."""
+    return a.dtype == object and any(abs(x) >> 500 for x in a.reshape(-1))
 
 
 class VAFile:
     """Quantised cells of a block of vectors, with the exact vectors behind them."""
 
     def __init__(self, vectors: np.ndarray):
-        self.exact = vectors
+        self.exact, self.huge = vectors, _huge(vectors)
+        if self.huge:                   # no cells in doubles: every bound is open, all exact vectors are read
+            return
         cuts = np.quantile(vectors.astype(np.float64), np.linspace(0, 1, CELLS + 1)[1:-1], axis=0)
         self.codes = np.stack([np.searchsorted(cuts[:, d], vectors[:, d].astype(np.float64), "right")
                                for d in range(vectors.shape[1])], axis=1).astype(np.uint8) if vectors.shape[1] else \
@@ -65,6 +78,9 @@ class VAFile:
         self.low, self.high = low[self.codes, dims], high[self.codes, dims]
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.huge or _huge(queries):
+            shape = (len(queries), len(self.exact))
+            return np.full(shape, np.inf), np.full(shape, -np.inf)
         q = queries.astype(np.float64)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         upper = up @ self.high.T + down @ self.low.T
@@ -78,12 +94,12 @@ class VAFile:
         """Positions and scores of the k best: score descending, then id."""
         allowed = np.flatnonzero(upper > -np.inf)
         if len(allowed) > k:
-            floor = np.partition(lower[allowed], -k)[-k]
-            allowed = allowed[upper[allowed] >= floor]
+            least = np.partition(lower[allowed], -k)[-k]
+            allowed = allowed[upper[allowed] >= least]
         order = allowed[np.argsort(-upper[allowed], kind="stable")]
         found, scores = np.zeros(0, np.int64), self.exact[:0, 0] if self.exact.shape[1] else np.zeros(0, np.int64)
         for at in range(0, len(order), READ):
-            if len(found) >= k and upper[order[at]] < scores[k - 1]:
+            if len(found) >= k and float(upper[order[at]]) < scores[k - 1]:
                 break
             read = order[at: at + READ]
             found = np.concatenate([found, read])

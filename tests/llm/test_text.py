@@ -181,3 +181,33 @@ def test_toxicity_without_labels(spark):
         model = toxicity.learn(df, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
         assert 0 <= df.select(toxicity.score(F.col("text"), model).alias("p")).first()["p"] < 0.3
     assert docs(spark, []).select(toxicity.score(F.col("text"), toxicity.Model()).alias("p")).count() == 0
+
+
+def test_passages_are_placed_in_the_text_as_written():
+    """Lower case may be longer than the text: places are those of the text."""
+    model = toxicity.Model({"zounds": 4.0}, frozenset())
+    model.lam, model.log_k = 1.0, -2.0
+    for lead in ("", "İİİİ fine day ", "fine day ", "İx İ "):
+        text = lead + "Zounds zounds" + " mild İ words" * 3
+        (a, z, score, _), = toxicity.Scorer(model).passages(text, 1.0)
+        assert text[a:z] == "Zounds zounds" and score == 8.0
+
+
+def test_sample_of_a_hot_language_is_thinned_alike(spark):
+    """The ids of least hash, whatever the language's share of the table."""
+    table = [(k, f"text {k}", "aa" if k % 10 else f"l{k % 30}", "s") for k in range(3000)]
+    got = langid.labelled_sample(docs(spark, table), 20)
+    by = {}
+    for r in docs(spark, table).where(langid.fold(F.col("doc_id")) != 2).select("text", "lang", F.xxhash64("doc_id").alias("h")).collect():
+        by.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    want = sorted((lang, t) for lang, v in by.items() for _, t in sorted(v)[:20])
+    assert rows(got, "lang", "text") == want
+
+
+def test_texts_are_encoded_once(spark):
+    """The digests' query calls the encoder once for each row."""
+    import marketspark.llm.bpe as module
+    from marketspark.llm.queries import codec
+    df = docs(spark, [(k, prose(k, 30), "en", "s") for k in range(40)]).repartition(2)
+    plan = module.digests(df, codec(spark), keep_ids=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "(ids(" not in plan and plan.split("ArrowEvalPython")[1].split("]")[0].count("both(") == 1
