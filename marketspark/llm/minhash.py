@@ -12,10 +12,13 @@
 4. What is left is confirmed on the full sets: 100 * common >= percent * union.
 
 Candidates are not all pairs.  First every member of a band meets the band's first member only, and classes are
-made of the links so found.  After that a band whose members are all in one class can add nothing; in the
-others, members of different classes are compared, in pairs of chunks of bounded size, until nothing is open.  The
-second step is exact for what the first leaves, so no link between classes is lost, and a group of thousands of
-near copies costs its size, not its square.
+made of the links so found.  After that a band whose members are all in one class can add nothing.  In the others,
+members of different classes are compared, in pairs of chunks of bounded size: by size, by the
+estimate, and by parity sketches, which bound the similarity from above without error (a bit is the
+parity of the shingles hashed to it, so each differing bit proves a shingle that only one set holds).  What
+passes is nearly always a link.  A first look, at a part of the bands, confirms only the best candidate of each
+pair of classes; the last look takes every band and confirms all that is still open, so no link between classes is
+lost, while a group of thousands of near copies is not confirmed pair by pair.
 
 At scale: copies collapse in a partial aggregate before any join; bands, links and classes are joined on row
 numbers with hot keys dealt over tasks (``skew_join``); texts of candidates only are read again for their
@@ -43,6 +46,12 @@ from marketspark.operators.skew import skew_join
 
 LANES, ROWS, BITS, SIGMAS = 128, 4, 2, 6.0
 CHUNK = 256              # members of a band compared at once with as many others
+TASK_ROWS = 8192         # members compared by one task, at most about
+SKETCH_BITS = 1 << 18
+SENT_IDS = 200_000       # a list of ids beyond this is not broadcast
+GROUP_ROWS = 2048        # members of small bands compared in one group, about
+PAIRS_AT_ONCE, SKETCHES_AT_ONCE = 1 << 17, 1 << 23       # pairs, and bytes of sketches, in one numpy step
+FIRST_LOOK = 4           # one band of so many takes part in the first look
 SEED = 11
 
 
@@ -106,7 +115,8 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(least), LANES // ROWS), np.uint64)
+    """A 64-bit key per band, the band's number mixed in."""
+    out = np.tile(np.arange(LANES // ROWS, dtype=np.uint64), (len(least), 1))
     for k in range(ROWS):
         out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
     return out
@@ -132,12 +142,21 @@ def sketch(text: Column, shingle: int) -> Column:
     return of(text.cast("binary"))
 
 
+def parity_sketch(h: np.ndarray) -> bytes:
+    """8 to 16 bits per shingle (a power of two of them, SKETCH_BITS at most): parities of the shingles at each place."""
+    bits = min(max(64, 1 << int(8 * len(h) - 1).bit_length()), SKETCH_BITS)
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def whole_set(text: Column, shingle: int) -> Column:
-    """Column: the sorted distinct shingle hashes of a whole text as bytes."""
-    @F.arrow_udf("binary")
+    """Column struct(items, odd): the sorted distinct shingle hashes of a whole text as bytes, and their parity sketch."""
+    @F.arrow_udf("struct<items binary, odd binary>")
     def of(col: pa.Array) -> pa.Array:
         h, bounds = shingle_sets(col, shingle)
-        return pa.array([h[a:z].tobytes() for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+        sets = [h[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return pa.StructArray.from_arrays([pa.array([x.tobytes() for x in sets], pa.binary()),
+                                           pa.array([parity_sketch(x) for x in sets], pa.binary())], ["items", "odd"])
     return of(text.cast("binary"))
 
 
@@ -207,12 +226,19 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("src", "dst", "n_src", "n_dst"))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """``ids``, sent to every task if there are SENT_IDS at most (some 40 bytes each), else joined like any table."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) among pairs (src, dst, n_src, n_dst), by their whole sets ``full`` (sid, items)."""
     pairs = staged(pairs, "pairs")
-    left = skew_join(pairs, full.select(F.col("sid").alias("src"), F.col("items").alias("items_src")), ["src"])
-    # a set that meets many others is copied once per part of them
-    both = skew_join(left, full.select(F.col("sid").alias("dst"), F.col("items").alias("items_dst")), ["dst"], counted=pairs)
+    asking = full.join(_sent(pairs.select(F.col("src").alias("sid")).distinct()), "sid", "left_semi")
+    left = skew_join(pairs, asking.select(F.col("sid").alias("src"), F.col("items").alias("items_src")), ["src"])
+    # of the other sides only those asked for move; one that meets many sets is copied once per part of them
+    asked = full.join(_sent(pairs.select(F.col("dst").alias("sid")).distinct()), "sid", "left_semi")
+    both = skew_join(left, asked.select(F.col("sid").alias("dst"), F.col("items").alias("items_dst")), ["dst"], counted=pairs)
     both = both.withColumn("both", common(F.col("items_src"), F.col("items_dst")))
     return both.where(F.col("both") * 100 >= (F.col("n_src") + F.col("n_dst") - F.col("both")) * percent).select("src", "dst")
 
@@ -223,41 +249,98 @@ def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
     return staged(sets.select("sid").join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root")), "roots")
 
 
-def open_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different classes within a band, each once.
+def _folded(sketches: np.ndarray) -> np.ndarray:
+    """The sketches of half as many bits."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def _in_band(v: np.ndarray, chunk: np.ndarray):
+    """Pairs of positions with equal ``v`` and, where rows of two chunks stand together, of different chunks; PAIRS_AT_ONCE or so at a time."""
+    cut = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    length = np.diff(np.append(cut, len(v)))
+    stop = np.repeat(cut + length, length)
+    more = stop - np.arange(len(v)) - 1                     # partners behind each row
+    done = np.cumsum(more)
+    at = 0
+    while at < len(v):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS_AT_ONCE)))
+        x = np.repeat(np.arange(at, to), more[at:to])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(more[at:to]) - more[at:to], more[at:to])
+        apart = (chunk[x] < 0) | (chunk[x] != chunk[y])
+        yield x[apart], y[apart]
+        at = to
+
+
+def compare(group: pd.DataFrame, percent: int, best: bool) -> pd.DataFrame:
+    """Pairs of members of one band and different classes that may be linked; ``best``: the likeliest per pair of classes.
+
+    ``group`` holds whole bands, or two chunks (``chunk``, else -1) of a large one."""
+    group = group.sort_values("v", kind="stable")
+    v, chunk, sid, root, n = (group[c].to_numpy(np.int64) for c in ("v", "chunk", "sid", "root", "n"))
+    sig = np.stack(group["sig"].to_numpy()).astype(np.int64).view(np.uint64)
+    enough, ones = least_lanes(percent), np.uint64(_one_per_lane())
+    sizes = group["odd"].map(len).to_numpy(np.int64)
+    place, full, half = np.zeros(len(sid), np.int64), {}, {}
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        place[rows] = np.arange(len(rows))
+        full[size] = np.frombuffer(b"".join(group["odd"].iloc[rows]), np.uint64).reshape(len(rows), -1)
+        half[size] = _folded(full[size]) if full[size].shape[1] > 1 else full[size]
+    out = []
+    for x, y in _in_band(v, chunk):
+        fit = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        x, y = x[fit], y[fit]
+        d = sig[x] ^ sig[y]
+        hit = d.copy()
+        for k in range(1, BITS):
+            hit |= d >> np.uint64(k)
+        near = LANES - np.bitwise_count(hit & ones).sum(axis=1, dtype=np.int64) >= enough
+        x, y = x[near], y[near]
+        x, y = np.where(sizes[x] <= sizes[y], x, y), np.where(sizes[x] <= sizes[y], y, x)
+        for small, large in {*zip(sizes[x].tolist(), sizes[y].tolist())}:
+            these = np.flatnonzero((sizes[x] == small) & (sizes[y] == large))
+            step = max(1, SKETCHES_AT_ONCE // small)
+            for at in range(0, len(these), step):
+                i, k = x[these[at: at + step]], y[these[at: at + step]]
+                # sizes that allow a link differ by a factor of two at most
+                other = full[large][place[k]] if small == large else half[large][place[k]]
+                apart = np.bitwise_count(full[small][place[i]] ^ other).sum(axis=1, dtype=np.int64)
+                both = n[i] + n[k]
+                ok = (both - apart) * 100 >= (both + apart) * percent
+                out.append((i[ok], k[ok], apart[ok] / both[ok]))
+    x, y, apart = (np.concatenate([np.zeros(0, t), *[o[k] for o in out]]) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
+    found = pd.DataFrame({"src": np.maximum(sid[x], sid[y]), "dst": np.minimum(sid[x], sid[y]),
+                          "a": np.maximum(root[x], root[y]), "b": np.minimum(root[x], root[y]), "apart": apart})
+    return found.sort_values(["apart", "src", "dst"]).drop_duplicates(["a", "b"]) if best else found.drop_duplicates(["src", "dst"])
+
+
+def open_pairs(members: DataFrame, sketches: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Likely pairs (src, dst, n_src, n_dst) of different classes within a band, each once.
 
     Bands of one class are left out; the members of the others are cut into chunks, and every pair of
     chunks is a group of its own."""
     placed = staged(members.join(classes, "sid"), "placed")
-    mixed = (placed.groupBy("band", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"))
-             .where("lo < hi").select("band", "v", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")))
-    filed = skew_join(placed, mixed, ["band", "v"])
+    mixed = staged(placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+                   .where("low < high").select("v", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "mixed")
+    rows = mixed.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+    filed = skew_join(placed, mixed.select("v", "chunks"), ["v"], counts=mixed.select("v", "n"))
     mine = F.pmod(F.xxhash64("sid"), "chunks").cast("int")
     dealt = filed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("band", "v", "sid", "root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    dealt = dealt.join(sets.select("sid", "n", "sig"), "sid")
-    enough, ones = least_lanes(percent), np.uint64(_one_per_lane())
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sid, root, n = (group[c].to_numpy(np.int64) for c in ("sid", "root", "n"))
-        sig = np.stack(group["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-        src, dst = [], []
-        for i in range(len(sid) - 1):
-            rest = slice(i + 1, None)
-            fit = (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent)
-            at = np.flatnonzero(fit) + i + 1
-            d = sig[at] ^ sig[i]
-            hit = d.copy()
-            for k in range(1, BITS):
-                hit |= d >> np.uint64(k)
-            at = at[LANES - np.bitwise_count(hit & ones).sum(axis=1, dtype=np.int64) >= enough]
-            src.append(np.maximum(sid[at], sid[i]))
-            dst.append(np.minimum(sid[at], sid[i]))
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"src": np.concatenate([none, *src]), "dst": np.concatenate([none, *dst])})
-
-    found = dealt.groupBy("band", "v", "lo", "hi").applyInPandas(compare, "src bigint, dst bigint").distinct()
-    return _likely(staged(found, "open"), sets, percent)
+    # a large band's pairs of chunks are groups of their own; small bands share one
+    large, groups = F.col("chunks") > 1, max(1, rows // GROUP_ROWS)
+    lone = F.lit(-1)
+    dealt = dealt.select("v", "sid", "root", F.when(large & (F.col("mine") != F.col("other")), F.col("mine")).otherwise(lone).alias("chunk"),
+                         F.when(large, F.col("v")).otherwise(F.pmod(F.xxhash64("v"), F.lit(groups))).alias("unit"),
+                         F.when(large, F.least("mine", "other")).otherwise(lone).alias("lo"), F.when(large, F.greatest("mine", "other")).otherwise(lone).alias("hi"))
+    dealt = dealt.join(sketches, "sid").repartition(max(1, rows // TASK_ROWS), "unit", "lo", "hi")
+    found = staged(dealt.groupBy("unit", "lo", "hi").applyInPandas(
+        lambda group: compare(group, percent, best), "src bigint, dst bigint, a bigint, b bigint, apart double"), "open")
+    if best:
+        found = found.groupBy("a", "b").agg(F.min(F.struct("apart", "src", "dst")).alias("x")).select("x.src", "x.dst")
+    sizes = sketches.select("sid", "n")
+    return (found.select("src", "dst").distinct().join(sizes.select(F.col("sid").alias("src"), F.col("n").alias("n_src")), "src")
+            .join(sizes.select(F.col("sid").alias("dst"), F.col("n").alias("n_dst")), "dst"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,19 +356,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
                  F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     sets = staged(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     narrow = sets.select("sid", "n", "sig")
-    filed = staged(sets.select("sid", F.posexplode("bands").alias("band", "v")), "bands")
-    shared = filed.groupBy("band", "v").agg(F.count("*").alias("c"), F.min("sid").alias("first")).where("c > 1").select("band", "v", "first")
-    members = staged(skew_join(filed, shared, ["band", "v"]), "members")
+    filed = sets.select("sid", F.explode("bands").alias("v"))
+    shared = staged(filed.groupBy("v").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"), "shared")
+    members = staged(skew_join(filed, shared.select("v", "first"), ["v"], counts=shared.select("v", "n")), "members")
     # whole sets of the members only: their texts are met again by id and text hash
     wanted = staged(members.select("sid").distinct().join(sets.select("sid", "at"), "sid").select("sid", "at.*"), "wanted")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
     same = (texts["t1"] == wanted["t1"]) & (texts["t2"] == wanted["t2"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
-    full = texts.join(wanted, same).groupBy("sid").agg(F.first("text").alias("text"))
-    full = staged(full.select("sid", whole_set(F.col("text"), shingle).alias("items")), "full")
+    full = texts.join(_sent(wanted), same).groupBy("sid").agg(F.first("text").alias("text"))
+    full = staged(full.select("sid", whole_set(F.col("text"), shingle).alias("s")).select("sid", "s.*"), "full")
+    items = full.select("sid", "items")
+    sketches = staged(full.select("sid", "odd").join(narrow, "sid"), "sketches")
     stars = members.where("sid <> first").select(F.col("sid").alias("src"), F.col("first").alias("dst")).distinct()
-    links = staged(confirmed(_likely(staged(stars, "stars"), narrow, percent), full, percent), "links1")
+    links = staged(confirmed(_likely(staged(stars, "stars"), narrow, percent), items, percent), "links")
+    members = members.select("sid", "v")
+    part = members.where(F.pmod("v", F.lit(FIRST_LOOK)) == 0)
+    links = staged(links.unionByName(confirmed(open_pairs(part, sketches, _classes(sets, links), percent, best=True), items, percent)), "links")
     classes = _classes(sets, links)
-    more = confirmed(open_pairs(members.select("band", "v", "sid"), narrow, classes, percent), full, percent)
+    more = confirmed(open_pairs(members, sketches, classes, percent, best=False), items, percent)
     # links between classes, then everything by the roots' roots
     roots = more.join(classes.select(F.col("sid").alias("src"), F.col("root").alias("a")), "src").join(
         classes.select(F.col("sid").alias("dst"), F.col("root").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
