@@ -247,7 +247,11 @@ def test_matrix_of_two_thousand_tickers_in_blocks(spark):
         F.timestamp_micros(F.floor(F.col("id") / n) * 3_600_000_000).alias("ts"), (100 + F.sin(F.col("id") * 7)).alias("price"))
     universe = ticks.select("ticker").distinct()
     m = correlation_matrix(ticks, universe, lookback="24 hours")
-    plan = m._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as for tables beyond a broadcast
+    try:
+        plan = correlation_matrix(ticks, universe, lookback="24 hours")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(_lo" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     price = 100 + np.sin(np.arange(n * hours) * 7.0).reshape(hours, n)
     r = np.corrcoef(price.T)
