@@ -115,8 +115,12 @@ def correlation_matrix(ticks: DataFrame, tickers, bucket: str = "1 hour", lookba
     avgs = (t.groupBy(time_bucket(F.col("ts"), bucket).alias("_bk"), "ticker").agg(F.avg("price").alias("p"))
             .where(F.col("p").isNotNull()))
     blocks = max(1, -(-universe.count() // block))
-    span = None if lookback is None else interval_micros(lookback) // interval_micros(bucket) + 2      # buckets that a look-back touches
-    single = span is not None and span <= CHUNK
+    if lookback is not None:
+        span = interval_micros(lookback) // interval_micros(bucket) + 2                               # buckets that a look-back touches
+    else:
+        ends = t.agg(F.min(time_bucket(F.col("ts"), bucket)).alias("a"), F.max(time_bucket(F.col("ts"), bucket)).alias("z")).first()
+        span = 1 if ends["a"] is None else ends["z"] - ends["a"] + 1
+    single = span <= CHUNK
     v = _vectors(avgs, universe, blocks, span if single else CHUNK, single)
     # every ticker once as the lower and once as the upper block of each pair of its block
     a = v.select(F.col("ticker").alias("ticker_a"), F.col("_block").alias("_lo"), "_chunk", F.col("_v").alias("_va"),
