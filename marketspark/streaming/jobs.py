@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import os
 import uuid
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators.signals import post_alerts
-from marketspark.operators.sequence import interval_micros, time_bucket
+from marketspark.operators.sequence import interval_micros
 from marketspark.operators.windows import price_windows, sentiment_windows, window_minutes
 from marketspark.session import scratch_path
 from marketspark.streaming.sinks import latest_state, make_sink, parquet_writer, read_batches
@@ -217,39 +220,65 @@ def correlation_enricher(ticks: DataFrame, posts: DataFrame, window: str = WINDO
     return enrich
 
 
+def _since(lookback_us: int):
+    """A UDF over one window's rows: for each tick the posts of the ``lookback_us`` before it, as the sums of their whole and
+    fractional parts and their number.  Times are ascending; a tick finds both ends of its stretch in the running sums."""
+    @F.arrow_udf("array<struct<whole: bigint, part: bigint, n: bigint>>")
+    def since(ticks: pa.Array, posts: pa.Array, whole: pa.Array, part: pa.Array) -> pa.Array:
+        offsets, out = [0], []
+        for t, p, *sums in zip(ticks, posts, whole, part):
+            at, post = (x.values.to_numpy(zero_copy_only=False) for x in (t, p))
+            last = np.searchsorted(post, at, "right")
+            first = np.searchsorted(post, at - lookback_us, "left")
+            run = [np.append(0, np.cumsum(x.values.to_numpy(zero_copy_only=False).astype(np.int64))) for x in sums]
+            out.append(pa.StructArray.from_arrays([pa.array(r[last] - r[first], pa.int64()) for r in run] + [pa.array(last - first, pa.int64())],
+                                                  ["whole", "part", "n"]))
+            offsets.append(offsets[-1] + len(at))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(out)) if out else pa.array([], LISTED)
+    return since
+
+
+LISTED = pa.list_(pa.struct([(c, pa.int64()) for c in ("whole", "part", "n")]))
+
+
 def stream_interval_correlation(posts: DataFrame, ticks: DataFrame, window: str = WINDOW, lookback: str = "2 minutes",
                                 watermark: str = WATERMARK, min_ticks: int = 5, salts: int = 1) -> DataFrame:
     """Per (ticker, window) the guarded Pearson of price and trailing sentiment, computed in state.
 
-    Three stateful steps in one append-mode query, all evicted by the watermark:
+    Two stateful steps in one append-mode query, both evicted by the watermark:
 
-    1. a stream-stream left outer join of each tick with the posts of its ticker and window in
-       [tick - ``lookback``, tick]; a post stays until the watermark is ``lookback`` past it, a tick
-       until the watermark passes it (then, without any post, it goes on alone with sentiment 0);
-    2. an aggregate per tick: the mean compound, an exact decimal sum over a count, so that it does not depend on
-       arrival order;
-    3. an aggregate per (ticker, window): covariance, variances, first and last price.
+    1. an aggregate per (ticker, window) that gathers the ticks and the posts of the window; once the watermark is
+       ``lookback`` past its end, each tick gets the mean compound of the posts in [tick - ``lookback``, tick] of its
+       window (0 without any).  The mean is the difference of two running sums over the posts in order of time, so a
+       window costs its ticks and posts, never their pairs; sums are exact, so they do not depend on arrival order;
+    2. an aggregate per (ticker, window): covariance, variances, first and last price.
 
-    A window comes out once the watermark is ``lookback`` past its end.  The join key holds the window, so one
-    ticker's state is spread over its open windows; ``salts`` deals a hot ticker's ticks over that many
-    partitions, each with its own copy of the posts.  Results equal the batch operators' on closed windows."""
+    A tick that arrives twice counts once.  The first step's key holds the window, so one ticker's state is spread over
+    its open windows; ``salts`` deals a hot ticker's ticks over that many rows of state, each with its own copy of the
+    posts.  Results equal the batch operators' on closed windows."""
     from marketspark.operators.align import ALIGN_DIGITS, SUM
     from marketspark.operators.correlation import window_aggregates
-    lb = F.expr(f"INTERVAL {lookback}")
-    p = (posts.where(F.col("compound").isNotNull()).select(F.col("ticker").alias("_pt"), F.col("ts").alias("_ps"), F.col("compound").cast(SUM).alias("_c"))
-         .withWatermark("_ps", watermark).withColumn("_pw", time_bucket(F.col("_ps"), window)))
-    t = ticks.select("ticker", "ts", "tick_id", "price").withWatermark("ts", watermark).withColumn("_w", time_bucket(F.col("ts"), window))
-    same = (F.col("ticker") == F.col("_pt")) & (F.col("_w") == F.col("_pw"))
-    if salts > 1:
-        p = p.withColumn("_psalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        t = t.withColumn("_salt", F.pmod(F.xxhash64("tick_id"), F.lit(salts)).cast("int"))
-        same = same & (F.col("_salt") == F.col("_psalt"))
-    near = t.join(p, same & (F.col("_ps") <= F.col("ts")) & (F.col("_ps") >= F.col("ts") - lb), "left_outer")
-    # a query carries one event time at a time, so a tick's own goes on as a number beside its window
-    each = near.groupBy(F.window("ts", window).alias("w"), "ticker", F.unix_micros("ts").alias("_us"), "tick_id", "price").agg(
-        F.sum("_c").alias("_s"), F.count("_c").alias("_n"))
-    mean = F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n")).otherwise(F.lit(0.0))
-    rows = each.select("ticker", F.timestamp_micros("_us").alias("ts"), "tick_id", "price", F.window_time("w").alias("_at"), F.round(mean, ALIGN_DIGITS).alias("sentiment"))
+    # a window waits for the look-back as well
+    late = f"{interval_micros(watermark) + interval_micros(lookback)} microseconds"
+    exact = F.col("compound").cast(SUM)
+    whole = F.floor(exact)
+    post = F.struct(F.unix_micros("ts").alias("us"), whole.cast("bigint").alias("whole"), ((exact - whole) * 10 ** 12).cast("bigint").alias("part"))
+    tick = F.struct(F.unix_micros("ts").alias("us"), "tick_id", "price")
+    p = (posts.where(F.col("compound").isNotNull() & F.col("ticker").isNotNull()).withWatermark("ts", late)
+         .select("ticker", "ts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), post.alias("_post")))
+    t = ticks.withWatermark("ts", late).select("ticker", "ts", F.pmod(F.xxhash64("tick_id"), F.lit(salts)).cast("int").alias("_salt"), tick.alias("_tick"))
+    p, t = p.withColumn("_tick", F.lit(None).cast(t.schema["_tick"].dataType)), t.withColumn("_post", F.lit(None).cast(p.schema["_post"].dataType))
+    each = t.unionByName(p).groupBy(F.window("ts", window).alias("w"), "ticker", "_salt").agg(
+        F.collect_list("_tick").alias("_ticks"), F.collect_list("_post").alias("_posts"))
+    each = each.select("ticker", F.window_time("w").alias("_at"), F.sort_array("_ticks").alias("_ticks"), F.sort_array("_posts").alias("_posts"))
+    each = each.withColumn("_ticks", F.filter("_ticks", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("_ticks", i - 1))))
+    near = _since(interval_micros(lookback))(F.col("_ticks.us"), F.col("_posts.us"), F.col("_posts.whole"), F.col("_posts.part"))
+    rows = each.withColumn("_near", near).select("ticker", "_at", F.explode(F.arrays_zip("_ticks", "_near")).alias("_x"))
+    found, n = F.col("_x._near"), F.col("_x._near.n")
+    total = found["whole"].cast("decimal(20,0)") + found["part"].cast("decimal(20,0)") * F.lit(Decimal("0.000000000001"))
+    mean = F.when(n > 0, total.cast("double") / n).otherwise(F.lit(0.0))
+    rows = rows.select("ticker", "_at", F.timestamp_micros("_x._ticks.us").alias("ts"), F.col("_x._ticks.tick_id").alias("tick_id"),
+                       F.col("_x._ticks.price").alias("price"), F.round(mean, ALIGN_DIGITS).alias("sentiment"))
     g = window_aggregates(rows.groupBy(F.window("_at", window).alias("w"), "ticker"), rows, "sentiment")
     return g.where(F.col("n_ticks") >= min_ticks).select(
         "ticker", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_ticks", "pearson",

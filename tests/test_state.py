@@ -68,6 +68,21 @@ def test_interval_state_is_bounded_by_the_watermark(spark):
     assert 0 < kept < 450         # of a thousand rows: the last 28 minutes of ticks and posts, once or twice
 
 
+def test_interval_correlation_pairs_no_ticks_with_posts(spark):
+    """A dense window costs its rows, not their pairs, and a tick that comes twice counts once."""
+    posts, ticks = market(spark)
+    twice = ticks.unionByName(ticks.where("tick_id % 2 = 0"))
+    p_path, t_path = folder(spark, "posts"), folder(spark, "ticks")
+    posts.write.parquet(p_path)
+    twice.write.parquet(t_path)
+    stream = ST.stream_interval_correlation(ST.read_stream(spark, p_path), ST.read_stream(spark, t_path), "20 minutes", "7 minutes", "1 minute")
+    assert "Join" not in stream._jdf.queryExecution().analyzed().toString()
+    want = window_correlation(rolling_sentiment_at_ticks(ticks, posts, "20 minutes", "7 minutes"), 5)
+    want = {(r["ticker"], r["window_start"]): (r["n_ticks"], round(r["pearson"], 9)) for r in want.collect()}
+    got = {(r["ticker"], r["window_start"]): (r["n_ticks"], round(r["pearson"], 9)) for r in ST.run_to_table(spark, stream, "interval").collect()}
+    assert len(got) >= 12 and all(want[k] == v for k, v in got.items())
+
+
 # --- state as a source ----------------------------------------------------------------------------
 
 def test_board_is_read_from_the_state_of_every_version(spark):
