@@ -26,6 +26,13 @@ SCALE_FACTOR = 1.05
 SCORE_FIELDS = ("compound", "pos", "neg", "neu")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often and under whatever condition ``body`` reads it.
+
+    (A Column has no name of its own: each use of it is another copy in the plan.)"""
+    return F.transform(F.array(value), body)[0]
+
+
 def _score_struct(compound: Column, pos: Column, neg: Column, neu: Column) -> Column:
     return F.struct(compound.cast("double").alias("compound"), pos.cast("double").alias("pos"),
                     neg.cast("double").alias("neg"), neu.cast("double").alias("neu"))
@@ -43,8 +50,10 @@ def keyword_counts(text: Column, positive=POSITIVE_WORDS, negative=NEGATIVE_WORD
 def score_keyword(text: Column, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS) -> Column:
     """Keyword scorer: no hit -> (0, 0, 0, 1); else compound=(p-n)/t, pos=p/t, neg=n/t
     rounded to 3 digits and neu=0."""
-    p, n = keyword_counts(text, positive, negative)
-    return _counts_to_score(p, n)
+    def counts(low):
+        p, n = keyword_counts(low, positive, negative, lower=False)
+        return F.struct(p.alias("p"), n.alias("n"))
+    return _let(_let(F.lower(text), counts), lambda c: _counts_to_score(c["p"], c["n"]))
 
 
 def _counts_to_score(p: Column, n: Column) -> Column:
@@ -73,8 +82,10 @@ def tone_from_logits(logits: Column) -> Column:
 
 def scale_score(score: Column, k: float = SCALE_FACTOR) -> Column:
     """Scaled scorer: compound := clamp(compound * k, -1, 1); other fields unchanged."""
-    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score["compound"] * F.lit(k)))
-    return _score_struct(c, score["pos"], score["neg"], score["neu"])
+    def scaled(s):
+        c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s["compound"] * F.lit(k)))
+        return _score_struct(c, s["pos"], s["neg"], s["neu"])
+    return _let(score, scaled)
 
 
 SCORERS: dict[str, Callable[[Column], Column]] = {
@@ -109,7 +120,6 @@ def with_scores(df: DataFrame, text_col: str = "text", model: str | Callable[[Co
     scorer = model if callable(model) else get_scorer(model)
     s = scorer(F.col(text_col))
     if fallback is not None:
-        fb = fallback(F.col(text_col))
-        s = F.when(s["compound"].isNull(), fb).otherwise(s)
+        s = F.coalesce(_let(s, lambda p: F.when(p["compound"].isNotNull(), p)), fallback(F.col(text_col)))
     out = df.withColumn("_score", s)
     return out.select(*df.columns, *[F.col("_score")[f].alias(f) for f in SCORE_FIELDS])

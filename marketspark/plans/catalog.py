@@ -1242,7 +1242,7 @@ def q_scorer_fallback(spark, sf):
     def primary(text):
         s = scale_score(score_keyword(text))
         return F.when(F.length(text) % 2 == 0, s).otherwise(F.lit(None))
-    d = with_scores(post_texts(spark, sf), "text", primary, fallback=lambda t: F.struct(*[score_keyword(t)[f].alias(f) for f in ("compound", "pos", "neg", "neu")]))
+    d = with_scores(post_texts(spark, sf), "text", primary, fallback=score_keyword)
     return d.select("post_id", "compound").join(stage_posts(spark, sf).select("post_id"), "post_id", "left_semi")
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marketspark.functions.sentiment import get_scorer, scale_score, score_keyword, tone_from_logits, with_scores
+from marketspark.functions.sentiment import (NEGATIVE_WORDS, POSITIVE_WORDS, get_scorer, scale_score, score_keyword,
+                                             tone_from_logits, with_scores)
 from marketspark.operators.lexicon import score_lexicon
 
 POS = "$TSLA is going to explode! Best stock ever 🚀🚀"
@@ -83,6 +84,16 @@ def test_scorer_registry_case_insensitive():
     assert get_scorer("unknown") is get_scorer("vader")
 
 
+def test_scorer_chain_looks_for_each_word_once(spark):
+    """However often the chain reads a score, the plan holds each scorer once."""
+    df = spark.createDataFrame([(1, "up up"), (2, None), (3, "crash"), (4, "good")], "post_id long, text string")
+    primary = lambda t: F.when(F.length(t) % 2 == 0, scale_score(score_keyword(t)))
+    out = with_scores(df, "text", primary, fallback=score_keyword).select("post_id", "compound")
+    assert {r["post_id"]: r["compound"] for r in out.collect()} == {1: 1.0, 2: 0.0, 3: -1.0, 4: 1.0}
+    words = len(POSITIVE_WORDS) + len(NEGATIVE_WORDS)
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") <= 2 * words
+
+
 def test_fallback_chain_and_user_pandas_scorer(spark):
     import pandas as pd
     from pyspark.sql import types as T
