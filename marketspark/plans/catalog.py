@@ -1037,7 +1037,9 @@ def q_subscriber_feed(spark, sf):
     ev = read_table(spark, sf, "events").where(~F.col("event_type").isin("view", "purchase"))
     polls = ev.select(F.concat(F.lit("S"), F.pmod(F.col("user_id"), F.lit(SUBSCRIBERS)).cast("string")).alias("subscriber"),
                       F.col("ts").cast("timestamp").alias("ts")).distinct()
-    polls = SB.with_heads(polls, t)
+    heads = scratch_path(spark, f"heads-{uuid.uuid4().hex}")
+    SB.with_heads(polls, t).write.parquet(heads)
+    polls = spark.read.parquet(heads)
     path, run = scratch_path(spark, f"polls-{uuid.uuid4().hex}"), scratch_path(spark, f"feed-{uuid.uuid4().hex}")
     half = as_of_literal(t) - F.expr("INTERVAL 10 days")
     for part in (polls.where(F.col("ts") <= half), polls.where(F.col("ts") > half)):

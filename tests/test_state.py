@@ -129,6 +129,16 @@ def test_subscribers_get_every_message_once(spark):
     assert sorted(got["c"]) == [*range(81, 117), *range(186, 198)]
 
 
+def test_ranges_of_any_length_find_their_messages(spark):
+    r = random.Random(3)
+    ids = sorted(r.sample(range(5_000), 800))
+    ranges = [(f"s{k % 3}", T0, a, a + r.choice([1, 3, 20, 300, 4_000])) for k, a in enumerate(r.sample(range(-1, 5_000), 60))]
+    messages = spark.createDataFrame([(i, f"m{i}") for i in ids], "tick_id long, text string")
+    got = SB.deliver(spark.createDataFrame(ranges, "subscriber string, ts timestamp, after long, upto long"), messages, buckets=(4, 32, 256))
+    want = sorted((s, i) for s, _, after, upto in ranges for i in ids if after < i <= upto)
+    assert sorted((x["subscriber"], x["tick_id"]) for x in got.collect()) == want
+
+
 # --- pane counters --------------------------------------------------------------------------------
 
 def test_panes_are_exact_at_any_instant_and_after_replay_and_compaction(spark):
