@@ -45,7 +45,7 @@ from marketspark.operators.skew import skew_join
 #: Bytes that end a piece: . , ; : ! ? and line feed to carriage return.
 BREAKS = byte_set(*[(ord(c), ord(c)) for c in ".,;:!?"], (0x0A, 0x0D))
 ENDS = BREAKS | byte_set((0x20, 0x20), (0x09, 0x09))
-ROUTE_BYTES = 8 << 20    # text whose suffixes make a route, about; a task sorts one route at a time
+ROUTE_BYTES = 4 << 20    # text whose suffixes make a route, about; a task sorts one route at a time
 MOST_ROUTES = 1 << 16    # the driver and every task hold the routes' bounds: routes grow beyond this many
 SAMPLE_BYTES, SAMPLE_ROWS = 64 << 20, 100_000    # texts looked at for the bounds, and suffixes taken from them, about
 BATCH_ROWS = 1 << 16
@@ -152,14 +152,22 @@ def _ranked(vocab: pa.Array, ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return vocab.take(pa.array(order)).to_pylist(), rank[ids]
 
 
-def unpacked(words: bytes, blob: bytes, depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, codes (depth x suffixes, 0 past the end) and times of one packed row."""
-    small = np.uint16 if blob[0] == 2 else np.uint32
-    n = (len(blob) - 1) // (depth * blob[0] + 4)
+def suffix_count(blob: bytes, depth: int) -> int:
+    return (len(blob) - 1) // (depth * blob[0] + 4)
+
+
+def decoded(blob: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (depth x suffixes, 0 past the end) and times of one packed row."""
+    n, small = suffix_count(blob, depth), np.uint16 if blob[0] == 2 else np.uint32
     codes = np.frombuffer(blob, small, depth * n, 1).reshape(depth, n).astype(np.int64)
     codes[0] = np.cumsum(codes[0])
-    times = np.frombuffer(blob[1 + depth * n * blob[0]:], np.uint32)
-    return words.split(b"\n"), codes, times.astype(np.int64)
+    times = np.frombuffer(blob, np.uint8, 4 * n, 1 + depth * n * blob[0])
+    return codes, times.view(np.uint32).astype(np.int64)
+
+
+def unpacked(words: bytes, blob: bytes, depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, codes and times of one packed row."""
+    return words.split(b"\n"), *decoded(blob, depth)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -210,26 +218,25 @@ def frequent_prefixes(keys: np.ndarray, weight: np.ndarray, least: int, ends: np
     depth_max = keys.shape[1]
     spare = np.zeros(len(keys), bool)
     spare[ends] = True
-    ptr = np.arange(len(keys))
-    starts, depth = np.zeros(min(1, len(keys)), np.int64), np.zeros(min(1, len(keys)), np.int64)
+    ptr = np.arange(len(keys), dtype=np.int32)
+    starts, depth = np.zeros(min(1, len(keys)), np.int64), np.zeros(min(1, len(keys)), np.int8)
     while len(ptr):
         sizes = np.diff(np.append(starts, len(ptr)))
-        part = np.repeat(np.arange(len(starts)), sizes)
+        part = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
         key = keys[ptr, depth[part]]
         three = np.stack([key[starts], key[starts + sizes // 2], key[starts + sizes - 1]])
-        side = np.sign(key - np.median(three, axis=0).astype(np.int64)[part]) + 1          # 0 less, 1 equal, 2 greater
+        pivot = np.median(three, axis=0).astype(key.dtype)[part]
         # stable three-way partition of every part at once
-        place = np.empty(len(ptr), np.int64)
+        moved = np.empty_like(ptr)
         base, kids = starts.copy(), []
-        for s in range(3):
-            mine = side == s
-            before = np.cumsum(mine) - mine
-            place[mine] = (base[part] + before - before[starts][part])[mine]
-            count = np.add.reduceat(mine.astype(np.int64), starts)
+        for mine in (key < pivot, key == pivot, key > pivot):
+            before = np.cumsum(mine, dtype=np.int32) - mine
+            of = part[mine]
+            moved[base[of] + before[mine] - before[starts][of]] = ptr[mine]
+            count = np.add.reduceat(mine, starts, dtype=np.int64)
             kids.append((base, count))
             base = base + count
-        moved = np.empty_like(ptr)
-        moved[place] = ptr
+        del part, key, pivot, before, of, mine
         ptr = moved
         first = np.stack([k[0] for k in kids], axis=1).reshape(-1)
         count = np.stack([k[1] for k in kids], axis=1).reshape(-1)
@@ -238,7 +245,7 @@ def frequent_prefixes(keys: np.ndarray, weight: np.ndarray, least: int, ends: np
         some = count > 0
         first, count, level, equal = first[some], count[some], level[some], equal[some]
         total = np.add.reduceat(weight[ptr], first)
-        keep = (total >= least) | (np.add.reduceat(spare[ptr].astype(np.int64), first) > 0)
+        keep = (total >= least) | np.logical_or.reduceat(spare[ptr], first)
         done = equal & (keys[ptr[first], level] == 0)             # the suffixes end here
         for k in np.flatnonzero(keep & equal & ~done):
             yield int(ptr[first[k]]), int(level[k]) + 1, int(total[k])
@@ -251,18 +258,22 @@ def frequent_prefixes(keys: np.ndarray, weight: np.ndarray, least: int, ends: np
 
 def route_counts(table: pa.Table, depth: int, least: int) -> pa.Table:
     """Prefixes of one route's packed suffixes: lang, phrase, size, n (size 0: all words of the lang)."""
-    parts = [unpacked(w, c, depth) for w, c in zip(table["words"].to_pylist(), table["codes"].to_pylist())]
-    coded = pa.array([w for words, _, _ in parts for w in words], pa.large_binary()).dictionary_encode()
-    vocab, rank = _ranked(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    lists = pc.split_pattern(table["words"].combine_chunks().cast(pa.large_binary()), pattern="\n")
+    coded = lists.flatten().dictionary_encode()
+    vocab, rank = _ranked(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False))
+    rank = (rank + 1).astype(np.int32)
+    base = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
     named = table["lang"].combine_chunks().cast(pa.large_binary()).dictionary_encode()
     langs, lang = _ranked(named.dictionary, named.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-    keys = np.empty((sum(len(t) for _, _, t in parts), depth + 1), np.int32)
-    at, base = 0, 0
-    for k, (words, codes, times) in enumerate(parts):
-        keys[at: at + len(times), 0] = lang[k] + 1
-        keys[at: at + len(times), 1:] = np.append(0, rank[base: base + len(words)] + 1)[codes].T
-        at, base = at + len(times), base + len(words)
-    weight = np.concatenate([t for _, _, t in parts])
+    blobs = table["codes"].to_pylist()
+    at = np.append(0, np.cumsum([suffix_count(b, depth) for b in blobs]))
+    keys, weight = np.empty((at[-1], depth + 1), np.int32), np.empty(at[-1], np.int64)
+    for k, blob in enumerate(blobs):                              # decoded one by one: few stand in memory at their full width
+        codes, times = decoded(blob, depth)
+        keys[at[k]: at[k + 1], 0] = lang[k] + 1
+        keys[at[k]: at[k + 1], 1:] = np.append(np.int32(0), rank[base[k]: base[k + 1]])[codes].T
+        weight[at[k]: at[k + 1]] = times
+    del lists, coded, rank, blobs
     ends = []
     for pick in (np.min, np.max):                                 # the route's first and last suffix
         rows = np.arange(len(keys))

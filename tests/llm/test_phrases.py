@@ -136,3 +136,15 @@ def test_packed_suffixes_come_back():
         last = route
     assert back == {(b"en", b"b", b"a", b"c"): 2, (b"en", b"a", b"c", b""): 2, (b"en", b"c", b"", b""): 2, (b"en", b"a", b"b", b""): 1,
                     (b"en", b"b", b"", b""): 1, (b"fr", b"x", b"\xc3\xa9", b"y"): 1, (b"fr", b"\xc3\xa9", b"y", b""): 1, (b"fr", b"y", b"", b""): 1}
+
+
+def test_the_sort_holds_little_beside_its_keys():
+    import tracemalloc
+    r = np.random.default_rng(1)
+    keys = r.integers(1, 400, (200_000, 4)).astype(np.int32)
+    weight = np.ones(len(keys), np.int64)
+    tracemalloc.start()
+    found = sum(1 for _ in phrases.frequent_prefixes(keys, weight, 10, np.array([0, 1])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 50 * len(keys)
