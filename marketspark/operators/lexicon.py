@@ -1,4 +1,4 @@
-"""Lexicon (valence) sentiment scorer, each text in its own row: tokens by Spark, their rules on Arrow batches.
+"""Lexicon (valence) sentiment scorer as Spark array logic, each text in its own row.
 
 Per post: tokens = words (letters and '$') and single symbols (emoji) of the whole text; each token's valence
 comes from the lexicon; a negator among the three previous tokens flips and damps it, a booster /
@@ -11,13 +11,10 @@ distance and not across a valued token; words in capitals in a text that is not
 damps what comes before it and raises what follows; exclamation and question marks.  Entries of the lexicon may be
 phrases, matched longest first from the left; the words of a matched phrase count as one token.
 
-A lexicon of up to ``IN_ROW`` entries travels with the tasks: no token leaves its row and the texts are scanned once,
-without any exchange.  A larger one is joined: each text's distinct tokens (and word groups) by their hash key, hot tokens
-dealt over tasks, and only hits come back, as a map of the text's own valued tokens.  Both ways feed the same rules.
-
-The rules look at a batch's tokens side by side in numpy (``_sums``): a token is a number, a word's properties
-are found once per distinct word, and a phrase is followed word by word through sorted tables, so the work grows
-with the tokens, whatever the length of a text and the number of its phrases.
+A lexicon of up to ``IN_ROW`` entries is looked up inside the row, in a hash table that enters the plan as one folded
+constant: no token leaves its row and the texts are scanned once, without any exchange.  A larger one is joined:
+each text's distinct tokens (and word groups) by their hash key, hot tokens dealt over tasks, and only hits come back, as a
+map of the text's own valued tokens.  Both ways feed the same expressions.
 
 Rows that share an id but not the text are scored apart.  A token listed twice takes the mean of its valences.
 A null or token-free text scores 0 throughout.
@@ -25,10 +22,10 @@ A null or token-free text scores 0 throughout.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,10 +73,29 @@ class Rules:
     clauses: bool = False
 
 
-IN_ROW = 100_000         # lexicon entries that may travel with a task
+IN_ROW = 20_000          # lexicon entries that may enter the plan
 PHRASE_WORDS = 4         # words of the longest phrase that is looked for
 
 
+def _slot(token: Column, slots: int) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(slots)).cast("int")
+
+
+def _quoted(token: str) -> str:
+    return "'" + token.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _constant(entries: list[tuple[str, float]]) -> Callable[[Column], Column]:
+    """Valence of a token (null if unlisted) from a hash table of constants: one array access and a look at its few entries."""
+    slots = max(16, 1 << (2 * len(entries)).bit_length())
+    table: list[list[str]] = [[] for _ in range(slots)]
+    for token, v in entries:
+        table[zlib.crc32(token.encode()) % slots].append(f"named_struct('t', {_quoted(token)}, 'v', {float(v)!r}D)")
+    none = "CAST(array() AS array<struct<t:string,v:double>>)"
+    known = F.expr("array(" + ", ".join(f"array({', '.join(x)})" if x else none for x in table) + ")")
+    return lambda token: F.get(F.filter(F.get(known, _slot(token, slots)), lambda e: e["t"] == token), 0)["v"]
+
+
 def _entries(lexicon: DataFrame) -> DataFrame:
     return (lexicon.where(F.col("token").isNotNull() & F.col("valence").isNotNull()).groupBy("token")
             .agg(F.avg(F.col("valence").cast("double")).alias("valence")))
@@ -91,150 +107,70 @@ def neighbours(low: Column, words: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(low, i, words), " "))
 
 
-def _joined(rows: DataFrame, lex: DataFrame, longest: int) -> DataFrame:
-    """``rows`` with the map ``_m`` of their valued tokens."""
+def _joined(rows: DataFrame, lex: DataFrame, longest: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``rows`` with the map ``_m`` of their valued tokens, and the look-up in it."""
     every = F.array_distinct(F.flatten(F.array(F.col("_low"), *[neighbours(F.col("_low"), n) for n in range(2, longest + 1)])))
     used = rows.select("_h", F.explode(every).alias("token")).distinct()
     hits = skew_join(used, lex, ["token"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("_m"))
-    return rows.join(hits, "_h", "left")
-
-
-class Table:
-    """A lexicon as numbers: its words, their valences, and per phrase length the sorted keys (place of the words before,
-    last word) with the valences of the phrases that end there."""
-
-    def __init__(self, entries: list[tuple[str, float]], longest: int):
-        split = [(tuple(token.split(" ")), v) for token, v in entries]
-        split = [(words, v) for words, v in split if len(words) <= longest]
-        self.word = {w: k for k, w in enumerate(dict.fromkeys(w for words, _ in split for w in words))}
-        self.single, self.known = np.zeros(len(self.word)), np.zeros(len(self.word), bool)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for words, v in split:
-            if len(words) == 1:
-                self.single[self.word[words[0]]], self.known[self.word[words[0]]] = v, True
-        place = {(k,): k for k in self.word.values()}
-        for n in range(2, longest + 1):
-            coded = [(tuple(self.word[w] for w in words), len(words), v) for words, v in split if len(words) >= n]
-            steps = {c[:n]: place[c[:n - 1]] * len(self.word) + c[n - 1] for c, _, _ in coded}
-            keys = np.array(sorted(steps.values()), np.int64)
-            place = {c: int(np.searchsorted(keys, key)) for c, key in steps.items()}
-            v_at, ends = np.zeros(len(keys)), np.zeros(len(keys), bool)
-            for c, size, v in coded:
-                if size == n:
-                    v_at[place[c]], ends[place[c]] = v, True
-            self.levels.append((keys, v_at, ends))
-
-    def phrases(self, word: np.ndarray, left: np.ndarray) -> list[tuple[int, int, float]]:
-        """Chosen phrases (at, words, valence), left to right and longest first; ``left`` counts the words from a token to its text's end."""
-        size, value = np.zeros(len(word), np.int64), np.zeros(len(word))
-        at = np.flatnonzero(word >= 0)
-        place = word[at]
-        for n, (keys, v, ends) in enumerate(self.levels, 2):
-            some = left[at] >= n
-            at, place = at[some], place[some]
-            after = word[at + n - 1]
-            key = place * len(self.word) + after
-            place = np.searchsorted(keys, key)
-            some = (after >= 0) & (place < len(keys))
-            some[some] = keys[place[some]] == key[some]
-            at, place = at[some], place[some]
-            size[at[ends[place]]], value[at[ends[place]]] = n, v[place[ends[place]]]
-        found = np.flatnonzero(size)
-        chosen, free = [], 0
-        for i, n, v in zip(found.tolist(), size[found].tolist(), value[found].tolist()):
-            if i >= free:
-                chosen.append((i, n, v))
-                free = i + n
-        return chosen
-
-
-def _sums(texts: pa.Array, table: Table, rules: Rules) -> pa.Array:
-    """Per text (a list of tokens): the sum of its tokens' adjusted valences, its positive and negative mass, its neutral tokens."""
-    flat = texts.flatten().dictionary_encode()
-    sizes = np.diff(texts.offsets.to_numpy().astype(np.int64))
-    ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(flat)) - (ends - sizes)[text]                 # of a token in its text
-    token = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocab = flat.dictionary.to_pylist()
-    low = [w.lower() for w in vocab] if rules.clauses else vocab
-
-    def of(words: list[str]) -> np.ndarray:
-        return np.array([w in words for w in low], bool)
-
-    def at(values: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return values[token[i]]
-
-    word = np.array([table.word.get(w, -1) for w in low], np.int64)
-    boost = np.where(of(rules.boosters), BOOST, np.where(of(rules.dampeners), -BOOST, 0.0))
-    negator, contrast = of(rules.negators), of(rules.contrast)
-    value = np.where(word >= 0, table.single[word], 0.0) if len(table.word) else np.zeros(len(vocab))
-    raw, inside = value[token], np.zeros(len(token), bool)
-    if table.levels:                         # a phrase's valence stands at its first word; its other words leave the count
-        for i, n, v in table.phrases(word[token], ends[text] - np.arange(len(token))):
-            raw[i], raw[i + 1:i + n], inside[i + 1:i + n] = v, 0.0, True
-    valued = np.flatnonzero(raw != 0)
-    v = raw[valued]
-    if rules.clauses:
-        capital = np.array([w.upper() == w and w.lower() != w for w in vocab], bool)
-        cased = np.array([w.lower() != w.upper() for w in vocab], bool)
-        loud = np.bincount(text, (capital & cased)[token], len(sizes))
-        mixed = ((loud > 0) & (loud < np.bincount(text, cased[token], len(sizes))))[text[valued]]
-        v = v + np.sign(v) * np.where(mixed & at(capital, valued), CAPITALS, 0.0)
-    negated = np.zeros(len(valued), bool)
-    for k in range(1, NEGATION_SCOPE + 1):
-        near = place[valued] >= k
-        before = np.maximum(valued - k, 0)
-        negated |= near & at(negator, before)
-        if rules.clauses and k <= len(BOOST_FADE):
-            b = np.where(near & (raw[before] == 0), at(boost, before), 0.0)
-            caps = np.where(mixed & at(capital, before), CAPITALS, 0.0)
-            v = v + np.sign(v) * (b + np.sign(b) * caps) * BOOST_FADE[k - 1]
-        elif k == 1:
-            v = v + np.sign(v) * np.where(near, at(boost, before), 0.0)
-    v = np.where(negated, v * NEGATION, v)
-    if rules.clauses:
-        turn = np.full(len(sizes), -1)
-        turns = np.flatnonzero(contrast[token])[::-1]
-        turn[text[turns]] = place[turns]                                # the first one stays
-        t, i = turn[text[valued]], place[valued]
-        v = v * np.where((t < 0) | (i == t), 1.0, np.where(i < t, BEFORE_CONTRAST, AFTER_CONTRAST))
-    total = lambda x: np.bincount(text[valued], x, len(sizes))
-    neutral = sizes - np.bincount(text, inside, len(sizes)) - total((v != 0).astype(float))
-    return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (
-        total(v), total(np.where((v > 0) | np.isnan(v), v + 1, 0.0)), total(np.where(v < 0, -v + 1, 0.0)), neutral)], SUMS)
+    return rows.join(hits, "_h", "left"), lambda token: F.element_at("_m", token)
 
 
-def _batch_sums(texts: pa.Array, table: Table, rules: Rules) -> pa.Array:
-    """``_sums`` over stretches of texts of some PIECE tokens, so that a worker holds few of them at once."""
-    ends = np.cumsum(np.diff(texts.offsets.to_numpy().astype(np.int64)))
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(PIECE, ends[-1] if len(ends) else 0, PIECE), "right"), len(ends)))
-    parts = [_sums(texts.slice(lo, hi - lo), table, rules) for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
-    return pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+def _phrases(low: Column, single: Column, valence: Callable[[Column], Column], longest: int) -> Column:
+    """Chosen phrases, left to right and longest first: array of (at, words, v); ``at`` counts from 0."""
+    found = F.filter(F.flatten(F.array(*[F.filter(F.transform(neighbours(low, n), lambda g, i: F.struct(
+        i.alias("at"), F.lit(-n).alias("less"), valence(g).alias("v"))), lambda e: e["v"].isNotNull()) for n in range(longest, 1, -1)])), lambda e: e["at"] >= 0)
+    none = F.array().cast("array<struct<at:int,words:int,v:double>>")
+    start = F.struct(F.lit(0).alias("free"), none.alias("kept"))
+    take = F.aggregate(F.array_sort(found), start, lambda t, e: F.when(e["at"] < t["free"], t).otherwise(F.struct(
+        (e["at"] - e["less"]).alias("free"), F.concat(t["kept"], F.array(F.struct(e["at"].alias("at"), (-e["less"]).alias("words"), e["v"].alias("v")))).alias("kept"))))
+    return take["kept"]
 
 
-PIECE = 1 << 18
-SUMS = ["sum", "pm", "nm", "none"]
+def _with_phrases(raw: Column, phrases: Column) -> Column:
+    """``raw`` put together from the stretches between the chosen phrases: each token is copied once, whatever their number."""
+    def end(p):
+        return p["at"] + p["words"]
 
+    def stretch(p, k):
+        before = F.when(k == 0, F.lit(0)).otherwise(end(F.get(phrases, k - 1)))
+        return F.concat(F.slice(raw, before + 1, p["at"] - before), F.array(p["v"]), F.array_repeat(F.lit(None).cast("double"), p["words"] - 1))
 
-def _scanned(rules: Rules, longest: int, entries: list[tuple[str, float]] | None) -> Column:
-    """The sums of each text's tokens, by the given lexicon or by the valued tokens ``_m`` of the texts themselves."""
-    kind = ", ".join(f"{c} double" for c in SUMS)
-    words = F.col("_tok" if rules.clauses else "_low")
-    if entries is not None:
-        table = Table(entries, longest)
+    rest = F.slice(raw, end(F.get(phrases, F.size(phrases) - 1)) + 1, F.size(raw))
+    return F.when(F.size(phrases) == 0, raw).otherwise(F.concat(F.flatten(F.transform(phrases, stretch)), rest))
 
-        @F.arrow_udf(kind)
-        def scan(tokens: pa.Array) -> pa.Array:
-            return _batch_sums(tokens, table, rules)
-        return scan(words)
 
-    @F.arrow_udf(kind)
-    def scan_joined(tokens: pa.Array, names: pa.Array, valences: pa.Array) -> pa.Array:
-        # a listed token has one valence, so the texts of a batch may share what they found
-        found = dict(zip(names.flatten().to_pylist(), valences.flatten().to_pylist()))
-        return _batch_sums(tokens, Table(list(found.items()), longest), rules)
-    return scan_joined(words, F.coalesce(F.map_keys("_m"), F.array().cast("array<string>")), F.coalesce(F.map_values("_m"), F.array().cast("array<double>")))
+def _capital(token: Column) -> Column:
+    """A word of capitals only: it has a letter with case and none in lower case."""
+    return (F.upper(token) == token) & (F.lower(token) != token)
+
+
+def _boost(rules: Rules, previous: Column) -> Column:
+    return F.when(previous.isin(*rules.boosters), F.lit(BOOST)).when(previous.isin(*rules.dampeners), F.lit(-BOOST)).otherwise(F.lit(0.0))
+
+
+def _valences(rules: Rules) -> Column:
+    """Adjusted valence of every token of ``_low`` (``_raw`` its valence, ``_tok`` as written); 0 for unvalued ones."""
+    low, raw = F.col("_low"), F.col("_raw")
+
+    def back(array, i, k):
+        return F.when(i >= k, F.get(array, i - k))
+
+    def adjusted(v, i):
+        negated = F.coalesce(F.greatest(*[F.coalesce(back(low, i, F.lit(k)).isin(*rules.negators), F.lit(False))
+                                          for k in range(1, NEGATION_SCOPE + 1)]), F.lit(False))
+        if rules.clauses:
+            loud = F.when(F.col("_mixed") & _capital(F.get("_tok", i)), F.lit(CAPITALS)).otherwise(F.lit(0.0))
+            v = v + F.signum(v) * loud
+            for k, fade in enumerate(BOOST_FADE, 1):
+                quiet = F.coalesce(back(raw, i, F.lit(k)), F.lit(0.0)) == 0
+                caps = F.when(F.col("_mixed") & _capital(F.coalesce(back(F.col("_tok"), i, F.lit(k)), F.lit(""))), F.lit(CAPITALS)).otherwise(F.lit(0.0))
+                b = _boost(rules, F.coalesce(back(low, i, F.lit(k)), F.lit("")))
+                v = v + F.when(quiet, F.signum(v) * (b + F.signum(b) * caps) * fade).otherwise(F.lit(0.0))
+        else:
+            v = v + F.signum(v) * _boost(rules, F.coalesce(back(low, i, F.lit(1)), F.lit("")))
+        return F.when(negated, v * NEGATION).otherwise(v)
+
+    return F.transform(raw, lambda v, i: F.when(F.coalesce(v, F.lit(0.0)) == 0, F.when(v.isNull(), F.lit(None).cast("double")).otherwise(F.lit(0.0))).otherwise(adjusted(v, i)))
 
 
 def _finish(s: Column, pos_mass: Column, neg_mass: Column, neu_n: Column) -> Column:
@@ -265,11 +201,27 @@ def score_lexicon(posts: DataFrame, lexicon: DataFrame | None = None, text_col:
     rows = packed.withColumn("_tok", F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0), F.array().cast("array<string>")))
     rows = rows.withColumn("_low", tokens(text) if not rules.clauses else F.transform("_tok", lambda t: F.lower(t)))
     rows = rows.withColumn("_low", F.coalesce("_low", F.array().cast("array<string>")))
-    entries = None if len(some) > IN_ROW else [(r["token"], r["valence"]) for r in some]
-    if entries is None:
-        rows = _joined(rows.withColumn("_h", F.struct(F.xxhash64("_low"), F.xxhash64(F.lit(1), "_low"))), lex, longest)
-    rows = rows.select("_row", _scanned(rules, longest, entries).alias("_s")).select(
-        "_row", F.col("_s.none").alias("_none"), *[F.col(f"_s.{c}").alias(f"_{c}") for c in ("sum", "pm", "nm")])
+    if len(some) > IN_ROW:
+        rows, valence = _joined(rows.withColumn("_h", F.struct(F.xxhash64("_low"), F.xxhash64(F.lit(1), "_low"))), lex, longest)
+    else:
+        valence = _constant([(r["token"], r["valence"]) for r in some])
+    rows = rows.withColumn("_raw", F.transform("_low", lambda t: F.coalesce(valence(t), F.lit(0.0))))
+    if longest > 1:                      # a phrase's valence stands at its first word; its other words leave the count
+        rows = rows.withColumn("_phrases", _phrases(F.col("_low"), F.col("_raw"), valence, longest))
+        rows = rows.withColumn("_raw", _with_phrases(F.col("_raw"), F.col("_phrases")))
+    if rules.clauses:
+        words = F.filter("_tok", lambda t: F.lower(t) != F.upper(t))
+        loud = F.size(F.filter(words, _capital))
+        rows = rows.withColumn("_mixed", (loud > 0) & (loud < F.size(words)))
+    rows = rows.withColumn("_v", _valences(rules))
+    if rules.clauses:
+        turn = F.filter(F.transform("_low", lambda t, i: F.when(t.isin(*rules.contrast), i)), lambda i: i.isNotNull())
+        rows = rows.withColumn("_turn", F.get(turn, 0)).withColumn("_v", F.when(F.col("_turn").isNull(), F.col("_v")).otherwise(
+            F.transform("_v", lambda v, i: v * F.when(i < F.col("_turn"), F.lit(BEFORE_CONTRAST)).when(i > F.col("_turn"), F.lit(AFTER_CONTRAST)).otherwise(F.lit(1.0)))))
+    rows = rows.withColumn("_some", F.filter("_v", lambda v: v != 0)).withColumn("_none", F.size(F.filter("_v", lambda v: v == 0)).cast("double"))
+    add = lambda keep: F.aggregate("_some", F.lit(0.0), lambda t, v: t + keep(v))
+    rows = rows.select("_row", "_none", add(lambda v: v).alias("_sum"), add(lambda v: F.when(v > 0, v + 1).otherwise(0.0)).alias("_pm"),
+                       add(lambda v: F.when(v < 0, -v + 1).otherwise(0.0)).alias("_nm"))
     if rules.clauses:
         rows = rows.withColumn("_mark", _marks(text))
         more = F.when(F.col("_sum") == 0, F.lit(0.0)).otherwise(F.signum("_sum") * F.col("_mark"))
